@@ -1,8 +1,9 @@
 """Imports every query module so the registry is complete."""
 from __future__ import annotations
 
-from maplift.plans import q_mapping  # noqa: F401
+from maplift.plans import q_mapping, q_validate  # noqa: F401
 from maplift.plans.oracle import ORACLE
+from maplift.plans.oracle_validate import ORACLE_VALIDATE
 from maplift.plans.registry import QUERIES
 
 
@@ -11,4 +12,5 @@ def all_queries():
 
 
 def all_oracles():
-    return {k: v for k, v in ORACLE.items() if k in QUERIES}
+    merged = {**ORACLE, **ORACLE_VALIDATE}
+    return {k: v for k, v in merged.items() if k in QUERIES}

@@ -1,16 +1,21 @@
 """Imports every query module so the registry is complete."""
 from __future__ import annotations
 
-from maplift.plans import q_mapping, q_validate  # noqa: F401
+from maplift.plans import q_load, q_mapping, q_validate  # noqa: F401
 from maplift.plans.oracle import ORACLE
+from maplift.plans.oracle_load import ORACLE_LOAD
 from maplift.plans.oracle_validate import ORACLE_VALIDATE
 from maplift.plans.registry import QUERIES
 
+_ORACLES = [ORACLE, ORACLE_VALIDATE, ORACLE_LOAD]
+
 
 def all_queries():
     return dict(QUERIES)
 
 
 def all_oracles():
-    merged = {**ORACLE, **ORACLE_VALIDATE}
+    merged: dict[str, str] = {}
+    for o in _ORACLES:
+        merged.update(o)
     return {k: v for k, v in merged.items() if k in QUERIES}

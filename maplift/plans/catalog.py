@@ -1,13 +1,14 @@
 """Imports every query module so the registry is complete."""
 from __future__ import annotations
 
-from maplift.plans import q_load, q_mapping, q_validate  # noqa: F401
+from maplift.plans import q_history, q_load, q_mapping, q_validate  # noqa: F401
 from maplift.plans.oracle import ORACLE
+from maplift.plans.oracle_history import ORACLE_HISTORY
 from maplift.plans.oracle_load import ORACLE_LOAD
 from maplift.plans.oracle_validate import ORACLE_VALIDATE
 from maplift.plans.registry import QUERIES
 
-_ORACLES = [ORACLE, ORACLE_VALIDATE, ORACLE_LOAD]
+_ORACLES = [ORACLE, ORACLE_VALIDATE, ORACLE_LOAD, ORACLE_HISTORY]
 
 
 def all_queries():

@@ -88,3 +88,15 @@ SELECT run_id, started_at,
        ELSE CAST({_D} AS VARCHAR) || 'd ago' END AS ago
 FROM runs""",
 }
+
+_FACT_TARGET = ("fact_target AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' "
+                "AND event_id % 50 <> 0)")
+
+ORACLE_STREAM = {
+    "fact_incremental_stream": with_(_FACT_TARGET) + (
+        "SELECT * FROM fact_target UNION ALL "
+        "SELECT * FROM events WHERE ts >= (SELECT max(ts) FROM fact_target) - INTERVAL 2 DAY "
+        "AND event_id NOT IN (SELECT event_id FROM fact_target)"),
+    "feed_append_stream": with_(RUN_FEED) + "SELECT run_id, seq, ts, kind, text FROM run_feed",
+    "latest_run_state_stream": ORACLE_HISTORY["latest_run_state"],
+}

@@ -94,21 +94,85 @@ class Validator:
         c = self.mapping_counts().where(F.col("n_active") == 0)
         return _finding(c, M.CHECK_NO_ACTIVE, F.lit(0), 0, "error", F.lit("-"), F.lit(M.MSG_NO_ACTIVE))
 
+    # ---- row-level checks (C7, D1, D2, D4, D5) in one pass ---------------------
+    def enriched(self) -> DataFrame:
+        """Active rows with their source and target column (left joins keyed
+        by (sheet_id, field)) and the sheet's table names."""
+        s = self.src.select("sheet_id", F.col("column_name").alias("source_field"),
+                            F.col("type").alias("src_type"), F.col("nullable").alias("src_nullable_doc"),
+                            F.lit(True).alias("src_known"))
+        t = self.tgt.select("sheet_id", F.col("column_name").alias("target_field"),
+                            F.col("type").alias("tgt_type"), F.col("nullable").alias("tgt_nullable"),
+                            F.lit(True).alias("tgt_known"))
+        e = (self.active().join(s, ["sheet_id", "source_field"], "left")
+             .join(t, ["sheet_id", "target_field"], "left")
+             .join(self.sheet_tables(), "sheet_id", "left"))
+        src_known = F.coalesce(F.col("src_known"), F.lit(False))
+        tgt_known = F.coalesce(F.col("tgt_known"), F.lit(False))
+        return e.select(
+            "*",
+            (src_known & tgt_known).alias("pair"),
+            (F.col("src_nullable_doc") | F.upper(F.trim("nullable")).isin(M.SHEET_NULLABLE_VALUES)).alias("src_nullable"),
+            (F.trim("default_value") != "").alias("has_default"),
+            (F.trim("sql_logic") != "").alias("has_logic"),
+            type_family(F.col("src_type")).alias("src_family"),
+            type_family(F.col("tgt_type")).alias("tgt_family"),
+        ).withColumn("lossy", lossy_pair(F.col("src_family"), F.col("tgt_family")))
+
+    def row_findings(self) -> DataFrame:
+        """Every row-level finding of every active row: one projection that
+        builds the row's findings as an array, then one explode."""
+        row = F.col("row_no")
+        pair, null_clash = F.col("pair"), F.col("src_nullable") & ~F.col("tgt_nullable")
+
+        def item(cond, check, sub, sev, msg):
+            sev_c = sev if isinstance(sev, Column) else F.lit(sev)
+            return F.when(cond, F.struct(F.lit(check).cast("int").alias("check_no"), F.lit(sub).cast("int").alias("sub_no"),
+                                         sev_c.alias("severity"), msg.alias("message")))
+        items = F.array(
+            item((F.col("source_field") != "") & F.col("src_known").isNull(), M.CHECK_MISSING, 0, "error",
+                 _fmt(M.MSG_MISSING_SOURCE, F.col("source_field"), F.col("source_name"))),
+            item((F.col("target_field") != "") & F.col("tgt_known").isNull(), M.CHECK_MISSING, 1, "error",
+                 _fmt(M.MSG_MISSING_TARGET, F.col("target_field"), F.col("target_name"))),
+            item(pair & null_clash & ~F.col("has_default") & ~F.col("has_logic"), M.CHECK_NULL_ERROR, 0, "error",
+                 _fmt(M.MSG_NULL_ERROR, F.col("source_field"), F.col("target_field"))),
+            item(pair & null_clash & F.col("has_default"), M.CHECK_NULL_INFO, 0, "info",
+                 _fmt(M.MSG_NULL_INFO, F.col("source_field"), F.col("target_field"), py_repr(F.col("default_value")))),
+            item(pair & (F.col("src_family") != F.col("tgt_family")) & ~F.col("has_logic"), M.CHECK_TYPE, 0,
+                 F.when(F.col("lossy"), F.lit("warning")).otherwise(F.lit("info")),
+                 _fmt(M.MSG_TYPE, F.col("source_field"), F.col("src_type"), F.col("target_field"), F.col("tgt_type"))),
+            item(F.trim("lookup_table") != "", M.CHECK_LOOKUP, 0, "warning", _fmt(M.MSG_LOOKUP, F.col("lookup_table"))),
+        )
+        found = self.enriched().select("sheet_id", row, F.explode(F.filter(items, lambda x: x.isNotNull())).alias("f"))
+        return found.select(
+            F.col("sheet_id").cast("bigint").alias("sheet_id"), F.col("f.check_no").alias("check_no"),
+            row.cast("bigint").alias("row_key"), F.col("f.sub_no").alias("sub_no"),
+            F.col("f.severity").alias("severity"), row.cast("string").alias("rows"),
+            F.col("f.message").alias("message"))
+
+    def _rows_of(self, check: int, sub: int | None = None) -> DataFrame:
+        f = self.row_findings().where(F.col("check_no") == check)
+        return f if sub is None else f.where(F.col("sub_no") == sub)
+
     def missing_source_fields(self) -> DataFrame:  # D1, check 6 sub 0
-        a = self.active().where(F.col("source_field") != "")
-        miss = a.join(self.src.select("sheet_id", F.col("column_name").alias("source_field")),
-                      ["sheet_id", "source_field"], "left_anti")
-        miss = miss.join(self.sheet_tables(), "sheet_id", "left")
-        return _finding(miss, M.CHECK_MISSING, F.col("row_no"), 0, "error", F.col("row_no"),
-                        _fmt(M.MSG_MISSING_SOURCE, F.col("source_field"), F.col("source_name")))
+        return self._rows_of(M.CHECK_MISSING, 0)
 
     def missing_target_fields(self) -> DataFrame:  # D2, check 6 sub 1
-        a = self.active().where(F.col("target_field") != "")
-        miss = a.join(self.tgt.select("sheet_id", F.col("column_name").alias("target_field")),
-                      ["sheet_id", "target_field"], "left_anti")
-        miss = miss.join(self.sheet_tables(), "sheet_id", "left")
-        return _finding(miss, M.CHECK_MISSING, F.col("row_no"), 1, "error", F.col("row_no"),
-                        _fmt(M.MSG_MISSING_TARGET, F.col("target_field"), F.col("target_name")))
+        return self._rows_of(M.CHECK_MISSING, 1)
+
+    def nullability_conflicts(self) -> DataFrame:  # D4, checks 9 (error) and 2 (info)
+        return self.row_findings().where(F.col("check_no").isin(M.CHECK_NULL_ERROR, M.CHECK_NULL_INFO))
+
+    def type_conflicts(self) -> DataFrame:  # D5, check 3
+        return self._rows_of(M.CHECK_TYPE)
+
+    def lookup_reference_findings(self) -> DataFrame:  # C7, check 4
+        return self._rows_of(M.CHECK_LOOKUP)
+
+    def family_pairs(self) -> DataFrame:  # B18 + B19 per active row with both fields known
+        return self.enriched().where("pair").select("sheet_id", "row_no", "source_field", "target_field",
+                                                    "src_type", "tgt_type", "src_family", "tgt_family",
+                                                    "has_logic", "lossy")
 
     def duplicate_targets(self) -> DataFrame:  # F1, check 7
         a = self.active().select("sheet_id", "row_no", "target_field")
@@ -126,52 +190,10 @@ class Validator:
         return _finding(un, M.CHECK_UNMAPPED, F.col("ordinal"), 0, "error", F.lit("-"),
                         _fmt(M.MSG_UNMAPPED, F.col("column_name")))
 
-    def _pairs(self) -> DataFrame:
-        """Active rows whose source and target fields both exist (inner joins)."""
-        s = self.src.select("sheet_id", F.col("column_name").alias("source_field"),
-                            F.col("type").alias("src_type"), F.col("nullable").alias("src_nullable_doc"))
-        t = self.tgt.select("sheet_id", F.col("column_name").alias("target_field"),
-                            F.col("type").alias("tgt_type"), F.col("nullable").alias("tgt_nullable"))
-        return (self.active().join(s, ["sheet_id", "source_field"]).join(t, ["sheet_id", "target_field"])
-                .withColumn("src_nullable", F.col("src_nullable_doc")
-                            | F.upper(F.trim("nullable")).isin(M.SHEET_NULLABLE_VALUES))
-                .withColumn("has_default", F.trim("default_value") != "")
-                .withColumn("has_logic", F.trim("sql_logic") != ""))
-
-    def nullability_conflicts(self) -> DataFrame:  # D4, checks 9 (error) and 2 (info)
-        p = self._pairs().where(F.col("src_nullable") & ~F.col("tgt_nullable"))
-        err = p.where(~F.col("has_default") & ~F.col("has_logic"))
-        info = p.where(F.col("has_default"))
-        return _finding(err, M.CHECK_NULL_ERROR, F.col("row_no"), 0, "error", F.col("row_no"),
-                        _fmt(M.MSG_NULL_ERROR, F.col("source_field"), F.col("target_field"))).unionByName(
-            _finding(info, M.CHECK_NULL_INFO, F.col("row_no"), 0, "info", F.col("row_no"),
-                     _fmt(M.MSG_NULL_INFO, F.col("source_field"), F.col("target_field"),
-                          py_repr(F.col("default_value")))))
-
-    def family_pairs(self) -> DataFrame:  # B18 + B19 per active row
-        p = self._pairs()
-        return p.select("sheet_id", "row_no", "source_field", "target_field", "src_type", "tgt_type",
-                        type_family(F.col("src_type")).alias("src_family"),
-                        type_family(F.col("tgt_type")).alias("tgt_family"), "has_logic"
-                        ).withColumn("lossy", lossy_pair(F.col("src_family"), F.col("tgt_family")))
-
-    def type_conflicts(self) -> DataFrame:  # D5, check 3
-        p = self.family_pairs().where((F.col("src_family") != F.col("tgt_family")) & ~F.col("has_logic"))
-        sev = F.when(F.col("lossy"), F.lit("warning")).otherwise(F.lit("info"))
-        return _finding(p, M.CHECK_TYPE, F.col("row_no"), 0, sev, F.col("row_no"),
-                        _fmt(M.MSG_TYPE, F.col("source_field"), F.col("src_type"), F.col("target_field"),
-                             F.col("tgt_type")))
-
-    def lookup_reference_findings(self) -> DataFrame:  # C7, check 4
-        a = self.active().where(F.trim("lookup_table") != "")
-        return _finding(a, M.CHECK_LOOKUP, F.col("row_no"), 0, "warning", F.col("row_no"),
-                        _fmt(M.MSG_LOOKUP, F.col("lookup_table")))
-
     # ---- H1 / E2 / E8 ----------------------------------------------------------
     def all_findings(self) -> DataFrame:
-        parts = [self.excluded_rows_finding(), self.nullability_conflicts(), self.type_conflicts(),
-                 self.lookup_reference_findings(), self.no_active_errors(), self.missing_source_fields(),
-                 self.missing_target_fields(), self.duplicate_targets(), self.unmapped_required_targets()]
+        parts = [self.excluded_rows_finding(), self.row_findings(), self.no_active_errors(),
+                 self.duplicate_targets(), self.unmapped_required_targets()]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

@@ -2,29 +2,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from maplift.plans.compile import ColumnSpec, apply_mapping, sheet_rows_of, specs_of
+from maplift.plans.compile import ColumnSpec, apply_mapping
 from maplift.sources import derived
 from maplift.sources.samples import (DEFAULT_LOAD_TS, SAMPLE_SOURCE_SCHEMA_MD, SAMPLE_TARGET_SCHEMA_MD,
-                                     sample_sheet)
+                                     sample_sheet_records)
 from maplift.sources.schema_doc import parse_schema_docs
 
 
 def sample_schemas(spark: SparkSession) -> tuple[dict[str, ColumnSpec], dict[str, ColumnSpec]]:
     docs = spark.createDataFrame([("source", SAMPLE_SOURCE_SCHEMA_MD), ("target", SAMPLE_TARGET_SCHEMA_MD)],
                                  "doc_id string, text string")
-    parsed = parse_schema_docs(docs).cache()
-    src = specs_of(parsed.where(F.col("doc_id") == "source"))
-    tgt = specs_of(parsed.where(F.col("doc_id") == "target"))
-    parsed.unpersist()
-    return src, tgt
+    rows = parse_schema_docs(docs).orderBy("doc_id", "ordinal").collect()  # two documents' columns
+    specs: dict[str, dict[str, ColumnSpec]] = {"source": {}, "target": {}}
+    for r in rows:
+        specs[r["doc_id"]][r["column_name"]] = ColumnSpec(r["type"], bool(r["nullable"]))
+    return specs["source"], specs["target"]
 
 
 def mapped_patients(spark: SparkSession, sf_dir: str, load_ts: str = DEFAULT_LOAD_TS,
                     source_df: DataFrame | None = None) -> DataFrame:
     src_spec, tgt_spec = sample_schemas(spark)
-    rows = sheet_rows_of(sample_sheet(spark))
+    rows = sample_sheet_records()
     src = source_df if source_df is not None else derived.patients(spark, sf_dir)
     return apply_mapping(src, rows, src_spec, tgt_spec, load_ts)
 

@@ -13,7 +13,7 @@ from maplift.sources import derived
 
 def validator(spark: SparkSession, sf_dir: str) -> Validator:
     rows = derived.mapping_rows(spark, sf_dir)
-    return Validator(rows, derived.schema_columns(spark, sf_dir, rows))
+    return Validator(rows, derived.schema_columns(spark, sf_dir))
 
 
 @query("active_mappings")

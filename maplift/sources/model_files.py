@@ -17,8 +17,10 @@ PY_WS = (r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028
 
 # A `config { ... }` block with up to two inner brace levels.
 CONFIG_BLOCK = r"config\s*\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
-# Only the first `config {` counts: the prefix may not contain another one.
-FIRST_CONFIG = r"^((?:(?!config\s*\{)[\s\S])*)" + CONFIG_BLOCK
+# The same, anchored, with possessive loops: the JVM regex engine then runs
+# in constant stack depth however long the text is.
+CONFIG_AT_START = r"^config\s*+\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
+CONFIG_SPLIT = r"(?s)^(.*?)(config\s*\{.*)$"
 JS_BLOCK = r"js\s*\{[^}]*\}"
 DOTTED_REF = r"""\$\{\s*ref\(\s*['"]([\w]*\.[\w.]*)['"]\s*\)\s*\}"""
 BARE_REF = r"""\$\{\s*ref\(\s*['"](\w+)['"]\s*\)\s*\}"""
@@ -31,8 +33,13 @@ def py_strip(c: Column) -> Column:
 
 
 def strip_config_block(text: Column) -> Column:
-    """Remove the first balanced `config {...}` block; unbalanced -> unchanged."""
-    return py_strip(F.regexp_replace(text, FIRST_CONFIG, "$1"))
+    """Remove the first `config {...}` block when its braces balance (within
+    two inner levels); otherwise leave the text unchanged.  The text is
+    split at the first block start, so only the block itself is matched."""
+    head = F.regexp_extract(text, CONFIG_SPLIT, 1)
+    tail = F.regexp_extract(text, CONFIG_SPLIT, 2)
+    cut = F.concat(head, F.regexp_replace(tail, CONFIG_AT_START, ""))
+    return py_strip(F.when(text.rlike(r"config\s*\{"), cut).otherwise(text))
 
 
 def resolve_refs(sql: Column, default_schema: str = DEFAULT_SOURCE_SCHEMA) -> Column:

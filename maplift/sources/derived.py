@@ -144,7 +144,9 @@ def live_source_columns(schema_cols: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # 3.4 runs (from orders)
 # ---------------------------------------------------------------------------
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str, order_key: int | None = None) -> DataFrame:
+    """Runs derived from orders; `order_key` narrows the scan to one run
+    (a filter pushed down to the Parquet reader)."""
     k = F.col("o_orderkey")
     status = (F.when(k % 10 == 0, "running").when(k % 10 == 1, "awaiting_review")
               .when(k % 10 == 2, "rejected").when(k % 10 <= 4, "failed").otherwise("succeeded"))
@@ -153,8 +155,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                    ["source_schema.md", "target_schema.md", "sttm.csv", "repo_structure.md", "udf_definitions.md"]])
                    ).otherwise(F.array(*[F.lit(x) for x in
                                ["source_schema.md", "target_schema.md", "sttm.csv", "repo_structure.md"]]))
-    base = read_table(spark, sf_dir, "orders").select(
-        k, "o_custkey", "o_orderdate", "o_totalprice", status.alias("status"))
+    orders = read_table(spark, sf_dir, "orders")
+    if order_key is not None:
+        orders = orders.where(k == F.lit(order_key))
+    base = orders.select(k, "o_custkey", "o_orderdate", "o_totalprice", status.alias("status"))
     return base.select(
         F.concat(F.lit("run_"), _s(k)).alias("run_id"),
         F.concat(F.lit("analytics.t"), _s(F.col("o_custkey") % 100)).alias("target_table"),

@@ -1,6 +1,8 @@
 """The sample mapping applied to `patients` (flagship) and its pieces."""
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 from maplift.plans.compile import ColumnSpec, apply_mapping
@@ -10,7 +12,9 @@ from maplift.sources.samples import (DEFAULT_LOAD_TS, SAMPLE_SOURCE_SCHEMA_MD, S
 from maplift.sources.schema_doc import parse_schema_docs
 
 
+@lru_cache(maxsize=8)
 def sample_schemas(spark: SparkSession) -> tuple[dict[str, ColumnSpec], dict[str, ColumnSpec]]:
+    """The two sample documents parsed by the A1 job (once per session)."""
     docs = spark.createDataFrame([("source", SAMPLE_SOURCE_SCHEMA_MD), ("target", SAMPLE_TARGET_SCHEMA_MD)],
                                  "doc_id string, text string")
     rows = parse_schema_docs(docs).orderBy("doc_id", "ordinal").collect()  # two documents' columns

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from maplift.functions.text import format_duration, time_ago
 from maplift.model import MAX_ATTEMPTS, PRICE_IN_PER_M, PRICE_OUT_PER_M, STEP_COUNT
-from maplift.operators.windows import row_number_in_group
+from maplift.operators.windows import row_number_in_group, running_sum_in_group
 
 
 def run_by_id(runs: DataFrame, run_id: str) -> DataFrame:
@@ -47,6 +47,16 @@ def usage_cost(attempts: DataFrame, run_keys: list[str]) -> DataFrame:
     return agg.withColumn("cost_usd", F.round(cost, 4))
 
 
+def usage_running(attempts: DataFrame, run_keys: list[str], order_col: str = "seq") -> DataFrame:
+    """E6 running form: units and cost accumulated over a run's attempts."""
+    cum = running_sum_in_group(attempts, run_keys, order_col, ["prompt_units", "completion_units"])
+    cost = (F.col("prompt_units_cum") * F.lit(PRICE_IN_PER_M)
+            + F.col("completion_units_cum") * F.lit(PRICE_OUT_PER_M)) / F.lit(1_000_000.0)
+    return cum.select(*run_keys, order_col, F.col("prompt_units_cum").cast("bigint").alias("prompt_units_cum"),
+                      F.col("completion_units_cum").cast("bigint").alias("completion_units_cum"),
+                      F.round(cost, 4).alias("cost_usd_cum"))
+
+
 def number_attempts(attempts: DataFrame, run_keys: list[str], order_col: str = "seq") -> DataFrame:
     return row_number_in_group(attempts, run_keys, order_col, "attempt")
 

@@ -73,3 +73,22 @@ def ordered_string_agg(df: DataFrame, keys: Sequence[str], order_cols: Sequence[
     parts = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in lead], F.col("_b"), F.col("_part"))))
     return (part.groupBy(*keys)
             .agg(F.array_join(F.transform(parts, lambda s: s["_part"]), sep).alias(out_col)))
+
+
+def running_sum_in_group(df: DataFrame, keys: Sequence[str], order_col: str, value_cols: Sequence[str],
+                         suffix: str = "_cum", bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
+    """Running sums of `value_cols` within `keys` by `order_col` (inclusive),
+    as `<col><suffix>`: a running window per (key, bucket) plus the totals of
+    the key's earlier buckets."""
+    keys = list(keys)
+    b = df.withColumn("_b", _bucket(order_col, bucket_size))
+    w_in = Window.partitionBy(*keys, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = b.select("*", *[F.sum(c).over(w_in).alias(f"_l_{c}") for c in value_cols])
+    per_bucket = b.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
+    w_b = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_bucket.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(w_b), F.lit(0)).alias(f"_o_{c}")
+                                             for c in value_cols])
+    out = local.join(carry, [*keys, "_b"], "left")
+    for c in value_cols:
+        out = out.withColumn(f"{c}{suffix}", F.col(f"_o_{c}") + F.col(f"_l_{c}"))
+    return out.drop("_b", *[f"_l_{c}" for c in value_cols], *[f"_o_{c}" for c in value_cols])

@@ -40,6 +40,14 @@ SELECT user_id, day, count(*) AS attempts, CAST(sum(prompt_units) AS BIGINT) AS
   round((CAST(sum(prompt_units) AS BIGINT) * 0.59 + CAST(sum(completion_units) AS BIGINT) * 0.79) / 1000000.0, 4)
     AS cost_usd
 FROM attempts GROUP BY user_id, day""",
+    "usage_running": with_(ATTEMPTS) + """
+SELECT user_id, day, seq, CAST(pc AS BIGINT) AS prompt_units_cum, CAST(cc AS BIGINT) AS completion_units_cum,
+  round((CAST(pc AS BIGINT) * 0.59 + CAST(cc AS BIGINT) * 0.79) / 1000000.0, 4) AS cost_usd_cum
+FROM (SELECT user_id, day, seq,
+  sum(prompt_units) OVER (PARTITION BY user_id, day ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pc,
+  sum(completion_units) OVER (PARTITION BY user_id, day ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    AS cc
+  FROM attempts)""",
     "latest_attempt": _ROUTE + "SELECT user_id, day, attempt, error FROM latest",
     "attempt_routing": _ROUTE + (
         "SELECT user_id, day, attempt, error, CASE WHEN error = '' THEN 'review' WHEN attempt >= 3 THEN 'escalate' "

@@ -33,6 +33,11 @@ def q_usage_cost(spark, sf_dir):
     return H.usage_cost(derived.attempts(spark, sf_dir), ATTEMPT_RUN)
 
 
+@query("usage_running")
+def q_usage_running(spark, sf_dir):
+    return H.usage_running(derived.attempts(spark, sf_dir), ATTEMPT_RUN)
+
+
 @query("latest_attempt")
 def q_latest_attempt(spark, sf_dir):
     numbered = H.number_attempts(derived.attempts(spark, sf_dir), ATTEMPT_RUN)

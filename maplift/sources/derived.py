@@ -107,13 +107,11 @@ def _pick(arr: list[str], i: Column) -> Column:
 
 
 def schema_columns(spark: SparkSession, sf_dir: str, sheets: DataFrame | None = None) -> DataFrame:
-    """Declared schemas of every sheet.  By default the sheet ids are the
-    fixture's `N_SHEETS` ids (metadata, no scan); pass `sheets` to generate
-    them for the distinct ids of a mapping table instead."""
+    """Declared schemas of every sheet of `sheets` (default: mapping_rows).
+    The distinct sheet ids are a partial aggregate (a few rows per task)."""
     if sheets is None:
-        ids = spark.range(N_SHEETS).select(F.col("id").alias("sheet_id"))
-    else:
-        ids = sheets.select("sheet_id").distinct()
+        sheets = mapping_rows(spark, sf_dir)
+    ids = sheets.select("sheet_id").distinct()
     i = F.col("i")
     src = ids.select("sheet_id", F.explode(F.sequence(F.lit(1), F.lit(N_SOURCE_COLS))).alias("i")).select(
         "sheet_id", F.lit("source").alias("side"),

@@ -118,3 +118,14 @@ def test_skew_safe_windows_match_plain_windows(spark):
     for k, o in sorted(rows, key=lambda x: x[1]):
         want.setdefault(k, []).append(str(o))
     assert agg == {k: ",".join(v) for k, v in want.items()}
+
+
+def test_skew_safe_running_sum(spark):
+    from maplift.operators.windows import running_sum_in_group
+    rnd = random.Random(3)
+    rows = [(("hot" if rnd.random() < 0.6 else "cold"), i, rnd.randint(0, 9)) for i in rnd.sample(range(3000), 800)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    plain = {(r.k, r.o): r.s for r in df.select("k", "o", F.sum("v").over(w).alias("s")).collect()}
+    got = {(r.k, r.o): r.v_cum for r in running_sum_in_group(df, ["k"], "o", ["v"], bucket_size=50).collect()}
+    assert got == plain

@@ -109,11 +109,13 @@ def run_files(runs: DataFrame) -> DataFrame:
 def latest_run_state(updates: DataFrame, runs: DataFrame) -> DataFrame:
     """Last write per (run, field) wins; writes to unknown runs are ignored.
 
-    `max_by` is a partial aggregate, so each task reduces its share of a hot
-    run before the shuffle."""
-    known = updates.join(runs.select("run_id"), "run_id", "left_semi")
-    return known.groupBy("run_id", "field").agg(F.max_by("value", "seq").alias("value"),
-                                                 F.max("seq").alias("seq"))
+    The grouped `max_by` runs first: it is a partial aggregate, so each task
+    reduces its share of a hot run before the shuffle, and only one row per
+    (run, field) meets the semi-join with `runs` (same result, since the
+    filter is on a grouping key)."""
+    latest = updates.groupBy("run_id", "field").agg(F.max_by("value", "seq").alias("value"),
+                                                    F.max("seq").alias("seq"))
+    return latest.join(runs.select("run_id"), "run_id", "left_semi")
 
 
 def duration_text(runs: DataFrame) -> DataFrame:

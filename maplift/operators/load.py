@@ -111,9 +111,12 @@ def latest_per_key(source: DataFrame, key: Sequence[str], order_col: str) -> Dat
 def scd1_merge(target: DataFrame, source: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:
     """J1 as a DataFrame: target rows whose key is not in the source, plus the
     latest source row per key (matched rows replaced, new rows inserted)."""
+    from maplift.operators.lookup import checked_broadcast
     key = list(key)
     src = latest_per_key(source, key, order_col)
-    kept = target.join(src.select(*key), key, "left_anti")
+    # a change set is usually far smaller than the table: its keys are
+    # broadcast (behind a row bound) so the target is filtered in place
+    kept = target.join(checked_broadcast(src.select(*key)), key, "left_anti")
     return kept.unionByName(src.select(*target.columns))
 
 

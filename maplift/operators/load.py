@@ -11,9 +11,9 @@ Overwriting the folder being read is never done.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,8 +51,12 @@ def new_version_path(root: str) -> str:
 
 # Declared table shape.  Spark does not enforce NOT NULL on Parquet, so
 # the audit (E4) is the enforcement; here we only cast to the declared types.
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+def conform(df: DataFrame, declared: T.StructType | Mapping[str, str | T.DataType]) -> DataFrame:
+    """Cast to the declared types, in declared order (a StructType, or
+    name -> type name / DataType)."""
+    pairs = ([(f.name, f.dataType) for f in declared.fields] if isinstance(declared, T.StructType)
+             else list(declared.items()))
+    return df.select(*[F.col(n).cast(t).alias(n) for n, t in pairs])
 
 
 # The insert column list is the active rows' target fields in order.
@@ -70,29 +74,45 @@ def to_target_columns(df: DataFrame, fields: Sequence[str], positional: bool = F
 Check = Callable[[DataFrame], None]
 
 
+def _observed(df: DataFrame, stats: dict | None) -> tuple[DataFrame, Observation | None]:
+    """E10 on the write itself: rows counted while they are written (no
+    second pass)."""
+    if stats is None:
+        return df, None
+    obs = Observation("load")
+    return df.observe(obs, F.count(F.lit(1)).alias("rows_written")), obs
+
+
 def full_refresh_load(df: DataFrame, root: str, check: Check | None = None,
-                      partition_by: Sequence[str] = ()) -> str:
+                      partition_by: Sequence[str] = (), stats: dict | None = None) -> str:
     """A5: write a new version, run `check` on what was written, then move
-    the pointer.  A failed check raises and leaves the old version current."""
+    the pointer.  A failed check raises and leaves the old version current.
+    With `stats`, the rows written are counted during the write."""
     spark = df.sparkSession
     path = new_version_path(root)
+    df, obs = _observed(df, stats)
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    if obs is not None:
+        stats.update(obs.get)
     if check is not None:
         check(spark.read.parquet(path))
     _set_pointer(spark, root, path)
     return path
 
 
-def append_load(df: DataFrame, root: str) -> str:
+def append_load(df: DataFrame, root: str, stats: dict | None = None) -> str:
     """Append to the current version (or start the first one)."""
     spark = df.sparkSession
     v = current_version(spark, root)
     if v is None:
-        return full_refresh_load(df, root)
+        return full_refresh_load(df, root, stats=stats)
+    df, obs = _observed(df, stats)
     df.write.mode("append").parquet(v)
+    if obs is not None:
+        stats.update(obs.get)
     return v
 
 

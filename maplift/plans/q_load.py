@@ -39,10 +39,19 @@ def _part_halves(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, Data
     return root, part.where(F.col("p_partkey") % 2 == 0), part.where(F.col("p_partkey") % 2 == 1)
 
 
+def _audited(source: DataFrame, required: list[str]):
+    """A load check: E3 on the staged version; a failure keeps the old one."""
+    def check(written: DataFrame) -> None:
+        a = audit.load_audit(source, written, required).first()
+        if not a["ok"]:
+            raise load.LoadError(a["failed_check"])
+    return check
+
+
 @query("full_refresh_load")
 def q_full_refresh(spark, sf_dir):
     root, even, _ = _part_halves(spark, sf_dir)
-    load.full_refresh_load(even, root)
+    load.full_refresh_load(even, root, _audited(even, ["p_partkey", "p_name"]))
     return load.read_current(spark, root)
 
 

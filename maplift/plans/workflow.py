@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maplift.functions.rules import spark_type_name
 from maplift.operators import audit, load
 from maplift.operators.validate import Validator
 from maplift.plans.compile import ColumnSpec, apply_mapping, sheet_rows_of
@@ -39,7 +40,14 @@ def run_mapping(sheet: DataFrame, schema_cols: DataFrame, source: DataFrame, tar
     if any(f["severity"] == "error" for f in found):
         return RunResult("failed", found, failed_step="validate")
     src_spec, tgt_spec = _specs(schema_cols, "source"), _specs(schema_cols, "target")
-    mapped = apply_mapping(source, sheet_rows_of(sheet), src_spec, tgt_spec, load_ts)
+    rows = sheet_rows_of(sheet)
+    mapped = apply_mapping(source, rows, src_spec, tgt_spec, load_ts)
+    # Insert columns are the active rows' target fields in sheet order;
+    # Values cast to the declared target types
+    fields = list(mapped.columns)
+    declared = {f: spark_type_name(tgt_spec[f].type) if f in tgt_spec else mapped.schema[f].dataType
+                for f in fields}
+    mapped = load.conform(load.to_target_columns(mapped, fields), declared)
     required = [n for n, c in tgt_spec.items() if not c.nullable and n in mapped.columns]
     result: dict = {}
 
@@ -51,9 +59,9 @@ def run_mapping(sheet: DataFrame, schema_cols: DataFrame, source: DataFrame, tar
 
     try:
         if full_refresh:
-            version = load.full_refresh_load(mapped, target_root, check)
+            version = load.full_refresh_load(mapped, target_root, check, stats=result)
         else:
-            version = load.append_load(mapped, target_root)
+            version = load.append_load(mapped, target_root, stats=result)
             check(load.read_current(source.sparkSession, target_root))
     except load.LoadError:
         return RunResult("failed", found, result, None, "audit")

@@ -83,11 +83,8 @@ class Validator:
 
     # ---- findings ------------------------------------------------------------
     def excluded_rows_finding(self) -> DataFrame:  # E7, check 1
-        ex = self.excluded()
-        joined = ordered_string_agg(ex, ["sheet_id"], ["row_no"], F.col("row_no").cast("string"), ", ",
-                                    "rows", bucket_size=self.bucket_size)
-        n = ex.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("n"))
-        j = joined.join(n, "sheet_id")
+        j = ordered_string_agg(self.excluded(), ["sheet_id"], ["row_no"], F.col("row_no").cast("string"), ", ",
+                               "rows", bucket_size=self.bucket_size, count_col="n")
         return _finding(j, M.CHECK_EXCLUDED, F.lit(0), 0, "info", F.col("rows"), _fmt(M.MSG_EXCLUDED, F.col("n")))
 
     def no_active_errors(self) -> DataFrame:  # E1, check 5
@@ -199,6 +196,12 @@ class Validator:
             out = out.unionByName(p)
         return out
 
+    def loadable_sheets(self, findings: DataFrame | None = None) -> DataFrame:
+        """Sheets with no error finding: the ones that go on to compile and load."""
+        f = findings if findings is not None else self.all_findings()
+        errors = f.where(F.col("severity") == "error").select("sheet_id")
+        return self.rows.select("sheet_id").distinct().join(errors, "sheet_id", "left_anti")
+
     def finding_counts(self, findings: DataFrame | None = None) -> DataFrame:
         f = findings if findings is not None else self.all_findings()
         c = (f.groupBy("sheet_id")

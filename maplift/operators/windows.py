@@ -57,11 +57,12 @@ def row_number_in_group(df: DataFrame, keys: Sequence[str], order_col: str, out_
 
 def ordered_string_agg(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], value: Column,
                        sep: str, out_col: str, bucket_col: str | None = None,
-                       bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
+                       bucket_size: int = DEFAULT_BUCKET, count_col: str | None = None) -> DataFrame:
     """`listagg(value, sep) WITHIN GROUP (ORDER BY order_cols)` per `keys`, in two
     levels: partial strings per (key, bucket) first, then the ordered join of
     the partials.  `bucket_col` (default: the last order column) is a numeric
-    order column; the order columns before it stay whole in the first level."""
+    order column; the order columns before it stay whole in the first level.
+    With `count_col`, the group's row count comes out of the same two levels."""
     keys = list(keys)
     order_cols = list(order_cols)
     bcol = bucket_col or order_cols[-1]
@@ -69,10 +70,13 @@ def ordered_string_agg(df: DataFrame, keys: Sequence[str], order_cols: Sequence[
     b = df.select(*keys, *order_cols, value.alias("_v"), _bucket(bcol, bucket_size).alias("_b"))
     ordered = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order_cols], F.col("_v"))))
     part = (b.groupBy(*keys, *lead, "_b")
-            .agg(F.array_join(F.transform(ordered, lambda s: s["_v"]), sep).alias("_part")))
+            .agg(F.array_join(F.transform(ordered, lambda s: s["_v"]), sep).alias("_part"),
+                 F.count(F.lit(1)).alias("_n")))
     parts = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in lead], F.col("_b"), F.col("_part"))))
-    return (part.groupBy(*keys)
-            .agg(F.array_join(F.transform(parts, lambda s: s["_part"]), sep).alias(out_col)))
+    aggs = [F.array_join(F.transform(parts, lambda s: s["_part"]), sep).alias(out_col)]
+    if count_col:
+        aggs.append(F.sum("_n").cast("bigint").alias(count_col))
+    return part.groupBy(*keys).agg(*aggs)
 
 
 def running_sum_in_group(df: DataFrame, keys: Sequence[str], order_col: str, value_cols: Sequence[str],

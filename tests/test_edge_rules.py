@@ -129,3 +129,12 @@ def test_skew_safe_running_sum(spark):
     plain = {(r.k, r.o): r.s for r in df.select("k", "o", F.sum("v").over(w).alias("s")).collect()}
     got = {(r.k, r.o): r.v_cum for r in running_sum_in_group(df, ["k"], "o", ["v"], bucket_size=50).collect()}
     assert got == plain
+
+
+def test_loadable_sheets(spark):
+    good = sheet(spark, [{"source_field": "a", "target_field": "x"}])
+    bad = sheet(spark, [{"source_field": "zz", "target_field": "x"}]).withColumn("sheet_id", F.lit(1).cast("bigint"))
+    cols = schema(spark, [("a", "INT", False)], [("x", "INT", True)])
+    cols = cols.unionByName(cols.withColumn("sheet_id", F.lit(1).cast("bigint")))
+    v = Validator(good.unionByName(bad), cols)
+    assert [r.sheet_id for r in v.loadable_sheets().collect()] == [0]

@@ -197,7 +197,11 @@ def anti_join_small(small: DataFrame, big: DataFrame, key: Sequence[str]) -> Dat
 
 def partitioned_load(df: DataFrame, root: str, ts_col: str, part_col: str = "dt") -> str:
     """A target partitioned by the date of `ts_col` (partition pruning on read)."""
-    return full_refresh_load(df.withColumn(part_col, F.to_date(ts_col)), root, partition_by=[part_col])
+    # REBALANCE on the partition column: AQE splits a hot date over several
+    # tasks and merges small ones, so file sizes stay even without one task
+    # per date or one file per (task, date)
+    dated = df.withColumn(part_col, F.to_date(ts_col)).hint("rebalance", part_col)
+    return full_refresh_load(dated, root, partition_by=[part_col])
 
 
 def overwrite_partitions(df: DataFrame, version_path: str, part_col: str) -> None:

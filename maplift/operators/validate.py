@@ -64,15 +64,25 @@ class Validator:
     def excluded(self) -> DataFrame:
         return self.rows.where(~F.col("active")).drop("active")
 
-    def mapping_counts(self) -> DataFrame:
-        return (self.rows.groupBy("sheet_id")
-                .agg(F.count_if(F.col("active")).cast("bigint").alias("n_active"),
-                     F.count_if(~F.col("active")).cast("bigint").alias("n_excluded")))
+    def sheet_summary(self) -> DataFrame:
+        """One row per sheet: active and excluded counts and the excluded row
+        numbers joined in row order -- one two-level aggregate (per row
+        bucket, then per sheet) that E1, E7 and D3 all read."""
+        if getattr(self, "_summary", None) is None:
+            b = self.rows.select("sheet_id", "row_no", "active",
+                                 F.floor(F.col("row_no") / F.lit(self.bucket_size)).cast("bigint").alias("_b"))
+            excluded_nos = F.sort_array(F.collect_list(F.when(~F.col("active"), F.col("row_no"))))
+            part = b.groupBy("sheet_id", "_b").agg(
+                F.array_join(F.transform(excluded_nos, lambda x: x.cast("string")), ", ").alias("_part"),
+                F.count_if(F.col("active")).alias("_na"), F.count_if(~F.col("active")).alias("_ne"))
+            parts = F.sort_array(F.collect_list(F.when(F.col("_part") != "", F.struct("_b", "_part"))))
+            self._summary = part.groupBy("sheet_id").agg(
+                F.sum("_na").cast("bigint").alias("n_active"), F.sum("_ne").cast("bigint").alias("n_excluded"),
+                F.array_join(F.transform(parts, lambda x: x["_part"]), ", ").alias("excluded_rows"))
+        return self._summary
 
-    def sheet_tables(self) -> DataFrame:
-        return (self.schema.groupBy("sheet_id")
-                .agg(F.max(F.when(F.col("side") == "source", F.col("table_name"))).alias("source_name"),
-                     F.max(F.when(F.col("side") == "target", F.col("table_name"))).alias("target_name")))
+    def mapping_counts(self) -> DataFrame:
+        return self.sheet_summary().select("sheet_id", "n_active", "n_excluded")
 
     # ---- C6 / H2 ---------------------------------------------------------------
     def required_columns(self) -> DataFrame:
@@ -83,37 +93,46 @@ class Validator:
 
     # ---- findings ------------------------------------------------------------
     def excluded_rows_finding(self) -> DataFrame:  # E7, check 1
-        j = ordered_string_agg(self.excluded(), ["sheet_id"], ["row_no"], F.col("row_no").cast("string"), ", ",
-                               "rows", bucket_size=self.bucket_size, count_col="n")
-        return _finding(j, M.CHECK_EXCLUDED, F.lit(0), 0, "info", F.col("rows"), _fmt(M.MSG_EXCLUDED, F.col("n")))
+        j = self.sheet_summary().where(F.col("n_excluded") > 0)
+        return _finding(j, M.CHECK_EXCLUDED, F.lit(0), 0, "info", F.col("excluded_rows"),
+                        _fmt(M.MSG_EXCLUDED, F.col("n_excluded")))
 
     def no_active_errors(self) -> DataFrame:  # E1, check 5
         c = self.mapping_counts().where(F.col("n_active") == 0)
         return _finding(c, M.CHECK_NO_ACTIVE, F.lit(0), 0, "error", F.lit("-"), F.lit(M.MSG_NO_ACTIVE))
 
     # ---- row-level checks (C7, D1, D2, D4, D5) in one pass ---------------------
+    def schema_maps(self) -> DataFrame:
+        """One row per sheet: its declared columns as a map
+        ('source:<name>' / 'target:<name>' -> (type, nullable)) and its table
+        names.  Bounded by two tables' column lists; replaces three joins of
+        the rows with the schema by one join on sheet_id."""
+        entry = F.struct(F.concat(F.col("side"), F.lit(":"), F.col("column_name")).alias("k"),
+                         F.struct("type", "nullable").alias("v"))
+        return (self.schema.groupBy("sheet_id")
+                .agg(F.map_from_entries(F.collect_list(entry)).alias("cols"),
+                     F.max(F.when(F.col("side") == "source", F.col("table_name"))).alias("source_name"),
+                     F.max(F.when(F.col("side") == "target", F.col("table_name"))).alias("target_name")))
+
     def enriched(self) -> DataFrame:
-        """Active rows with their source and target column (left joins keyed
-        by (sheet_id, field)) and the sheet's table names."""
-        s = self.src.select("sheet_id", F.col("column_name").alias("source_field"),
-                            F.col("type").alias("src_type"), F.col("nullable").alias("src_nullable_doc"),
-                            F.lit(True).alias("src_known"))
-        t = self.tgt.select("sheet_id", F.col("column_name").alias("target_field"),
-                            F.col("type").alias("tgt_type"), F.col("nullable").alias("tgt_nullable"),
-                            F.lit(True).alias("tgt_known"))
-        e = (self.active().join(s, ["sheet_id", "source_field"], "left")
-             .join(t, ["sheet_id", "target_field"], "left")
-             .join(self.sheet_tables(), "sheet_id", "left"))
-        src_known = F.coalesce(F.col("src_known"), F.lit(False))
-        tgt_known = F.coalesce(F.col("tgt_known"), F.lit(False))
+        """Active rows with their source and target column and the sheet's
+        table names (one join keyed by sheet_id, then map lookups)."""
+        e = self.active().join(self.schema_maps(), "sheet_id", "left")
+        src = F.try_element_at("cols", F.concat(F.lit("source:"), F.col("source_field")))
+        tgt = F.try_element_at("cols", F.concat(F.lit("target:"), F.col("target_field")))
+        e = e.select(*[c for c in e.columns if c != "cols"], src.alias("_s"), tgt.alias("_t"))
+        src_known, tgt_known = F.col("_s").isNotNull(), F.col("_t").isNotNull()
         return e.select(
-            "*",
+            *[c for c in e.columns if c not in ("_s", "_t")],
+            src_known.alias("src_known"), tgt_known.alias("tgt_known"),
+            F.col("_s.type").alias("src_type"), F.col("_t.type").alias("tgt_type"),
+            F.col("_t.nullable").alias("tgt_nullable"),
             (src_known & tgt_known).alias("pair"),
-            (F.col("src_nullable_doc") | F.upper(F.trim("nullable")).isin(M.SHEET_NULLABLE_VALUES)).alias("src_nullable"),
+            (F.col("_s.nullable") | F.upper(F.trim("nullable")).isin(M.SHEET_NULLABLE_VALUES)).alias("src_nullable"),
             (F.trim("default_value") != "").alias("has_default"),
             (F.trim("sql_logic") != "").alias("has_logic"),
-            type_family(F.col("src_type")).alias("src_family"),
-            type_family(F.col("tgt_type")).alias("tgt_family"),
+            type_family(F.col("_s.type")).alias("src_family"),
+            type_family(F.col("_t.type")).alias("tgt_family"),
         ).withColumn("lossy", lossy_pair(F.col("src_family"), F.col("tgt_family")))
 
     def row_findings(self) -> DataFrame:
@@ -127,9 +146,9 @@ class Validator:
             return F.when(cond, F.struct(F.lit(check).cast("int").alias("check_no"), F.lit(sub).cast("int").alias("sub_no"),
                                          sev_c.alias("severity"), msg.alias("message")))
         items = F.array(
-            item((F.col("source_field") != "") & F.col("src_known").isNull(), M.CHECK_MISSING, 0, "error",
+            item((F.col("source_field") != "") & ~F.col("src_known"), M.CHECK_MISSING, 0, "error",
                  _fmt(M.MSG_MISSING_SOURCE, F.col("source_field"), F.col("source_name"))),
-            item((F.col("target_field") != "") & F.col("tgt_known").isNull(), M.CHECK_MISSING, 1, "error",
+            item((F.col("target_field") != "") & ~F.col("tgt_known"), M.CHECK_MISSING, 1, "error",
                  _fmt(M.MSG_MISSING_TARGET, F.col("target_field"), F.col("target_name"))),
             item(pair & null_clash & ~F.col("has_default") & ~F.col("has_logic"), M.CHECK_NULL_ERROR, 0, "error",
                  _fmt(M.MSG_NULL_ERROR, F.col("source_field"), F.col("target_field"))),
@@ -180,7 +199,7 @@ class Validator:
                         _fmt(M.MSG_DUPLICATE, F.col("target_field")))
 
     def unmapped_required_targets(self) -> DataFrame:  # D3, check 8
-        sheets_with_active = self.mapping_counts().where(F.col("n_active") > 0).select("sheet_id")
+        sheets_with_active = self.sheet_summary().where(F.col("n_active") > 0).select("sheet_id")
         req = self.required_columns().join(sheets_with_active, "sheet_id", "left_semi")
         mapped = self.active().select("sheet_id", F.col("target_field").alias("column_name"))
         un = req.join(mapped, ["sheet_id", "column_name"], "left_anti")
@@ -200,7 +219,7 @@ class Validator:
         """Sheets with no error finding: the ones that go on to compile and load."""
         f = findings if findings is not None else self.all_findings()
         errors = f.where(F.col("severity") == "error").select("sheet_id")
-        return self.rows.select("sheet_id").distinct().join(errors, "sheet_id", "left_anti")
+        return self.sheet_summary().select("sheet_id").join(errors, "sheet_id", "left_anti")
 
     def finding_counts(self, findings: DataFrame | None = None) -> DataFrame:
         f = findings if findings is not None else self.all_findings()
@@ -208,7 +227,7 @@ class Validator:
              .agg(F.count_if(F.col("severity") == "error").alias("n_errors"),
                   F.count_if(F.col("severity") == "warning").alias("n_warnings"),
                   F.count_if(F.col("severity") == "info").alias("n_infos")))
-        sheets = self.rows.select("sheet_id").distinct()
+        sheets = self.sheet_summary().select("sheet_id")
         return sheets.join(c, "sheet_id", "left").select(
             "sheet_id", *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n)
                           for n in ("n_errors", "n_warnings", "n_infos")])
@@ -219,7 +238,7 @@ class Validator:
         line = F.concat(F.lit("- row "), F.col("rows"), F.lit(": "), F.col("message"))
         notes = ordered_string_agg(f, ["sheet_id"], ["check_no", "row_key", "sub_no"], line, "\n", "notes",
                                    bucket_col="row_key", bucket_size=self.bucket_size)
-        sheets = self.rows.select("sheet_id").distinct()
+        sheets = self.sheet_summary().select("sheet_id")
         return sheets.join(notes, "sheet_id", "left").select(
             "sheet_id", F.coalesce(F.col("notes"), F.lit("none")).alias("notes"))
 

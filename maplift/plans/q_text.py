@@ -29,21 +29,19 @@ SHEET_HEADERS = {
 def schema_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One markdown document per (sheet, side), a repeated first column at
     the end, a junk line, plus two bad documents per sheet."""
-    cols = derived.schema_columns(spark, sf_dir)
-    docs = render_schema_docs(cols, ["sheet_id", "side"])
-    first = cols.where(F.col("ordinal") == 1).select("sheet_id", "side", "column_name")
-    docs = docs.join(first, ["sheet_id", "side"]).select(
+    docs = render_schema_docs(derived.schema_columns(spark, sf_dir), ["sheet_id", "side"])
+    good = F.struct(
         F.concat_ws(":", F.col("sheet_id").cast("string"), F.col("side")).alias("doc_id"),
-        F.concat(F.col("text"), F.lit("| "), F.col("column_name"), F.lit(" | TEXT | NULLABLE | repeated |\n"),
+        F.concat(F.col("text"), F.lit("| "), F.col("first_column"), F.lit(" | TEXT | NULLABLE | repeated |\n"),
                  F.lit("| only | two |\n")).alias("text"))
-    sheets = cols.select("sheet_id").distinct()
-    bad = sheets.select(F.explode(F.array(
-        F.struct(F.concat(F.col("sheet_id").cast("string"), F.lit(":noheading")).alias("doc_id"),
-                 F.lit("| column | type | nullable |\n| a | INT | NO |\n").alias("text")),
-        F.struct(F.concat(F.col("sheet_id").cast("string"), F.lit(":norows")).alias("doc_id"),
-                 F.concat(F.lit("# Table: raw.empty_"), F.col("sheet_id").cast("string"),
-                          F.lit("\n\nno table here\n")).alias("text")))).alias("d")).select("d.*")
-    return docs.unionByName(bad)
+    sheet = F.col("sheet_id").cast("string")
+    no_heading = F.struct(F.concat(sheet, F.lit(":noheading")).alias("doc_id"),
+                          F.lit("| column | type | nullable |\n| a | INT | NO |\n").alias("text"))
+    no_rows = F.struct(F.concat(sheet, F.lit(":norows")).alias("doc_id"),
+                       F.concat(F.lit("# Table: raw.empty_"), sheet, F.lit("\n\nno table here\n")).alias("text"))
+    # the two bad documents ride along with each sheet's source document
+    all_docs = F.when(F.col("side") == "source", F.array(good, no_heading, no_rows)).otherwise(F.array(good))
+    return docs.select(F.explode(all_docs).alias("d")).select("d.*")
 
 
 @query("schema_doc_scan")

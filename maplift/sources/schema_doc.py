@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maplift.model import DOC_NULLABLE_VALUES
+from maplift.sources.model_files import py_strip
 
 TABLE_HEADING = r"(?m)^#\s*Table:\s*([\w.]+)"
+# Line breaks as Python's str.splitlines() sees them (fixed list).
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def read_schema_docs(spark: SparkSession, path: str) -> DataFrame:
@@ -24,8 +27,8 @@ def read_schema_docs(spark: SparkSession, path: str) -> DataFrame:
 
 def _cells(line: Column) -> Column:
     """Cells of a table line: outer pipes stripped, split on '|', trimmed."""
-    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), r"\|", -1),
-                       lambda c: F.trim(c))
+    return F.transform(F.split(F.regexp_replace(py_strip(line), r"^\|+|\|+$", ""), r"\|", -1),
+                       lambda c: py_strip(c))
 
 
 def _is_column_row(line: Column) -> Column:
@@ -33,7 +36,7 @@ def _is_column_row(line: Column) -> Column:
     first cell is not blank, not the header word, not a separator."""
     cells = _cells(line)
     name = cells[0]
-    return (F.trim(line).startswith("|") & (F.size(cells) >= 3)
+    return (py_strip(line).startswith("|") & (F.size(cells) >= 3)
             & ~F.lower(name).isin("column", "") & ~name.rlike(r"^[-: ]+$"))
 
 
@@ -42,13 +45,13 @@ def parse_schema_docs(docs: DataFrame) -> DataFrame:
     for every well-formed document."""
     d = docs.select("doc_id", F.regexp_extract("text", TABLE_HEADING, 1).alias("table_name"), "text") \
         .where(F.col("table_name") != "")
-    lines = d.select("doc_id", "table_name", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
+    lines = d.select("doc_id", "table_name", F.posexplode(F.split("text", LINE_BREAK)).alias("pos", "line"))
     rows = (lines.where(_is_column_row(F.col("line")))
             .select("doc_id", "table_name", "pos", _cells(F.col("line")).alias("cells"))
             .select("doc_id", "table_name", "pos",
                     F.col("cells")[0].alias("column_name"),
                     F.upper(F.col("cells")[1]).alias("type"),
-                    F.upper(F.trim(F.col("cells")[2])).isin(DOC_NULLABLE_VALUES).alias("nullable"),
+                    F.upper(F.col("cells")[2]).isin(DOC_NULLABLE_VALUES).alias("nullable"),
                     F.when(F.size("cells") > 3, F.col("cells")[3]).otherwise(F.lit("")).alias("description")))
     # a repeated name keeps its first position and its last values
     per_name = (rows.groupBy("doc_id", "table_name", "column_name")
@@ -63,7 +66,7 @@ def schema_doc_rejects(docs: DataFrame) -> DataFrame:
     """(doc_id, error) for documents without a table heading or without any
     column row -- one projection per document, no join."""
     table = F.regexp_extract("text", TABLE_HEADING, 1)
-    has_rows = F.exists(F.split("text", r"\r?\n"), _is_column_row)
+    has_rows = F.exists(F.split("text", LINE_BREAK), _is_column_row)
     err = (F.when(table == "", F.lit("Schema MD must start with a line like '# Table: raw.clinical_patients'"))
            .when(~has_rows, F.concat(F.lit("No column rows found in schema MD for table "), table)))
     return docs.select("doc_id", err.alias("error")).where(F.col("error").isNotNull())

@@ -138,3 +138,10 @@ def test_loadable_sheets(spark):
     cols = cols.unionByName(cols.withColumn("sheet_id", F.lit(1).cast("bigint")))
     v = Validator(good.unionByName(bad), cols)
     assert [r.sheet_id for r in v.loadable_sheets().collect()] == [0]
+
+
+def test_schema_doc_whitespace_like_python(spark):
+    doc = "# Table: raw.t2\r\n\t| a | INT\t| yes |\r\n| b | TEXT | no | | c | DATE | y | d |"
+    docs = spark.createDataFrame([("d", doc)], "doc_id string, text string")
+    got = [(r.column_name, r.type, r.nullable, r.description) for r in parse_schema_docs(docs).orderBy("ordinal").collect()]
+    assert got == [("a", "INT", True, ""), ("b", "TEXT", False, ""), ("c", "DATE", True, "d")]

@@ -3,13 +3,14 @@ insert (A7), declared types (A9), Type-1 upsert (J1), incremental append
 with late data (J2), incremental filter (C3), partitioned load (J6).
 
 A target is a folder in the shared storage holding immutable versions
-(`v-<id>/`) and a one-line pointer `_current` naming the version readers
-see.  A full refresh writes a new version, audits it, then moves the
-pointer; readers see the old or the new version, never half of one.
-Overwriting the folder being read is never done.
+(`v-<id>/`) and an append-only version log `_versions/` whose greatest
+line names the version readers see.  A full refresh writes a new version,
+audits it, then appends to the log; readers see the old or the new
+version, never half of one.  Nothing is overwritten or deleted.
 """
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
@@ -22,16 +23,20 @@ class LoadError(RuntimeError):
     pass
 
 
-def _pointer(root: str) -> str:
-    return f"{root.rstrip('/')}/_current"
+def _log(root: str) -> str:
+    return f"{root.rstrip('/')}/_versions"
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
+    """The latest committed version: the greatest line of the version log.
+
+    Each commit adds one small file to the log (never rewrites one), so a
+    commit that dies half-way leaves the previous version current."""
     try:
-        rows = spark.read.text(_pointer(root)).take(1)
-    except Exception:  # noqa: BLE001 - no pointer yet
+        row = spark.read.text(_log(root)).agg(F.max("value")).first()
+    except Exception:  # noqa: BLE001 - no log yet
         return None
-    return rows[0][0] if rows else None
+    return row[0].split(" ", 1)[1] if row and row[0] else None
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
@@ -42,7 +47,8 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _set_pointer(spark: SparkSession, root: str, version: str) -> None:
-    spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(_pointer(root))
+    line = f"{time.time_ns():020d} {version}"
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(_log(root))
 
 
 def new_version_path(root: str) -> str:

@@ -2,11 +2,13 @@
 insert (A7), declared types (A9), Type-1 upsert (J1), incremental append
 with late data (J2), incremental filter (C3), partitioned load (J6).
 
-A target is a folder in the shared storage holding immutable versions
+A target is a folder in the shared storage holding immutable data folders
 (`v-<id>/`) and an append-only version log `_versions/` whose greatest
-line names the version readers see.  A full refresh writes a new version,
-audits it, then appends to the log; readers see the old or the new
-version, never half of one.  Nothing is overwritten or deleted.
+line lists the folders of the version readers see.  A full refresh writes
+a new folder, audits it, then appends a log line naming only it; an append
+writes a new folder and logs the current folders plus the new one.
+Readers see the old or the new version, never half of one.  Nothing is
+overwritten or deleted.
 """
 from __future__ import annotations
 
@@ -27,8 +29,9 @@ def _log(root: str) -> str:
     return f"{root.rstrip('/')}/_versions"
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """The latest committed version: the greatest line of the version log.
+def current_files(spark: SparkSession, root: str) -> list[str] | None:
+    """The data folders of the latest committed version: the greatest line
+    of the version log (`<stamp>\t<folder>\t<folder>...`).
 
     Each commit adds one small file to the log (never rewrites one), so a
     commit that dies half-way leaves the previous version current."""
@@ -36,18 +39,24 @@ def current_version(spark: SparkSession, root: str) -> str | None:
         row = spark.read.text(_log(root)).agg(F.max("value")).first()
     except Exception:  # noqa: BLE001 - no log yet
         return None
-    return row[0].split(" ", 1)[1] if row and row[0] else None
+    return row[0].split("\t")[1:] if row and row[0] else None
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The folder the latest version was created with (its first folder)."""
+    files = current_files(spark, root)
+    return files[0] if files else None
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    v = current_version(spark, root)
-    if v is None:
+    files = current_files(spark, root)
+    if not files:
         raise LoadError(f"table {root} has no committed version")
-    return spark.read.parquet(v)
+    return spark.read.parquet(*files)
 
 
-def _set_pointer(spark: SparkSession, root: str, version: str) -> None:
-    line = f"{time.time_ns():020d} {version}"
+def _set_pointer(spark: SparkSession, root: str, *folders: str) -> None:
+    line = "\t".join([f"{time.time_ns():020d}", *folders])
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(_log(root))
 
 
@@ -110,16 +119,19 @@ def full_refresh_load(df: DataFrame, root: str, check: Check | None = None,
 
 
 def append_load(df: DataFrame, root: str, stats: dict | None = None) -> str:
-    """Append to the current version (or start the first one)."""
+    """The new rows go to a new folder; the next version is the current
+    folders plus that one (or the first version when there is none)."""
     spark = df.sparkSession
-    v = current_version(spark, root)
-    if v is None:
+    files = current_files(spark, root)
+    if not files:
         return full_refresh_load(df, root, stats=stats)
+    path = new_version_path(root)
     df, obs = _observed(df, stats)
-    df.write.mode("append").parquet(v)
+    df.write.mode("errorifexists").parquet(path)
     if obs is not None:
         stats.update(obs.get)
-    return v
+    _set_pointer(spark, root, *files, path)
+    return path
 
 
 def latest_per_key(source: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:

@@ -24,11 +24,15 @@ MODEL_FILES = f"""model_files AS (
   SELECT 'models/m' || CAST(p_partkey AS VARCHAR) AS path,
     CASE WHEN p_partkey % 40 = 0 THEN {lit(_CONFIG)} || {lit("-- nothing generated" + chr(10))}
     ELSE {lit(_CONFIG)} || {lit("js { const src = 'x'; }" + chr(10))}
+      || CASE WHEN p_partkey % 13 = 0 THEN {lit("-- select the rows of t" + chr(10))} ELSE '' END
+      || CASE WHEN p_partkey % 17 = 0 THEN {lit("WITH src AS (SELECT 1 AS id)" + chr(10))} ELSE '' END
       || {lit('SELECT' + chr(10) + '  p.id AS "id",' + chr(10) + "  '")} || p_brand
       || {lit("' AS brand" + chr(10) + 'FROM ${ref("t')} || CAST(p_size AS VARCHAR) || {lit('")} p')}
       || CASE WHEN p_partkey % 3 = 0 THEN {lit(chr(10) + 'JOIN ${ ref("staging.dim_')}
            || CAST(p_partkey % 7 AS VARCHAR) || {lit('") } d ON d.id = p.id')} ELSE '' END
-      || {lit(";" + chr(10))} END AS text
+      || {lit(";" + chr(10))}
+      || CASE WHEN p_partkey % 19 = 0 THEN {lit("post_operations {" + chr(10) + "  GRANT SELECT ON ${self()} TO reader"
+                                                 + chr(10) + "}" + chr(10))} ELSE '' END END AS text
   FROM part)"""
 
 _WS_TRIM = rx(f"^{PY_WS}+|{PY_WS}+$")
@@ -80,9 +84,16 @@ FROM (SELECT DISTINCT sheet_id FROM mapping_rows)""",
         "'g'), '^_+|_+$', '', 'g') AS normalized FROM part"),
     "ref_scan": "SELECT * FROM orders",
     "model_bodies": _BODY + f"""
-SELECT path, CASE WHEN regexp_matches(t, '(?i)\\bselect\\b') THEN regexp_extract(t, {rx(SELECT_TAIL)}, 1) END AS body,
+SELECT path, body, error,
+  CASE WHEN body IS NULL THEN NULL ELSE concat_ws(',',
+    CASE WHEN regexp_matches(t, '(?is)^\\s*with\\b') THEN 'with_clause' END,
+    CASE WHEN contains(string_split(regexp_extract(t, '(?is)^(.*?)\\bselect\\b', 1), chr(10))[-1], '--')
+      THEN 'select_in_comment' END,
+    CASE WHEN regexp_matches(body, 'post_operations\\s*\\{{') THEN 'post_operations' END) END AS flag
+FROM (SELECT path, t,
+  CASE WHEN regexp_matches(t, '(?i)\\bselect\\b') THEN regexp_extract(t, {rx(SELECT_TAIL)}, 1) END AS body,
   CASE WHEN NOT regexp_matches(t, '(?i)\\bselect\\b') THEN 'Generated .sqlx contains no SELECT statement' END AS error
-FROM s3""",
+FROM s3)""",
     "model_ref_edges": with_(MODEL_FILES) + f"""
 SELECT DISTINCT path, CASE WHEN contains(r, '.') THEN r ELSE 'raw.' || r END AS ref_table
 FROM (SELECT path, unnest(regexp_extract_all(text, {rx(REF_PATTERN)}, 1)) AS r FROM model_files)""",

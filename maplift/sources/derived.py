@@ -280,8 +280,14 @@ def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(
         F.lit("SELECT\n  p.id AS \"id\",\n  '"), F.col("p_brand"), F.lit("' AS brand\nFROM ${ref(\"t"), size,
         F.lit("\")} p"), F.coalesce(second, F.lit("")), F.lit(";\n"))
+    # shapes the text rule handles badly (flagged by L1): a comment naming
+    # select, a WITH clause, post operations after the query
+    comment = F.when(k % 13 == 0, F.lit("-- select the rows of t\n")).otherwise(F.lit(""))
+    cte = F.when(k % 17 == 0, F.lit("WITH src AS (SELECT 1 AS id)\n")).otherwise(F.lit(""))
+    post = F.when(k % 19 == 0, F.lit("post_operations {\n  GRANT SELECT ON ${self()} TO reader\n}\n")
+                  ).otherwise(F.lit(""))
     text = F.when(k % 40 == 0, F.concat(config, F.lit("-- nothing generated\n"))).otherwise(
-        F.concat(config, js, body))
+        F.concat(config, js, comment, cte, body, post))
     return read_table(spark, sf_dir, "part").select(
         F.concat(F.lit("models/m"), _s(k)).alias("path"), text.alias("text"))
 

@@ -48,14 +48,23 @@ def resolve_refs(sql: Column, default_schema: str = DEFAULT_SOURCE_SCHEMA) -> Co
 
 
 def model_bodies(files: DataFrame) -> DataFrame:
-    """L1: (path, body, error): the runnable SELECT of each model file, or an error."""
+    """L1: (path, body, error, flag): the runnable SELECT of each model file
+    (the text from its first word `select` on), or an error.  `flag` names
+    shapes this rule handles badly: a leading WITH clause (cut off), a
+    `select` inside a comment (taken as the start), post operations (kept)."""
     t = strip_config_block(F.col("text"))
     t = F.regexp_replace(t, JS_BLOCK, "")
     t = F.regexp_replace(py_strip(resolve_refs(t)), ";+$", "")
     has_select = t.rlike(r"(?i)\bselect\b")
     body = F.when(has_select, F.regexp_extract(t, SELECT_TAIL, 1))
+    head_line = F.substring_index(F.regexp_extract(t, r"(?is)^(.*?)\bselect\b", 1), "\n", -1)
+    flag = F.when(has_select, F.concat_ws(
+        ",",
+        F.when(t.rlike(r"(?is)^\s*with\b"), F.lit("with_clause")),
+        F.when(head_line.contains("--"), F.lit("select_in_comment")),
+        F.when(body.rlike(r"post_operations\s*\{"), F.lit("post_operations"))))
     return files.select("path", body.alias("body"),
-                        F.when(~has_select, F.lit(MSG_NO_SELECT)).alias("error"))
+                        F.when(~has_select, F.lit(MSG_NO_SELECT)).alias("error"), flag.alias("flag"))
 
 
 def model_ref_edges(files: DataFrame, default_schema: str = DEFAULT_SOURCE_SCHEMA) -> DataFrame:

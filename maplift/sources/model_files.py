@@ -19,8 +19,7 @@ PY_WS = (r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028
 CONFIG_BLOCK = r"config\s*\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
 # The same, anchored, with possessive loops: the JVM regex engine then runs
 # in constant stack depth however long the text is.
-CONFIG_AT_START = r"^config\s*+\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
-CONFIG_SPLIT = r"(?s)^(.*?)(config\s*\{.*)$"
+CONFIG_BODY_AT_START = r"^(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
 JS_BLOCK = r"js\s*\{[^}]*\}"
 DOTTED_REF = r"""\$\{\s*ref\(\s*['"]([\w]*\.[\w.]*)['"]\s*\)\s*\}"""
 BARE_REF = r"""\$\{\s*ref\(\s*['"](\w+)['"]\s*\)\s*\}"""
@@ -32,14 +31,21 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{PY_WS}+|{PY_WS}+$", "")
 
 
-def strip_config_block(text: Column) -> Column:
-    """Remove the first `config {...}` block when its braces balance (within
-    two inner levels); otherwise leave the text unchanged.  The text is
-    split at the first block start, so only the block itself is matched."""
-    head = F.regexp_extract(text, CONFIG_SPLIT, 1)
-    tail = F.regexp_extract(text, CONFIG_SPLIT, 2)
-    cut = F.concat(head, F.regexp_replace(tail, CONFIG_AT_START, ""))
-    return py_strip(F.when(text.rlike(r"config\s*\{"), cut).otherwise(text))
+def without_config_block(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    """Remove the first `config {...}` block of `text_col` when its braces
+    balance (within two inner levels); otherwise keep the text unchanged.
+
+    The text is split once at the first block start; the block body is then
+    matched at the start of the rest with possessive loops.  Each regex runs
+    once per row: the intermediate columns are separate projections, which
+    Catalyst keeps apart because they are not cheap to recompute."""
+    parts = df.withColumn("_cfg", F.split(F.col(text_col), r"config\s*\{", 2))
+    after = F.get(F.col("_cfg"), 1)  # NULL when the text has no block start
+    rest = parts.withColumn("_rest", F.regexp_replace(after, CONFIG_BODY_AT_START, ""))
+    cut = (F.size("_cfg") == 2) & (F.col("_rest") != after)
+    return (rest.withColumn(out_col, py_strip(F.when(cut, F.concat(F.get(F.col("_cfg"), 0), F.col("_rest")))
+                                             .otherwise(F.col(text_col))))
+            .drop("_cfg", "_rest"))
 
 
 def resolve_refs(sql: Column, default_schema: str = DEFAULT_SOURCE_SCHEMA) -> Column:
@@ -52,19 +58,21 @@ def model_bodies(files: DataFrame) -> DataFrame:
     (the text from its first word `select` on), or an error.  `flag` names
     shapes this rule handles badly: a leading WITH clause (cut off), a
     `select` inside a comment (taken as the start), post operations (kept)."""
-    t = strip_config_block(F.col("text"))
-    t = F.regexp_replace(t, JS_BLOCK, "")
-    t = F.regexp_replace(py_strip(resolve_refs(t)), ";+$", "")
-    has_select = t.rlike(r"(?i)\bselect\b")
-    body = F.when(has_select, F.regexp_extract(t, SELECT_TAIL, 1))
-    head_line = F.substring_index(F.regexp_extract(t, r"(?is)^(.*?)\bselect\b", 1), "\n", -1)
+    t = without_config_block(files.select("path", "text"), "text", "_t0")
+    t = t.select("path", F.regexp_replace(py_strip(resolve_refs(F.regexp_replace("_t0", JS_BLOCK, ""))), ";+$", "")
+                 .alias("_t"))
+    t = t.select("path", "_t", F.regexp_extract("_t", SELECT_TAIL, 1).alias("_body"))
+    has_select = F.length("_body") > 0
+    # the text before the first select, and its last line
+    head = F.substring(F.col("_t"), F.lit(1), F.length("_t") - F.length("_body"))
+    head_line = F.substring_index(head, "\n", -1)
     flag = F.when(has_select, F.concat_ws(
         ",",
-        F.when(t.rlike(r"(?is)^\s*with\b"), F.lit("with_clause")),
+        F.when(F.col("_t").rlike(r"(?is)^\s*with\b"), F.lit("with_clause")),
         F.when(head_line.contains("--"), F.lit("select_in_comment")),
-        F.when(body.rlike(r"post_operations\s*\{"), F.lit("post_operations"))))
-    return files.select("path", body.alias("body"),
-                        F.when(~has_select, F.lit(MSG_NO_SELECT)).alias("error"), flag.alias("flag"))
+        F.when(F.col("_body").rlike(r"post_operations\s*\{"), F.lit("post_operations"))))
+    return t.select("path", F.when(has_select, F.col("_body")).alias("body"),
+                    F.when(~has_select, F.lit(MSG_NO_SELECT)).alias("error"), flag.alias("flag"))
 
 
 def model_ref_edges(files: DataFrame, default_schema: str = DEFAULT_SOURCE_SCHEMA) -> DataFrame:

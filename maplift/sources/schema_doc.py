@@ -31,10 +31,10 @@ def _cells(line: Column) -> Column:
                        lambda c: py_strip(c))
 
 
-def _is_column_row(line: Column) -> Column:
+def _is_column_row(line: Column, cells: Column | None = None) -> Column:
     """A line that declares a column: starts with '|', has 3+ cells, and its
     first cell is not blank, not the header word, not a separator."""
-    cells = _cells(line)
+    cells = _cells(line) if cells is None else cells
     name = cells[0]
     return (py_strip(line).startswith("|") & (F.size(cells) >= 3)
             & ~F.lower(name).isin("column", "") & ~name.rlike(r"^[-: ]+$"))
@@ -46,8 +46,8 @@ def parse_schema_docs(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.regexp_extract("text", TABLE_HEADING, 1).alias("table_name"), "text") \
         .where(F.col("table_name") != "")
     lines = d.select("doc_id", "table_name", F.posexplode(F.split("text", LINE_BREAK)).alias("pos", "line"))
-    rows = (lines.where(_is_column_row(F.col("line")))
-            .select("doc_id", "table_name", "pos", _cells(F.col("line")).alias("cells"))
+    rows = (lines.select("doc_id", "table_name", "pos", "line", _cells(F.col("line")).alias("cells"))
+            .where(_is_column_row(F.col("line"), F.col("cells")))
             .select("doc_id", "table_name", "pos",
                     F.col("cells")[0].alias("column_name"),
                     F.upper(F.col("cells")[1]).alias("type"),

@@ -66,7 +66,7 @@ def schema_doc_rejects(docs: DataFrame) -> DataFrame:
     """(doc_id, error) for documents without a table heading or without any
     column row -- one projection per document, no join."""
     table = F.regexp_extract("text", TABLE_HEADING, 1)
-    has_rows = F.exists(F.split("text", LINE_BREAK), _is_column_row)
+    has_rows = F.exists(F.split("text", LINE_BREAK), lambda line: _is_column_row(line))
     err = (F.when(table == "", F.lit("Schema MD must start with a line like '# Table: raw.clinical_patients'"))
            .when(~has_rows, F.concat(F.lit("No column rows found in schema MD for table "), table)))
     return docs.select("doc_id", err.alias("error")).where(F.col("error").isNotNull())

@@ -129,10 +129,6 @@ def started_ago(runs: DataFrame, now_ms: int | Column) -> DataFrame:
     return runs.select("run_id", "started_at", time_ago(F.col("started_at"), now).alias("ago"))
 
 
-# Keys of the run document that are present only when set.
-_OPTIONAL_KEYS = ["failedCheck", "createdBy", "approvedBy", "workflowId"]
-
-
 def run_documents(runs: DataFrame) -> DataFrame:
     """Run row -> the nested run document, as JSON text.
 
@@ -155,7 +151,7 @@ def run_documents(runs: DataFrame) -> DataFrame:
         F.nullif(F.col("created_by"), F.lit("")).alias("createdBy"),
         F.nullif(F.col("approved_by"), F.lit("")).alias("approvedBy"),
         F.nullif(F.col("workflow_id"), F.lit("")).alias("workflowId"))
-    doc = F.struct(
+    head = F.struct(
         F.col("run_id").alias("id"),
         F.coalesce(F.col("target_table"), F.lit("")).alias("targetTable"),
         F.col("status").alias("status"),
@@ -171,10 +167,11 @@ def run_documents(runs: DataFrame) -> DataFrame:
         F.array().cast("array<string>").alias("feed"),
         F.array().cast("array<string>").alias("findings"),
         F.lit("").alias("sqlx"),
-        F.lit("").alias("sqlxPath"),
-        audit.alias("audit"),
-        meta.alias("meta"))
-    text = F.to_json(doc, {"ignoreNullFields": "false"})
-    for k in _OPTIONAL_KEYS:
-        text = F.regexp_replace(text, f',"{k}":null', "")
-    return runs.select("run_id", text.alias("doc"))
+        F.lit("").alias("sqlxPath"))
+    # top-level keys keep their nulls; inside `audit` and `meta` an unset
+    # optional key is left out (the only nullable fields there)
+    head_json = F.to_json(head, {"ignoreNullFields": "false"})
+    return runs.select("run_id", head_json.alias("_h"), audit.alias("_a"), meta.alias("_m")).select(
+        "run_id", F.concat(F.expr("substring(_h, 1, length(_h) - 1)"),
+                           F.lit(',"audit":'), F.coalesce(F.to_json("_a"), F.lit("null")),
+                           F.lit(',"meta":'), F.to_json("_m"), F.lit("}")).alias("doc"))

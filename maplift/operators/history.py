@@ -20,6 +20,14 @@ def run_by_id(runs: DataFrame, run_id: str) -> DataFrame:
     return runs.where(F.col("run_id") == F.lit(run_id))
 
 
+def require_run(runs: DataFrame, run_id: str) -> dict:
+    """C5 for one caller: the run's row, or LookupError when there is none."""
+    rows = run_by_id(runs, run_id).take(1)
+    if not rows:
+        raise LookupError(f"Run {run_id} not found")
+    return rows[0].asDict()
+
+
 def run_kpis(runs: DataFrame) -> DataFrame:
     """E5: total, awaiting review, success rate (%), average duration."""
     st = F.col("status")

@@ -53,6 +53,9 @@ def apply_session_conf(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
+_LOCAL_DIRS: dict[int, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
@@ -61,10 +64,19 @@ def shared_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # pragma: no cover - sessions without a SparkContext
+            d = None
+    if not d:
+        d = _LOCAL_DIRS.get(id(spark))
     if not d:
         d = tempfile.mkdtemp(prefix="maplift-ckpt-", dir=os.environ.get("MAPLIFT_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+        _LOCAL_DIRS[id(spark)] = d
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # pragma: no cover - conf not settable at runtime
+            pass
     try:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(d)

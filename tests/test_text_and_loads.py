@@ -87,3 +87,13 @@ def test_scd1_merge_latest_wins(spark):
     src = spark.createDataFrame([(1, "v1", 1), (1, "v2", 2), (3, "new", 1)], "k int, v string, ver int")
     got = sorted(tuple(r) for r in load.scd1_merge(tgt, src, ["k"], "ver").collect())
     assert got == [(1, "v2", 2), (2, "keep", 0), (3, "new", 1)]
+
+
+def test_require_run(spark):
+    from maplift.operators.history import require_run
+    from maplift.sources import derived
+    from tests.conftest import SF_SMALL
+    runs = derived.runs(spark, SF_SMALL)
+    assert require_run(runs, "run_7")["status"] == "succeeded"
+    with pytest.raises(LookupError):
+        require_run(runs, "run_does_not_exist")

@@ -3,7 +3,7 @@ insert (A7), declared types (A9), Type-1 upsert (J1), incremental append
 with late data (J2), incremental filter (C3), partitioned load (J6).
 
 A target is a folder in the shared storage holding immutable data folders
-(`v-<id>/`) and an append-only version log `_versions/` whose greatest
+(`v-<id>/`) and an append-only version log `versions_log/` whose greatest
 line lists the folders of the version readers see.  A full refresh writes
 a new folder, audits it, then appends a log line naming only it; an append
 writes a new folder and logs the current folders plus the new one.
@@ -26,7 +26,7 @@ class LoadError(RuntimeError):
 
 
 def _log(root: str) -> str:
-    return f"{root.rstrip('/')}/_versions"
+    return f"{root.rstrip('/')}/versions_log"
 
 
 def current_files(spark: SparkSession, root: str) -> list[str] | None:

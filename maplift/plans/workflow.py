@@ -66,3 +66,33 @@ def run_mapping(sheet: DataFrame, schema_cols: DataFrame, source: DataFrame, tar
     except load.LoadError:
         return RunResult("failed", found, result, None, "audit")
     return RunResult("succeeded", found, result, version)
+
+
+# Step index per outcome (0-based, 8 steps): validation is step 1, the
+# audit step 7 (see the run step states, I3).
+_STEP_OF = {"validate": 1, "audit": 7}
+
+RUN_ROW_SCHEMA = ("run_id string, target_table string, status string, current_step int, step_failed boolean, "
+                  "started_at bigint, duration_sec bigint, mappings_validated int, mappings_excluded int, "
+                  "audit_rows_written bigint, audit_counts_match boolean, audit_nulls_check boolean, "
+                  "audit_failed_check string")
+
+
+def record_run(spark, runs_root: str, feed_root: str, run_id: str, target_table: str, result: RunResult,
+               started_at_ms: int, finished_at_ms: int, n_active: int, n_excluded: int) -> None:
+    """Append the run's row to `runs` and its findings to `run_feed` (both
+    versioned tables; one new folder each, no rewrite of earlier runs)."""
+    from maplift.operators.load import append_load
+    a = result.audit or {}
+    failed = result.status != "succeeded"
+    row = (run_id, target_table, result.status,
+           _STEP_OF.get(result.failed_step, 7), failed, started_at_ms,
+           max(0, (finished_at_ms - started_at_ms) // 1000), n_active, n_excluded,
+           a.get("rows_written"), a.get("counts_match"), (a.get("null_violations") == 0) if a else None,
+           a.get("failed_check"))
+    append_load(spark.createDataFrame([row], RUN_ROW_SCHEMA), runs_root)
+    kinds = {"error": "tool_error", "warning": "tool_result", "info": "tool_result"}
+    entries = [(run_id, i, kinds.get(f["severity"], "thought"), f'row {f["rows"]}: {f["message"]}')
+               for i, f in enumerate(result.findings)]
+    if entries:
+        append_load(spark.createDataFrame(entries, "run_id string, seq bigint, kind string, text string"), feed_root)

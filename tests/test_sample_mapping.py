@@ -120,3 +120,19 @@ def test_run_mapping_end_to_end(spark):
     assert res2.status == "failed" and res2.failed_step == "validate"
     assert any(f["message"] == 'Source field "customer_email" does not exist in raw.clinical_patients'
                for f in res2.findings)
+
+
+def test_record_run_feeds_history(spark):
+    from maplift.operators.history import run_kpis
+    from maplift.operators.load import read_current
+    from maplift.plans.workflow import record_run, run_mapping
+    from maplift.session import fresh_path
+    runs_root, feed_root = fresh_path(spark, "test_runs"), fresh_path(spark, "test_feed")
+    res = run_mapping(sample_sheet(spark), _schema_columns(spark), seed_df(spark), fresh_path(spark, "t"), LOAD_TS)
+    record_run(spark, runs_root, feed_root, "run_a", "analytics.fct_clinical_patients", res, 0, 65_000, 8, 1)
+    bad = sample_sheet(spark).withColumn("target_field", F.lit("x"))
+    res2 = run_mapping(bad, _schema_columns(spark), seed_df(spark), fresh_path(spark, "t"), LOAD_TS)
+    record_run(spark, runs_root, feed_root, "run_b", "analytics.fct_clinical_patients", res2, 0, 5_000, 8, 1)
+    k = run_kpis(read_current(spark, runs_root)).first()
+    assert (k.total_runs, k.success_rate, k.avg_duration) == (2, 50, "35s")
+    assert read_current(spark, feed_root).where(F.col("run_id") == "run_a").count() == 5

@@ -43,3 +43,28 @@ def test_audit_is_one_pass_per_table(spark):
     p = plan(E.queries()["load_audit"](spark, SF_SMALL))
     import re
     assert len(re.findall(r"^\(\d+\) Scan parquet", p, flags=re.M)) == 2
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    """One key holding every row: a plain window puts it in one task, the
+    bucketed lag spreads it."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from maplift.operators.windows import lag_in_group
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(20000).select(F.lit("hot").alias("k"), F.col("id").alias("o"))
+        plain = df.withColumn("p", F.lag("o").over(Window.partitionBy("k").orderBy("o")))
+        split = lag_in_group(df, ["k"], "o", "p", bucket_size=1000)
+
+        def largest_share(d):
+            # max(p) keeps the window in the plan (otherwise column pruning drops it)
+            sizes = d.groupBy(F.spark_partition_id().alias("pid")).agg(F.count(F.lit(1)).alias("count"),
+                                                                       F.max("p")).collect()
+            return max(r["count"] for r in sizes) / 20000
+        assert largest_share(plain) == 1.0
+        assert largest_share(split) <= 0.5
+        assert split.where(F.col("p").isNull()).count() == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)

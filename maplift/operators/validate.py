@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maplift import model as M
-from maplift.functions.text import py_repr
+from maplift.functions.text import py_repr, py_strip
 from maplift.functions.types import lossy_pair, type_family
 from maplift.operators.windows import lag_in_group, ordered_string_agg
 
@@ -31,7 +31,7 @@ def _fmt(template: str, *cols: Column) -> Column:
 
 
 def is_active(status: Column) -> Column:
-    return F.lower(F.trim(status)).isin(M.ACTIVE_STATUSES)
+    return F.lower(py_strip(status)).isin(M.ACTIVE_STATUSES)
 
 
 def _finding(df: DataFrame, check_no: int, row_key: Column, sub_no: Column | int, severity: str | Column,
@@ -128,9 +128,9 @@ class Validator:
             F.col("_s.type").alias("src_type"), F.col("_t.type").alias("tgt_type"),
             F.col("_t.nullable").alias("tgt_nullable"),
             (src_known & tgt_known).alias("pair"),
-            (F.col("_s.nullable") | F.upper(F.trim("nullable")).isin(M.SHEET_NULLABLE_VALUES)).alias("src_nullable"),
-            (F.trim("default_value") != "").alias("has_default"),
-            (F.trim("sql_logic") != "").alias("has_logic"),
+            (F.col("_s.nullable") | F.upper(py_strip(F.col("nullable"))).isin(M.SHEET_NULLABLE_VALUES)).alias("src_nullable"),
+            (py_strip(F.col("default_value")) != "").alias("has_default"),
+            (py_strip(F.col("sql_logic")) != "").alias("has_logic"),
             type_family(F.col("_s.type")).alias("src_family"),
             type_family(F.col("_t.type")).alias("tgt_family"),
         ).withColumn("lossy", lossy_pair(F.col("src_family"), F.col("tgt_family")))
@@ -157,7 +157,7 @@ class Validator:
             item(pair & (F.col("src_family") != F.col("tgt_family")) & ~F.col("has_logic"), M.CHECK_TYPE, 0,
                  F.when(F.col("lossy"), F.lit("warning")).otherwise(F.lit("info")),
                  _fmt(M.MSG_TYPE, F.col("source_field"), F.col("src_type"), F.col("target_field"), F.col("tgt_type"))),
-            item(F.trim("lookup_table") != "", M.CHECK_LOOKUP, 0, "warning", _fmt(M.MSG_LOOKUP, F.col("lookup_table"))),
+            item(py_strip(F.col("lookup_table")) != "", M.CHECK_LOOKUP, 0, "warning", _fmt(M.MSG_LOOKUP, F.col("lookup_table"))),
         )
         found = self.enriched().select("sheet_id", row, F.explode(F.filter(items, lambda x: x.isNotNull())).alias("f"))
         return found.select(

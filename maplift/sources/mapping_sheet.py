@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from maplift.functions.text import normalize_header_py
 from maplift.model import MAPPING_COLUMNS, PANDAS_NA_VALUES, REQUIRED_SHEET_COLUMNS
-from maplift.sources.model_files import py_strip
+from maplift.functions.text import py_strip
 
 
 class SheetError(ValueError):

@@ -8,13 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maplift.functions.text import PY_WS, py_strip  # noqa: F401  (PY_WS re-exported)
 from maplift.model import DEFAULT_SOURCE_SCHEMA, MSG_NO_SELECT
 from maplift.sources.tables import REF_PATTERN
 
-# Whitespace as Python's str.strip() sees it (fixed list).
-PY_WS = (r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-         r"\x{202f}\x{205f}\x{3000}]")
-
 # A `config { ... }` block with up to two inner brace levels.
 CONFIG_BLOCK = r"config\s*\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
 # The same, anchored, with possessive loops: the JVM regex engine then runs
@@ -27,10 +24,6 @@ SELECT_TAIL = r"(?is)(\bselect\b.*)"
 FENCED = r"(?s)```(?:sqlx|sql)?\s*\n(.*?)```"
 
 
-def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{PY_WS}+|{PY_WS}+$", "")
-
-
 def without_config_block(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
     """Remove the first `config {...}` block of `text_col` when its braces
     balance (within two inner levels); otherwise keep the text unchanged.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maplift.model import DOC_NULLABLE_VALUES
-from maplift.sources.model_files import py_strip
+from maplift.functions.text import py_strip
 
 TABLE_HEADING = r"(?m)^#\s*Table:\s*([\w.]+)"
 # Line breaks as Python's str.splitlines() sees them (fixed list).

@@ -136,3 +136,22 @@ def test_record_run_feeds_history(spark):
     k = run_kpis(read_current(spark, runs_root)).first()
     assert (k.total_runs, k.success_rate, k.avg_duration) == (2, 50, "35s")
     assert read_current(spark, feed_root).where(F.col("run_id") == "run_a").count() == 5
+
+
+def test_generated_select_expressions_compile_to_golden(spark):
+    """The demo's generated SELECT, one expression per row as sql_logic."""
+    exprs = ["patient_id", "CONCAT(first_name, ' ', last_name)", "TRIM(LOWER(cust_email_01))",
+             "CAST(dob AS DATE)", "CAST(ROUND(weight_kg) AS INTEGER)",
+             "CASE site_code WHEN '01' THEN 'Chennai' WHEN '02' THEN 'Mumbai' WHEN '03' THEN 'Delhi' "
+             "ELSE 'Unknown' END", "(enrolled_flag = 'Y')", "NOW()"]
+    recs = sample_sheet_records()
+    for r, e in zip(recs, exprs):
+        r["sql_logic"] = e
+    src, tgt = sample_schemas(spark)
+    out = apply_mapping(seed_df(spark), recs, src, tgt, LOAD_TS)
+    got = [(r[0], r[1], r[2], r[3].isoformat() if r[3] else None, r[4], r[5], r[6]) for r in sorted(out.collect())]
+    assert got == GOLDEN
+    ties = spark.createDataFrame([(82.5,), (83.5,)], "weight_kg double")
+    recs2 = [dict(recs[4], row_no=2)]
+    t = apply_mapping(ties, recs2, {"weight_kg": ColumnSpec("FLOAT", True)}, {"weight": ColumnSpec("INTEGER", True)})
+    assert sorted(r.weight for r in t.collect()) == [82, 84]

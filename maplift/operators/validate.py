@@ -147,9 +147,11 @@ class Validator:
                                          sev_c.alias("severity"), msg.alias("message")))
         items = F.array(
             item((F.col("source_field") != "") & ~F.col("src_known"), M.CHECK_MISSING, 0, "error",
-                 _fmt(M.MSG_MISSING_SOURCE, F.col("source_field"), F.col("source_name"))),
+                 _fmt(M.MSG_MISSING_SOURCE, F.col("source_field"),
+                      F.coalesce(F.col("source_name"), F.col("source_table")))),
             item((F.col("target_field") != "") & ~F.col("tgt_known"), M.CHECK_MISSING, 1, "error",
-                 _fmt(M.MSG_MISSING_TARGET, F.col("target_field"), F.col("target_name"))),
+                 _fmt(M.MSG_MISSING_TARGET, F.col("target_field"),
+                      F.coalesce(F.col("target_name"), F.col("target_table")))),
             item(pair & null_clash & ~F.col("has_default") & ~F.col("has_logic"), M.CHECK_NULL_ERROR, 0, "error",
                  _fmt(M.MSG_NULL_ERROR, F.col("source_field"), F.col("target_field"))),
             item(pair & null_clash & F.col("has_default"), M.CHECK_NULL_INFO, 0, "info",

@@ -2,47 +2,88 @@
 
 Sheets are read with Spark's CSV reader in multiLine mode (quoted line
 breaks allowed), so each file is read whole by one task -- a sheet is a
-bounded upload -- while many sheets read in parallel.  Record numbers are
-taken in file order within each file.
+bounded upload -- while many sheets read in parallel.  Records are read as
+arrays of cells and mapped through their own file's header, so sheets with
+different column sets and orders read in one job.  Record numbers are taken
+in file order within each file.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from maplift.functions.text import normalize_header_py
+from maplift.functions.text import normalize_header, py_strip
 from maplift.model import MAPPING_COLUMNS, PANDAS_NA_VALUES, REQUIRED_SHEET_COLUMNS
-from maplift.functions.text import py_strip
 
 
 class SheetError(ValueError):
     pass
 
 
-def _csv_reader(spark: SparkSession):
-    return (spark.read.option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "FAILFAST"))
+# Widest sheet read (columns); a record reaching it is reported, not cut.
+MAX_SHEET_COLUMNS = 256
 
 
-def read_sheet_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of all sheet files under `path`, canonical columns, with
-    the file and its spreadsheet row number (record index + 2)."""
-    raw = _csv_reader(spark).csv(path)
-    renamed = raw.toDF(*[c if c == "sheet_id" else normalize_header_py(c) for c in raw.columns])
-    missing = [c for c in REQUIRED_SHEET_COLUMNS if c not in renamed.columns]
-    if missing:
-        raise SheetError(f"STTM sheet is missing required columns: {', '.join(missing)}")
-    def canon(c: str):
-        if c not in renamed.columns:
-            return F.lit("").alias(c)
-        v = F.col(c)
-        return F.when(v.isNull() | v.isin(PANDAS_NA_VALUES), F.lit("")).otherwise(py_strip(v)).alias(c)
-    keys = [F.col("sheet_id").cast("bigint").alias("sheet_id")] if "sheet_id" in renamed.columns else []
-    recs = renamed.select(*keys, *[canon(c) for c in MAPPING_COLUMNS],
-                          F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_pos"))
+def _raw_records(spark: SparkSession, path: str, max_columns: int) -> DataFrame:
+    """Every record of every file as an array of cells, numbered in file
+    order (record 1 is the file's header).  Files may have different headers:
+    no schema is taken from any one file."""
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
+    raw = (spark.read.schema(schema).option("header", False).option("multiLine", True)
+           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    keys = [F.col("sheet_id").cast("bigint").alias("sheet_id")] if "sheet_id" in raw.columns else []
+    recs = raw.select(*keys, F.array(*[F.col(f"_c{i}") for i in range(max_columns)]).alias("cells"),
+                      F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_pos"))
     # one file is one bounded sheet, so this window is bounded by a file
     w = Window.partitionBy("file").orderBy("_pos")
-    return recs.withColumn("row_no", (F.row_number().over(w) + 1).cast("bigint")).drop("_pos")
+    return recs.withColumn("rec_no", F.row_number().over(w).cast("bigint")).drop("_pos")
+
+
+def _headers(recs: DataFrame, max_columns: int) -> DataFrame:
+    """Per file: normalised header names, the required ones it lacks, and
+    whether it reaches the column limit."""
+    names = F.transform(F.filter("cells", lambda c: c.isNotNull()), lambda c: normalize_header(c))
+    h = recs.where(F.col("rec_no") == 1).select("file", names.alias("names"),
+                                                 F.col("cells")[max_columns - 1].isNotNull().alias("too_wide"))
+    missing = F.filter(F.array(*[F.lit(c) for c in REQUIRED_SHEET_COLUMNS]),
+                       lambda c: ~F.array_contains(F.col("names"), c))
+    return h.withColumn("missing", missing)
+
+
+def sheet_file_errors(spark: SparkSession, path: str, max_columns: int = MAX_SHEET_COLUMNS) -> DataFrame:
+    """(file, error) for sheets that lack a required column or are too wide."""
+    h = _headers(_raw_records(spark, path, max_columns), max_columns)
+    err = (F.when(F.size("missing") > 0, F.concat(F.lit("STTM sheet is missing required columns: "),
+                                                  F.array_join("missing", ", ")))
+           .when(F.col("too_wide"), F.lit(f"STTM sheet has {max_columns} or more columns")))
+    return h.select("file", err.alias("error")).where(F.col("error").isNotNull())
+
+
+def read_sheet_records(spark: SparkSession, path: str, strict: bool = True,
+                       max_columns: int = MAX_SHEET_COLUMNS) -> DataFrame:
+    """All records of all sheet files under `path` in canonical columns, each
+    file mapped through its own header, with the spreadsheet row number
+    (record index + 2, i.e. the record number counting the header).
+
+    `strict`: raise when a file lacks a required column (one job over the
+    sheets, which are bounded uploads); else such files are left out and
+    reported by `sheet_file_errors`."""
+    recs = _raw_records(spark, path, max_columns)
+    headers = _headers(recs, max_columns)
+    if strict:
+        bad = sheet_file_errors(spark, path, max_columns).limit(20).collect()
+        if bad:
+            raise SheetError("; ".join(f"{r.file}: {r.error}" for r in bad))
+    good = headers.where((F.size("missing") == 0) & ~F.col("too_wide")).select("file", "names")
+    data = recs.where(F.col("rec_no") > 1).join(good, "file")
+
+    def canon(c: str):
+        pos = F.array_position(F.col("names"), F.lit(c)).cast("int")
+        v = F.when(pos > 0, F.element_at(F.col("cells"), F.greatest(pos, F.lit(1))))
+        return F.when(v.isNull() | v.isin(PANDAS_NA_VALUES), F.lit("")).otherwise(py_strip(v)).alias(c)
+    keys = ["sheet_id"] if "sheet_id" in data.columns else []
+    return data.select(*keys, *[canon(c) for c in MAPPING_COLUMNS], "file", F.col("rec_no").alias("row_no"))
 
 
 def mapping_rows_from_records(records: DataFrame) -> DataFrame:

@@ -21,43 +21,49 @@ class SheetError(ValueError):
     pass
 
 
-# Widest sheet read (columns); a record reaching it is reported, not cut.
-MAX_SHEET_COLUMNS = 256
+# Widest sheet read (columns); a sheet reaching it is reported, not cut.
+MAX_SHEET_COLUMNS = 64
 
 
 def _raw_records(spark: SparkSession, path: str, max_columns: int) -> DataFrame:
-    """Every record of every file as an array of cells, numbered in file
-    order (record 1 is the file's header).  Files may have different headers:
-    no schema is taken from any one file."""
+    """Every record of every file as an array of cells with its position in
+    the scan.  Files may have different headers: no schema is taken from
+    any one file."""
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
     raw = (spark.read.schema(schema).option("header", False).option("multiLine", True)
            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
     keys = [F.col("sheet_id").cast("bigint").alias("sheet_id")] if "sheet_id" in raw.columns else []
-    recs = raw.select(*keys, F.array(*[F.col(f"_c{i}") for i in range(max_columns)]).alias("cells"),
+    return raw.select(*keys, F.array(*[F.col(f"_c{i}") for i in range(max_columns)]).alias("cells"),
                       F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_pos"))
-    # one file is one bounded sheet, so this window is bounded by a file
-    w = Window.partitionBy("file").orderBy("_pos")
-    return recs.withColumn("rec_no", F.row_number().over(w).cast("bigint")).drop("_pos")
 
 
-def _headers(recs: DataFrame, max_columns: int) -> DataFrame:
-    """Per file: normalised header names, the required ones it lacks, and
-    whether it reaches the column limit."""
-    names = F.transform(F.filter("cells", lambda c: c.isNotNull()), lambda c: normalize_header(c))
-    h = recs.where(F.col("rec_no") == 1).select("file", names.alias("names"),
-                                                 F.col("cells")[max_columns - 1].isNotNull().alias("too_wide"))
+def _numbered(recs: DataFrame, max_columns: int) -> DataFrame:
+    """Each record with its record number in its file and its file's header
+    (normalised names, the required ones it lacks, whether it reaches the
+    column limit).  One window per file -- a file is one bounded sheet --
+    so the CSV is parsed once and no join is needed."""
+    w = Window.partitionBy("file").orderBy("_pos")
+    r = recs.select("*", F.row_number().over(w).cast("bigint").alias("row_no"),
+                    F.first("cells").over(w).alias("_hdr"))
+    names = F.transform(F.filter("_hdr", lambda c: c.isNotNull()), lambda c: normalize_header(c))
+    r = r.select(*[c for c in r.columns if c not in ("_pos", "_hdr")], names.alias("names"),
+                 F.col("_hdr")[max_columns - 1].isNotNull().alias("too_wide"))
     missing = F.filter(F.array(*[F.lit(c) for c in REQUIRED_SHEET_COLUMNS]),
                        lambda c: ~F.array_contains(F.col("names"), c))
-    return h.withColumn("missing", missing)
+    return r.withColumn("missing", missing)
 
 
-def sheet_file_errors(spark: SparkSession, path: str, max_columns: int = MAX_SHEET_COLUMNS) -> DataFrame:
-    """(file, error) for sheets that lack a required column or are too wide."""
-    h = _headers(_raw_records(spark, path, max_columns), max_columns)
+def _errors(numbered: DataFrame, max_columns: int) -> DataFrame:
     err = (F.when(F.size("missing") > 0, F.concat(F.lit("STTM sheet is missing required columns: "),
                                                   F.array_join("missing", ", ")))
            .when(F.col("too_wide"), F.lit(f"STTM sheet has {max_columns} or more columns")))
-    return h.select("file", err.alias("error")).where(F.col("error").isNotNull())
+    return (numbered.where(F.col("row_no") == 1).select("file", err.alias("error"))
+            .where(F.col("error").isNotNull()))
+
+
+def sheet_file_errors(spark: SparkSession, path: str, max_columns: int = MAX_SHEET_COLUMNS) -> DataFrame:
+    """(file, error) for sheets that lack a required column or are too wide."""
+    return _errors(_numbered(_raw_records(spark, path, max_columns), max_columns), max_columns)
 
 
 def read_sheet_records(spark: SparkSession, path: str, strict: bool = True,
@@ -66,24 +72,27 @@ def read_sheet_records(spark: SparkSession, path: str, strict: bool = True,
     file mapped through its own header, with the spreadsheet row number
     (record index + 2, i.e. the record number counting the header).
 
-    `strict`: raise when a file lacks a required column (one job over the
-    sheets, which are bounded uploads); else such files are left out and
-    reported by `sheet_file_errors`."""
-    recs = _raw_records(spark, path, max_columns)
-    headers = _headers(recs, max_columns)
+    `strict`: raise when a file lacks a required column (one more pass over
+    the sheets, which are bounded uploads); else such files are left out
+    and reported by `sheet_file_errors`."""
+    numbered = _numbered(_raw_records(spark, path, max_columns), max_columns)
     if strict:
-        bad = sheet_file_errors(spark, path, max_columns).limit(20).collect()
+        bad = _errors(numbered, max_columns).limit(20).collect()
         if bad:
             raise SheetError("; ".join(f"{r.file}: {r.error}" for r in bad))
-    good = headers.where((F.size("missing") == 0) & ~F.col("too_wide")).select("file", "names")
-    data = recs.where(F.col("rec_no") > 1).join(good, "file")
+    data = numbered.where((F.col("row_no") > 1) & (F.size("missing") == 0) & ~F.col("too_wide"))
+    keys = ["sheet_id"] if "sheet_id" in data.columns else []
 
-    def canon(c: str):
+    def cell(c: str):
         pos = F.array_position(F.col("names"), F.lit(c)).cast("int")
-        v = F.when(pos > 0, F.element_at(F.col("cells"), F.greatest(pos, F.lit(1))))
+        return F.when(pos > 0, F.element_at(F.col("cells"), F.greatest(pos, F.lit(1)))).alias(c)
+
+    def canon(c: str):
+        v = F.col(c)
         return F.when(v.isNull() | v.isin(PANDAS_NA_VALUES), F.lit("")).otherwise(py_strip(v)).alias(c)
-    keys = ["sheet_id"] if "sheet_id" in data.columns else []
-    return data.select(*keys, *[canon(c) for c in MAPPING_COLUMNS], "file", F.col("rec_no").alias("row_no"))
+    # two projections: each cell is looked up once, then cleaned
+    cells = data.select(*keys, "file", "row_no", *[cell(c) for c in MAPPING_COLUMNS])
+    return cells.select(*keys, *[canon(c) for c in MAPPING_COLUMNS], "file", "row_no")
 
 
 def mapping_rows_from_records(records: DataFrame) -> DataFrame:

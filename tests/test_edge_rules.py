@@ -145,3 +145,16 @@ def test_schema_doc_whitespace_like_python(spark):
     docs = spark.createDataFrame([("d", doc)], "doc_id string, text string")
     got = [(r.column_name, r.type, r.nullable, r.description) for r in parse_schema_docs(docs).orderBy("ordinal").collect()]
     assert got == [("a", "INT", True, ""), ("b", "TEXT", False, ""), ("c", "DATE", True, "d")]
+
+
+def test_catalog_columns_feed_schema_drift(spark):
+    from maplift.operators.validate import schema_drift
+    from maplift.sources.catalog import catalog_columns
+    live = catalog_columns(spark, {"raw.p": spark.createDataFrame([(1, "a")], "id int, name string")})
+    assert [(r.ordinal, r.column_name, r.type) for r in live.orderBy("ordinal").collect()] == \
+        [(1, "id", "INTEGER"), (2, "name", "VARCHAR")]
+    declared = spark.createDataFrame([(0, "raw.p", 1, "id"), (0, "raw.p", 2, "zip"), (0, "raw.p", 3, "age")],
+                                     "sheet_id bigint, table_name string, ordinal int, column_name string")
+    drift = schema_drift(declared, live.withColumn("sheet_id", F.lit(0).cast("bigint"))).collect()
+    assert [(r.missing_columns, r.message) for r in drift] == [
+        ("zip, age", "Schema MD lists columns not present in live table raw.p: zip, age")]

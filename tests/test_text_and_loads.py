@@ -97,3 +97,18 @@ def test_require_run(spark):
     assert require_run(runs, "run_7")["status"] == "succeeded"
     with pytest.raises(LookupError):
         require_run(runs, "run_does_not_exist")
+
+
+def test_sheet_file_errors_and_lax_read(spark):
+    from maplift.sources.mapping_sheet import sheet_file_errors
+    path = fresh_path(spark, "test_sheet_mixed")
+    os.makedirs(path + "/sheet_id=1")
+    os.makedirs(path + "/sheet_id=2")
+    with open(path + "/sheet_id=1/a.csv", "w") as f:
+        f.write("Target Table,Source Field,Target Field\nt,a,x\n")
+    with open(path + "/sheet_id=2/b.csv", "w") as f:
+        f.write("Source Field,Target Field\nb,y\n")
+    errs = [(r.file.rsplit("/", 2)[-2], r.error) for r in sheet_file_errors(spark, path).collect()]
+    assert errs == [("sheet_id=2", "STTM sheet is missing required columns: target_table")]
+    rows = [(r.sheet_id, r.source_field, r.target_table) for r in read_sheet_records(spark, path, strict=False).collect()]
+    assert rows == [(1, "a", "t")]

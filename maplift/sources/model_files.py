@@ -12,11 +12,25 @@ from maplift.functions.text import PY_WS, py_strip  # noqa: F401  (PY_WS re-expo
 from maplift.model import DEFAULT_SOURCE_SCHEMA, MSG_NO_SELECT
 from maplift.sources.tables import REF_PATTERN
 
-# A `config { ... }` block with up to two inner brace levels.
-CONFIG_BLOCK = r"config\s*\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
-# The same, anchored, with possessive loops: the JVM regex engine then runs
-# in constant stack depth however long the text is.
-CONFIG_BODY_AT_START = r"^(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
+# Inner brace levels a `config { ... }` block may nest (a regular pattern
+# cannot count braces; deeper blocks are left in place, as unbalanced ones are).
+CONFIG_MAX_DEPTH = 4
+
+
+def _nested(depth: int, possessive: bool) -> str:
+    """A `{...}` group nesting up to `depth` inner levels."""
+    plus, star = ("++", "*+") if possessive else ("", "*")
+    g = r"\{[^{}]" + star + r"\}"
+    for _ in range(depth - 1):
+        g = r"\{(?:[^{}]" + plus + "|" + g + ")" + star + r"\}"
+    return g
+
+
+# A whole `config { ... }` block (RE2 / Java); and the block body matched at
+# the start of the text after `config {`, with possessive loops: the JVM
+# regex engine then runs in constant stack depth however long the text is.
+CONFIG_BLOCK = r"config\s*\{(?:[^{}]|" + _nested(CONFIG_MAX_DEPTH, False) + r")*\}"
+CONFIG_BODY_AT_START = r"^(?:[^{}]++|" + _nested(CONFIG_MAX_DEPTH, True) + r")*+\}"
 JS_BLOCK = r"js\s*\{[^}]*\}"
 DOTTED_REF = r"""\$\{\s*ref\(\s*['"]([\w]*\.[\w.]*)['"]\s*\)\s*\}"""
 BARE_REF = r"""\$\{\s*ref\(\s*['"](\w+)['"]\s*\)\s*\}"""

@@ -112,10 +112,10 @@ def slot_filter(keys: DataFrame, key: str, bits: int = SLOT_BITS) -> bytes:
     parts = (keys.select(F.shiftright(slot, _CHUNK_BITS).cast("int").alias("chunk"),
                          slot.bitwiseAND(F.lit((1 << _CHUNK_BITS) - 1)).cast("int").alias("bit"))
              .mapInArrow(_partial_bitmaps, "chunk int, bits binary")
-             .groupBy("chunk").agg(F.collect_list("bits").alias("parts")))
+             .repartition("chunk").mapInArrow(_merged_bitmaps, "chunk int, bits binary"))
     out = np.zeros(chunks << (_CHUNK_BITS - 3), np.uint8)
     step = 1 << (_CHUNK_BITS - 3)
-    for row in parts.mapInArrow(_merged_bitmaps, "chunk int, bits binary").toLocalIterator():
+    for row in parts.collect():  # at most 2**bits bits
         out[row.chunk * step: (row.chunk + 1) * step] |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
     return out.tobytes()
 
@@ -134,13 +134,15 @@ def _partial_bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _merged_bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    maps: dict[int, np.ndarray] = {}
     for b in batches:
-        for c, parts in zip(b.column(0).to_pylist(), b.column(1)):
-            m = np.zeros(1 << (_CHUNK_BITS - 3), np.uint8)
-            for p in parts:
-                m |= np.frombuffer(zlib.decompress(p.as_py()), np.uint8)
-            yield pa.record_batch([pa.array([c], pa.int32()), pa.array([zlib.compress(m.tobytes(), 1)], pa.binary())],
-                                  names=["chunk", "bits"])
+        for c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            part = np.frombuffer(zlib.decompress(raw), np.uint8)
+            maps[c] = maps[c] | part if c in maps else part
+    if maps:
+        yield pa.record_batch([pa.array(list(maps), pa.int32()),
+                               pa.array([zlib.compress(m.tobytes(), 1) for m in maps.values()], pa.binary())],
+                              names=["chunk", "bits"])
 
 
 def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -149,16 +151,26 @@ def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def id_slot(col: str | Column) -> Column:
-    """Well-mixed long of an id, for slot filters over ids."""
-    return F.xxhash64(F.col(col) if isinstance(col, str) else col)
+ID_SLOTS = 1 << 20
 
 
-def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id may be in ``ids`` (a superset, by slot).
+def _slot(col: str) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(ID_SLOTS))
 
-    The set of slots is bounded (2**20 longs, 8 MB), whatever the input.
-    """
-    slot = F.pmod(id_slot("doc_id"), F.lit(1 << 20))
-    slots = ids.select(slot.alias("_slot")).distinct()
-    return docs.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+
+def _slots(ids: DataFrame, col: str) -> DataFrame:
+    """The slots of ids: at most ID_SLOTS longs (8 MB), whatever the input, so they may be broadcast."""
+    return F.broadcast(ids.where(F.col(col).isNotNull()).select(_slot(col).alias("_slot")).distinct())
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id may be in ``ids`` (a superset, by slot), without a shuffle of ``docs``."""
+    return docs.withColumn("_slot", _slot(col)).join(_slots(ids, col), "_slot", "left_semi").drop("_slot")
+
+
+def by_slot(docs: DataFrame, ids: DataFrame, col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be in ``ids``, rows whose id is not): only the first need a join on the id."""
+    slots = _slots(ids, col)
+    keyed = docs.withColumn("_slot", F.when(F.col(col).isNotNull(), _slot(col)))
+    return (keyed.join(slots, "_slot", "left_semi").drop("_slot"),
+            keyed.join(slots, "_slot", "left_anti").drop("_slot"))

@@ -19,15 +19,15 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maplift.llm.common import only_ids, staged
+from maplift.llm.common import staged
 
 #: Summed set sizes of a block, and its number of nodes, as averages.
 BLOCK_SIZE, BLOCK_NODES = 1 << 16, 256
 
-#: rows of one group: (role, node, texts) -> pairs of linked nodes
+#: (nodes, texts) of the two sides of a group -> pairs of linked nodes; equal sides are one and the same list
 Verify = Callable[[list[bytes], list[str], list[bytes], list[str]], list[tuple[bytes, bytes]]]
 
 
@@ -57,69 +57,65 @@ def components(edges: DataFrame) -> DataFrame:
     return staged(lab.union(lab.select(F.col("label").alias("node"), "label").distinct()).distinct(), "labels")
 
 
-def _blocked(rows: DataFrame, by: str, out: str) -> DataFrame:
-    """Number of blocks of each group ``by`` from the summed sizes and counts of its nodes."""
-    return rows.groupBy(by).agg(F.ceil(F.greatest(F.sum("size") / F.lit(BLOCK_SIZE),
-                                                  F.count("*") / F.lit(BLOCK_NODES))).cast("long").alias(out))
+def block_count() -> Column:
+    """Number of blocks of a group, from the summed sizes and the number of its nodes."""
+    return F.ceil(F.greatest(F.sum("size") / F.lit(BLOCK_SIZE), F.count("*") / F.lit(BLOCK_NODES))).cast("long")
 
 
-def _block(node: str, n: str):
+def block_of(node: str, n: str) -> Column:
     return F.pmod(F.xxhash64(F.col(node), F.lit(17)), F.col(n))
 
 
-def checked(rows: DataFrame, docs: DataFrame, verify: Verify, name: str) -> DataFrame:
-    """Links (a, b) found among groups ``gid``; rows: gid, role, node, rep.
+def checked(rows: DataFrame, texts: DataFrame, verify: Verify, name: str) -> DataFrame:
+    """Links (a, b) found among groups ``gid``; rows: gid, role, node; texts: node, text.
 
     role 0 rows are compared with role 1 rows; role 2 rows with one another.
-    ``rep`` is the doc_id whose text holds the node.
     """
-    texts = only_ids(docs, rows.select(F.col("rep").alias("doc_id")))
-    placed = (rows.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-              .repartition("gid").sortWithinPartitions("gid")
+    placed = (rows.join(texts, "node").repartition("gid").sortWithinPartitions("gid")
               .select("gid", "role", "node", "text"))
-    typ = dict(rows.dtypes)["node"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream():
             for b in batches:
                 yield from zip(*(c.to_pylist() for c in b.columns))
         for _, group in groupby(stream(), key=lambda r: r[0]):
-            sides: tuple[dict, dict, dict] = ({}, {}, {})
+            sides: tuple[set, set, set] = (set(), set(), set())
             for _, role, node, text in group:
-                sides[role].setdefault(node, set()).add(text)
-            left, right = sides[0], sides[1]
-            if sides[2]:
-                left = right = sides[2]
-            flat = [[(n, t) for n, ts in s.items() for t in sorted(ts)] for s in (left, right)]
-            found = verify([n for n, _ in flat[0]], [t for _, t in flat[0]],
-                           [n for n, _ in flat[1]], [t for _, t in flat[1]])
+                sides[role].add((node, text))
+            left = sorted(sides[2] or sides[0])
+            right = left if sides[2] else sorted(sides[1])
+            a, at = [n for n, _ in left], [t for _, t in left]
+            found = verify(a, at, a, at) if sides[2] else verify(a, at, [n for n, _ in right], [t for _, t in right])
             if found:
                 yield pa.record_batch([pa.array([x[0] for x in found], pa.binary()),
                                        pa.array([x[1] for x in found], pa.binary())], names=["a", "b"])
 
-    return staged(placed.mapInArrow(run, f"a {typ}, b {typ}"), name)
+    return staged(placed.mapInArrow(run, "a binary, b binary"), name)
 
 
-def star_links(members: DataFrame, docs: DataFrame, verify: Verify, ratio: float) -> DataFrame:
-    """Links between each key's smallest node and the others; members: key, node, size, rep.
+def group_blocks(pairs: DataFrame) -> DataFrame:
+    """Rows for ``checked`` from pairs (center, node, size): a center's nodes in blocks, the center with each."""
+    n = pairs.groupBy("center").agg(block_count().alias("n"))
+    pairs = pairs.join(n, "center").withColumn("gid", F.xxhash64("center", block_of("node", "n")))
+    return (pairs.select("gid", F.lit(1).alias("role"), "node")
+            .union(pairs.select("gid", F.lit(0).alias("role"), F.col("center").alias("node")).distinct()))
+
+
+def star_links(members: DataFrame, texts: DataFrame, verify: Verify, ratio: float) -> DataFrame:
+    """Links between each key's smallest node and the others; members: key, node, size.
 
     ``ratio``: sizes further apart cannot be linked.
     """
     low = members.groupBy("key").agg(F.min("node").alias("center"))
     pairs = staged(members.join(low, "key").where("node <> center")
-                   .groupBy("center", "node").agg(F.min("size").alias("size"), F.min("rep").alias("rep")), "star")
-    nodes = members.groupBy(F.col("node").alias("center")).agg(F.min("size").alias("csize"), F.min("rep").alias("crep"))
+                   .groupBy("center", "node").agg(F.min("size").alias("size")), "star")
+    nodes = members.groupBy(F.col("node").alias("center")).agg(F.min("size").alias("csize"))
     pairs = (pairs.join(nodes, "center")
              .where(F.least("size", "csize") >= F.greatest("size", "csize") * F.lit(ratio)))
-    nb = _blocked(pairs, "center", "n")
-    pairs = pairs.join(nb, "center").withColumn("gid", F.xxhash64("center", _block("node", "n")))
-    rows = (pairs.select("gid", F.lit(1).alias("role"), "node", "rep")
-            .union(pairs.select("gid", F.lit(0).alias("role"), F.col("center").alias("node"), F.col("crep").alias("rep"))
-                   .distinct()))
-    return checked(rows, docs, verify, "star-links")
+    return checked(group_blocks(pairs), texts, verify, "star-links")
 
 
-def block_links(members: DataFrame, labels: DataFrame, docs: DataFrame, verify: Verify) -> DataFrame | None:
+def block_links(members: DataFrame, labels: DataFrame, texts: DataFrame, verify: Verify) -> DataFrame | None:
     """Links among the nodes of keys that still hold several groups beside their smallest node."""
     low = members.groupBy("key").agg(F.min("node").alias("center"))
     rest = (members.join(low, "key").where("node <> center").join(labels, "node", "left")
@@ -128,23 +124,23 @@ def block_links(members: DataFrame, labels: DataFrame, docs: DataFrame, verify:
                  .agg(F.min("label").alias("x"), F.max("label").alias("y"),
                       F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"), F.count("*").alias("c"))
                  .where("x <> y").groupBy("content", "c").agg(F.min("key").alias("key")))
-    rest = staged(rest.join(open_keys.select("key"), "key", "left_semi").select("key", "node", "size", "rep"), "open")
+    rest = staged(rest.join(open_keys.select("key"), "key", "left_semi").select("key", "node", "size"), "open")
     if rest.isEmpty():
         return None
-    rest = rest.join(_blocked(rest, "key", "n"), "key").withColumn("block", _block("node", "n"))
+    rest = rest.join(rest.groupBy("key").agg(block_count().alias("n")), "key").withColumn("block", block_of("node", "n"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")
     spread = rest.select("*", other).withColumn("gid", F.xxhash64(
         "key", F.least("block", "other"), F.greatest("block", "other")))
     rows = spread.select("gid", F.when(F.col("block") == F.col("other"), 2)
-                         .when(F.col("block") < F.col("other"), 0).otherwise(1).alias("role"), "node", "rep")
-    return checked(rows, docs, verify, "block-links")
+                         .when(F.col("block") < F.col("other"), 0).otherwise(1).alias("role"), "node")
+    return checked(rows, texts, verify, "block-links")
 
 
-def linked_groups(members: DataFrame, docs: DataFrame, verify: Verify, ratio: float) -> DataFrame:
+def linked_groups(members: DataFrame, texts: DataFrame, verify: Verify, ratio: float) -> DataFrame:
     """(node, label) of all nodes that have a link; others are absent."""
-    star = star_links(members, docs, verify, ratio)
+    star = star_links(members, texts, verify, ratio)
     labels = components(star)
-    more = block_links(members, labels, docs, verify)
+    more = block_links(members, labels, texts, verify)
     if more is None or more.isEmpty():
         return labels
     return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))

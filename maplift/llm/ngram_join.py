@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maplift.llm.common import id_slot, in_filter, prepare, slices, slot_filter, staged, text_bytes, texts_of
+from maplift.llm.common import in_filter, only_ids, prepare, slices, slot_filter, staged, text_bytes, texts_of
 from maplift.llm.linking import linked_groups, overlaps
 from maplift.llm.wordhash import U, join_hash, mix, set_id, shingle_sets, words_of
 
@@ -164,7 +164,9 @@ def similar_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         i, j = np.nonzero(den * inter >= num * union) if len(an) and len(bn) else ((), ())
         return [(an[x], bn[y]) for x, y in zip(i, j) if an[x] != bn[y]]
 
-    return linked_groups(members, docs, verify, num / den * (1 - 1e-9))
+    where = members.groupBy("node").agg(F.min("rep").alias("doc_id"))
+    texts = only_ids(docs, where).join(where, "doc_id").select("node", "text")
+    return linked_groups(members.drop("rep"), texts, verify, num / den * (1 - 1e-9))
 
 
 def ngram_jaccard_join(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -2,12 +2,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from maplift.llm.common import table
+from maplift.llm.decontaminate import benchmark_hits
+from maplift.llm.line_dedup import without_similar_lines
 from maplift.llm.ngram_join import ngram_jaccard_join
+from maplift.llm import oracles  # noqa: F401
 from maplift.llm.registry import LLM_ORACLE, LLM_QUERIES, query  # noqa: F401
 
 
 @query("op1_ngram_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+@query("op2_decontaminate")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.size("hits").cast("long")
+    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+                       (n_hit > 0).alias("contaminated"))
+
+
+@query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, removed lines and the digest of the text that is left."""
+    kept = without_similar_lines(table(spark, sf_dir, "documents"), num=80, den=100)
+    return kept.select("doc_id", "n_lines", "n_removed",
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

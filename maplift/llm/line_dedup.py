@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from maplift.llm.common import by_slot, in_filter, prepare, slices, slot_filter, staged, text_bytes, texts_of
 from maplift.llm.linking import block_count, block_of, checked, group_blocks, overlaps
@@ -295,7 +296,8 @@ def rewritten(df: DataFrame) -> DataFrame:
     at, gone = df.columns.index("text"), df.columns.index("_gone")
     names = [c for c in df.columns if c not in ("_gone", "n_lines", "n_removed")]
     keep = [df.columns.index(c) for c in names]
-    schema = df.select(names).schema.add("n_lines", "long").add("n_removed", "long")
+    schema = StructType([*df.select(names).schema.fields, StructField("n_lines", LongType()),
+                         StructField("n_removed", LongType())])
 
     def one(text: str | None, listed) -> tuple[str | None, int, int]:
         if text is None or not listed:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from maplift.llm.common import table
 from maplift.llm.decontaminate import benchmark_hits
+from maplift.llm.labelled import held_out
 from maplift.llm.line_dedup import without_similar_lines
 from maplift.llm.ngram_join import ngram_jaccard_join
 from maplift.llm import oracles  # noqa: F401
+from maplift.llm.toxicity import fit_toxicity, scored
 from maplift.llm.registry import LLM_ORACLE, LLM_QUERIES, query  # noqa: F401
 
 
@@ -32,3 +34,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_similar_lines(table(spark, sf_dir, "documents"), num=80, den=100)
     return kept.select("doc_id", "n_lines", "n_removed",
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit_toxicity(documents, table(spark, sf_dir, "labels"))
+    return scored(documents.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

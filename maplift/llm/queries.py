@@ -11,6 +11,7 @@ from maplift.llm.line_dedup import without_similar_lines
 from maplift.llm.ngram_join import ngram_jaccard_join
 from maplift.llm import oracles  # noqa: F401
 from maplift.llm.toxicity import fit_toxicity, scored
+from maplift.llm.quality import fit_quality
 from maplift.llm.registry import LLM_ORACLE, LLM_QUERIES, query  # noqa: F401
 
 
@@ -42,3 +43,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_toxicity(documents, table(spark, sf_dir, "labels"))
     return scored(documents.select("doc_id", "text"), model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit_quality(documents, table(spark, sf_dir, "labels"))
+    return scored(documents.select("doc_id", "text"), model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

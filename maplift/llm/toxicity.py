@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed n-grams (4 to 6 code points of the lower-cased text between blanks),
-counted once per document.  From the labelled sample each slot gets the ratio
+Features are hashed n-grams (4 to 6 code points of the lower-cased text, runs of ASCII
+punctuation read as one blank), counted once per document.  From the labelled sample each slot gets the ratio
 
     r = log((d1 + a * p1) / (p1 * (n + a))) - log((d0 + a * p0) / (p0 * (n + a)))
 
@@ -39,11 +39,28 @@ SMOOTH, MIN_Z, KEEP = 4.0, 4.0, 1 << 14
 PIECE = 1 << 19
 
 
+#: ASCII characters other than letters and digits read as a blank.
+_BLANK = np.array([not chr(i).isalnum() for i in range(128)])
+
+
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, lower-cased, runs of ASCII punctuation and space as one blank; ends of the texts)."""
+    texts = [f" {t.lower()} " for t in texts]
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    ends = np.cumsum([len(t) for t in texts])
+    low = chars < 128
+    blank = np.zeros(len(chars), bool)
+    blank[low] = _BLANK[chars[low]]
+    chars[blank] = 32
+    keep = np.ones(len(chars), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    keep[ends[:-1]] = True  # each text starts with a blank of its own
+    return chars[keep], np.cumsum(keep)[ends - 1]
+
+
 def gram_slots(texts: list[str], index: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, slot) pairs of all n-grams; ``index`` maps slots to kept features (or -1)."""
-    joined = "".join(f" {t.lower()} " for t in texts)
-    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    ends = np.cumsum([len(t.lower()) + 2 for t in texts])
+    chars, ends = letters(texts)
     found = []
     for lo in range(0, len(chars), PIECE):
         c = chars[lo: lo + PIECE + max(SIZES) - 1].astype(np.uint64)

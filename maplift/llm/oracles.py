@@ -45,3 +45,20 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
        sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
 """
+
+_ESCAPED = r"""regexp_replace(replace({0}, '\', '\\'), '([<\[])(s>|/s>|TURN |INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\\\2', 'g')"""
+
+LLM_ORACLE["op5_chat_format"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, length('[TURN ' || replace({_ESCAPED.format('role')}, ']', '\]') || ']' || chr(10) || {_ESCAPED.format('text')} || '</s>') AS n,
+             row_number() OVER w AS k, max(k0) OVER (PARTITION BY conv_id) AS last
+      FROM (SELECT *, row_number() OVER w AS k0 FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (SELECT *, 3 + sum(n) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM f)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       coalesce(sum(upto) FILTER (role = 'assistant' OR k = last), 0)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""

@@ -1,16 +1,19 @@
 """One registered query per operator, over its whole table."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maplift.llm.common import table
+from maplift.llm.chat_format import formatted, read_back
 from maplift.llm.decontaminate import benchmark_hits
 from maplift.llm.labelled import held_out
 from maplift.llm.line_dedup import without_similar_lines
 from maplift.llm.ngram_join import ngram_jaccard_join
 from maplift.llm import oracles  # noqa: F401
 from maplift.llm.toxicity import fit_toxicity, scored
+from maplift.llm.packing import packed
 from maplift.llm.quality import fit_quality
 from maplift.llm.registry import LLM_ORACLE, LLM_QUERIES, query  # noqa: F401
 
@@ -51,3 +54,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_quality(documents, table(spark, sf_dir, "labels"))
     return scored(documents.select("doc_id", "text"), model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
+
+
+@query("op5_chat_format")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    return read_back(formatted(turns.union(probe)))

@@ -48,7 +48,7 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
 
 _ESCAPED = r"""regexp_replace(replace({0}, '\', '\\'), '([<\[])(s>|/s>|TURN |INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\\\2', 'g')"""
 
-LLM_ORACLE["op5_chat_format"] = f"""
+LLM_ORACLE["op5_chat_format"] = rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 f AS (SELECT *, length('[TURN ' || replace({_ESCAPED.format('role')}, ']', '\]') || ']' || chr(10) || {_ESCAPED.format('text')} || '</s>') AS n,
@@ -62,3 +62,15 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        coalesce(sum(upto) FILTER (role = 'assistant' OR k = last), 0)::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+LLM_ORACLE["op6_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, {space_words(lower=False)} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS t FROM d, unnest(range(1, len(w) - 48)) u(i)),
+low AS (SELECT t, min(doc_id) AS low FROM win GROUP BY t HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, k FROM win JOIN low USING (t), unnest(range(i, i + 50)) u(k) WHERE doc_id > low),
+word AS (SELECT doc_id, k, w[k] AS x FROM d, unnest(range(1, len(w) + 1)) u(k)),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.k) AS t, count(*) AS n
+         FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.k = gone.k GROUP BY word.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

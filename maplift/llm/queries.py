@@ -12,6 +12,7 @@ from maplift.llm.labelled import held_out
 from maplift.llm.line_dedup import without_similar_lines
 from maplift.llm.ngram_join import ngram_jaccard_join
 from maplift.llm import oracles  # noqa: F401
+from maplift.llm.substring_dedup import without_repeated_passages
 from maplift.llm.toxicity import fit_toxicity, scored
 from maplift.llm.packing import packed
 from maplift.llm.quality import fit_quality
@@ -68,3 +69,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
     return read_back(formatted(turns.union(probe)))
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeated_passages(table(spark, sf_dir, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -12,6 +12,7 @@ from maplift.llm.labelled import held_out
 from maplift.llm.line_dedup import without_similar_lines
 from maplift.llm.ngram_join import ngram_jaccard_join
 from maplift.llm import oracles  # noqa: F401
+from maplift.llm.spotsigs import edited_likeness
 from maplift.llm.substring_dedup import without_repeated_passages
 from maplift.llm.toxicity import fit_toxicity, scored
 from maplift.llm.packing import packed
@@ -75,3 +76,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeated_passages(table(spark, sf_dir, "documents"), window=50)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op7_spotsigs")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))

@@ -16,6 +16,7 @@ from maplift.llm.spotsigs import edited_likeness
 from maplift.llm.substring_dedup import without_repeated_passages
 from maplift.llm.toxicity import fit_toxicity, scored
 from maplift.llm.packing import packed
+from maplift.llm.pii import KINDS, personal_data
 from maplift.llm.quality import fit_quality
 from maplift.llm.registry import LLM_ORACLE, LLM_QUERIES, query  # noqa: F401
 
@@ -81,3 +82,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_spotsigs")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the digest are of the base spans; ``spans`` has all."""
+    found = personal_data(table(spark, sf_dir, "documents"))
+
+    def joined(col: str):
+        return F.concat_ws(",", F.transform(col, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"),
+                        joined("spans").alias("spans"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maplift.llm.common import in_filter, only_ids, prepare, slices, slot_filter, staged, text_bytes, texts_of
+from maplift.llm.common import by_slot, in_filter, only_ids, prepare, slices, slot_filter, staged, text_bytes, texts_of
 from maplift.llm.linking import linked_groups, overlaps
 from maplift.llm.wordhash import U, join_hash, mix, set_id, shingle_sets, words_of
 
@@ -186,3 +186,21 @@ def ngram_jaccard_join(documents: DataFrame, words: int = 5, num: int = 80, den:
     return (sets.join(least, "node", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
+
+
+def without_near_duplicates(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One document of each group of linked ones (the smallest doc_id), all columns kept.
+
+    Of rows that repeat a doc_id with the same text one stays; rows with a null doc_id stay.  Only documents
+    that may go are moved.
+    """
+    found = staged(ngram_jaccard_join(documents, words, num, den), "groups")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = staged(gone.withColumn("gone", F.lit(True)).join(again.withColumn("again", F.lit(True)), "doc_id", "full"), "gone")
+    keyed = documents.withColumn("_id", F.col("doc_id").cast("long"))
+    touched, rest = by_slot(keyed, gone.select(F.col("doc_id").alias("_id")), "_id")
+    touched = touched.join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left").where("gone is null")
+    once = touched.where("again").dropDuplicates(["_id", "text"])
+    return rest.select(documents.columns).union(
+        touched.where("again is null").union(once).select(documents.columns))

@@ -101,35 +101,50 @@ def group_blocks(pairs: DataFrame) -> DataFrame:
             .union(pairs.select("gid", F.lit(0).alias("role"), F.col("center").alias("node")).distinct()))
 
 
-def star_links(members: DataFrame, texts: DataFrame, verify: Verify, ratio: float) -> DataFrame:
-    """Links between each key's smallest node and the others; members: key, node, size.
+def tails_of(members: DataFrame) -> DataFrame:
+    """(key, center, csize, node, size): the nodes of each key beside its smallest one; keys of one node vanish."""
+    low = members.groupBy("key").agg(F.min(F.struct("node", "size")).alias("low"))
+    return staged(members.join(low, "key").where("node <> low.node").select(
+        "key", F.col("low.node").alias("center"), F.col("low.size").alias("csize"), "node", "size"), "tails")
 
-    ``ratio``: sizes further apart cannot be linked.
-    """
-    low = members.groupBy("key").agg(F.min("node").alias("center"))
-    pairs = staged(members.join(low, "key").where("node <> center")
-                   .groupBy("center", "node").agg(F.min("size").alias("size")), "star")
-    nodes = members.groupBy(F.col("node").alias("center")).agg(F.min("size").alias("csize"))
-    pairs = (pairs.join(nodes, "center")
-             .where(F.least("size", "csize") >= F.greatest("size", "csize") * F.lit(ratio)))
+
+def star_links(tails: DataFrame, texts: DataFrame, verify: Verify, ratio: float) -> DataFrame:
+    """Links between each key's smallest node and the others; ``ratio``: sizes further apart cannot be linked."""
+    near = F.least("size", "csize") >= F.greatest("size", "csize") * F.lit(ratio)
+    pairs = staged(tails.where(near).groupBy("center", "node").agg(F.min("size").alias("size")), "star")
     return checked(group_blocks(pairs), texts, verify, "star-links")
 
 
-def block_links(members: DataFrame, labels: DataFrame, texts: DataFrame, verify: Verify) -> DataFrame | None:
+def block_links(tails: DataFrame, labels: DataFrame, texts: DataFrame, verify: Verify) -> DataFrame | None:
     """Links among the nodes of keys that still hold several groups beside their smallest node."""
-    low = members.groupBy("key").agg(F.min("node").alias("center"))
-    rest = (members.join(low, "key").where("node <> center").join(labels, "node", "left")
-            .withColumn("label", F.coalesce("label", "node")))
+    rest = tails.select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_keys = (rest.groupBy("key")
                  .agg(F.min("label").alias("x"), F.max("label").alias("y"),
                       F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"), F.count("*").alias("c"))
                  .where("x <> y").groupBy("content", "c").agg(F.min("key").alias("key")))
-    rest = staged(rest.join(open_keys.select("key"), "key", "left_semi").select("key", "node", "size"), "open")
+    rest = staged(tails.select("key", "node", "size").join(open_keys.select("key"), "key", "left_semi"), "open")
     if rest.isEmpty():
         return None
     return checked(_within(_grouped(rest)), texts, verify, "block-links")
 
 
+def forest(pairs: Iterable[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """Of the links found in a task those that connect groups not yet connected: fewer than nodes."""
+    up: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+    out = []
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
     """(g, node, size): the groups whose nodes are compared with one another.
 
@@ -159,10 +174,10 @@ def _within(rows: DataFrame) -> DataFrame:
 
 
 def linked_groups(members: DataFrame, texts: DataFrame, verify: Verify, ratio: float) -> DataFrame:
-    """(node, label) of all nodes that have a link; others are absent."""
-    star = star_links(members, texts, verify, ratio)
-    labels = components(star)
-    more = block_links(members, labels, texts, verify)
+    """(node, label) of all nodes that have a link; others are absent. members: key, node, size."""
+    tails = tails_of(members)
+    labels = components(star_links(tails, texts, verify, ratio))
+    more = block_links(tails, labels, texts, verify)
     if more is None or more.isEmpty():
         return labels
     return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maplift.llm.common import by_slot, in_filter, only_ids, prepare, slices, slot_filter, staged, text_bytes, texts_of
-from maplift.llm.linking import linked_groups, overlaps
+from maplift.llm.linking import forest, linked_groups, overlaps
 from maplift.llm.wordhash import U, join_hash, mix, set_id, shingle_sets, words_of
 
 #: Bands grow by (den / num) ** BAND_POWER.
@@ -144,10 +144,8 @@ def similar_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     shared = _signature_rows(docs, words, num, den).groupBy("key").count().where("count > 1").select("key")
     wanted = spark.sparkContext.broadcast(slot_filter(shared, "key"))
-    rows = staged(_signature_rows(docs, words, num, den, wanted)
-                  .groupBy("key", "node", "size").agg(F.min("rep").alias("rep")), "signatures")
-    keys = rows.groupBy("key").count().where("count > 1").select("key")
-    members = staged(rows.join(keys, "key", "left_semi"), "members")
+    members = staged(_signature_rows(docs, words, num, den, wanted)
+                     .groupBy("key", "node", "size").agg(F.min("rep").alias("rep")), "signatures")
 
     def verify(a: list[bytes], at: list[str], b: list[bytes], bt: list[str]) -> list[tuple[bytes, bytes]]:
         def sets(nodes, texts):
@@ -162,7 +160,7 @@ def similar_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         inter = overlaps(as_, bs)
         union = np.array([len(s) for s in as_])[:, None] + np.array([len(s) for s in bs])[None, :] - inter
         i, j = np.nonzero(den * inter >= num * union) if len(an) and len(bn) else ((), ())
-        return [(an[x], bn[y]) for x, y in zip(i, j) if an[x] != bn[y]]
+        return forest((an[x], bn[y]) for x, y in zip(i, j) if an[x] != bn[y])
 
     where = members.groupBy("node").agg(F.min("rep").alias("doc_id"))
     texts = only_ids(docs, where).join(where, "doc_id").select("node", "text")

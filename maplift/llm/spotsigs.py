@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maplift.llm.common import only_ids, prepare, slices, staged, text_bytes, texts_of
-from maplift.llm.linking import linked_groups
+from maplift.llm.linking import forest, linked_groups
 from maplift.llm.ngram_join import bands_of
 from maplift.llm.wordhash import U, join_hash, mix, ngrams, set_id, words_of
 
@@ -142,9 +142,6 @@ def similar_documents(documents: DataFrame, num: int = 80, den: int = 100, ancho
     rows = staged(docs.mapInArrow(run, "key long, node binary, size long, rep long")
                   .groupBy("key", "node", "size").agg(F.min("rep").alias("rep")), "spots")
     low = staged(rows.groupBy("node").agg(F.min("rep").alias("doc_id")), "spot-sets")
-    members = staged(rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").drop("rep"),
-                     "spot-members")
-    used = low.join(members.select("node").distinct(), "node", "left_semi")
 
     def verify(a: list[bytes], at: list[str], b: list[bytes], bt: list[str]) -> list[tuple[bytes, bytes]]:
         def sets(nodes, texts):
@@ -153,11 +150,11 @@ def similar_documents(documents: DataFrame, num: int = 80, den: int = 100, ancho
         left = sets(a, at)
         right = left if a is b else sets(b, bt)
         least = num / den
-        return [(x, y) for x, s in left.items() for y, t in right.items()
-                if (x < y or a is not b) and x != y and likeness(s, t, least) >= least]
+        return forest((x, y) for x, s in left.items() for y, t in right.items()
+                      if (x < y or a is not b) and x != y and likeness(s, t, least) >= least)
 
-    texts = only_ids(docs, used).join(used, "doc_id").select("node", "text")
-    labels = linked_groups(members, texts, verify, num / den * (1 - 1e-9))
+    texts = only_ids(docs, low).join(low, "doc_id").select("node", "text")
+    labels = linked_groups(rows.drop("rep"), texts, verify, num / den * (1 - 1e-9))
     group = low.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     group = group.join(group.groupBy("label").agg(F.min("doc_id").alias("group")), "label").select("node", "group")
 

@@ -65,6 +65,22 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def _field(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(documents: DataFrame) -> DataFrame:
+    """(rest, text, doc_id): all columns but text in a struct, out of the way of an operator's own names."""
+    rest = F.struct(*(F.col(_field(c)).alias(c) for c in documents.columns if c != "text"))
+    return documents.select(rest.alias("rest"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+
+
+def restored(df: DataFrame, columns: list[str], *added: str) -> DataFrame:
+    """The columns of ``carried`` under their names and in their order, and added ones (in place of columns so named)."""
+    own = [c for c in columns if c not in added]
+    return df.select(*(F.col("text") if c == "text" else F.col(f"rest.{_field(c)}").alias(c) for c in own), *added)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of at most ``limit`` bytes of text (or one row)."""
     n = batch.num_rows

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from maplift.llm.common import by_slot, in_filter, prepare, slices, slot_filter, staged, text_bytes, texts_of
+from maplift.llm.common import by_slot, carried, in_filter, prepare, restored, slices, slot_filter, staged, text_bytes, texts_of
 from maplift.llm.linking import block_count, block_of, checked, group_blocks, overlaps
 from maplift.llm.wordhash import U, Words, mix, words_of
 
@@ -202,7 +202,10 @@ def _matched(docs: DataFrame, lines: DataFrame, first: DataFrame, num: int, den:
     posts = staged(posts, "prefixes")
     keys = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = staged(posts.join(keys, "key", "left_semi"), "members")
-    texts = staged(_line_texts(docs, members), "line-texts")
+    lines_ = staged(_line_texts(docs, members), "line-texts")
+
+    def texts(rows: DataFrame) -> DataFrame:
+        return rows.join(lines_, "node")
     verify = _verify(num, den)
 
     low = members.groupBy("key").agg(F.min("node").alias("center"))
@@ -285,18 +288,16 @@ def without_similar_lines(documents: DataFrame, num: int = 80, den: int = 100) -
     _, gone = later_matches(docs, num, den)
     lists = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "node")).alias("_gone"))
     lists = staged(lists, "gone")
-    touched, rest = by_slot(documents, lists)
+    touched, rest = by_slot(carried(documents), lists)
     touched = touched.join(lists, "doc_id", "left")
     rest = rest.withColumn("_gone", F.lit(None).cast("array<struct<line:int,node:binary>>"))
-    return rewritten(rest.unionByName(touched))
+    return restored(rewritten(rest.unionByName(touched)), documents.columns, "n_lines", "n_removed")
 
 
 def rewritten(df: DataFrame) -> DataFrame:
-    """Drop the lines listed in ``_gone`` (number and class; another row's list does not apply)."""
-    at, gone = df.columns.index("text"), df.columns.index("_gone")
-    names = [c for c in df.columns if c not in ("_gone", "n_lines", "n_removed")]
-    keep = [df.columns.index(c) for c in names]
-    schema = StructType([*df.select(names).schema.fields, StructField("n_lines", LongType()),
+    """Drop the lines listed in ``_gone`` (number and class; another row's list does not apply) from ``text``."""
+    df = df.select("rest", "text", "_gone")
+    schema = StructType([*df.select("rest", "text").schema.fields, StructField("n_lines", LongType()),
                          StructField("n_removed", LongType())])
 
     def one(text: str | None, listed) -> tuple[str | None, int, int]:
@@ -313,8 +314,8 @@ def rewritten(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [one(t, g) for t, g in zip(b.column(at).to_pylist(), b.column(gone).to_pylist())]
-            cols = [pa.array([g[0] for g in got], b.column(i).type) if i == at else b.column(i) for i in keep]
-            yield pa.record_batch(cols + [pa.array([g[1] for g in got], pa.int64()),
-                                          pa.array([g[2] for g in got], pa.int64())], names=names + ["n_lines", "n_removed"])
+            got = [one(t, g) for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.record_batch([b.column(0), pa.array([g[0] for g in got], pa.string()),
+                                   pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())],
+                                  names=["rest", "text", "n_lines", "n_removed"])
     return df.mapInArrow(run, schema)

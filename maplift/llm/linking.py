@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maplift.llm.common import staged
+from maplift.llm.common import only_ids, staged
 
 #: Summed set sizes of a block, and its number of nodes, as averages.
 BLOCK_SIZE, BLOCK_NODES = 1 << 18, 512
@@ -57,6 +57,10 @@ def components(edges: DataFrame) -> DataFrame:
     return staged(lab.union(lab.select(F.col("label").alias("node"), "label").distinct()).distinct(), "labels")
 
 
+#: adds ``text`` to rows with ``node``
+Texts = Callable[[DataFrame], DataFrame]
+
+
 def block_count() -> Column:
     """Number of blocks of a group, from the summed sizes and the number of its nodes."""
     return F.ceil(F.greatest(F.sum("size") / F.lit(BLOCK_SIZE), F.count("*") / F.lit(BLOCK_NODES))).cast("long")
@@ -66,12 +70,20 @@ def block_of(node: str, n: str) -> Column:
     return F.pmod(F.xxhash64(F.col(node), F.lit(17)), F.col(n))
 
 
-def checked(rows: DataFrame, texts: DataFrame, verify: Verify, name: str) -> DataFrame:
-    """Links (a, b) found among groups ``gid``; rows: gid, role, node; texts: node, text.
+def texts_by_doc(docs: DataFrame, reps: DataFrame) -> Texts:
+    """Texts of nodes from the documents that hold them; reps: node, doc_id.  Only documents asked for are moved."""
+    def with_text(rows: DataFrame) -> DataFrame:
+        rows = rows.join(reps, "node")
+        return only_ids(docs, rows).join(rows, "doc_id")
+    return with_text
+
+
+def checked(rows: DataFrame, texts: Texts, verify: Verify, name: str) -> DataFrame:
+    """Links (a, b) found among groups ``gid``; rows: gid, role, node; ``texts`` adds each node's text.
 
     role 0 rows are compared with role 1 rows; role 2 rows with one another.
     """
-    placed = (rows.join(texts, "node").repartition("gid").sortWithinPartitions("gid")
+    placed = (texts(rows).repartition("gid").sortWithinPartitions("gid")
               .select("gid", "role", "node", "text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,14 +120,14 @@ def tails_of(members: DataFrame) -> DataFrame:
         "key", F.col("low.node").alias("center"), F.col("low.size").alias("csize"), "node", "size"), "tails")
 
 
-def star_links(tails: DataFrame, texts: DataFrame, verify: Verify, ratio: float) -> DataFrame:
+def star_links(tails: DataFrame, texts: Texts, verify: Verify, ratio: float) -> DataFrame:
     """Links between each key's smallest node and the others; ``ratio``: sizes further apart cannot be linked."""
     near = F.least("size", "csize") >= F.greatest("size", "csize") * F.lit(ratio)
     pairs = staged(tails.where(near).groupBy("center", "node").agg(F.min("size").alias("size")), "star")
     return checked(group_blocks(pairs), texts, verify, "star-links")
 
 
-def block_links(tails: DataFrame, labels: DataFrame, texts: DataFrame, verify: Verify) -> DataFrame | None:
+def block_links(tails: DataFrame, labels: DataFrame, texts: Texts, verify: Verify) -> DataFrame | None:
     """Links among the nodes of keys that still hold several groups beside their smallest node."""
     rest = tails.select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_keys = (rest.groupBy("key")
@@ -173,7 +185,7 @@ def _within(rows: DataFrame) -> DataFrame:
                          .when(F.col("block") < F.col("other"), 0).otherwise(1).alias("role"), "node")
 
 
-def linked_groups(members: DataFrame, texts: DataFrame, verify: Verify, ratio: float) -> DataFrame:
+def linked_groups(members: DataFrame, texts: Texts, verify: Verify, ratio: float) -> DataFrame:
     """(node, label) of all nodes that have a link; others are absent. members: key, node, size."""
     tails = tails_of(members)
     labels = components(star_links(tails, texts, verify, ratio))

@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maplift.llm.common import by_slot, in_filter, only_ids, prepare, slices, slot_filter, staged, text_bytes, texts_of
-from maplift.llm.linking import forest, linked_groups, overlaps
+from maplift.llm.common import by_slot, carried, in_filter, prepare, restored, slices, slot_filter, staged, text_bytes, texts_of
+from maplift.llm.linking import forest, linked_groups, overlaps, texts_by_doc
 from maplift.llm.wordhash import U, join_hash, mix, set_id, shingle_sets, words_of
 
 #: Bands grow by (den / num) ** BAND_POWER.
@@ -162,9 +162,8 @@ def similar_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         i, j = np.nonzero(den * inter >= num * union) if len(an) and len(bn) else ((), ())
         return forest((an[x], bn[y]) for x, y in zip(i, j) if an[x] != bn[y])
 
-    where = members.groupBy("node").agg(F.min("rep").alias("doc_id"))
-    texts = only_ids(docs, where).join(where, "doc_id").select("node", "text")
-    return linked_groups(members.drop("rep"), texts, verify, num / den * (1 - 1e-9))
+    reps = members.groupBy("node").agg(F.min("rep").alias("doc_id"))
+    return linked_groups(members.drop("rep"), texts_by_doc(docs, reps), verify, num / den * (1 - 1e-9))
 
 
 def ngram_jaccard_join(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -196,9 +195,8 @@ def without_near_duplicates(documents: DataFrame, words: int = 5, num: int = 80,
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone = staged(gone.withColumn("gone", F.lit(True)).join(again.withColumn("again", F.lit(True)), "doc_id", "full"), "gone")
-    keyed = documents.withColumn("_id", F.col("doc_id").cast("long"))
-    touched, rest = by_slot(keyed, gone.select(F.col("doc_id").alias("_id")), "_id")
-    touched = touched.join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left").where("gone is null")
-    once = touched.where("again").dropDuplicates(["_id", "text"])
-    return rest.select(documents.columns).union(
-        touched.where("again is null").union(once).select(documents.columns))
+    touched, rest = by_slot(carried(documents), gone)
+    touched = touched.join(gone, "doc_id", "left").where("gone is null")
+    once = touched.where("again").dropDuplicates(["doc_id", "text"])
+    kept = touched.where("again is null").union(once).select("rest", "text")
+    return restored(rest.select("rest", "text").union(kept), documents.columns)

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maplift.llm.common import only_ids, prepare, slices, staged, text_bytes, texts_of
-from maplift.llm.linking import forest, linked_groups
+from maplift.llm.common import prepare, slices, staged, text_bytes, texts_of
+from maplift.llm.linking import forest, linked_groups, texts_by_doc
 from maplift.llm.ngram_join import bands_of
 from maplift.llm.wordhash import U, join_hash, mix, ngrams, set_id, words_of
 
@@ -153,8 +153,7 @@ def similar_documents(documents: DataFrame, num: int = 80, den: int = 100, ancho
         return forest((x, y) for x, s in left.items() for y, t in right.items()
                       if (x < y or a is not b) and x != y and likeness(s, t, least) >= least)
 
-    texts = only_ids(docs, low).join(low, "doc_id").select("node", "text")
-    labels = linked_groups(rows.drop("rep"), texts, verify, num / den * (1 - 1e-9))
+    labels = linked_groups(rows.drop("rep"), texts_by_doc(docs, low), verify, num / den * (1 - 1e-9))
     group = low.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     group = group.join(group.groupBy("label").agg(F.min("doc_id").alias("group")), "label").select("node", "group")
 

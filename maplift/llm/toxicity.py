@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from maplift.llm.common import prepare, slices
+from maplift.llm.common import carried, prepare, restored, slices
 from maplift.llm.labelled import labelled_sample
 from maplift.llm.wordhash import U, mix
 
@@ -192,4 +192,4 @@ def scored(documents: DataFrame, model, column: str = "score") -> DataFrame:
 def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score under ``threshold``, all columns kept."""
     model = fit_toxicity(documents, labels)
-    return scored(documents, model, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    return restored(scored(carried(documents), model).where(F.col("score") < threshold), documents.columns)

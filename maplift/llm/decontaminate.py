@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maplift.llm.common import prepare, staged, texts_of
+from maplift.llm.common import carried, prepare, restored, staged, texts_of
 
 #: Characters of benchmark text in one automaton (its nodes take some 30 times as many bytes of memory).
 BLOCK_CHARS = 1 << 20
@@ -143,19 +143,18 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int
     The scan runs on whole rows, so nothing is joined back: the text is scanned where it lies.
     """
     prepare(documents.sparkSession)
-    kept = documents
+    kept = carried(documents)
     for block in item_blocks(benchmark):
         kept = _filtered(kept, block, window)
-    return kept
+    return restored(kept, documents.columns)
 
 
-def _filtered(documents: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    known = documents.sparkSession.sparkContext.broadcast(items)
-    at = documents.columns.index("text")
+def _filtered(rows: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
+    known = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = build_automaton(known.value, window)
         for b in batches:
-            keep = [not scan(auto, t or "")[2] for t in b.column(at).to_pylist()]
+            keep = [not scan(auto, t or "")[2] for t in b.column(1).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
-    return documents.mapInArrow(run, documents.schema)
+    return rows.mapInArrow(run, rows.schema)

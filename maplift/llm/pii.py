@@ -7,7 +7,7 @@ character class.  It is trained by gradient ascent on the small table ``LABELLED
 numpy batches of lines.  It finds spellings that the patterns leave out, such as ``(555) 010-2345``,
 ``ann (at) example.org`` or ``10[.]0[.]0[.]7``; its spans are added where no pattern matched.
 
-A word of letters and common punctuation has one and the same shape, and a line of such words alone is
+A word of letters and common punctuation (no dot before a letter) has one and the same shape, and a line of such words alone is
 labelled O throughout, so only lines with other words are decoded.
 
 Defined results: null and empty texts have no spans; rows with a null or repeated doc_id are searched like any
@@ -46,6 +46,11 @@ mail {email:bob.lee [at] example.com} or come by
 contact {email:c_day(at)example.net} please
 ask {email:dora[at]example.org}, she knows
 send it to {email:eve@mail} soon
+{email:finn (at) example.net}, {email:gus (at) mail.example.com} and others
+so {email:hal [at] example.org}. Then
+end.Start of a sentence without a blank, e.g. this one
+the site www.example.org is open
+the file notes.txt or a.b here
 the host {ip:10[.]0[.]0[.]7} was down
 blocked {ip:192[.]168[.]1[.]44} again
 from {ip:172(.)16(.)4(.)9} to the gate
@@ -135,6 +140,8 @@ def _marks() -> np.ndarray:
 
 
 _UNUSUAL = _marks()
+_LETTER = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
+_INNER_DOT = re.compile(rb"\.[0-9A-Za-z\x80-\xff]")
 PLAIN = ("shape=w",)
 EDGE = ("shape=-",)
 
@@ -148,11 +155,12 @@ def features(word: str | None) -> tuple[str, ...]:
     """Features of a word itself; its neighbours take them as well, under other names."""
     if word is None:
         return EDGE
-    if not any(_UNUSUAL[b] for b in word.encode()):
+    raw = word.encode()
+    if not any(_UNUSUAL[b] for b in raw) and not _INNER_DOT.search(raw):
         return PLAIN
     core = word.rstrip(".,;:!?'\"|")
     digits = sum(c in "0123456789" for c in word)
-    return (f"shape={shape(core)}", f"digits={min(digits, 20)}", f"first={shape(core[:1])}", f"last={shape(core[-1:])}",
+    return (f"shape={shape(core)}", f"runs={re.sub('9+', '9', shape(core))}", f"digits={min(digits, 20)}", f"first={shape(core[:1])}", f"last={shape(core[-1:])}",
             "at" if "@" in core else "no at")
 
 
@@ -277,7 +285,9 @@ class Tagger:
         n = len(w.start)
         if not n:
             return []
-        unusual = np.append(0, np.cumsum(_UNUSUAL[buf]))
+        marked = _UNUSUAL[buf]
+        marked[:-1] |= (buf[:-1] == 0x2E) & _LETTER[buf[1:]]  # a dot within a word
+        unusual = np.append(0, np.cumsum(marked))
         odd = unusual[w.end] > unusual[w.start]
         doc = np.repeat(np.arange(len(off) - 1), np.diff(w.first))
         line = np.cumsum(buf == 10)[w.start]

@@ -169,27 +169,29 @@ def _regression(y: np.ndarray, f: np.ndarray, size: np.ndarray, ratio: np.ndarra
     return w * ratio, float(b)
 
 
-def scored(documents: DataFrame, model, column: str = "score") -> DataFrame:
-    """All columns of ``documents`` and the score of each whole text; works on a model with ``score(texts)``."""
-    known = documents.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in documents.columns if c != column]
-    df = documents.select(names)
-    at = names.index("text")
+def _scored(df: DataFrame, model) -> DataFrame:
+    """``carried`` rows with the score of each whole text."""
+    known = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
         for batch in batches:
-            filled = batch.set_column(at, "text", batch.column(at).fill_null(""))
+            filled = batch.set_column(1, "text", batch.column(1).fill_null(""))
             done = 0
             for b in slices(filled, limit=PIECE):
                 part = batch.slice(done, b.num_rows)
                 done += b.num_rows
-                got = model.score(b.column(at).to_pylist())
-                yield pa.record_batch([*part.columns, pa.array(got, pa.float64())], names=[*names, column])
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(column, DoubleType())]))
+                got = model.score(b.column(1).to_pylist())
+                yield pa.record_batch([*part.columns, pa.array(got, pa.float64())], names=["rest", "text", "doc_id", "score"])
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("score", DoubleType())]))
+
+
+def scored(documents: DataFrame, model) -> DataFrame:
+    """All columns of ``documents`` and the score of each whole text; works on any model with ``score(texts)``."""
+    return restored(_scored(carried(documents), model), documents.columns, "score")
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score under ``threshold``, all columns kept."""
     model = fit_toxicity(documents, labels)
-    return restored(scored(carried(documents), model).where(F.col("score") < threshold), documents.columns)
+    return restored(_scored(carried(documents), model).where(F.col("score") < threshold), documents.columns)

@@ -117,7 +117,7 @@ def word_counts(docs: DataFrame) -> np.ndarray:
 
     out = np.zeros(1 << COUNT_BITS, np.uint16)
     parts = docs.mapInArrow(partial, "chunk int, n binary").repartition("chunk").mapInArrow(summed, "chunk int, n binary")
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # at most 32 MB
         out[row.chunk * _CHUNK: (row.chunk + 1) * _CHUNK] = np.frombuffer(zlib.decompress(row.n), np.uint16)
     return out
 
@@ -195,13 +195,14 @@ def later_matches(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
 
 def _matched(docs: DataFrame, lines: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
     """(node, matched): classes with an earlier similar class."""
-    own = lines.where("size(keys) > 0").join(first.select("node", "doc_id", "line"), ["node", "doc_id", "line"], "left_semi")
-    posts = own.select("node", "doc_id", "line", "size", F.explode(F.arrays_zip("keys", "places")).alias("k")) \
-        .select(F.col("k.keys").alias("key"), F.col("k.places").alias("place"), "size",
-                ordered_node("doc_id", "line", "node").alias("node")).distinct()
-    posts = staged(posts, "prefixes")
-    keys = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = staged(posts.join(keys, "key", "left_semi"), "members")
+    # prefix words of several classes; the others are dropped where they lie
+    own = F.xxhash64("node")
+    shared = (lines.select(own.alias("h"), F.explode("keys").alias("key")).groupBy("key")
+              .agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"))
+    bits = docs.sparkSession.sparkContext.broadcast(slot_filter(shared, "key"))
+    posts = _postings(lines, bits).distinct()
+    pos = first.select("node", ordered_node("doc_id", "line", "node").alias("ordered"))
+    members = staged(posts.join(pos, "node").select("key", "place", "size", F.col("ordered").alias("node")), "members")
     lines_ = staged(_line_texts(docs, members), "line-texts")
 
     def texts(rows: DataFrame) -> DataFrame:
@@ -229,6 +230,22 @@ def _matched(docs: DataFrame, lines: DataFrame, first: DataFrame, num: int, den:
     return found.select(F.substring("node", 13, 16).alias("node"), F.lit(1).alias("matched"))
 
 
+def _postings(lines: DataFrame, bits) -> DataFrame:
+    """(node, size, key, place) of the prefix words in the slot filter."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(bits.value, np.uint8)
+        for b in batches:
+            keys, places = b.column(2), b.column(3)
+            key = keys.flatten().to_numpy()
+            n = np.diff(keys.offsets.to_numpy())
+            keep = in_filter(known, key)
+            row = pa.array(np.repeat(np.arange(b.num_rows), n)[keep])
+            yield pa.record_batch([b.column(0).take(row), b.column(1).take(row), pa.array(key[keep]),
+                                   pa.array(places.flatten().to_numpy()[keep])], names=["node", "size", "key", "place"])
+    return lines.where("size(keys) > 0").select("node", "size", "keys", "places").mapInArrow(
+        run, "node binary, size long, key long, place int")
+
+
 def ordered_node(doc_id: str, line: str, node: str):
     """12 bytes that order like (doc_id, line), then the class identity."""
     sign = F.col(doc_id).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))

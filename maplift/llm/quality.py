@@ -113,7 +113,7 @@ def _features(sample: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
                 yield pa.record_batch([b.column(0), pa.array([slots.tobytes()], pa.binary()),
                                        pa.array([np.concatenate([np.zeros(0), *shares]).astype(np.float32).tobytes()],
                                                 pa.binary())], names=["label", "slots", "shares"])
-    rows = sample.mapInArrow(run, "label int, slots binary, shares binary").toLocalIterator()
+    rows = sample.mapInArrow(run, "label int, slots binary, shares binary").collect()  # at most ``bound`` rows
     return [(r.label, np.frombuffer(r.slots, np.int32), np.frombuffer(r.shares, np.float32)) for r in rows]
 
 

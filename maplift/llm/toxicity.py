@@ -107,13 +107,13 @@ def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for b in slices(batch, limit=PIECE):
                 label = b.column(0).to_numpy()
                 doc, slot = gram_slots(b.column(1).to_pylist())
-                np.add.at(total, (label[doc], slot), 1)
+                total += np.bincount(label[doc] * (1 << BITS) + slot, minlength=2 << BITS).reshape(2, -1)
                 n += np.bincount(label, minlength=2)
         if n.sum():
             yield pa.record_batch([pa.array([zlib.compress(total.astype(np.int32).tobytes(), 1)], pa.binary()),
                                    pa.array([n[0]]), pa.array([n[1]])], names=["t", "n0", "n1"])
     total, n = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for r in sample.mapInArrow(run, "t binary, n0 long, n1 long").toLocalIterator():
+    for r in sample.mapInArrow(run, "t binary, n0 long, n1 long").collect():  # one row of fixed size per sample file
         total += np.frombuffer(zlib.decompress(r.t), np.int32).reshape(2, -1)
         n += (r.n0, r.n1)
     return total, n

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -145,50 +146,71 @@ def spark_type_name(declared: str) -> str:
     m = re.fullmatch(r"(NUMERIC|DECIMAL)\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)", t)
     if m:
         return f"decimal({m.group(2)},{m.group(3)})"
+    m = re.fullmatch(r"(NUMERIC|DECIMAL)\s*\(\s*(\d+)\s*\)", t)
+    if m:
+        return f"decimal({m.group(2)},0)"
     if t in ("NUMERIC", "DECIMAL"):
-        return "double"
+        return "decimal(38,18)"  # the widest scale that keeps 20 digits before the point
     base = t.split("(")[0].strip()
     return _SPARK_TYPES.get(t, _SPARK_TYPES.get(base, "string"))
 
 
 # ---------------------------------------------------------------------------
-# K1: rule registry.  A mapping row names a rule in `transformation_rule`
-# either as `name` / `name(args)` or by one of the alias phrases below.
+# K1: rule registry.  A mapping row names a rule in `transformation_rule` as
+# `name`, `name(arguments)` or by one of the alias phrases below; the match is
+# exact, and an unknown rule is an error of its row.
 # ---------------------------------------------------------------------------
-RuleFn = Callable[..., Column]
-
-RULES: dict[str, RuleFn] = {
-    "copy": copy,
-    "concat_space": concat_space,
-    "clean_email": clean_email,
-    "iso_date": iso_date,
-    "round_int": round_int,
-    "code_case": code_case,
-    "flag_bool": flag_bool,
-    "load_time": load_time,
-    "type_cast": type_cast,
-    "safe_cast": safe_cast,
-    "title_case": title_case,
-    "unit_convert": unit_convert,
-    "parse_date_fmt": parse_date_fmt,
-    "utc_timestamp": utc_timestamp,
-    "clean_string": clean_string,
+@dataclass(frozen=True)
+class RuleCall:
+    """A rule's name and arguments: numbers, 'literals' and column names."""
+    name: str
+    columns: tuple[str, ...] = ()
+    values: tuple[str | int | float, ...] = ()
+
+
+class RuleError(ValueError):
+    pass
+
+
+def _pairs(values: tuple) -> tuple[dict, object]:
+    """code_case arguments: code, value, code, value, ..., default."""
+    if len(values) % 2 == 0:
+        raise RuleError("code_case needs code, value pairs and a default")
+    return dict(zip(values[:-1:2], values[1:-1:2])), values[-1]
+
+
+# name -> (columns taken, values taken at most, function of (columns, values, load time, target type))
+RULES: dict[str, tuple[int, int | None, Callable[..., Column]]] = {
+    "copy": (1, 0, lambda c, v, ts, t: copy(c[0])),
+    "concat_space": (2, 0, lambda c, v, ts, t: concat_space(*c)),
+    "clean_email": (1, 0, lambda c, v, ts, t: clean_email(c[0])),
+    "iso_date": (1, 0, lambda c, v, ts, t: iso_date(c[0])),
+    "round_int": (1, 0, lambda c, v, ts, t: round_int(c[0])),
+    "code_case": (1, None, lambda c, v, ts, t: code_case(c[0], *_pairs(v))),
+    "flag_bool": (1, 1, lambda c, v, ts, t: flag_bool(c[0], *v)),
+    "load_time": (0, 0, lambda c, v, ts, t: load_time(ts)),
+    "type_cast": (1, 0, lambda c, v, ts, t: type_cast(c[0], t)),
+    "safe_cast": (1, 0, lambda c, v, ts, t: safe_cast(c[0], t)),
+    "title_case": (1, 0, lambda c, v, ts, t: title_case(c[0])),
+    "unit_convert": (1, 2, lambda c, v, ts, t: unit_convert(c[0], *v)),
+    "parse_date_fmt": (1, 1, lambda c, v, ts, t: parse_date_fmt(c[0], *v)),
+    "utc_timestamp": (1, 0, lambda c, v, ts, t: utc_timestamp(c[0])),
+    "clean_string": (1, 0, lambda c, v, ts, t: clean_string(c[0])),
 }
 
-# Phrases and macro names that select a rule (matched on the normalised
-# rule text: lower case, runs of other characters -> '_').
+# Phrases and macro names of the sample inputs that stand for a
+# rule (compared after lower-casing, runs of other characters as `_`), and the
+# code table of the sample's lookup macro.
+SITE_CODES = ("01", "Chennai", "02", "Mumbai", "03", "Delhi", "Unknown")
 RULE_ALIASES = {
-    "copy_as_is": "copy",
-    "cleanemail": "clean_email",
-    "clean_email": "clean_email",
-    "parse_iso_8601": "iso_date",
-    "round_to_nearest_integer": "round_int",
-    "sitelookup": "code_case",
-    "stamp_load_time": "load_time",
-    "cleanstring": "clean_string",
-    "clean_string": "clean_string",
-    "title_case": "title_case",
-    "safe_cast": "safe_cast",
+    "copy_as_is": RuleCall("copy"),
+    "clean_email_trim_whitespace_and_lowercase": RuleCall("clean_email"),
+    "cleanemail": RuleCall("clean_email"),
+    "parse_iso_8601_string_to_date": RuleCall("iso_date"),
+    "round_to_nearest_integer": RuleCall("round_int"),
+    "stamp_load_time": RuleCall("load_time"),
+    "sitelookup": RuleCall("code_case", (), SITE_CODES),
+    "cleanstring": RuleCall("clean_string"),
 }
 
 
@@ -196,14 +218,53 @@ def normalise_rule_text(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", text.strip().lower()).strip("_")
 
 
-def resolve_rule(text: str) -> str | None:
-    """Rule name for a sheet's `transformation_rule`, or None (type-driven)."""
+_ARGUMENT = re.compile(r"\s*(?:'((?:[^']|'')*)'|(-?\d+(?:\.\d+)?)|([A-Za-z_]\w*))\s*(,|$)")
+
+
+def _arguments(text: str) -> tuple[list[str], list]:
+    columns, values, at = [], [], 0
+    while text.strip() and at < len(text):
+        m = _ARGUMENT.match(text, at)
+        if not m:
+            raise RuleError(f"cannot read the rule arguments ({text})")
+        literal, number, name, _ = m.groups()
+        if name is not None:
+            columns.append(name)
+        elif literal is not None:
+            values.append(literal.replace("''", "'"))
+        else:
+            values.append(float(number) if "." in number else int(number))
+        at = m.end()
+    return columns, values
+
+
+def resolve_rule(text: str) -> RuleCall | None:
+    """The rule a sheet's `transformation_rule` calls; None when it is blank (type-driven).
+
+    Raises RuleError for anything that is neither a rule nor an alias."""
     if not text or not text.strip():
         return None
     key = normalise_rule_text(text)
-    if key in RULES:
-        return key
-    for alias, name in RULE_ALIASES.items():
-        if key == alias or key.startswith(alias + "_"):
-            return name
-    return None
+    if key in RULE_ALIASES:
+        return RULE_ALIASES[key]
+    call = re.fullmatch(r"\s*([A-Za-z_]\w*)\s*(?:\((.*)\))?\s*", text, re.S)
+    name = normalise_rule_text(call.group(1)) if call else None
+    alias = RULE_ALIASES.get(name)
+    if name not in RULES and alias is None:
+        raise RuleError(f'unknown transformation rule "{text.strip()}"')
+    columns, values = _arguments(call.group(2) or "")
+    base = alias or RuleCall(name)
+    return RuleCall(base.name, tuple(columns), tuple(values) or base.values)
+
+
+def rule_column(call: RuleCall, source_field: str, load_ts: str | None, target_type: str) -> Column:
+    """The rule applied: to the columns it names, else to the row's source field."""
+    n_columns, n_values, fn = RULES[call.name]
+    columns = call.columns or ((source_field,) if source_field else ())
+    if n_columns == len(columns) + 1 and source_field and call.columns:
+        columns = (source_field, *columns)  # concat_space(last) joins the source field with another
+    if n_columns and len(columns) != n_columns:
+        raise RuleError(f"rule {call.name} takes {n_columns} column(s), not {len(columns)}")
+    if n_values is not None and len(call.values) > n_values:
+        raise RuleError(f"rule {call.name} takes at most {n_values} value(s), not {len(call.values)}")
+    return fn(columns, call.values, load_ts, target_type)

@@ -22,6 +22,11 @@ def type_base(type_col: Column) -> Column:
     return F.trim(F.split(F.upper(type_col), r"\(", 2).getItem(0))
 
 
+def type_family_of(name: str) -> str:
+    """The family of one declared type name (for the driver, which compiles a sheet)."""
+    return TYPE_FAMILY.get(name.upper().split("(", 1)[0].strip(" "), "other")
+
+
 def type_family(type_col: Column) -> Column:
     return F.coalesce(F.try_element_at(_family_map(), type_base(type_col)), F.lit("other"))
 

@@ -140,6 +140,9 @@ def started_ago(runs: DataFrame, now_ms: int | Column) -> DataFrame:
 def run_documents(runs: DataFrame) -> DataFrame:
     """Run row -> the nested run document, as JSON text.
 
+    `feed` (id, ts, kind, text) and `findings` (id, severity, rows, message) are the
+    arrays that the run row holds; they are bounded by what one run records.
+
     `attempt` is an object only when both numbers are set, `audit` only when
     rows written is set; optional keys are left out when unset."""
     attempt = F.when(F.col("attempt_current").isNotNull() & F.col("attempt_max").isNotNull(),
@@ -172,10 +175,10 @@ def run_documents(runs: DataFrame) -> DataFrame:
         F.coalesce(F.col("current_step"), F.lit(0)).alias("currentStep"),
         F.coalesce(F.col("step_failed"), F.lit(False)).alias("stepFailed"),
         attempt.alias("attempt"),
-        F.array().cast("array<string>").alias("feed"),
-        F.array().cast("array<string>").alias("findings"),
-        F.lit("").alias("sqlx"),
-        F.lit("").alias("sqlxPath"))
+        F.coalesce(F.col("feed"), F.array().cast(runs.schema["feed"].dataType)).alias("feed"),
+        F.coalesce(F.col("findings"), F.array().cast(runs.schema["findings"].dataType)).alias("findings"),
+        F.coalesce(F.col("sqlx_code"), F.lit("")).alias("sqlx"),
+        F.coalesce(F.col("sqlx_path"), F.lit("")).alias("sqlxPath"))
     # top-level keys keep their nulls; inside `audit` and `meta` an unset
     # optional key is left out (the only nullable fields there)
     head_json = F.to_json(head, {"ignoreNullFields": "false"})

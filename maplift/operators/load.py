@@ -3,19 +3,20 @@ insert (A7), declared types (A9), Type-1 upsert (J1), incremental append
 with late data (J2), incremental filter (C3), partitioned load (J6).
 
 A target is a folder in the shared storage holding immutable data folders
-(`v-<id>/`) and an append-only version log `versions_log/` whose greatest
-line lists the folders of the version readers see.  A full refresh writes
-a new folder, audits it, then appends a log line naming only it; an append
-writes a new folder and logs the current folders plus the new one.
-Readers see the old or the new version, never half of one.  Nothing is
-overwritten or deleted.
+(`v-<id>/`) and a version log, `versions_log/version=<n>/`, of one line per
+version: `refresh <folder>` (readers see that folder only) or `append <folder>`
+(readers see it beside what they saw before).  A load writes its folder, audits
+it, and only then adds its line, so readers see the old or the new version,
+never half of one.  Two writers that start from the same version both try
+for the next number; the file stored first counts, the other writer finds
+that out and raises.  Nothing is overwritten or deleted.
 """
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,17 +30,29 @@ def _log(root: str) -> str:
     return f"{root.rstrip('/')}/versions_log"
 
 
-def current_files(spark: SparkSession, root: str) -> list[str] | None:
-    """The data folders of the latest committed version: the greatest line
-    of the version log (`<stamp>\t<folder>\t<folder>...`).
+def _versions(spark: SparkSession, root: str) -> list[tuple[int, str, str]]:
+    """(number, kind, folder) of all committed versions in order; empty when the table is new.
 
-    Each commit adds one small file to the log (never rewrites one), so a
-    commit that dies half-way leaves the previous version current."""
+    Only a missing log means a new table; any other read error is passed on."""
     try:
-        row = spark.read.text(_log(root)).agg(F.max("value")).first()
-    except Exception:  # noqa: BLE001 - no log yet
-        return None
-    return row[0].split("\t")[1:] if row and row[0] else None
+        log = spark.read.schema("value string, version int").option("basePath", _log(root)).text(_log(root))
+        lines = (log.select("version", "value", F.col("_metadata.file_modification_time").alias("at"))
+                 .groupBy("version").agg(F.min(F.struct("at", "value")).alias("first")).orderBy("version").collect())
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    return [(r["version"], *r["first"]["value"].split("\t")) for r in lines]
+
+
+def _files(versions: list[tuple[int, str, str]]) -> list[str]:
+    last = max((i for i, v in enumerate(versions) if v[1] == "refresh"), default=0)
+    return [folder for _, _, folder in versions[last:]]
+
+
+def current_files(spark: SparkSession, root: str) -> list[str] | None:
+    """The data folders of the latest committed version; None when there is none."""
+    return _files(_versions(spark, root)) or None
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
@@ -55,9 +68,22 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(*files)
 
 
-def _set_pointer(spark: SparkSession, root: str, *folders: str) -> None:
-    line = "\t".join([f"{time.time_ns():020d}", *folders])
-    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(_log(root))
+def _commit(spark: SparkSession, root: str, kind: str, folder: str, base: int) -> None:
+    """Add the line of version `base + 1`; raises when another writer's came first."""
+    line = spark.createDataFrame([(f"{kind}\t{folder}",)], "value string").coalesce(1)
+    line.write.mode("append").text(f"{_log(root)}/version={base + 1}")
+    won = {n: f for n, _, f in _versions(spark, root)}.get(base + 1)
+    if won != folder:
+        raise LoadError(f"another load of {root} was committed first; this one is not visible")
+
+
+def _base(spark: SparkSession, root: str) -> int:
+    return max((n for n, _, _ in _versions(spark, root)), default=0)
+
+
+def commit_version(spark: SparkSession, root: str, folder: str) -> None:
+    """Make a folder that is already written the table's content."""
+    _commit(spark, root, "refresh", folder, _base(spark, root))
 
 
 def new_version_path(root: str) -> str:
@@ -98,70 +124,81 @@ def _observed(df: DataFrame, stats: dict | None) -> tuple[DataFrame, Observation
     return df.observe(obs, F.count(F.lit(1)).alias("rows_written")), obs
 
 
-def full_refresh_load(df: DataFrame, root: str, check: Check | None = None,
-                      partition_by: Sequence[str] = (), stats: dict | None = None) -> str:
-    """A5: write a new version, run `check` on what was written, then move
-    the pointer.  A failed check raises and leaves the old version current.
-    With `stats`, the rows written are counted during the write."""
-    spark = df.sparkSession
+def _staged(df: DataFrame, root: str, check: Check | None, partition_by: Sequence[str], stats: dict | None) -> str:
+    """Write a new data folder and run `check` on what was written; a failed check raises before any commit."""
     path = new_version_path(root)
     df, obs = _observed(df, stats)
     w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     if obs is not None:
         stats.update(obs.get)
     if check is not None:
-        check(spark.read.parquet(path))
-    _set_pointer(spark, root, path)
+        check(df.sparkSession.read.parquet(path))
     return path
 
 
-def append_load(df: DataFrame, root: str, stats: dict | None = None) -> str:
-    """The new rows go to a new folder; the next version is the current
-    folders plus that one (or the first version when there is none)."""
-    spark = df.sparkSession
-    files = current_files(spark, root)
-    if not files:
-        return full_refresh_load(df, root, stats=stats)
-    path = new_version_path(root)
-    df, obs = _observed(df, stats)
-    df.write.mode("errorifexists").parquet(path)
-    if obs is not None:
-        stats.update(obs.get)
-    _set_pointer(spark, root, *files, path)
+def full_refresh_load(df: DataFrame, root: str, check: Check | None = None,
+                      partition_by: Sequence[str] = (), stats: dict | None = None) -> str:
+    """A5: write a new version, run `check` on what was written, then commit it.
+    A failed check raises and leaves the old version current.
+    With `stats`, the rows written are counted during the write."""
+    base = _base(df.sparkSession, root)
+    path = _staged(df, root, check, partition_by, stats)
+    _commit(df.sparkSession, root, "refresh", path, base)
+    return path
+
+
+def append_load(df: DataFrame, root: str, check: Check | None = None, stats: dict | None = None) -> str:
+    """The new rows go to a new folder, `check` sees that batch alone, then it
+    is committed beside the current folders (or as the first version)."""
+    base = _base(df.sparkSession, root)
+    path = _staged(df, root, check, (), stats)
+    _commit(df.sparkSession, root, "append", path, base)
     return path
 
 
 def latest_per_key(source: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:
-    """One row per key, the one with the greatest `order_col` (ties: any).
+    """One row per key, the one with the greatest `order_col` (ties: any; a NULL order
+    value is older than any other).
 
     A grouped `max_by` aggregates map-side first, so a hot key is reduced in
     every task before the shuffle instead of landing whole in one window.
     """
     key = list(key)
     others = [c for c in source.columns if c not in key]
-    latest = source.groupBy(*key).agg(F.max_by(F.struct(*others), F.col(order_col)).alias("_r"))
+    order = F.struct(F.col(order_col))  # never NULL itself, and NULL sorts first within it
+    latest = source.groupBy(*key).agg(F.max_by(F.struct(*others), order).alias("_r"))
     return latest.select(*key, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*source.columns)
 
 
+def _same_key(left: str, right: str, key: Sequence[str]) -> Column:
+    """Null-safe equality: a NULL key matches a NULL key."""
+    cond = F.lit(True)
+    for k in key:
+        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return cond
+
+
+def _merged(target: DataFrame, latest: DataFrame, key: Sequence[str]) -> DataFrame:
+    keys = latest.select(*key)
+    kept = target.alias("t").join(keys.alias("s"), _same_key("t", "s", key), "left_anti")
+    return kept.unionByName(latest.select(*target.columns))
+
+
 def scd1_merge(target: DataFrame, source: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:
     """J1 as a DataFrame: target rows whose key is not in the source, plus the
-    latest source row per key (matched rows replaced, new rows inserted)."""
-    from maplift.operators.lookup import checked_broadcast
-    key = list(key)
-    src = latest_per_key(source, key, order_col)
-    # a change set is usually far smaller than the table: its keys are
-    # broadcast (behind a row bound) so the target is filtered in place
-    kept = target.join(checked_broadcast(src.select(*key)), key, "left_anti")
-    return kept.unionByName(src.select(*target.columns))
+    latest source row per key (matched rows replaced, new rows inserted; NULL
+    keys are keys like others).  Spark broadcasts the keys when they measure small."""
+    return _merged(target, latest_per_key(source, key, order_col), list(key))
 
 
 def scd1_upsert(spark: SparkSession, root: str, source: DataFrame, key: Sequence[str], order_col: str,
                 check: Check | None = None) -> str:
-    """J1 on a versioned table: merge into a new version, then move the pointer."""
-    merged = scd1_merge(read_current(spark, root), source, key, order_col)
+    """J1 on a versioned table: the change set is reduced to one row per key and
+    written once, then merged into a new version (its size is known by then)."""
+    changes = f"{root.rstrip('/')}/changes-{uuid.uuid4().hex[:16]}"
+    latest_per_key(source, key, order_col).write.parquet(changes)
+    merged = _merged(read_current(spark, root), spark.read.parquet(changes), list(key))
     return full_refresh_load(merged, root, check)
 
 
@@ -175,59 +212,55 @@ def high_water_mark(df: DataFrame, col: str) -> Column | None:
     return None if text is None else F.lit(text).cast(df.schema[col].dataType)
 
 
-def _after(col: str, mark: Column | None, lateness: str | None = None) -> Column:
-    if mark is None:  # empty target: everything is new
-        return F.lit(True)
-    bound = mark
-    if lateness:
-        bound = bound - F.expr(f"INTERVAL {lateness}")
-    return F.col(col) > bound
-
-
 def incremental_filter(source: DataFrame, target: DataFrame, src_col: str, tgt_col: str) -> DataFrame:
     """Rows with `src_col > (SELECT max(tgt_col) FROM target)`; all rows
     when the target is empty."""
-    return source.where(_after(src_col, high_water_mark(target, tgt_col)))
+    mark = high_water_mark(target, tgt_col)
+    return source if mark is None else source.where(F.col(src_col) > mark)
 
 
 def fact_incremental(source: DataFrame, target: DataFrame, ts_col: str, key: Sequence[str],
                      lateness: str) -> DataFrame:
-    """J2 batch form: rows with event time > max(loaded) - lateness whose key
-    is not loaded yet (late rows inside the window are taken, duplicates
-    are not)."""
-    fresh = source.where(_after(ts_col, high_water_mark(target, ts_col), lateness))
-    return anti_join_small(fresh, target, key)
+    """J2 batch form: rows with event time >= max(loaded) - lateness whose key is not
+    loaded yet, each key once, by its earliest event (late rows inside the window
+    are taken, repeated ones are not) -- as the stream form does."""
+    mark = high_water_mark(target, ts_col)
+    fresh = source if mark is None else source.where(F.col(ts_col) >= mark - F.expr(f"INTERVAL {lateness}"))
+    key = list(key)
+    others = [c for c in source.columns if c not in key]
+    once = fresh.groupBy(*key).agg(F.min_by(F.struct(*others), F.struct(ts_col)).alias("_r"))
+    once = once.select(*key, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*source.columns)
+    return anti_join_small(once, target, key)
 
 
 def anti_join_small(small: DataFrame, big: DataFrame, key: Sequence[str]) -> DataFrame:
-    """`small LEFT ANTI JOIN big` without shuffling `big`.
+    """`small LEFT ANTI JOIN big` (null-safe), carrying only the keys of `big` that `small` has.
 
-    The keys of `small` are broadcast (behind a checked row bound) to filter
-    `big` in place with a semi-join; the anti-join then runs against that
-    already small match set.  Above the bound, plain shuffled joins.
-    """
-    from maplift.operators.lookup import checked_broadcast
+    Where the keys of `small` measure small, Spark broadcasts them and filters
+    `big` in place; the anti-join then runs against that small match set."""
     key = list(key)
-    small_keys = small.select(*key).distinct()
-    hits = big.select(*key).join(checked_broadcast(small_keys), key, "left_semi").distinct()
-    return small.join(hits, key, "left_anti")
+    hits = (big.select(*key).alias("b").join(small.select(*key).distinct().alias("s"), _same_key("b", "s", key), "left_semi")
+            .distinct())
+    return small.alias("s").join(hits.alias("h"), _same_key("s", "h", key), "left_anti")
+
+
+def _dated(df: DataFrame, ts_col: str, part_col: str) -> DataFrame:
+    """With its partition column, dealt by it: AQE splits a hot date over several
+    tasks and merges small ones, so file sizes stay even without one task
+    per date or one file per (task, date)."""
+    return df.withColumn(part_col, F.to_date(ts_col)).hint("rebalance", part_col)
 
 
 def partitioned_load(df: DataFrame, root: str, ts_col: str, part_col: str = "dt") -> str:
     """A target partitioned by the date of `ts_col` (partition pruning on read)."""
-    # REBALANCE on the partition column: AQE splits a hot date over several
-    # tasks and merges small ones, so file sizes stay even without one task
-    # per date or one file per (task, date)
-    dated = df.withColumn(part_col, F.to_date(ts_col)).hint("rebalance", part_col)
-    return full_refresh_load(dated, root, partition_by=[part_col])
-
-
-def overwrite_partitions(df: DataFrame, version_path: str, part_col: str) -> None:
-    """Replace only the partitions present in `df` (dynamic overwrite)."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(part_col).parquet(version_path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    return full_refresh_load(_dated(df, ts_col, part_col), root, partition_by=[part_col])
+
+
+def replace_partitions(df: DataFrame, root: str, ts_col: str, part_col: str = "dt", check: Check | None = None) -> str:
+    """A new version in which the partitions that `df` has rows for hold exactly those
+    rows and the others are as before; readers never see a half-replaced table."""
+    new = _dated(df, ts_col, part_col)
+    old = read_current(df.sparkSession, root)
+    days = df.select(F.to_date(ts_col).alias(part_col)).distinct()
+    kept = old.alias("o").join(days.alias("d"), _same_key("o", "d", [part_col]), "left_anti")
+    return full_refresh_load(kept.unionByName(new).hint("rebalance", part_col), root, check, [part_col])

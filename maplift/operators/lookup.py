@@ -1,24 +1,9 @@
-"""Code -> name through a lookup table, with a size-checked broadcast."""
+"""Code -> name through a lookup table; Spark broadcasts it when it measures small."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a lookup side may have and still be broadcast.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when `df` has at most `max_rows` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a proven row bound; else let AQE choose
-    (sort-merge, or a runtime broadcast when the measured side is small)."""
-    return F.broadcast(df) if bounded(df, max_rows) else df
-
-
 def dedup_lookup(lookup: DataFrame, key: str = "code", value: str = "name") -> DataFrame:
     """One value per key (smallest), so a join cannot multiply rows."""
     return lookup.groupBy(key).agg(F.min(value).alias(value))
@@ -26,7 +11,7 @@ def dedup_lookup(lookup: DataFrame, key: str = "code", value: str = "name") -> D
 
 def lookup_join(df: DataFrame, lookup: DataFrame, code_col: str, out_col: str, default: str,
                 key: str = "code", value: str = "name") -> DataFrame:
-    lk = checked_broadcast(dedup_lookup(lookup, key, value))
+    lk = dedup_lookup(lookup, key, value)
     joined = df.join(lk, df[code_col] == lk[key], "left")
     return joined.select(*[df[c] for c in df.columns],
                          F.coalesce(lk[value], F.lit(default)).alias(out_col))

@@ -106,11 +106,14 @@ class Validator:
         """One row per sheet: its declared columns as a map
         ('source:<name>' / 'target:<name>' -> (type, nullable)) and its table
         names.  Bounded by two tables' column lists; replaces three joins of
-        the rows with the schema by one join on sheet_id."""
-        entry = F.struct(F.concat(F.col("side"), F.lit(":"), F.col("column_name")).alias("k"),
+        the rows with the schema by one join on sheet_id.  Of a repeated
+        column the last one counts, as when a document is parsed."""
+        entry = F.struct("ordinal", F.concat(F.col("side"), F.lit(":"), F.col("column_name")).alias("k"),
                          F.struct("type", "nullable").alias("v"))
+        entries = F.sort_array(F.collect_list(entry))
+        last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["k"] == e["k"]))
         return (self.schema.groupBy("sheet_id")
-                .agg(F.map_from_entries(F.collect_list(entry)).alias("cols"),
+                .agg(F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"]))).alias("cols"),
                      F.max(F.when(F.col("side") == "source", F.col("table_name"))).alias("source_name"),
                      F.max(F.when(F.col("side") == "target", F.col("table_name"))).alias("target_name")))
 
@@ -203,7 +206,7 @@ class Validator:
     def unmapped_required_targets(self) -> DataFrame:  # D3, check 8
         sheets_with_active = self.sheet_summary().where(F.col("n_active") > 0).select("sheet_id")
         req = self.required_columns().join(sheets_with_active, "sheet_id", "left_semi")
-        mapped = self.active().select("sheet_id", F.col("target_field").alias("column_name"))
+        mapped = self.mapped_targets().withColumnRenamed("target_field", "column_name")
         un = req.join(mapped, ["sheet_id", "column_name"], "left_anti")
         return _finding(un, M.CHECK_UNMAPPED, F.col("ordinal"), 0, "error", F.lit("-"),
                         _fmt(M.MSG_UNMAPPED, F.col("column_name")))
@@ -220,7 +223,7 @@ class Validator:
     def loadable_sheets(self, findings: DataFrame | None = None) -> DataFrame:
         """Sheets with no error finding: the ones that go on to compile and load."""
         f = findings if findings is not None else self.all_findings()
-        errors = f.where(F.col("severity") == "error").select("sheet_id")
+        errors = f.where(F.col("severity") == "error").select("sheet_id").distinct()
         return self.sheet_summary().select("sheet_id").join(errors, "sheet_id", "left_anti")
 
     def finding_counts(self, findings: DataFrame | None = None) -> DataFrame:

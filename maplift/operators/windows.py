@@ -21,6 +21,15 @@ def _bucket(order_col: str, bucket_size: int) -> Column:
     return F.floor(F.col(order_col) / F.lit(bucket_size)).cast("bigint")
 
 
+def _carried(local: DataFrame, carry: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Left join on `cols`; a NULL key or bucket is a group like others, as in a window."""
+    renamed = carry.select(*[F.col(c).alias(f"_k_{c}") if c in cols else F.col(c) for c in carry.columns])
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return local.join(renamed, cond, "left").drop(*[f"_k_{c}" for c in cols])
+
+
 def lag_in_group(df: DataFrame, keys: Sequence[str], order_col: str, out_col: str,
                  bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
     """`out_col` = previous `order_col` value within `keys` (NULL for the first).
@@ -35,7 +44,7 @@ def lag_in_group(df: DataFrame, keys: Sequence[str], order_col: str, out_col: st
     per_bucket = b.groupBy(*keys, "_b").agg(F.max(order_col).alias("_bmax"))
     w_b = Window.partitionBy(*keys).orderBy("_b")
     carry = per_bucket.select(*keys, "_b", F.lag("_bmax").over(w_b).alias("_prev_bucket"))
-    return (local.join(carry, [*keys, "_b"], "left")
+    return (_carried(local, carry, [*keys, "_b"])
             .withColumn(out_col, F.coalesce("_prev_local", "_prev_bucket"))
             .drop("_b", "_prev_local", "_prev_bucket"))
 
@@ -50,7 +59,7 @@ def row_number_in_group(df: DataFrame, keys: Sequence[str], order_col: str, out_
     per_bucket = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_b = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(*keys, "_b", F.coalesce(F.sum("_n").over(w_b), F.lit(0)).alias("_offset"))
-    return (local.join(carry, [*keys, "_b"], "left")
+    return (_carried(local, carry, [*keys, "_b"])
             .withColumn(out_col, (F.col("_offset") + F.col("_rn_local")).cast("bigint"))
             .drop("_b", "_rn_local", "_offset"))
 
@@ -92,7 +101,7 @@ def running_sum_in_group(df: DataFrame, keys: Sequence[str], order_col: str, val
     w_b = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(*keys, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(w_b), F.lit(0)).alias(f"_o_{c}")
                                              for c in value_cols])
-    out = local.join(carry, [*keys, "_b"], "left")
+    out = _carried(local, carry, [*keys, "_b"])
     for c in value_cols:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_o_{c}") + F.col(f"_l_{c}"))
     return out.drop("_b", *[f"_l_{c}" for c in value_cols], *[f"_o_{c}" for c in value_cols])

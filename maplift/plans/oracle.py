@@ -43,3 +43,20 @@ ORACLE["row_filter"] = with_(PATIENTS, MAPPED) + (
 ORACLE["target_preview"] = with_(PATIENTS, MAPPED) + (
     "SELECT patient_id, full_name, email_address, date_of_birth, weight, site_city, is_enrolled "
     "FROM mapped ORDER BY patient_id LIMIT 10")
+
+_TITLE = ("array_to_string(list_transform(string_split(lower(trim(raw_note)), ' '), "
+          "lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')")
+ORACLE["apply_mapping_rules"] = with_(PATIENTS) + f"""
+SELECT patient_id, primary_provider_id AS r_copy, concat(first_name, ' ', last_name) AS r_concat,
+  trim(lower(cust_email_01)) AS r_email, CAST(dob AS DATE) AS r_date, CAST(round_even(weight_kg, 0) AS INTEGER) AS r_round,
+  CASE site_code WHEN '01' THEN 'Chennai' WHEN '02' THEN 'Mumbai' WHEN '03' THEN 'Delhi' ELSE 'Unknown' END AS r_site,
+  CASE site_code WHEN '01' THEN 'one' WHEN '02' THEN 'it''s two' ELSE 'more' END AS r_case,
+  enrolled_flag = 'N' AS r_flag, TIMESTAMP '2026-06-10 00:00:00' AS r_time,
+  COALESCE(primary_provider_id, 'PR-NONE') AS r_default, CAST(round_even(weight_kg, 0) AS INTEGER) AS r_cast,
+  TRY_CAST(risk_score AS INTEGER) AS r_safe, {_TITLE} AS r_title, round(height_cm / 2.54, 1) AS r_unit,
+  CAST(strptime(dob, '%Y-%m-%d') AS DATE) AS r_parsed, admitted_at AS r_utc,
+  nullif(trim(regexp_replace(raw_note, '\\s+', ' ', 'g')), '') AS r_clean,
+  round_even(COALESCE(weight_kg, 0), 0) AS s_round, CAST(round_even(weight_kg, 0) AS INTEGER) AS s_cast,
+  CAST(round(CAST(weight_kg AS DECIMAL(10, 2))) AS INTEGER) AS s_numeric, concat('round(select)', site_code, NULL) AS s_concat,
+  TIMESTAMP '2026-06-10 00:00:00' AS s_time
+FROM patients"""

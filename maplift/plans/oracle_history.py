@@ -61,7 +61,7 @@ SELECT run_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(CAST(
   'durationSec', duration_sec, 'currentStep', current_step, 'stepFailed', step_failed,
   'attempt', CASE WHEN attempt_current IS NOT NULL AND attempt_max IS NOT NULL
     THEN json_object('step', 3, 'current', attempt_current, 'max', attempt_max) END,
-  'feed', CAST([] AS VARCHAR[]), 'findings', CAST([] AS VARCHAR[]), 'sqlx', '', 'sqlxPath', '',
+  'feed', feed, 'findings', findings, 'sqlx', sqlx_code, 'sqlxPath', sqlx_path,
   'audit', CASE WHEN audit_rows_written IS NOT NULL THEN json_object('rowsWritten', audit_rows_written,
     'countsMatch', COALESCE(audit_counts_match, false), 'nullsCheck', COALESCE(audit_nulls_check, false),
     'failedCheck', nullif(audit_failed_check, '')) END,

@@ -40,9 +40,9 @@ MAPPED = """mapped AS (
   FROM patients)"""
 
 MAPPING_ROWS = """mapping_rows AS (
-  SELECT p_partkey % 50 AS sheet_id,
-    p_partkey // 50 + 2 AS row_no,
-    'raw.src_' || CAST(p_partkey % 50 AS VARCHAR) AS source_table,
+  SELECT p_partkey // 40 AS sheet_id,
+    p_partkey % 40 + 2 AS row_no,
+    'raw.src_' || CAST(p_partkey // 40 AS VARCHAR) AS source_table,
     's' || CAST(p_size AS VARCHAR) AS source_field,
     '' AS source_type,
     CASE p_partkey % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' ELSE '' END AS nullable,
@@ -51,7 +51,7 @@ MAPPING_ROWS = """mapping_rows AS (
     CASE WHEN p_partkey % 5 = 0 THEN 'LOWER(x)' ELSE '' END AS sql_logic,
     CASE WHEN p_partkey % 11 = 0 THEN 'site_lookup' ELSE '' END AS lookup_table,
     CASE WHEN p_partkey % 4 = 0 THEN 'Unknown' ELSE '' END AS default_value,
-    'analytics.tgt_' || CAST(p_partkey % 50 AS VARCHAR) AS target_table,
+    'analytics.tgt_' || CAST(p_partkey // 40 AS VARCHAR) AS target_table,
     't' || CAST(p_size * 3 % 41 AS VARCHAR) AS target_field,
     '' AS target_type,
     CASE p_partkey % 7 WHEN 0 THEN 'In Progress' WHEN 1 THEN '' WHEN 2 THEN ' approved' WHEN 3 THEN 'VALID'
@@ -121,7 +121,15 @@ runs AS (
     CAST(k % 3 + 1 AS INTEGER) AS llm_attempts,
     k % 5000 AS llm_prompt_tokens,
     k % 900 AS llm_completion_tokens,
-    CAST(k % 100 AS DOUBLE) / 100 AS llm_cost_usd
+    CAST(k % 100 AS DOUBLE) / 100 AS llm_cost_usd,
+    CASE WHEN k % 5 <> 0 THEN list_transform(range(0, k % 4), lambda i: json_object('id', 'f' || CAST(i AS VARCHAR),
+      'ts', epoch_ms(o_orderdate) + 1000 * i, 'kind', ['thought', 'tool_call', 'tool_result'][i + 1],
+      'text', 'step ' || CAST(i AS VARCHAR) || ' of "' || CAST(k AS VARCHAR) || '"')) ELSE [] END AS feed,
+    CASE WHEN k % 5 <> 0 THEN list_transform(range(0, k % 3), lambda i: json_object('id', 'v' || CAST(i AS VARCHAR),
+      'severity', ['info', 'warning'][i + 1], 'rows', CAST(k % 40 + i AS VARCHAR),
+      'message', 'finding ' || CAST(i AS VARCHAR))) ELSE [] END AS findings,
+    CASE WHEN k % 4 <> 0 THEN 'SELECT' || chr(10) || '  ' || CAST(k AS VARCHAR) || ' AS "id"' || chr(10) ELSE '' END AS sqlx_code,
+    CASE WHEN k % 4 <> 0 THEN 'definitions/marts/t' || CAST(o_custkey % 100 AS VARCHAR) || '.sqlx' ELSE '' END AS sqlx_path
   FROM runs0)"""
 
 RUN_FEED = """run_feed AS (

@@ -36,7 +36,7 @@ SELECT est_rows, est_bytes, round(est_bytes / 1e9, 4) AS est_gb FROM (
     + COALESCE(strlen(site_city), 0) + CASE WHEN is_enrolled IS NULL THEN 0 ELSE 1 END
     + CASE WHEN _loaded_at IS NULL THEN 0 ELSE 8 END), 0) AS BIGINT) AS est_bytes
   FROM mapped)""",
-    "full_refresh_load": "SELECT * FROM part WHERE p_partkey % 2 = 0",
+    "full_refresh_load": "SELECT * FROM part",
     "append_load": "SELECT * FROM part",
     "row_count": "SELECT count(*) AS row_count FROM part",
     "scd1_upsert": """
@@ -52,8 +52,10 @@ SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, version FROM tgt
 WHERE c_custkey NOT IN (SELECT c_custkey FROM latest)
 UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, version FROM latest""",
     "fact_incremental": with_(_FACT_TARGET) + (
-        "SELECT * FROM events WHERE ts > (SELECT max(ts) FROM fact_target) - INTERVAL 2 DAY "
+        "SELECT * FROM events WHERE ts >= (SELECT max(ts) FROM fact_target) - INTERVAL 2 DAY "
         "AND event_id NOT IN (SELECT event_id FROM fact_target)"),
     "incremental_filter": with_(_FACT_TARGET) + "SELECT * FROM events WHERE ts > (SELECT max(ts) FROM fact_target)",
+    "partition_replace": ("SELECT * REPLACE (CASE WHEN day(ts) % 2 = 0 THEN value * 2 ELSE value END AS value), "
+                          "CAST(ts AS DATE) AS dt FROM events"),
     "partitioned_load": "SELECT *, CAST(ts AS DATE) AS dt FROM events",
 }

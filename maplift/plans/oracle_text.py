@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from maplift.plans.oracle_inputs import MAPPING_ROWS, RUNS, SCHEMA_COLUMNS, with_
 from maplift.sources.derived import CONVENTIONS_DOCS
-from maplift.sources.model_files import BARE_REF, CONFIG_BLOCK, DOTTED_REF, FENCED, JS_BLOCK, PY_WS, SELECT_TAIL
+from maplift.sources.model_files import BARE_REF, DOTTED_REF, FENCED, JS_BLOCK, PY_WS, SELECT_TAIL
 from maplift.sources.tables import REF_PATTERN
 
 
@@ -18,12 +18,14 @@ def rx(pattern: str) -> str:
 
 
 _CONFIG = ('config {\n  type: "table",\n  schema: "analytics",\n  tags: ["daily"],\n'
-           '  assertions: { nonNull: ["id"], rowConditions: { ok: ["id > 0"] } }\n}\n')
+           '  assertions: { nonNull: ["id"], rowConditions: { ok: ["id > 0"] } },\n  labels: ')
+_NESTED = f"""{lit(_CONFIG)} || repeat('{{ a: ', CAST(p_partkey % 12 + 1 AS INTEGER)) || {lit("'select'")}
+      || repeat(' }}', CAST(p_partkey % 12 + 1 AS INTEGER)) || {lit(chr(10) + "}" + chr(10))}"""
 
 MODEL_FILES = f"""model_files AS (
   SELECT 'models/m' || CAST(p_partkey AS VARCHAR) AS path,
-    CASE WHEN p_partkey % 40 = 0 THEN {lit(_CONFIG)} || {lit("-- nothing generated" + chr(10))}
-    ELSE {lit(_CONFIG)} || {lit("js { const src = 'x'; }" + chr(10))}
+    CASE WHEN p_partkey % 40 = 0 THEN {_NESTED} || {lit("-- nothing generated" + chr(10))}
+    ELSE {_NESTED} || {lit("js { const src = 'x'; }" + chr(10))}
       || CASE WHEN p_partkey % 13 = 0 THEN {lit("-- select the rows of t" + chr(10))} ELSE '' END
       || CASE WHEN p_partkey % 17 = 0 THEN {lit("WITH src AS (SELECT 1 AS id)" + chr(10))} ELSE '' END
       || {lit('SELECT' + chr(10) + '  p.id AS "id",' + chr(10) + "  '")} || p_brand
@@ -53,8 +55,15 @@ blank AS (
 _COLS = ("sheet_id, row_no, source_table, source_field, source_type, nullable, sample_data, transformation_rule, "
          "sql_logic, lookup_table, default_value, target_table, target_field, target_type, mapping_status")
 
-_BODY = with_(MODEL_FILES, f"""s1 AS (SELECT path, regexp_replace(regexp_replace(text, {rx(CONFIG_BLOCK)}, ''),
-    {_WS_TRIM}, '', 'g') AS t FROM model_files),
+# the block ends where the running count of braces, one character at a time, first returns to zero
+_BODY = with_(MODEL_FILES, f"""s0 AS (SELECT path, text, length(regexp_extract(text, '(?s)^(.*?config\\s*)\\{{', 1)) AS p0 FROM model_files),
+ch AS (SELECT path, i, sum(CASE substr(text, i, 1) WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END)
+         OVER (PARTITION BY path ORDER BY i) AS depth
+       FROM s0, unnest(range(p0 + 1, length(text) + 1)) r(i) WHERE regexp_matches(text, 'config\\s*\\{{')),
+ends AS (SELECT path, min(i) AS e FROM ch WHERE depth = 0 GROUP BY path),
+s1 AS (SELECT s0.path, regexp_replace(CASE WHEN e IS NULL THEN text
+         ELSE regexp_replace(left(text, p0), '(?s)config\\s*$', '') || substr(text, e + 1) END, {_WS_TRIM}, '', 'g') AS t
+       FROM s0 LEFT JOIN ends ON s0.path = ends.path),
 s2 AS (SELECT path, regexp_replace(t, {rx(JS_BLOCK)}, '', 'g') AS t FROM s1),
 s3 AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, {rx(DOTTED_REF)}, '\\1', 'g'),
     {rx(BARE_REF)}, 'raw.\\1', 'g'), {_WS_TRIM}, '', 'g'), ';+$', '') AS t FROM s2)""")

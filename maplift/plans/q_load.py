@@ -50,16 +50,17 @@ def _audited(source: DataFrame, required: list[str]):
 
 @query("full_refresh_load")
 def q_full_refresh(spark, sf_dir):
-    root, even, _ = _part_halves(spark, sf_dir)
-    load.full_refresh_load(even, root, _audited(even, ["p_partkey", "p_name"]))
+    part = read_table(spark, sf_dir, "part")
+    root = fresh_path(spark, "tables/part_copy")
+    load.full_refresh_load(part, root, _audited(part, ["p_partkey", "p_name"]))
     return load.read_current(spark, root)
 
 
 @query("append_load")
 def q_append(spark, sf_dir):
     root, even, odd = _part_halves(spark, sf_dir)
-    load.full_refresh_load(even, root)
-    load.append_load(odd, root)
+    load.append_load(even, root, _audited(even, ["p_partkey"]))
+    load.append_load(odd, root, _audited(odd, ["p_partkey"]))
     return load.read_current(spark, root)
 
 
@@ -91,6 +92,17 @@ def q_incremental_filter(spark, sf_dir):
                                    "ts", "ts")
 
 
+@query("partition_replace")
+def q_partition_replace(spark, sf_dir):
+    """The days of even number are loaded again, with their values doubled."""
+    events = read_table(spark, sf_dir, "events")
+    root = fresh_path(spark, "tables/events_replaced")
+    load.partitioned_load(events, root, "ts", "dt")
+    again = events.where(F.dayofmonth("ts") % 2 == 0).withColumn("value", F.col("value") * 2)
+    load.replace_partitions(again, root, "ts", "dt")
+    return load.read_current(spark, root)
+
+
 @query("partitioned_load")
 def q_partitioned_load(spark, sf_dir):
     root = fresh_path(spark, "tables/events_by_day")

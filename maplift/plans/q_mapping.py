@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from maplift.functions import rules
 from maplift.operators.lookup import lookup_join
+from maplift.plans.compile import ColumnSpec, apply_mapping
 from maplift.plans.mapping import mapped_patients
 from maplift.plans.registry import query
 from maplift.sources import derived
@@ -121,3 +122,42 @@ def q_row_filter(spark, sf_dir):
 def q_target_preview(spark, sf_dir):
     cols = ["patient_id", "full_name", "email_address", "date_of_birth", "weight", "site_city", "is_enrolled"]
     return mapped_patients(spark, sf_dir).select(*cols).orderBy("patient_id").limit(10)
+
+
+# One sheet that calls every named rule, and SQL logic with the shapes that differ from Postgres:
+# (source field, transformation rule, SQL logic, default, target field, target type)
+RULE_SHEET = [
+    ("primary_provider_id", "Copy as-is", "", "", "r_copy", "VARCHAR"),
+    ("first_name", "concat_space(last_name)", "", "", "r_concat", "VARCHAR"),
+    ("cust_email_01", "cleanEmail(cust_email_01)", "", "", "r_email", "VARCHAR"),
+    ("dob", "iso_date", "", "", "r_date", "DATE"),
+    ("weight_kg", "Round to nearest integer", "", "", "r_round", "INTEGER"),
+    ("site_code", "siteLookup(site_code)", "", "", "r_site", "VARCHAR"),
+    ("site_code", "code_case('01', 'one', '02', 'it''s two', 'more')", "", "", "r_case", "VARCHAR"),
+    ("enrolled_flag", "flag_bool('N')", "", "", "r_flag", "BOOLEAN"),
+    ("created_at", "Stamp load time", "", "", "r_time", "TIMESTAMP"),
+    ("primary_provider_id", "", "", "PR-NONE", "r_default", "VARCHAR"),
+    ("weight_kg", "", "", "", "r_cast", "INTEGER"),
+    ("risk_score", "safe_cast", "", "", "r_safe", "INTEGER"),
+    ("raw_note", "title_case", "", "", "r_title", "VARCHAR"),
+    ("height_cm", "unit_convert(2.54, 1)", "", "", "r_unit", "DOUBLE"),
+    ("dob", "parse_date_fmt(dob, 'yyyy-MM-dd')", "", "", "r_parsed", "DATE"),
+    ("admitted_at", "utc_timestamp", "", "", "r_utc", "TIMESTAMP"),
+    ("raw_note", "clean_string()", "", "", "r_clean", "VARCHAR"),
+    ("weight_kg", "", "ROUND(COALESCE(weight_kg, 0))", "", "s_round", "DOUBLE"),
+    ("weight_kg", "", "CAST(weight_kg AS INTEGER)", "", "s_cast", "INTEGER"),
+    ("weight_kg", "", "CAST(ROUND(CAST(weight_kg AS NUMERIC(10,2))) AS INTEGER)", "", "s_numeric", "INTEGER"),
+    ("site_code", "", "CONCAT('round(select)', \"site_code\", NULL)", "", "s_concat", "VARCHAR"),
+    ("created_at", "", "CURRENT_TIMESTAMP", "", "s_time", "TIMESTAMP"),
+]
+
+
+@query("apply_mapping_rules")
+def q_apply_mapping_rules(spark, sf_dir):
+    """B0 over a sheet with one row per named rule (B1-B16) and per SQL shape."""
+    rows = [{"row_no": i + 2, "source_field": sf, "transformation_rule": rule, "sql_logic": sql, "default_value": default,
+             "target_field": tf, "target_type": typ, "nullable": "YES", "mapping_status": "Validated"}
+            for i, (sf, rule, sql, default, tf, typ) in enumerate([("patient_id", "copy", "", "", "patient_id", "VARCHAR"), *RULE_SHEET])]
+    target = {r["target_field"]: ColumnSpec(r["target_type"], not r["default_value"]) for r in rows}
+    source = {"weight_kg": ColumnSpec("FLOAT", True)}
+    return apply_mapping(derived.patients(spark, sf_dir), rows, source, target, DEFAULT_LOAD_TS)

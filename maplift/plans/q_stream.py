@@ -9,13 +9,13 @@ from maplift.plans.registry import query
 from maplift.session import fresh_path
 from maplift.sources import derived
 from maplift.sources.tables import read_table
-from maplift.streaming.incremental import (fact_incremental_stream, feed_entries, file_stream, latest_state_stream,
-                                           run_available, run_complete_to_table)
+from maplift.streaming.incremental import (fact_incremental_stream, feed_entries, file_stream, known_updates, run_available,
+                                           run_latest_to_table)
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read_table(spark, sf_dir, "events").schema
-    return file_stream(spark, sf_dir, schema, glob="events.parquet")
+    return file_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", schema)
 
 
 @query("fact_incremental_stream")
@@ -47,6 +47,6 @@ def q_latest_run_state_stream(spark, sf_dir):
     updates = _events_stream(spark, sf_dir).select(
         F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"),
         F.col("event_type").alias("field"), "value", F.col("event_id").alias("seq"))
-    run_complete_to_table(latest_state_stream(updates, derived.runs(spark, sf_dir)), f"{base}/table",
-                          f"{base}/checkpoint")
+    run_latest_to_table(known_updates(updates, derived.runs(spark, sf_dir)), f"{base}/table", f"{base}/checkpoint",
+                        ["run_id", "field"], "seq")
     return read_current(spark, f"{base}/table")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from maplift.functions.rules import spark_type_name
 from maplift.operators import audit, load
 from maplift.operators.validate import Validator
-from maplift.plans.compile import ColumnSpec, apply_mapping, sheet_rows_of
+from maplift.plans.compile import ColumnSpec, MappingError, apply_mapping, sheet_rows_of
 
 
 @dataclass
@@ -35,13 +35,18 @@ def _specs(schema_cols: DataFrame, side: str) -> dict[str, ColumnSpec]:
 def run_mapping(sheet: DataFrame, schema_cols: DataFrame, source: DataFrame, target_root: str,
                 load_ts: str | None = None, full_refresh: bool = True) -> RunResult:
     """Run one sheet (`sheet_id` rows of `mapping_rows`) end to end."""
+    rows = sheet_rows_of(sheet)  # one sheet, or an error before anything is collected
     v = Validator(sheet, schema_cols)
     found = [r.asDict() for r in v.all_findings().orderBy("check_no", "row_key", "sub_no").collect()]
     if any(f["severity"] == "error" for f in found):
         return RunResult("failed", found, failed_step="validate")
     src_spec, tgt_spec = _specs(schema_cols, "source"), _specs(schema_cols, "target")
-    rows = sheet_rows_of(sheet)
-    mapped = apply_mapping(source, rows, src_spec, tgt_spec, load_ts)
+    try:
+        mapped = apply_mapping(source, rows, src_spec, tgt_spec, load_ts)
+    except MappingError as e:  # an unknown rule, or logic that is not covered, is an error of its row
+        row, _, message = str(e).partition(": ")
+        found.append({"severity": "error", "rows": row.removeprefix("row "), "message": message or str(e)})
+        return RunResult("failed", found, failed_step="compile")
     # Insert columns are the active rows' target fields in sheet order;
     # Values cast to the declared target types
     fields = list(mapped.columns)
@@ -61,8 +66,7 @@ def run_mapping(sheet: DataFrame, schema_cols: DataFrame, source: DataFrame, tar
         if full_refresh:
             version = load.full_refresh_load(mapped, target_root, check, stats=result)
         else:
-            version = load.append_load(mapped, target_root, stats=result)
-            check(load.read_current(source.sparkSession, target_root))
+            version = load.append_load(mapped, target_root, check, stats=result)
     except load.LoadError:
         return RunResult("failed", found, result, None, "audit")
     return RunResult("succeeded", found, result, version)
@@ -70,7 +74,7 @@ def run_mapping(sheet: DataFrame, schema_cols: DataFrame, source: DataFrame, tar
 
 # Step index per outcome (0-based, 8 steps): validation is step 1, the
 # audit step 7 (see the run step states, I3).
-_STEP_OF = {"validate": 1, "audit": 7}
+_STEP_OF = {"validate": 1, "compile": 3, "audit": 7}
 
 RUN_ROW_SCHEMA = ("run_id string, target_table string, status string, current_step int, step_failed boolean, "
                   "started_at bigint, duration_sec bigint, mappings_validated int, mappings_excluded int, "

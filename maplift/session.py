@@ -53,44 +53,29 @@ def apply_session_conf(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
-_LOCAL_DIRS: dict[int, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    On a cluster this setting names shared storage; we only set our own
-    (a scratch folder) when it is unset, as in local tests.
-    """
+    On a cluster this setting must name shared storage.  Only a local master, whose
+    tasks all run on this machine, gets a scratch folder when it is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        d = d or spark.sparkContext.getCheckpointDir()
+        master = spark.sparkContext.master
+    except Exception as e:  # pragma: no cover - connect sessions have no SparkContext
+        if not d:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from e
+        return d.rstrip("/")
     if not d:
-        try:
-            d = spark.sparkContext.getCheckpointDir()
-        except Exception:  # pragma: no cover - sessions without a SparkContext
-            d = None
-    if not d:
-        d = _LOCAL_DIRS.get(id(spark))
-    if not d:
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="maplift-ckpt-", dir=os.environ.get("MAPLIFT_SCRATCH", "/tmp"))
-        _LOCAL_DIRS[id(spark)] = d
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # pragma: no cover - conf not settable at runtime
-            pass
-    try:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # pragma: no cover - connect sessions have no SparkContext
-        pass
+        spark.conf.set("spark.checkpoint.dir", d)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, never-reused path under the shared folder (staging, versions)."""
     return f"{shared_dir(spark)}/{name}/v-{uuid.uuid4().hex[:12]}"
-
-
-def cut_lineage(df):
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -61,22 +61,23 @@ def nation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# 3.2 mapping_rows (from part).  Driver part keys are dense from 0, so the
-# sheet row number `row_number() over (sheet order by key) + 1` is the
-# closed form `key div 50 + 2` -- no window, no shuffle.
+# 3.2 mapping_rows (from part).  A sheet is a bounded upload, so the number of
+# sheets grows with the table and the rows of a sheet do not.  Driver part keys are dense
+# from 0, so the sheet row number `row_number() over (sheet order by key) + 1`
+# is the closed form `key % 40 + 2` -- no window, no shuffle.
 # ---------------------------------------------------------------------------
-N_SHEETS = 50
+ROWS_PER_SHEET = 40
 
 
 def mapping_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     size = F.col("p_size")
-    sheet = (k % N_SHEETS).cast("bigint")
+    sheet = F.floor(k / ROWS_PER_SHEET).cast("bigint")
     status = (F.when(k % 7 == 0, "In Progress").when(k % 7 == 1, "")
               .when(k % 7 == 2, " approved").when(k % 7 == 3, "VALID").otherwise("Validated"))
     return read_table(spark, sf_dir, "part").select(
         sheet.alias("sheet_id"),
-        (F.floor(k / N_SHEETS) + 2).cast("bigint").alias("row_no"),
+        (k % ROWS_PER_SHEET + 2).cast("bigint").alias("row_no"),
         F.concat(F.lit("raw.src_"), _s(sheet)).alias("source_table"),
         F.concat(F.lit("s"), _s(size)).alias("source_field"),
         F.lit("").alias("source_type"),
@@ -139,6 +140,10 @@ def live_source_columns(schema_cols: DataFrame) -> DataFrame:
                     F.upper("type").alias("type"), "nullable"))
 
 
+# The kinds of feed entries.
+FEED_KINDS = ["thought", "tool_call", "tool_result", "tool_error"]
+
+
 # ---------------------------------------------------------------------------
 # 3.4 runs (from orders)
 # ---------------------------------------------------------------------------
@@ -157,6 +162,11 @@ def runs(spark: SparkSession, sf_dir: str, order_key: int | None = None) -> Data
     if order_key is not None:
         orders = orders.where(k == F.lit(order_key))
     base = orders.select(k, "o_custkey", "o_orderdate", "o_totalprice", status.alias("status"))
+    started = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    feed = F.array(*[F.struct(F.lit(f"f{i}").alias("id"), (started + 1000 * i).alias("ts"), F.lit(FEED_KINDS[i]).alias("kind"),
+                              F.concat(F.lit(f'step {i} of "'), _s(k), F.lit('"')).alias("text")) for i in range(3)])
+    findings = F.array(*[F.struct(F.lit(f"v{i}").alias("id"), F.lit(sev).alias("severity"), _s(k % 40 + i).alias("rows"),
+                                  F.lit(f"finding {i}").alias("message")) for i, sev in enumerate(["info", "warning"])])
     return base.select(
         F.concat(F.lit("run_"), _s(k)).alias("run_id"),
         F.concat(F.lit("analytics.t"), _s(F.col("o_custkey") % 100)).alias("target_table"),
@@ -185,14 +195,16 @@ def runs(spark: SparkSession, sf_dir: str, order_key: int | None = None) -> Data
         (k % 5000).alias("llm_prompt_tokens"),
         (k % 900).alias("llm_completion_tokens"),
         ((k % 100).cast("double") / 100).alias("llm_cost_usd"),
+        F.when(k % 5 != 0, F.slice(feed, F.lit(1), (k % 4).cast("int"))).alias("feed"),
+        F.when(k % 5 != 0, F.slice(findings, F.lit(1), (k % 3).cast("int"))).alias("findings"),
+        F.when(k % 4 != 0, F.concat(F.lit("SELECT\n  "), _s(k), F.lit(' AS "id"\n'))).alias("sqlx_code"),
+        F.when(k % 4 != 0, F.concat(F.lit("definitions/marts/t"), _s(F.col("o_custkey") % 100), F.lit(".sqlx"))).alias("sqlx_path"),
     )
 
 
 # ---------------------------------------------------------------------------
 # 3.5 run_feed and attempts (from events)
 # ---------------------------------------------------------------------------
-FEED_KINDS = ["thought", "tool_call", "tool_result", "tool_error"]
-
 
 def run_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
@@ -273,7 +285,10 @@ def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = _s(F.col("p_size"))
     config = F.concat(
         F.lit('config {\n  type: "table",\n  schema: "analytics",\n  tags: ["daily"],\n'
-              '  assertions: { nonNull: ["id"], rowConditions: { ok: ["id > 0"] } }\n}\n'))
+              '  assertions: { nonNull: ["id"], rowConditions: { ok: ["id > 0"] } },\n  labels: '),
+        # nested 1 to 12 levels deep, with a word that starts a query inside
+        F.expr("repeat('{ a: ', cast(p_partkey % 12 + 1 as int))"), F.lit("'select'"),
+        F.expr("repeat(' }', cast(p_partkey % 12 + 1 as int))"), F.lit("\n}\n"))
     js = F.lit("js { const src = 'x'; }\n")
     second = F.when(k % 3 == 0, F.concat(
         F.lit('\nJOIN ${ ref("staging.dim_'), _s(k % 7), F.lit('") } d ON d.id = p.id')))

@@ -21,66 +21,58 @@ class SheetError(ValueError):
     pass
 
 
-# Widest sheet read (columns); a sheet reaching it is reported, not cut.
-MAX_SHEET_COLUMNS = 64
+def _csv(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """Every record of every file: cells c0.., and the whole record in `_long` when it has more or fewer than `width` cells."""
+    schema = T.StructType([*(T.StructField(f"_c{i}", T.StringType()) for i in range(width)),
+                           T.StructField("_long", T.StringType())])
+    return (spark.read.schema(schema).option("header", False).option("multiLine", True).option("escape", '"')
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_long").csv(path))
 
 
-def _raw_records(spark: SparkSession, path: str, max_columns: int) -> DataFrame:
+def _cell_count(record: str):
+    """Cells of a raw record: its commas outside quotes, and one."""
+    return F.length(F.regexp_replace(F.regexp_replace(record, '"(?:[^"]|"")*"', ""), "[^,]", "")) + 1
+
+
+def sheet_width(spark: SparkSession, path: str) -> int:
+    """Cells of the widest header under `path` (one pass; one number reaches the driver)."""
+    cells = _csv(spark, path, 1).select("_c0", "_long", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_pos"))
+    heads = cells.groupBy("file").agg(F.min_by(F.struct("_c0", "_long"), "_pos").alias("h")).select("h._long")
+    return int(heads.agg(F.max(F.coalesce(_cell_count("_long"), F.lit(1)))).first()[0] or 1)
+
+
+def _raw_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record of every file as an array of cells with its position in
-    the scan.  Files may have different headers: no schema is taken from
-    any one file."""
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
-    raw = (spark.read.schema(schema).option("header", False).option("multiLine", True)
-           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    the scan, as wide as the widest header.  Files may have different headers:
+    no schema is taken from any one file."""
+    width = sheet_width(spark, path)
+    raw = _csv(spark, path, width)
     keys = [F.col("sheet_id").cast("bigint").alias("sheet_id")] if "sheet_id" in raw.columns else []
-    return raw.select(*keys, F.array(*[F.col(f"_c{i}") for i in range(max_columns)]).alias("cells"),
+    return raw.select(*keys, F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("cells"),
+                      F.coalesce(_cell_count("_long") > width, F.lit(False)).alias("cut"),
                       F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_pos"))
 
 
-def _numbered(recs: DataFrame, max_columns: int) -> DataFrame:
-    """Each record with its record number in its file and its file's header
-    (normalised names, the required ones it lacks, whether it reaches the
-    column limit).  One window per file -- a file is one bounded sheet --
-    so the CSV is parsed once and no join is needed."""
+def _numbered(recs: DataFrame) -> DataFrame:
+    """Each record with its record number in its file, its file's header (normalised
+    names by position, blank ones as '', and the required ones it lacks) and whether it
+    has cells beyond that header.  One window per file -- a file is one bounded
+    sheet -- so the CSV is parsed once and no join is needed."""
     w = Window.partitionBy("file").orderBy("_pos")
     r = recs.select("*", F.row_number().over(w).cast("bigint").alias("row_no"),
                     F.first("cells").over(w).alias("_hdr"))
-    names = F.transform(F.filter("_hdr", lambda c: c.isNotNull()), lambda c: normalize_header(c))
-    r = r.select(*[c for c in r.columns if c not in ("_pos", "_hdr")], names.alias("names"),
-                 F.col("_hdr")[max_columns - 1].isNotNull().alias("too_wide"))
+    names = F.transform("_hdr", lambda c: F.coalesce(normalize_header(c), F.lit("")))
+    last = F.array_max(F.transform("_hdr", lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0)))  # the rest is padding
+    r = r.select(*[c for c in r.columns if c not in ("_pos", "_hdr", "cut")], names.alias("names"),
+                 (F.col("cut") | F.exists(F.slice("cells", last + 1, F.size("cells")), lambda c: c.isNotNull())).alias("too_long"))
     missing = F.filter(F.array(*[F.lit(c) for c in REQUIRED_SHEET_COLUMNS]),
                        lambda c: ~F.array_contains(F.col("names"), c))
     return r.withColumn("missing", missing)
 
 
-def _errors(numbered: DataFrame, max_columns: int) -> DataFrame:
-    err = (F.when(F.size("missing") > 0, F.concat(F.lit("STTM sheet is missing required columns: "),
-                                                  F.array_join("missing", ", ")))
-           .when(F.col("too_wide"), F.lit(f"STTM sheet has {max_columns} or more columns")))
-    return (numbered.where(F.col("row_no") == 1).select("file", err.alias("error"))
-            .where(F.col("error").isNotNull()))
-
-
-def sheet_file_errors(spark: SparkSession, path: str, max_columns: int = MAX_SHEET_COLUMNS) -> DataFrame:
-    """(file, error) for sheets that lack a required column or are too wide."""
-    return _errors(_numbered(_raw_records(spark, path, max_columns), max_columns), max_columns)
-
-
-def read_sheet_records(spark: SparkSession, path: str, strict: bool = True,
-                       max_columns: int = MAX_SHEET_COLUMNS) -> DataFrame:
-    """All records of all sheet files under `path` in canonical columns, each
-    file mapped through its own header, with the spreadsheet row number
-    (record index + 2, i.e. the record number counting the header).
-
-    `strict`: raise when a file lacks a required column (one more pass over
-    the sheets, which are bounded uploads); else such files are left out
-    and reported by `sheet_file_errors`."""
-    numbered = _numbered(_raw_records(spark, path, max_columns), max_columns)
-    if strict:
-        bad = _errors(numbered, max_columns).limit(20).collect()
-        if bad:
-            raise SheetError("; ".join(f"{r.file}: {r.error}" for r in bad))
-    data = numbered.where((F.col("row_no") > 1) & (F.size("missing") == 0) & ~F.col("too_wide"))
+def _records(numbered: DataFrame) -> DataFrame:
+    """Records in canonical columns: of files with the required columns, without over-long records."""
+    data = numbered.where((F.col("row_no") > 1) & (F.size("missing") == 0) & ~F.col("too_long"))
     keys = ["sheet_id"] if "sheet_id" in data.columns else []
 
     def cell(c: str):
@@ -95,17 +87,46 @@ def read_sheet_records(spark: SparkSession, path: str, strict: bool = True,
     return cells.select(*keys, *[canon(c) for c in MAPPING_COLUMNS], "file", "row_no")
 
 
+def _errors(numbered: DataFrame) -> DataFrame:
+    files = numbered.groupBy("file").agg(F.min_by("missing", "row_no").alias("missing"),
+                                         F.min(F.when(F.col("too_long"), F.col("row_no"))).alias("long"))
+    rows = mapping_rows_from_records(_records(numbered)).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    err = (F.when(F.size("missing") > 0, F.concat(F.lit("STTM sheet is missing required columns: "),
+                                                  F.array_join("missing", ", ")))
+           .when(F.col("long").isNotNull(), F.concat(F.lit("STTM sheet has a record longer than its header: row "),
+                                                     F.col("long").cast("string")))
+           .when(F.col("n").isNull(), F.lit("STTM sheet has no mapping rows")))
+    return files.join(rows, "file", "left").select("file", err.alias("error")).where(F.col("error").isNotNull())
+
+
+def sheet_file_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(file, error) for sheets that lack a required column, have a record longer than their header,
+    or have no mapping row."""
+    return _errors(_numbered(_raw_records(spark, path)))
+
+
+def read_sheet_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """All records of all sheet files under `path` in canonical columns, each
+    file mapped through its own header, with the spreadsheet row number
+    (record index + 2, i.e. the record number counting the header).
+
+    `strict`: raise when a file has an error (one more pass over the sheets, which
+    are bounded uploads); else what can be read is returned, and
+    `sheet_file_errors` lists every file with an error."""
+    numbered = _numbered(_raw_records(spark, path))
+    if strict:
+        bad = _errors(numbered).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "error")).alias("first")).first()
+        if bad.n:
+            more = f" (and {bad.n - 1} more files, see sheet_file_errors)" if bad.n > 1 else ""
+            raise SheetError(f"{bad['first'].file}: {bad['first'].error}{more}")
+    return _records(numbered)
+
+
 def mapping_rows_from_records(records: DataFrame) -> DataFrame:
     """A2: records with a source or a target field (blank records dropped)."""
     return records.where((F.col("source_field") != "") | (F.col("target_field") != ""))
 
 
-def empty_sheets(records: DataFrame) -> DataFrame:
-    """Files with no mapping row left (the reference raises for these)."""
-    rows = mapping_rows_from_records(records).select("file").distinct()
-    return records.select("file").distinct().join(rows, "file", "left_anti")
-
-
 def write_sheets(records: DataFrame, path: str, headers: dict[str, str] | None = None) -> None:
     """One CSV file per sheet (RFC-4180 quoting), records in row order."""
     headers = headers or {}

@@ -12,25 +12,8 @@ from maplift.functions.text import PY_WS, py_strip  # noqa: F401  (PY_WS re-expo
 from maplift.model import DEFAULT_SOURCE_SCHEMA, MSG_NO_SELECT
 from maplift.sources.tables import REF_PATTERN
 
-# Inner brace levels a `config { ... }` block may nest (a regular pattern
-# cannot count braces; deeper blocks are left in place, as unbalanced ones are).
-CONFIG_MAX_DEPTH = 4
-
-
-def _nested(depth: int, possessive: bool) -> str:
-    """A `{...}` group nesting up to `depth` inner levels."""
-    plus, star = ("++", "*+") if possessive else ("", "*")
-    g = r"\{[^{}]" + star + r"\}"
-    for _ in range(depth - 1):
-        g = r"\{(?:[^{}]" + plus + "|" + g + ")" + star + r"\}"
-    return g
-
-
-# A whole `config { ... }` block (RE2 / Java); and the block body matched at
-# the start of the text after `config {`, with possessive loops: the JVM
-# regex engine then runs in constant stack depth however long the text is.
-CONFIG_BLOCK = r"config\s*\{(?:[^{}]|" + _nested(CONFIG_MAX_DEPTH, False) + r")*\}"
-CONFIG_BODY_AT_START = r"^(?:[^{}]++|" + _nested(CONFIG_MAX_DEPTH, True) + r")*+\}"
+# The texts that start a block, a reference, a query or a fenced block.
+CONFIG_START = r"config\s*\{"
 JS_BLOCK = r"js\s*\{[^}]*\}"
 DOTTED_REF = r"""\$\{\s*ref\(\s*['"]([\w]*\.[\w.]*)['"]\s*\)\s*\}"""
 BARE_REF = r"""\$\{\s*ref\(\s*['"](\w+)['"]\s*\)\s*\}"""
@@ -39,20 +22,25 @@ FENCED = r"(?s)```(?:sqlx|sql)?\s*\n(.*?)```"
 
 
 def without_config_block(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    """Remove the first `config {...}` block of `text_col` when its braces
-    balance (within two inner levels); otherwise keep the text unchanged.
-
-    The text is split once at the first block start; the block body is then
-    matched at the start of the rest with possessive loops.  Each regex runs
-    once per row: the intermediate columns are separate projections, which
-    Catalyst keeps apart because they are not cheap to recompute."""
-    parts = df.withColumn("_cfg", F.split(F.col(text_col), r"config\s*\{", 2))
+    """Remove the first `config {...}` block of `text_col`, nested to any depth, when its
+    braces balance; otherwise keep the text unchanged.
+
+    The text is split once at the block's start; the rest is cut into runs that each end
+    with a brace, and one fold over them counts the depth up to the closing brace.  Each step
+    is a projection of its own, which Catalyst keeps apart because it is not cheap to recompute."""
+    parts = df.withColumn("_cfg", F.split(F.col(text_col), CONFIG_START, 2))
     after = F.get(F.col("_cfg"), 1)  # NULL when the text has no block start
-    rest = parts.withColumn("_rest", F.regexp_replace(after, CONFIG_BODY_AT_START, ""))
-    cut = (F.size("_cfg") == 2) & (F.col("_rest") != after)
-    return (rest.withColumn(out_col, py_strip(F.when(cut, F.concat(F.get(F.col("_cfg"), 0), F.col("_rest")))
-                                             .otherwise(F.col(text_col))))
-            .drop("_cfg", "_rest"))
+    runs = F.split(after, r"(?<=[{}])")  # linear, also over a long rest without braces
+    state = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("end"))
+
+    def step(s: Column, run: Column) -> Column:
+        depth = s["depth"] + F.when(run.endswith("{"), 1).when(run.endswith("}"), -1).otherwise(0)
+        return F.when(s["depth"] == 0, s).otherwise(F.struct(depth.alias("depth"), (s["end"] + F.length(run)).alias("end")))
+    folded = parts.withColumn("_fold", F.aggregate(runs, state, step))
+    rest = F.substring(after, F.col("_fold.end") + 1, F.length(after))
+    cut = F.concat(F.get(F.col("_cfg"), 0), rest)
+    return (folded.withColumn(out_col, py_strip(F.when(F.col("_fold.depth") == 0, cut).otherwise(F.col(text_col))))
+            .drop("_cfg", "_fold"))
 
 
 def resolve_refs(sql: Column, default_schema: str = DEFAULT_SOURCE_SCHEMA) -> Column:

@@ -16,9 +16,13 @@ def qualify(name: str, default_schema: str = DEFAULT_SOURCE_SCHEMA) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table of the data folder (`raw.<name>` or `<name>`)."""
-    bare = name.split(".")[-1]
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{bare}.parquet")
+    """Read one table of the data folder.
+
+    The folder is the default schema (`raw.<name>` or `<name>`); another schema is a
+    sub-folder of that name."""
+    schema, _, bare = name.rpartition(".")
+    folder = sf_dir.rstrip("/") if schema in ("", DEFAULT_SOURCE_SCHEMA) else f"{sf_dir.rstrip('/')}/{schema.replace('.', '/')}"
+    return spark.read.parquet(f"{folder}/{bare}.parquet")
 
 
 def ref(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -26,8 +30,3 @@ def ref(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     m = re.fullmatch(REF_PATTERN, text.strip())
     name = m.group(1) if m else text.strip()
     return read_table(spark, sf_dir, qualify(name))
-
-
-def register_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
-    for n in names:
-        read_table(spark, sf_dir, n).createOrReplaceTempView(n)

@@ -1,7 +1,7 @@
 """Structured Streaming forms of the loads.
 
 Sources are Parquet file streams; sinks are Parquet (append) or a
-`foreachBatch` writer for complete-mode tables.  Every query has its own
+`foreachBatch` merge into a versioned table.  Every query has its own
 checkpoint folder under the shared folder, so a restarted job resumes
 where it stopped (exactly-once file sink).  `availableNow` processes what
 is there and stops, which is how a scheduled incremental load runs.
@@ -14,17 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maplift.operators.load import _set_pointer, new_version_path
+from maplift.operators.load import commit_version, current_files, latest_per_key, new_version_path, read_current
 
 
-def file_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str | None = None,
+def file_stream(spark: SparkSession, path: str, schema: T.StructType,
                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """A table as a stream of its files: `path` is its folder of part files, or a single file.
+
+    The path is given as a pattern that matches only itself, which is how a file
+    source takes both."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    path = f"{folder}/[{name[0]}]{name[1:]}"
     r = spark.readStream.schema(schema).format("parquet")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.load(folder)
+    return r.load(path)
 
 
 def _to_event_time(df: DataFrame, ts_col: str) -> DataFrame:
@@ -58,21 +62,24 @@ def feed_entries(stream: DataFrame) -> DataFrame:
                          F.col("event_type").alias("text"))
 
 
-def latest_state_stream(updates: DataFrame, runs: DataFrame) -> DataFrame:
-    """J4 stream form: stream-static semi-join drops unknown runs; the grouped
-    `max_by` keeps one state row per (run, field)."""
-    known = updates.join(runs.select("run_id"), "run_id", "left_semi")
-    return known.groupBy("run_id", "field").agg(F.max_by("value", "seq").alias("value"),
-                                                 F.max("seq").alias("seq"))
+def known_updates(updates: DataFrame, runs: DataFrame) -> DataFrame:
+    """A stream-static semi-join drops the writes to unknown runs."""
+    return updates.join(runs.select("run_id"), "run_id", "left_semi")
 
 
-def run_complete_to_table(df: DataFrame, root: str, checkpoint: str) -> None:
-    """Complete-mode output: each micro-batch is the whole result table,
-    written as a new version of `root` and then made current."""
-    def write_batch(batch: DataFrame, epoch: int) -> None:
+def run_latest_to_table(updates: DataFrame, root: str, checkpoint: str, key: Sequence[str], order_col: str) -> None:
+    """J4 stream form: each micro-batch is reduced to its latest row per key and merged into the
+    table at `root` as a new version, so a batch costs its own rows and one pass over the
+    table of latest states, and no state is kept between batches.  Merging a batch again
+    (after a restart) changes nothing, since the greatest `order_col` wins."""
+    def merge_batch(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*updates.columns)
+        if current_files(spark, root):
+            rows = read_current(spark, root).unionByName(rows)
         path = new_version_path(root)
-        batch.write.mode("errorifexists").parquet(path)
-        _set_pointer(batch.sparkSession, root, path)
-    q = (df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-         .foreachBatch(write_batch).trigger(availableNow=True).start())
+        latest_per_key(rows, key, order_col).write.mode("errorifexists").parquet(path)
+        commit_version(spark, root, path)
+    q = (updates.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(merge_batch).trigger(availableNow=True).start())
     q.awaitTermination()

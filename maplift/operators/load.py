@@ -256,11 +256,15 @@ def partitioned_load(df: DataFrame, root: str, ts_col: str, part_col: str = "dt"
     return full_refresh_load(_dated(df, ts_col, part_col), root, partition_by=[part_col])
 
 
+def partitions_replaced(old: DataFrame, df: DataFrame, ts_col: str, part_col: str) -> DataFrame:
+    """`old` with the partitions that `df` has rows for replaced by those rows."""
+    days = df.select(F.to_date(ts_col).alias(part_col)).distinct()
+    kept = old.alias("o").join(days.alias("d"), _same_key("o", "d", [part_col]), "left_anti")
+    return kept.unionByName(df.withColumn(part_col, F.to_date(ts_col))).hint("rebalance", part_col)
+
+
 def replace_partitions(df: DataFrame, root: str, ts_col: str, part_col: str = "dt", check: Check | None = None) -> str:
     """A new version in which the partitions that `df` has rows for hold exactly those
     rows and the others are as before; readers never see a half-replaced table."""
-    new = _dated(df, ts_col, part_col)
     old = read_current(df.sparkSession, root)
-    days = df.select(F.to_date(ts_col).alias(part_col)).distinct()
-    kept = old.alias("o").join(days.alias("d"), _same_key("o", "d", [part_col]), "left_anti")
-    return full_refresh_load(kept.unionByName(new).hint("rebalance", part_col), root, check, [part_col])
+    return full_refresh_load(partitions_replaced(old, df, ts_col, part_col), root, check, [part_col])

@@ -14,9 +14,11 @@ How it is computed:
 3. Similar sets share a word within their first n - ceil(n * num / den) + 1 words.  Each
    class emits these prefix words with their position; a word whose slot was counted once
    can meet nothing.  Words that only one class emits are dropped.
-4. Pairs are cut by length and by position (the overlap that is still possible), each class
-   is first checked against the earliest class of its words, and only classes without
-   a match there are compared with the other earlier classes, in blocks (``linking``).
+4. Pairs are cut by length, by position (the overlap that is still possible) and by a 64-bit parity
+   sketch of the sets (each element that only one set has flips one bit, so sets that differ
+   in more bits than they may differ in elements are apart).  Each class is first checked against
+   the classes of its words' earliest document; those without a match there are compared with
+   the other earlier classes that pass these filters, in blocks (``linking``).
 
 Defined results: null or empty text has one empty line and stays as it is; documents with
 a null doc_id are left unchanged and match nothing; rows that repeat a doc_id share line
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from maplift.llm.common import by_slot, carried, in_filter, prepare, restored, slices, slot_filter, staged, text_bytes, texts_of
+from maplift.llm.common import by_slot, carried, in_filter, only_ids, prepare, restored, slices, slot_filter, staged, text_bytes, texts_of
 from maplift.llm.linking import block_count, block_of, checked, group_blocks, overlaps
 from maplift.llm.wordhash import U, Words, mix, words_of
 
@@ -94,11 +96,22 @@ def line_ids(line: np.ndarray, h: np.ndarray, n_lines: int) -> tuple[np.ndarray,
 def word_counts(docs: DataFrame) -> np.ndarray:
     """Counts (saturating 16 bits) of all words of all documents in 2**COUNT_BITS slots: 32 MB at any scale."""
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.uint16)
+        total, held, size = np.zeros(1 << COUNT_BITS, np.uint16), [], 0
+
+        def add() -> None:
+            n = np.bincount(np.concatenate(held), minlength=1 << COUNT_BITS)
+            n += total
+            np.minimum(n, 65535, out=n)
+            total[:] = n
         for batch in batches:
             for b in slices(batch):
-                slot, n = np.unique(slot_of(words_of(*text_bytes(b.column(1))).hash), return_counts=True)
-                total[slot] = np.minimum(total[slot].astype(np.int64) + n, 65535)
+                held.append(slot_of(words_of(*text_bytes(b.column(1))).hash))
+                size += len(held[-1])
+                if size > 4_000_000:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
         for chunk in range(0, 1 << COUNT_BITS, _CHUNK):
             part = total[chunk: chunk + _CHUNK]
             if part.any():
@@ -128,7 +141,7 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _line_rows(docs: DataFrame, counts, num: int, den: int) -> DataFrame:
-    """Per line with words: doc_id, line, node, size, keys (prefix words counted twice or more), places."""
+    """Per line with words: doc_id, line, node, size, sketch, keys (prefix words counted twice or more), places."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.frombuffer(counts.value, np.uint16)
         for batch in batches:
@@ -141,14 +154,15 @@ def _line_rows(docs: DataFrame, counts, num: int, den: int) -> DataFrame:
                 place = np.arange(len(line)) - first[line]
                 keep = (place < prefix_length(size, num, den)[line]) & (c >= 2)
                 full = np.flatnonzero(size > 0)
+                sketch = (np.bitwise_xor.reduceat(U(1) << (h & U(63)), first[full]) if len(full) else np.zeros(0, np.uint64))
                 ends = np.searchsorted(line[keep], np.append(full, len(doc)))
                 yield pa.record_batch([
                     b.column(0).take(pa.array(doc[full])), pa.array(number[full].astype(np.int32)),
-                    pa.array(ids, pa.binary()).take(pa.array(full)), pa.array(size[full]),
+                    pa.array(ids, pa.binary()).take(pa.array(full)), pa.array(size[full]), pa.array(sketch.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[keep].view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[keep].astype(np.int32)))],
-                    names=["doc_id", "line", "node", "size", "keys", "places"])
-    return docs.mapInArrow(run, "doc_id long, line int, node binary, size long, keys array<long>, places array<int>")
+                    names=["doc_id", "line", "node", "size", "sketch", "keys", "places"])
+    return docs.mapInArrow(run, "doc_id long, line int, node binary, size long, sketch long, keys array<long>, places array<int>")
 
 
 def _verify(num: int, den: int):
@@ -171,7 +185,7 @@ def _verify(num: int, den: int):
         for i, j in zip(*np.nonzero(ok)):
             if a[i] < b[j]:
                 later.setdefault(b[j], a[i])
-            elif b[j] < a[i] and a is b:
+            elif b[j] < a[i]:
                 later.setdefault(a[i], b[j])
         return [(v, k) for k, v in later.items()]
     return verify
@@ -185,7 +199,7 @@ def later_matches(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
     first = staged(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at"),
                                              F.min("size").alias("size"))
                    .select("node", "size", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line")), "classes")
-    matched = _matched(docs, lines, first, num, den)
+    matched = _matched(docs, lines, num, den)
     later = first.join(matched, "node", "left").select(
         "node", F.col("doc_id").alias("d0"), F.col("line").alias("l0"), F.col("matched").isNotNull().alias("m"))
     gone = (lines.select("doc_id", "line", "node").join(later, "node")
@@ -193,57 +207,65 @@ def later_matches(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
     return lines, gone
 
 
-def _matched(docs: DataFrame, lines: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, matched): classes with an earlier similar class."""
+def _matched(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, matched): classes with an earlier similar class.
+
+    In what follows a class is named by h, a 64-bit hash of its identity, and its first document; where
+    two classes share an h, their texts are told apart when they are compared."""
+    verify = _verify(num, den)
+    h = F.xxhash64("node")
     # prefix words of several classes; the others are dropped where they lie
-    own = F.xxhash64("node")
-    shared = (lines.select(own.alias("h"), F.explode("keys").alias("key")).groupBy("key")
+    shared = (lines.select(h.alias("h"), F.explode("keys").alias("key")).groupBy("key")
               .agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"))
     bits = docs.sparkSession.sparkContext.broadcast(slot_filter(shared, "key"))
-    posts = _postings(lines, bits).distinct()
-    pos = first.select("node", ordered_node("doc_id", "line", "node").alias("ordered"))
-    members = staged(posts.join(pos, "node").select("key", "place", "size", F.col("ordered").alias("node")), "members")
-    lines_ = staged(_line_texts(docs, members), "line-texts")
+    posts = _postings(lines.select(h.alias("h"), "doc_id", "size", "sketch", "keys", "places"), bits)
+    posts = staged(posts.groupBy("key", "h").agg(F.min("doc_id").alias("doc"), F.min("size").alias("size"),
+                                                 F.min("place").alias("place"), F.min("sketch").alias("sketch")), "posts")
+    low = posts.groupBy("key").agg(F.min("doc").alias("low"), F.count("*").alias("c")).where("c > 1")
+    members = staged(posts.join(low, "key").withColumn("head", F.col("doc") == F.col("low")).drop("low"), "members")
+
+    # each class against those of its words' earliest document
+    a, b = members.where("head").alias("a"), members.alias("b")
+    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (~F.col("b.head") | (F.col("a.h") < F.col("b.h"))) & may_match(num, den))
+    pairs = staged(near.groupBy(F.col("a.h").alias("center"), F.col("b.h").alias("node"))
+                   .agg(F.min("b.size").alias("size"), F.min("a.doc").alias("d1"), F.min("b.doc").alias("d2")), "star")
+    ids = pairs.select(F.col("center").alias("h"), F.col("d1").alias("doc")).union(pairs.select("node", "d2"))
+    found = _checked(group_blocks(pairs), docs, ids, verify, "star-links")
+
+    # those without a match: the other earlier classes of their words that pass the filters
+    todo = members.where("c > 2 and not head").join(found.select(F.xxhash64("node").alias("h")).distinct(), "h", "left_anti")
+    earlier = (F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h")) & (F.col("a.doc") <= F.col("b.doc")) & may_match(num, den)
+    rest = members.where("c > 2 and not head")
+    todo = staged(todo.alias("b").join(rest.alias("a"), earlier, "left_semi"), "todo")
+    if not todo.isEmpty():
+        rest = staged(rest.alias("a").join(todo.alias("b"), earlier, "left_semi"), "earlier")
+        ids = todo.select("h", "doc").union(rest.select("h", "doc"))
+        found = found.union(_checked(_open_rows(rest, todo), docs, ids, verify, "block-links"))
+    return found.distinct().withColumn("matched", F.lit(1))
 
-    def texts(rows: DataFrame) -> DataFrame:
-        return rows.join(lines_, "node")
-    verify = _verify(num, den)
 
-    low = members.groupBy("key").agg(F.min("node").alias("center"))
-    heads = members.join(low, "key").where("node = center").select("key", "center", F.col("size").alias("csize"),
-                                                                   F.col("place").alias("cplace"))
-    tails = members.join(heads, "key").where("node <> center")
-    pairs = staged(tails.where(may_match("size", "place", "csize", "cplace", num, den))
-                   .groupBy("center", "node").agg(F.min("size").alias("size")), "star")
-    found = checked(group_blocks(pairs), texts, verify, "star-links").select(F.col("b").alias("node")).distinct()
-    found = staged(found, "star-found")
-
-    # what the earliest class did not settle: compare with the other earlier classes of the word
-    rest = members.join(low, "key").where("node <> center")
-    todo = rest.join(found, "node", "left_anti")
-    low2 = rest.groupBy("key").agg(F.min("node").alias("second"), F.count("*").alias("c"))
-    todo = staged(todo.join(low2, "key").where("c > 1 and node <> second").select("key", "node", "size", "place"), "todo")
-    if not todo.isEmpty():
-        rest = rest.join(todo.select("key").distinct(), "key", "left_semi")
-        more = checked(_open_rows(rest, todo), texts, verify, "block-links").select(F.col("b").alias("node"))
-        found = found.union(more).distinct()
-    return found.select(F.substring("node", 13, 16).alias("node"), F.lit(1).alias("matched"))
+def _checked(rows: DataFrame, docs: DataFrame, ids: DataFrame, verify, name: str) -> DataFrame:
+    """(node): classes found to have an earlier match among groups of h; ids: h and its first document."""
+    texts = staged(_line_texts(docs, ids.distinct()), "line-texts")
+    rows = rows.withColumnRenamed("node", "h")
+    later = checked(rows, lambda r: r.join(texts, "h"), verify, name)
+    return staged(later.select(F.substring("b", 13, 16).alias("node")).distinct(), name)
 
 
 def _postings(lines: DataFrame, bits) -> DataFrame:
-    """(node, size, key, place) of the prefix words in the slot filter."""
+    """(h, doc_id, size, sketch, key, place) of the prefix words in the slot filter."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, np.uint8)
         for b in batches:
-            keys, places = b.column(2), b.column(3)
+            keys, places = b.column(4), b.column(5)
             key = keys.flatten().to_numpy()
             n = np.diff(keys.offsets.to_numpy())
             keep = in_filter(known, key)
             row = pa.array(np.repeat(np.arange(b.num_rows), n)[keep])
-            yield pa.record_batch([b.column(0).take(row), b.column(1).take(row), pa.array(key[keep]),
-                                   pa.array(places.flatten().to_numpy()[keep])], names=["node", "size", "key", "place"])
-    return lines.where("size(keys) > 0").select("node", "size", "keys", "places").mapInArrow(
-        run, "node binary, size long, key long, place int")
+            yield pa.record_batch([*(b.column(i).take(row) for i in range(4)), pa.array(key[keep]),
+                                   pa.array(places.flatten().to_numpy()[keep])],
+                                  names=["h", "doc_id", "size", "sketch", "key", "place"])
+    return lines.where("size(keys) > 0").mapInArrow(run, "h long, doc_id long, size long, sketch long, key long, place int")
 
 
 def ordered_node(doc_id: str, line: str, node: str):
@@ -252,42 +274,42 @@ def ordered_node(doc_id: str, line: str, node: str):
     return F.concat(F.unhex(F.lpad(F.hex(sign), 16, "0")), F.unhex(F.lpad(F.hex(F.col(line)), 8, "0")), F.col(node))
 
 
-def may_match(n1: str, p1: str, n2: str, p2: str, num: int, den: int):
-    """Length and positional filter of two sets that share a word at places p1 and p2."""
-    n1, p1, n2, p2 = (F.col(c) for c in (n1, p1, n2, p2))
+def may_match(num: int, den: int):
+    """Length, positional and sketch filter of two sets a and b that share a word."""
+    n1, p1, n2, p2 = (F.col(c) for c in ("a.size", "a.place", "b.size", "b.place"))
+    differ = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
     return ((F.least(n1, n2) * den >= F.greatest(n1, n2) * num)
-            & ((F.least(n1 - p1, n2 - p2) + F.least(p1, p2)) * (num + den) >= (n1 + n2) * num))
+            & ((F.least(n1 - p1, n2 - p2) + F.least(p1, p2)) * (num + den) >= (n1 + n2) * num)
+            & (differ * (num + den) <= (n1 + n2) * (den - num)))
 
 
-def _line_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, text) of the classes in ``members``: the text of each one's first line."""
-    nodes = members.select("node").distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(slot_filter(
-        nodes.select(F.conv(F.hex(F.substring("node", 13, 7)), 16, 10).cast("long").alias("k")), "k"))
+def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(h, node, text) of classes, from their first documents; node: first position, then identity."""
+    asked = ids.select("h", F.col("doc").alias("doc_id"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             for b in slices(batch):
                 buf, off = text_bytes(b.column(1))
                 edges, doc, number = lines_of(buf, off)
                 line, h, _ = line_sets(words_of(buf, edges))
                 size, ids = line_ids(line, h, len(doc))
-                short = np.array([int.from_bytes(i[:7], "big") if i else 0 for i in ids], np.int64)
-                keep = np.flatnonzero((size > 0) & in_filter(known, short))
+                full = np.flatnonzero(size > 0)
                 raw = buf.tobytes()
                 yield pa.record_batch([
-                    b.column(0).take(pa.array(doc[keep])), pa.array(number[keep].astype(np.int32)),
-                    pa.array(ids, pa.binary()).take(pa.array(keep)),
-                    pa.array([raw[edges[i]: edges[i + 1]].decode() for i in keep], pa.string())],
+                    b.column(0).take(pa.array(doc[full])), pa.array(number[full].astype(np.int32)),
+                    pa.array(ids, pa.binary()).take(pa.array(full)),
+                    pa.array([raw[edges[i]: edges[i + 1]].decode() for i in full], pa.string())],
                     names=["doc_id", "line", "cls", "text"])
-    found = docs.mapInArrow(run, "doc_id long, line int, cls binary, text string")
-    return (found.select(ordered_node("doc_id", "line", "cls").alias("node"), "text")
-            .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    found = only_ids(docs, asked).mapInArrow(run, "doc_id long, line int, cls binary, text string")
+    found = found.withColumn("h", F.xxhash64("cls")).join(asked, ["h", "doc_id"], "left_semi")
+    return found.groupBy("h", "cls").agg(F.min(F.struct("doc_id", "line", "text")).alias("t")).select(
+        "h", ordered_node("t.doc_id", "t.line", "cls").alias("node"), F.col("t.text").alias("text"))
 
 
 def _open_rows(rest: DataFrame, todo: DataFrame) -> DataFrame:
     """Groups of blocks: unsettled classes (role 1) against all classes of their word (role 0)."""
+    rest, todo = (df.withColumnRenamed("h", "node") for df in (rest, todo))
     n = rest.groupBy("key").agg(block_count().alias("n")).join(
         todo.groupBy("key").agg(block_count().alias("m")), "key")
     a = rest.join(n, "key").withColumn("x", block_of("node", "n")).select(

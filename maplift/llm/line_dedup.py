@@ -13,12 +13,12 @@ How it is computed:
    words, rarest first.  Slots may be shared, which changes the order, not the result.
 3. Similar sets share a word within their first n - ceil(n * num / den) + 1 words.  Each
    class emits these prefix words with their position; a word whose slot was counted once
-   can meet nothing.  Words that only one class emits are dropped.
+   can meet nothing.
 4. Pairs are cut by length, by position (the overlap that is still possible) and by a 64-bit parity
    sketch of the sets (each element that only one set has flips one bit, so sets that differ
    in more bits than they may differ in elements are apart).  Each class is first checked against
-   the classes of its words' earliest document; those without a match there are compared with
-   the other earlier classes that pass these filters, in blocks (``linking``).
+   the earliest class that passes these filters, for each of its words; those that do not match
+   and have more partners are compared with all of them, in blocks (``linking``).
 
 Defined results: null or empty text has one empty line and stays as it is; documents with
 a null doc_id are left unchanged and match nothing; rows that repeat a doc_id share line
@@ -213,37 +213,101 @@ def _matched(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame
     In what follows a class is named by h, a 64-bit hash of its identity, and its first document; where
     two classes share an h, their texts are told apart when they are compared."""
     verify = _verify(num, den)
-    h = F.xxhash64("node")
-    # prefix words of several classes; the others are dropped where they lie
-    shared = (lines.select(h.alias("h"), F.explode("keys").alias("key")).groupBy("key")
-              .agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"))
-    bits = docs.sparkSession.sparkContext.broadcast(slot_filter(shared, "key"))
-    posts = _postings(lines.select(h.alias("h"), "doc_id", "size", "sketch", "keys", "places"), bits)
-    posts = staged(posts.groupBy("key", "h").agg(F.min("doc_id").alias("doc"), F.min("size").alias("size"),
-                                                 F.min("place").alias("place"), F.min("sketch").alias("sketch")), "posts")
-    low = posts.groupBy("key").agg(F.min("doc").alias("low"), F.count("*").alias("c")).where("c > 1")
-    members = staged(posts.join(low, "key").withColumn("head", F.col("doc") == F.col("low")).drop("low"), "members")
-
-    # each class against those of its words' earliest document
-    a, b = members.where("head").alias("a"), members.alias("b")
-    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (~F.col("b.head") | (F.col("a.h") < F.col("b.h"))) & may_match(num, den))
-    pairs = staged(near.groupBy(F.col("a.h").alias("center"), F.col("b.h").alias("node"))
-                   .agg(F.min("b.size").alias("size"), F.min("a.doc").alias("d1"), F.min("b.doc").alias("d2")), "star")
+    # each class against the earliest one among those of its words that pass the filters
+    posts = _posts_of_classes(lines)
+    pairs = staged(_first_partners(posts, num, den).groupBy("center", "node").agg(
+        F.min("size").alias("size"), F.min("d1").alias("d1"), F.min("d2").alias("d2"), F.max("more").alias("more")), "star")
     ids = pairs.select(F.col("center").alias("h"), F.col("d1").alias("doc")).union(pairs.select("node", "d2"))
     found = _checked(group_blocks(pairs), docs, ids, verify, "star-links")
 
-    # those without a match: the other earlier classes of their words that pass the filters
-    todo = members.where("c > 2 and not head").join(found.select(F.xxhash64("node").alias("h")).distinct(), "h", "left_anti")
-    earlier = (F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h")) & (F.col("a.doc") <= F.col("b.doc")) & may_match(num, den)
-    rest = members.where("c > 2 and not head")
-    todo = staged(todo.alias("b").join(rest.alias("a"), earlier, "left_semi"), "todo")
-    if not todo.isEmpty():
-        rest = staged(rest.alias("a").join(todo.alias("b"), earlier, "left_semi"), "earlier")
-        ids = todo.select("h", "doc").union(rest.select("h", "doc"))
+    # those without a match that have further partners: all earlier classes that pass the filters
+    left = (pairs.where("more").select(F.col("node").alias("h")).distinct()
+            .join(found.select(F.xxhash64("node").alias("h")).distinct(), "h", "left_anti"))
+    left = staged(left, "left")
+    if not left.isEmpty():
+        own = posts.join(left, "h", "left_semi").select("key", "h", "doc", "size", "place", "sketch")
+        own = staged(own, "left-posts")
+        others = posts.join(own.select("key").distinct(), "key", "left_semi")
+        earlier = ((F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h")) & (F.col("a.doc") <= F.col("b.doc"))
+                   & may_match(num, den))
+        rest = staged(others.alias("a").join(own.alias("b"), earlier, "left_semi"), "earlier")
+        todo = own.join(rest.select("key").distinct(), "key", "left_semi")
+        ids = own.select("h", "doc").union(rest.select("h", "doc"))
         found = found.union(_checked(_open_rows(rest, todo), docs, ids, verify, "block-links"))
     return found.distinct().withColumn("matched", F.lit(1))
 
 
+def _posts_of_classes(lines: DataFrame) -> DataFrame:
+    """(key, h, doc, size, place, sketch): the prefix words of each class, once; doc: its first document.
+
+    Only classes of several lines need the aggregation, which combines in each task first."""
+    rows = lines.where("size(keys) > 0").select(F.xxhash64("node").alias("h"), "doc_id", "size", "sketch", "keys", "places")
+    again = lines.groupBy(F.xxhash64("node").alias("h")).count().where("count > 1").select("h")
+    bits = lines.sparkSession.sparkContext.broadcast(slot_filter(again, "h"))
+    copies = _postings(rows, bits, True).groupBy("key", "h").agg(
+        F.min("doc_id").alias("doc"), F.min("size").alias("size"), F.min("place").alias("place"), F.min("sketch").alias("sketch"))
+    return _postings(rows, bits, False).select("key", "h", F.col("doc_id").alias("doc"), "size", "place", "sketch").union(copies)
+
+
+#: Rows of whole keys that are compared at a time, and the distance (in rows) up to which they are.
+PARTNER_ROWS, PARTNER_REACH = 200_000, 4_096
+
+
+def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
+    """(center, node, size, d1, d2, more): for each class and word the earliest class that passes the filters,
+    and whether there are more.
+
+    A key's rows come in the order of their documents, and each row is compared with the rows before it, a
+    whole batch at once.  Keys of more than PARTNER_REACH rows leave the rest to the second step (more)."""
+    def passing(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n1, n2, p1, p2 = x["size"][i], x["size"][j], x["place"][i], x["place"][j]
+        ok = ((np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num)
+              & ((np.minimum(n1 - p1, n2 - p2) + np.minimum(p1, p2)) * (num + den) >= (n1 + n2) * num))
+        ok[ok] = np.bitwise_count((x["sketch"][i[ok]] ^ x["sketch"][j[ok]]).view(np.uint64)) * np.int64(num + den) <= (n1 + n2)[ok] * (den - num)
+        return ok & (x["h"][i] != x["h"][j])
+
+    def compared(x: dict) -> pa.RecordBatch:
+        n = len(x["key"])
+        head = np.append(True, x["key"][1:] != x["key"][:-1])
+        rank = np.arange(n) - np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        partner, seen = np.full(n, -1), np.zeros(n, np.int64)
+        live, back = np.flatnonzero(rank >= 1), 1
+        while len(live) and back <= PARTNER_REACH:
+            hit = live[passing(x, live, live - back)]
+            partner[hit] = hit - back  # the one furthest back is the earliest
+            seen[hit] += 1
+            back += 1
+            live = live[rank[live] >= back]
+        far = rank > PARTNER_REACH  # not compared with all rows before: they have the key's first one as a partner, and more
+        partner[far & (partner < 0)] = (np.arange(n) - rank)[far & (partner < 0)]
+        at = np.flatnonzero(partner >= 0)
+        c = partner[at]
+        return pa.record_batch([pa.array(x["h"][c]), pa.array(x["h"][at]), pa.array(x["size"][at]), pa.array(x["doc"][c]),
+                                pa.array(x["doc"][at]), pa.array((seen[at] > 1) | far[at])],
+                               names=["center", "node", "size", "d1", "d2", "more"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "h", "doc", "size", "place", "sketch"]
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows < PARTNER_ROWS:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t.column("key").to_numpy()
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0  # the last key may go on
+            if cut:
+                yield compared({c: t.column(c).to_numpy()[:cut] for c in names})
+            held, rows = t.slice(cut).to_batches(), len(t) - cut
+        if rows:
+            t = pa.Table.from_batches(held)
+            yield compared({c: t.column(c).to_numpy() for c in names})
+    return (posts.repartition("key").sortWithinPartitions("key", "doc", "h")
+            .mapInArrow(run, "center long, node long, size long, d1 long, d2 long, more boolean"))
+
+
 def _checked(rows: DataFrame, docs: DataFrame, ids: DataFrame, verify, name: str) -> DataFrame:
     """(node): classes found to have an earlier match among groups of h; ids: h and its first document."""
     texts = staged(_line_texts(docs, ids.distinct()), "line-texts")
@@ -252,20 +316,20 @@ def _checked(rows: DataFrame, docs: DataFrame, ids: DataFrame, verify, name: str
     return staged(later.select(F.substring("b", 13, 16).alias("node")).distinct(), name)
 
 
-def _postings(lines: DataFrame, bits) -> DataFrame:
-    """(h, doc_id, size, sketch, key, place) of the prefix words in the slot filter."""
+def _postings(lines: DataFrame, bits, inside: bool) -> DataFrame:
+    """(h, doc_id, size, sketch, key, place): prefix words of the lines whose h is in the slot filter, or is not."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, np.uint8)
         for b in batches:
             keys, places = b.column(4), b.column(5)
             key = keys.flatten().to_numpy()
             n = np.diff(keys.offsets.to_numpy())
-            keep = in_filter(known, key)
+            keep = np.repeat(in_filter(known, b.column(0).to_numpy()) == inside, n)
             row = pa.array(np.repeat(np.arange(b.num_rows), n)[keep])
             yield pa.record_batch([*(b.column(i).take(row) for i in range(4)), pa.array(key[keep]),
                                    pa.array(places.flatten().to_numpy()[keep])],
                                   names=["h", "doc_id", "size", "sketch", "key", "place"])
-    return lines.where("size(keys) > 0").mapInArrow(run, "h long, doc_id long, size long, sketch long, key long, place int")
+    return lines.mapInArrow(run, "h long, doc_id long, size long, sketch long, key long, place int")
 
 
 def ordered_node(doc_id: str, line: str, node: str):

@@ -14,7 +14,7 @@ How it is computed:
 3. Similar sets share a word within their first n - ceil(n * num / den) + 1 words.  Each
    class emits these prefix words with their position; a word whose slot was counted once
    can meet nothing.
-4. Pairs are cut by length, by position (the overlap that is still possible) and by a 64-bit parity
+4. Pairs are cut by length, by position (the overlap that is still possible) and by a 128-bit parity
    sketch of the sets (each element that only one set has flips one bit, so sets that differ
    in more bits than they may differ in elements are apart).  Each class is first checked against
    the earliest class that passes these filters, for each of its words; those that do not match
@@ -92,6 +92,11 @@ def line_ids(line: np.ndarray, h: np.ndarray, n_lines: int) -> tuple[np.ndarray,
     return size, [raw[16 * i: 16 * i + 16] if s else None for i, s in enumerate(size.tolist())]
 
 
+def line_keys(ids: list[bytes | None]) -> np.ndarray:
+    """The first 64 bits of each identity, 0 where there is none."""
+    return np.frombuffer(b"".join(i[:8] if i else bytes(8) for i in ids), np.int64)
+
+
 # ------------------------------------------------------------------ word counts
 def word_counts(docs: DataFrame) -> np.ndarray:
     """Counts (saturating 16 bits) of all words of all documents in 2**COUNT_BITS slots: 32 MB at any scale."""
@@ -141,7 +146,7 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _line_rows(docs: DataFrame, counts, num: int, den: int) -> DataFrame:
-    """Per line with words: doc_id, line, node, size, sketch, keys (prefix words counted twice or more), places."""
+    """Per line with words: doc_id, line, node, h, size, sketch (two halves), keys (prefix words counted twice or more), places."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.frombuffer(counts.value, np.uint16)
         for batch in batches:
@@ -154,15 +159,20 @@ def _line_rows(docs: DataFrame, counts, num: int, den: int) -> DataFrame:
                 place = np.arange(len(line)) - first[line]
                 keep = (place < prefix_length(size, num, den)[line]) & (c >= 2)
                 full = np.flatnonzero(size > 0)
-                sketch = (np.bitwise_xor.reduceat(U(1) << (h & U(63)), first[full]) if len(full) else np.zeros(0, np.uint64))
+                one = U(1) << (h & U(63))
+                high = (h >> U(6) & U(1)).astype(bool)
+                halves = [np.bitwise_xor.reduceat(np.where(high == half, one, U(0)), first[full]) if len(full) else np.zeros(0, np.uint64)
+                          for half in (False, True)]
                 ends = np.searchsorted(line[keep], np.append(full, len(doc)))
                 yield pa.record_batch([
                     b.column(0).take(pa.array(doc[full])), pa.array(number[full].astype(np.int32)),
-                    pa.array(ids, pa.binary()).take(pa.array(full)), pa.array(size[full]), pa.array(sketch.view(np.int64)),
+                    pa.array(ids, pa.binary()).take(pa.array(full)), pa.array(line_keys(ids)[full]), pa.array(size[full]),
+                    *(pa.array(x.view(np.int64)) for x in halves),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[keep].view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[keep].astype(np.int32)))],
-                    names=["doc_id", "line", "node", "size", "sketch", "keys", "places"])
-    return docs.mapInArrow(run, "doc_id long, line int, node binary, size long, sketch long, keys array<long>, places array<int>")
+                    names=["doc_id", "line", "node", "h", "size", "sketch", "sketch2", "keys", "places"])
+    return docs.mapInArrow(run, "doc_id long, line int, node binary, h long, size long, sketch long, sketch2 long, "
+                                "keys array<long>, places array<int>")
 
 
 def _verify(num: int, den: int):
@@ -221,36 +231,41 @@ def _matched(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame
     found = _checked(group_blocks(pairs), docs, ids, verify, "star-links")
 
     # those without a match that have further partners: all earlier classes that pass the filters
-    left = (pairs.where("more").select(F.col("node").alias("h")).distinct()
-            .join(found.select(F.xxhash64("node").alias("h")).distinct(), "h", "left_anti"))
+    left = pairs.where("more").select(F.col("node").alias("h")).distinct().join(found.select("h").distinct(), "h", "left_anti")
     left = staged(left, "left")
     if not left.isEmpty():
-        own = posts.join(left, "h", "left_semi").select("key", "h", "doc", "size", "place", "sketch")
+        def bits(df, col):
+            return docs.sparkSession.sparkContext.broadcast(slot_filter(df, col))
+        own = _posts_of_classes(lines, by_h=bits(left, "h")).join(left, "h", "left_semi").select(*_POST)
         own = staged(own, "left-posts")
-        others = posts.join(own.select("key").distinct(), "key", "left_semi")
+        others = _posts_of_classes(lines, by_key=bits(own, "key")).join(own.select("key").distinct(), "key", "left_semi")
         earlier = ((F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h")) & (F.col("a.doc") <= F.col("b.doc"))
                    & may_match(num, den))
         rest = staged(others.alias("a").join(own.alias("b"), earlier, "left_semi"), "earlier")
         todo = own.join(rest.select("key").distinct(), "key", "left_semi")
         ids = own.select("h", "doc").union(rest.select("h", "doc"))
         found = found.union(_checked(_open_rows(rest, todo), docs, ids, verify, "block-links"))
-    return found.distinct().withColumn("matched", F.lit(1))
+    return found.select("node").distinct().withColumn("matched", F.lit(1))
+
+
+_POST = ["key", "h", "doc", "size", "place", "sketch", "sketch2"]
 
 
-def _posts_of_classes(lines: DataFrame) -> DataFrame:
-    """(key, h, doc, size, place, sketch): the prefix words of each class, once; doc: its first document.
+def _posts_of_classes(lines: DataFrame, by_h=None, by_key=None) -> DataFrame:
+    """(key, h, doc, size, place, sketches): the prefix words of each class, once; doc: its first document.
 
-    Only classes of several lines need the aggregation, which combines in each task first."""
-    rows = lines.where("size(keys) > 0").select(F.xxhash64("node").alias("h"), "doc_id", "size", "sketch", "keys", "places")
-    again = lines.groupBy(F.xxhash64("node").alias("h")).count().where("count > 1").select("h")
+    Only classes of several lines need the aggregation, which combines in each task first.
+    ``by_h`` and ``by_key`` are slot filters that leave out most of what is not asked for."""
+    rows = lines.where("size(keys) > 0")
+    again = lines.groupBy("h").count().where("count > 1").select("h")
     bits = lines.sparkSession.sparkContext.broadcast(slot_filter(again, "h"))
-    copies = _postings(rows, bits, True).groupBy("key", "h").agg(
-        F.min("doc_id").alias("doc"), F.min("size").alias("size"), F.min("place").alias("place"), F.min("sketch").alias("sketch"))
-    return _postings(rows, bits, False).select("key", "h", F.col("doc_id").alias("doc"), "size", "place", "sketch").union(copies)
+    copies = _postings(rows, bits, True, by_h, by_key).groupBy("key", "h").agg(
+        F.min("doc_id").alias("doc"), *(F.min(c).alias(c) for c in _POST[3:]))
+    return _postings(rows, bits, False, by_h, by_key).withColumnRenamed("doc_id", "doc").select(*_POST).union(copies)
 
 
 #: Rows of whole keys that are compared at a time, and the distance (in rows) up to which they are.
-PARTNER_ROWS, PARTNER_REACH = 200_000, 4_096
+PARTNER_ROWS, PARTNER_REACH = 1 << 20, 4_096
 
 
 def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
@@ -263,7 +278,8 @@ def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
         n1, n2, p1, p2 = x["size"][i], x["size"][j], x["place"][i], x["place"][j]
         ok = ((np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num)
               & ((np.minimum(n1 - p1, n2 - p2) + np.minimum(p1, p2)) * (num + den) >= (n1 + n2) * num))
-        ok[ok] = np.bitwise_count((x["sketch"][i[ok]] ^ x["sketch"][j[ok]]).view(np.uint64)) * np.int64(num + den) <= (n1 + n2)[ok] * (den - num)
+        differ = sum(np.bitwise_count((x[c][i[ok]] ^ x[c][j[ok]]).view(np.uint64)).astype(np.int64) for c in ("sketch", "sketch2"))
+        ok[ok] = differ * (num + den) <= (n1 + n2)[ok] * (den - num)
         return ok & (x["h"][i] != x["h"][j])
 
     def compared(x: dict) -> pa.RecordBatch:
@@ -287,7 +303,7 @@ def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
                                names=["center", "node", "size", "d1", "d2", "more"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "h", "doc", "size", "place", "sketch"]
+        names = _POST
         held: list[pa.RecordBatch] = []
         rows = 0
         for b in batches:
@@ -313,23 +329,29 @@ def _checked(rows: DataFrame, docs: DataFrame, ids: DataFrame, verify, name: str
     texts = staged(_line_texts(docs, ids.distinct()), "line-texts")
     rows = rows.withColumnRenamed("node", "h")
     later = checked(rows, lambda r: r.join(texts, "h"), verify, name)
-    return staged(later.select(F.substring("b", 13, 16).alias("node")).distinct(), name)
+    return staged(later.select(F.col("b").alias("node")).distinct().join(texts.select("node", "h"), "node")
+                  .select(F.substring("node", 13, 16).alias("node"), "h").distinct(), name)
 
 
-def _postings(lines: DataFrame, bits, inside: bool) -> DataFrame:
-    """(h, doc_id, size, sketch, key, place): prefix words of the lines whose h is in the slot filter, or is not."""
+def _postings(lines: DataFrame, copied, inside: bool, by_h=None, by_key=None) -> DataFrame:
+    """(h, doc_id, size, sketches, key, place): prefix words of the lines whose h is in the slot filter, or is not."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(bits.value, np.uint8)
+        filters = [None if x is None else np.frombuffer(x.value, np.uint8) for x in (copied, by_h, by_key)]
         for b in batches:
-            keys, places = b.column(4), b.column(5)
+            keys, places, h = b.column(5), b.column(6), b.column(0).to_numpy()
             key = keys.flatten().to_numpy()
-            n = np.diff(keys.offsets.to_numpy())
-            keep = np.repeat(in_filter(known, b.column(0).to_numpy()) == inside, n)
-            row = pa.array(np.repeat(np.arange(b.num_rows), n)[keep])
-            yield pa.record_batch([*(b.column(i).take(row) for i in range(4)), pa.array(key[keep]),
+            line = in_filter(filters[0], h) == inside
+            if by_h is not None:
+                line &= in_filter(filters[1], h)
+            keep = np.repeat(line, np.diff(keys.offsets.to_numpy()))
+            if by_key is not None:
+                keep &= in_filter(filters[2], key)
+            row = pa.array(np.repeat(np.arange(b.num_rows), np.diff(keys.offsets.to_numpy()))[keep])
+            yield pa.record_batch([*(b.column(i).take(row) for i in range(5)), pa.array(key[keep]),
                                    pa.array(places.flatten().to_numpy()[keep])],
-                                  names=["h", "doc_id", "size", "sketch", "key", "place"])
-    return lines.mapInArrow(run, "h long, doc_id long, size long, sketch long, key long, place int")
+                                  names=["h", "doc_id", "size", "sketch", "sketch2", "key", "place"])
+    return lines.select("h", "doc_id", "size", "sketch", "sketch2", "keys", "places").mapInArrow(
+        run, "h long, doc_id long, size long, sketch long, sketch2 long, key long, place int")
 
 
 def ordered_node(doc_id: str, line: str, node: str):
@@ -341,7 +363,8 @@ def ordered_node(doc_id: str, line: str, node: str):
 def may_match(num: int, den: int):
     """Length, positional and sketch filter of two sets a and b that share a word."""
     n1, p1, n2, p2 = (F.col(c) for c in ("a.size", "a.place", "b.size", "b.place"))
-    differ = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
+    differ = (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
+              + F.bit_count(F.col("a.sketch2").bitwiseXOR(F.col("b.sketch2"))))
     return ((F.least(n1, n2) * den >= F.greatest(n1, n2) * num)
             & ((F.least(n1 - p1, n2 - p2) + F.least(p1, p2)) * (num + den) >= (n1 + n2) * num)
             & (differ * (num + den) <= (n1 + n2) * (den - num)))
@@ -350,23 +373,26 @@ def may_match(num: int, den: int):
 def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(h, node, text) of classes, from their first documents; node: first position, then identity."""
     asked = ids.select("h", F.col("doc").alias("doc_id"))
+    bits = docs.sparkSession.sparkContext.broadcast(slot_filter(asked, "h"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             for b in slices(batch):
                 buf, off = text_bytes(b.column(1))
                 edges, doc, number = lines_of(buf, off)
                 line, h, _ = line_sets(words_of(buf, edges))
                 size, ids = line_ids(line, h, len(doc))
-                full = np.flatnonzero(size > 0)
+                name = line_keys(ids)
+                full = np.flatnonzero((size > 0) & in_filter(known, name))
                 raw = buf.tobytes()
                 yield pa.record_batch([
                     b.column(0).take(pa.array(doc[full])), pa.array(number[full].astype(np.int32)),
-                    pa.array(ids, pa.binary()).take(pa.array(full)),
+                    pa.array(ids, pa.binary()).take(pa.array(full)), pa.array(name[full]),
                     pa.array([raw[edges[i]: edges[i + 1]].decode() for i in full], pa.string())],
-                    names=["doc_id", "line", "cls", "text"])
-    found = only_ids(docs, asked).mapInArrow(run, "doc_id long, line int, cls binary, text string")
-    found = found.withColumn("h", F.xxhash64("cls")).join(asked, ["h", "doc_id"], "left_semi")
+                    names=["doc_id", "line", "cls", "h", "text"])
+    found = only_ids(docs, asked).mapInArrow(run, "doc_id long, line int, cls binary, h long, text string")
+    found = found.join(asked, ["h", "doc_id"], "left_semi")
     return found.groupBy("h", "cls").agg(F.min(F.struct("doc_id", "line", "text")).alias("t")).select(
         "h", ordered_node("t.doc_id", "t.line", "cls").alias("node"), F.col("t.text").alias("text"))
 

@@ -49,12 +49,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = fresh_path(spark, f"llm-{name}")
-    if partitions:
-        df = df.coalesce(partitions)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from maplift.llm.common import by_slot, carried, in_filter, only_ids, prepare, restored, slices, slot_filter, staged, text_bytes, texts_of
-from maplift.llm.linking import block_count, block_of, checked, group_blocks, overlaps
+from maplift.llm.linking import block_count, block_of, checked, overlaps
 from maplift.llm.wordhash import U, Words, mix, words_of
 
 COUNT_BITS, _CHUNK = 24, 1 << 16
@@ -228,7 +228,8 @@ def _matched(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame
     pairs = staged(_first_partners(posts, num, den).groupBy("center", "node").agg(
         F.min("size").alias("size"), F.min("d1").alias("d1"), F.min("d2").alias("d2"), F.max("more").alias("more")), "star")
     ids = pairs.select(F.col("center").alias("h"), F.col("d1").alias("doc")).union(pairs.select("node", "d2"))
-    found = _checked(group_blocks(pairs), docs, ids, verify, "star-links")
+    texts = staged(_line_texts(docs, ids.distinct()), "line-texts")
+    found = _found(_similar_pairs(pairs, texts, num, den), texts, "star-links")
 
     # those without a match that have further partners: all earlier classes that pass the filters
     left = pairs.where("more").select(F.col("node").alias("h")).distinct().join(found.select("h").distinct(), "h", "left_anti")
@@ -272,35 +273,48 @@ def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
     """(center, node, size, d1, d2, more): for each class and word the earliest class that passes the filters,
     and whether there are more.
 
-    A key's rows come in the order of their documents, and each row is compared with the rows before it, a
-    whole batch at once.  Keys of more than PARTNER_REACH rows leave the rest to the second step (more)."""
+    A key's rows come in the order of their sizes, and each row is compared with the rows before it until
+    their sizes differ too much, a whole batch at once.  In keys with rows that have more than PARTNER_REACH
+    rows before them, all rows are left to the second step (more)."""
     def passing(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         n1, n2, p1, p2 = x["size"][i], x["size"][j], x["place"][i], x["place"][j]
-        ok = ((np.minimum(n1, n2) * den >= np.maximum(n1, n2) * num)
-              & ((np.minimum(n1 - p1, n2 - p2) + np.minimum(p1, p2)) * (num + den) >= (n1 + n2) * num))
+        ok = (np.minimum(n1 - p1, n2 - p2) + np.minimum(p1, p2)) * (num + den) >= (n1 + n2) * num
         differ = sum(np.bitwise_count((x[c][i[ok]] ^ x[c][j[ok]]).view(np.uint64)).astype(np.int64) for c in ("sketch", "sketch2"))
         ok[ok] = differ * (num + den) <= (n1 + n2)[ok] * (den - num)
         return ok & (x["h"][i] != x["h"][j])
 
     def compared(x: dict) -> pa.RecordBatch:
-        n = len(x["key"])
-        head = np.append(True, x["key"][1:] != x["key"][:-1])
-        rank = np.arange(n) - np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        n, doc, h, size = len(x["key"]), x["doc"], x["h"], x["size"]
+        start = np.flatnonzero(np.append(True, x["key"][1:] != x["key"][:-1]))
+        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
+        rank = np.arange(n) - start[group]
         partner, seen = np.full(n, -1), np.zeros(n, np.int64)
+
+        def note(later: np.ndarray, earlier: np.ndarray) -> None:
+            old = partner[later]
+            better = (old < 0) | (doc[earlier] < doc[old])
+            partner[later[better]] = earlier[better]
+            seen[later] += 1
         live, back = np.flatnonzero(rank >= 1), 1
         while len(live) and back <= PARTNER_REACH:
-            hit = live[passing(x, live, live - back)]
-            partner[hit] = hit - back  # the one furthest back is the earliest
-            seen[hit] += 1
+            live = live[size[live - back] * den >= size[live] * num]
+            i = live[passing(x, live, live - back)]
+            j = i - back
+            after = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (h[i] > h[j]))
+            note(i[after], j[after])
+            note(j[~after], i[~after])
             back += 1
             live = live[rank[live] >= back]
-        far = rank > PARTNER_REACH  # not compared with all rows before: they have the key's first one as a partner, and more
-        partner[far & (partner < 0)] = (np.arange(n) - rank)[far & (partner < 0)]
+        far = np.zeros(n, bool)
+        if len(live):
+            far = np.isin(group, group[live])
+            lone = far & (partner < 0)
+            other = np.where(rank > 0, np.arange(n) - rank, np.minimum(np.arange(n) + 1, n - 1))
+            partner[lone] = other[lone]
         at = np.flatnonzero(partner >= 0)
         c = partner[at]
-        return pa.record_batch([pa.array(x["h"][c]), pa.array(x["h"][at]), pa.array(x["size"][at]), pa.array(x["doc"][c]),
-                                pa.array(x["doc"][at]), pa.array((seen[at] > 1) | far[at])],
-                               names=["center", "node", "size", "d1", "d2", "more"])
+        return pa.record_batch([pa.array(h[c]), pa.array(h[at]), pa.array(size[at]), pa.array(doc[c]), pa.array(doc[at]),
+                                pa.array((seen[at] > 1) | far[at])], names=["center", "node", "size", "d1", "d2", "more"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _POST
@@ -320,7 +334,7 @@ def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
         if rows:
             t = pa.Table.from_batches(held)
             yield compared({c: t.column(c).to_numpy() for c in names})
-    return (posts.repartition("key").sortWithinPartitions("key", "doc", "h")
+    return (posts.repartition("key").sortWithinPartitions("key", "size")
             .mapInArrow(run, "center long, node long, size long, d1 long, d2 long, more boolean"))
 
 
@@ -329,10 +343,37 @@ def _checked(rows: DataFrame, docs: DataFrame, ids: DataFrame, verify, name: str
     texts = staged(_line_texts(docs, ids.distinct()), "line-texts")
     rows = rows.withColumnRenamed("node", "h")
     later = checked(rows, lambda r: r.join(texts, "h"), verify, name)
-    return staged(later.select(F.col("b").alias("node")).distinct().join(texts.select("node", "h"), "node")
+    return _found(later.select(F.col("b").alias("node")), texts, name)
+
+
+def _found(later: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """(node, h) of classes given by their first position and identity."""
+    return staged(later.distinct().join(texts.select("node", "h"), "node")
                   .select(F.substring("node", 13, 16).alias("node"), "h").distinct(), name)
 
 
+def _similar_pairs(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """(node): the later class of each pair (center, node) that is similar; a batch of pairs is compared at once."""
+    a = texts.select(F.col("h").alias("center"), F.col("node").alias("n1"), F.col("text").alias("t1"))
+    b = texts.select(F.col("h").alias("node"), F.col("node").alias("n2"), F.col("text").alias("t2"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [line_sets(words_of(*text_bytes(batch.column(i)))) for i in (1, 3)]
+            pair = np.concatenate([sides[0][0], sides[1][0]])
+            word = np.concatenate([sides[0][1], sides[1][1]])
+            order = np.lexsort((word, pair))
+            pair, word = pair[order], word[order]
+            shared = pair[1:][(pair[1:] == pair[:-1]) & (word[1:] == word[:-1])]
+            n = batch.num_rows
+            inter, total = np.bincount(shared, minlength=n), np.bincount(pair, minlength=n)
+            ok = den * inter >= num * (total - inter)
+            later = [max(x, y) for x, y, good in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ok) if good]
+            yield pa.record_batch([pa.array(later, pa.binary())], names=["node"])
+    return (pairs.select("center", "node").join(a, "center").join(b, "node").select("n1", "t1", "n2", "t2")
+            .mapInArrow(run, "node binary"))
+
+
 def _postings(lines: DataFrame, copied, inside: bool, by_h=None, by_key=None) -> DataFrame:
     """(h, doc_id, size, sketches, key, place): prefix words of the lines whose h is in the slot filter, or is not."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,11 +14,12 @@ How it is computed:
 3. Similar sets share a word within their first n - ceil(n * num / den) + 1 words.  Each
    class emits these prefix words with their position; a word whose slot was counted once
    can meet nothing.
-4. Pairs are cut by length, by position (the overlap that is still possible) and by a 128-bit parity
-   sketch of the sets (each element that only one set has flips one bit, so sets that differ
-   in more bits than they may differ in elements are apart).  Each class is first checked against
-   the earliest class that passes these filters, for each of its words; those that do not match
-   and have more partners are compared with all of them, in blocks (``linking``).
+4. Pairs are cut by length, by position (the overlap that is still possible) and by parity
+   sketches of the sets (each element that only one set has flips one bit, so sets that differ
+   in more bits than they may differ in elements are apart): one of 128 bits beside each word,
+   one of two bits an element for the pairs that are left.  Each class is first checked against
+   a few earlier classes that pass, for each of its words; those that match none and have more
+   partners are compared with all of them, in blocks (``linking``).
 
 Defined results: null or empty text has one empty line and stays as it is; documents with
 a null doc_id are left unchanged and match nothing; rows that repeat a doc_id share line
@@ -97,6 +98,33 @@ def line_keys(ids: list[bytes | None]) -> np.ndarray:
     return np.frombuffer(b"".join(i[:8] if i else bytes(8) for i in ids), np.int64)
 
 
+def wide_sketches(line: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit words, first word of each line): parity sketches of at least two bits an element, a power of two of words."""
+    words = 1 << np.ceil(np.log2(np.maximum(size, 32) / 32)).astype(np.int64)
+    first = np.append(0, np.cumsum(words))
+    bit = (h >> U(20)).astype(np.int64) & (words[line] * 64 - 1)
+    out = np.zeros(int(first[-1]), np.uint64)
+    np.bitwise_xor.at(out, first[line] + (bit >> 6), U(1) << (bit & 63).astype(np.uint64))
+    return out, first
+
+
+def sketch_distance(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Differing bits of pairs of wide sketches, the longer ones folded to the length of the shorter."""
+    out = np.zeros(len(a), np.int64)
+    la, lb = np.array([len(x) for x in a]) // 8, np.array([len(x) for x in b]) // 8
+    for p, q in set(zip(la.tolist(), lb.tolist())):
+        at = np.flatnonzero((la == p) & (lb == q))
+        x = np.frombuffer(b"".join([a[i] for i in at]), np.uint64).reshape(len(at), p)
+        y = np.frombuffer(b"".join([b[i] for i in at]), np.uint64).reshape(len(at), q)
+        while x.shape[1] != y.shape[1]:
+            if x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+            else:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2:]
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
 # ------------------------------------------------------------------ word counts
 def word_counts(docs: DataFrame) -> np.ndarray:
     """Counts (saturating 16 bits) of all words of all documents in 2**COUNT_BITS slots: 32 MB at any scale."""
@@ -146,7 +174,7 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _line_rows(docs: DataFrame, counts, num: int, den: int) -> DataFrame:
-    """Per line with words: doc_id, line, node, h, size, sketch (two halves), keys (prefix words counted twice or more), places."""
+    """Per line with words: doc_id, line, node, h, size, sketch (two halves), wide (sketch), keys (prefix words counted twice or more), places."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.frombuffer(counts.value, np.uint16)
         for batch in batches:
@@ -163,15 +191,18 @@ def _line_rows(docs: DataFrame, counts, num: int, den: int) -> DataFrame:
                 high = (h >> U(6) & U(1)).astype(bool)
                 halves = [np.bitwise_xor.reduceat(np.where(high == half, one, U(0)), first[full]) if len(full) else np.zeros(0, np.uint64)
                           for half in (False, True)]
+                wide, at = wide_sketches(line, h, size)
+                wide = wide.tobytes()
                 ends = np.searchsorted(line[keep], np.append(full, len(doc)))
                 yield pa.record_batch([
                     b.column(0).take(pa.array(doc[full])), pa.array(number[full].astype(np.int32)),
                     pa.array(ids, pa.binary()).take(pa.array(full)), pa.array(line_keys(ids)[full]), pa.array(size[full]),
                     *(pa.array(x.view(np.int64)) for x in halves),
+                    pa.array([wide[8 * at[i]: 8 * at[i + 1]] for i in full.tolist()], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[keep].view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[keep].astype(np.int32)))],
-                    names=["doc_id", "line", "node", "h", "size", "sketch", "sketch2", "keys", "places"])
-    return docs.mapInArrow(run, "doc_id long, line int, node binary, h long, size long, sketch long, sketch2 long, "
+                    names=["doc_id", "line", "node", "h", "size", "sketch", "sketch2", "wide", "keys", "places"])
+    return docs.mapInArrow(run, "doc_id long, line int, node binary, h long, size long, sketch long, sketch2 long, wide binary, "
                                 "keys array<long>, places array<int>")
 
 
@@ -226,14 +257,16 @@ def _matched(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame
     # each class against the earliest one among those of its words that pass the filters
     posts = _posts_of_classes(lines)
     pairs = staged(_first_partners(posts, num, den).groupBy("center", "node").agg(
-        F.min("size").alias("size"), F.min("d1").alias("d1"), F.min("d2").alias("d2"), F.max("more").alias("more")), "star")
+        F.min("size1").alias("size1"), F.min("size").alias("size"), F.min("d1").alias("d1"), F.min("d2").alias("d2"),
+        F.max("more").alias("more")), "partners")
+    open_ = pairs.where("more").select(F.col("node").alias("h")).distinct()
+    pairs = staged(_within_distance(pairs, lines, num, den), "star")
     ids = pairs.select(F.col("center").alias("h"), F.col("d1").alias("doc")).union(pairs.select("node", "d2"))
     texts = staged(_line_texts(docs, ids.distinct()), "line-texts")
     found = _found(_similar_pairs(pairs, texts, num, den), texts, "star-links")
 
     # those without a match that have further partners: all earlier classes that pass the filters
-    left = pairs.where("more").select(F.col("node").alias("h")).distinct().join(found.select("h").distinct(), "h", "left_anti")
-    left = staged(left, "left")
+    left = staged(open_.join(found.select("h").distinct(), "h", "left_anti"), "left")
     if not left.isEmpty():
         def bits(df, col):
             return docs.sparkSession.sparkContext.broadcast(slot_filter(df, col))
@@ -267,11 +300,13 @@ def _posts_of_classes(lines: DataFrame, by_h=None, by_key=None) -> DataFrame:
 
 #: Rows of whole keys that are compared at a time, and the distance (in rows) up to which they are.
 PARTNER_ROWS, PARTNER_REACH = 1 << 20, 4_096
+#: Partners of a class and word that are checked at once; classes with more that match none of them go to the second step.
+PARTNERS = 8
 
 
 def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
-    """(center, node, size, d1, d2, more): for each class and word the earliest class that passes the filters,
-    and whether there are more.
+    """(center, node, size1, size, d1, d2, more): for each class and word earlier classes that pass the
+    filters, up to PARTNERS of them, and whether there are more.
 
     A key's rows come in the order of their sizes, and each row is compared with the rows before it until
     their sizes differ too much, a whole batch at once.  In keys with rows that have more than PARTNER_REACH
@@ -288,12 +323,11 @@ def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
         start = np.flatnonzero(np.append(True, x["key"][1:] != x["key"][:-1]))
         group = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
         rank = np.arange(n) - start[group]
-        partner, seen = np.full(n, -1), np.zeros(n, np.int64)
+        seen, some = np.zeros(n, np.int64), []
 
         def note(later: np.ndarray, earlier: np.ndarray) -> None:
-            old = partner[later]
-            better = (old < 0) | (doc[earlier] < doc[old])
-            partner[later[better]] = earlier[better]
+            first = seen[later] < PARTNERS
+            some.append((later[first], earlier[first]))
             seen[later] += 1
         live, back = np.flatnonzero(rank >= 1), 1
         while len(live) and back <= PARTNER_REACH:
@@ -306,15 +340,15 @@ def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
             back += 1
             live = live[rank[live] >= back]
         far = np.zeros(n, bool)
-        if len(live):
+        if len(live):  # give every row of such a key a partner, so that the second step hears of it
             far = np.isin(group, group[live])
-            lone = far & (partner < 0)
-            other = np.where(rank > 0, np.arange(n) - rank, np.minimum(np.arange(n) + 1, n - 1))
-            partner[lone] = other[lone]
-        at = np.flatnonzero(partner >= 0)
-        c = partner[at]
-        return pa.record_batch([pa.array(h[c]), pa.array(h[at]), pa.array(size[at]), pa.array(doc[c]), pa.array(doc[at]),
-                                pa.array((seen[at] > 1) | far[at])], names=["center", "node", "size", "d1", "d2", "more"])
+            lone = np.flatnonzero(far & (seen == 0))
+            some.append((lone, np.where(rank[lone] > 0, start[group[lone]], np.minimum(lone + 1, n - 1))))
+        later = np.concatenate([np.zeros(0, np.int64), *(a for a, _ in some)])
+        earlier = np.concatenate([np.zeros(0, np.int64), *(b for _, b in some)])
+        return pa.record_batch([pa.array(h[earlier]), pa.array(h[later]), pa.array(size[earlier]), pa.array(size[later]),
+                                pa.array(doc[earlier]), pa.array(doc[later]), pa.array((seen[later] > PARTNERS) | far[later])],
+                               names=["center", "node", "size1", "size", "d1", "d2", "more"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _POST
@@ -335,7 +369,7 @@ def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
             t = pa.Table.from_batches(held)
             yield compared({c: t.column(c).to_numpy() for c in names})
     return (posts.repartition("key").sortWithinPartitions("key", "size")
-            .mapInArrow(run, "center long, node long, size long, d1 long, d2 long, more boolean"))
+            .mapInArrow(run, "center long, node long, size1 long, size long, d1 long, d2 long, more boolean"))
 
 
 def _checked(rows: DataFrame, docs: DataFrame, ids: DataFrame, verify, name: str) -> DataFrame:
@@ -352,6 +386,29 @@ def _found(later: DataFrame, texts: DataFrame, name: str) -> DataFrame:
                   .select(F.substring("node", 13, 16).alias("node"), "h").distinct(), name)
 
 
+def _within_distance(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose wide sketches do not differ in more bits than the sets may in elements."""
+    asked = pairs.select(F.col("center").alias("h")).union(pairs.select("node")).distinct()
+    bits = lines.sparkSession.sparkContext.broadcast(slot_filter(asked, "h"))
+
+    def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.frombuffer(bits.value, np.uint8)
+        for b in batches:
+            yield b.filter(pa.array(in_filter(slots, b.column(0).to_numpy())))
+    wide = lines.select("h", F.col("wide").alias("w")).mapInArrow(known, "h long, w binary").distinct()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column(2).to_numpy() + b.column(3).to_numpy()
+            apart = sketch_distance(b.column(6).to_pylist(), b.column(7).to_pylist())
+            keep = pa.array(apart * (num + den) <= size * (den - num))
+            yield b.select([0, 1, 2, 3, 4, 5]).filter(keep)
+    both = (pairs.join(wide.select(F.col("h").alias("center"), F.col("w").alias("w1")), "center")
+            .join(wide.select(F.col("h").alias("node"), F.col("w").alias("w2")), "node"))
+    return both.select("center", "node", "size1", "size", "d1", "d2", "w1", "w2").mapInArrow(
+        run, "center long, node long, size1 long, size long, d1 long, d2 long")
+
+
 def _similar_pairs(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """(node): the later class of each pair (center, node) that is similar; a batch of pairs is compared at once."""
     a = texts.select(F.col("h").alias("center"), F.col("node").alias("n1"), F.col("text").alias("t1"))

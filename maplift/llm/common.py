@@ -115,9 +115,9 @@ _CHUNK_BITS = 17
 
 
 def slot_filter(keys: DataFrame, key: str, bits: int = SLOT_BITS) -> bytes:
-    """A bitmap of 2**bits bits marking ``pmod(key, 2**bits)`` of every key.
+    """A bitmap of 2**bits bits marking ``pmod(key, 2**bits)`` of every key, compressed (see ``opened``).
 
-    Its size (8 MB) does not depend on the data, so it may be sent to every
+    Its size (8 MB at most) does not depend on the data, so it may be sent to every
     task.  It only spares rows of later joins; a full bitmap spares none and
     changes no result.
     """
@@ -131,7 +131,12 @@ def slot_filter(keys: DataFrame, key: str, bits: int = SLOT_BITS) -> bytes:
     step = 1 << (_CHUNK_BITS - 3)
     for row in parts.collect():  # at most 2**bits bits
         out[row.chunk * step: (row.chunk + 1) * step] |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
-    return out.tobytes()
+    return zlib.compress(out.tobytes(), 1)
+
+
+def opened(known, dtype=np.uint8) -> np.ndarray:
+    """The array of a broadcast that holds compressed bytes."""
+    return np.frombuffer(zlib.decompress(known.value), dtype)
 
 
 def _partial_bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

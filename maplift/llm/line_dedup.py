@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from maplift.llm.common import by_slot, carried, in_filter, only_ids, prepare, restored, slices, slot_filter, staged, text_bytes, texts_of
+from maplift.llm.common import by_slot, carried, in_filter, only_ids, opened, prepare, restored, slices, slot_filter, staged, text_bytes, texts_of
 from maplift.llm.linking import block_count, block_of, checked, overlaps
 from maplift.llm.wordhash import U, Words, mix, words_of
 
@@ -176,7 +176,7 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
 def _line_rows(docs: DataFrame, counts, num: int, den: int) -> DataFrame:
     """Per line with words: doc_id, line, node, h, size, sketch (two halves), wide (sketch), keys (prefix words counted twice or more), places."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.frombuffer(counts.value, np.uint16)
+        count = opened(counts, np.uint16)
         for batch in batches:
             for b in slices(batch):
                 buf, off = text_bytes(b.column(1))
@@ -235,7 +235,7 @@ def _verify(num: int, den: int):
 def later_matches(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(lines, gone): all lines with words (doc_id, line, node) and those to remove (doc_id, line, node)."""
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(word_counts(docs).tobytes())
+    counts = spark.sparkContext.broadcast(zlib.compress(word_counts(docs).tobytes(), 1))
     lines = staged(_line_rows(docs, counts, num, den), "lines")
     first = staged(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at"),
                                              F.min("size").alias("size"))
@@ -392,7 +392,7 @@ def _within_distance(pairs: DataFrame, lines: DataFrame, num: int, den: int) ->
     bits = lines.sparkSession.sparkContext.broadcast(slot_filter(asked, "h"))
 
     def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = np.frombuffer(bits.value, np.uint8)
+        slots = opened(bits)
         for b in batches:
             yield b.filter(pa.array(in_filter(slots, b.column(0).to_numpy())))
     wide = lines.select("h", F.col("wide").alias("w")).mapInArrow(known, "h long, w binary").distinct()
@@ -434,7 +434,7 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> Da
 def _postings(lines: DataFrame, copied, inside: bool, by_h=None, by_key=None) -> DataFrame:
     """(h, doc_id, size, sketches, key, place): prefix words of the lines whose h is in the slot filter, or is not."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [None if x is None else np.frombuffer(x.value, np.uint8) for x in (copied, by_h, by_key)]
+        filters = [None if x is None else opened(x) for x in (copied, by_h, by_key)]
         for b in batches:
             keys, places, h = b.column(5), b.column(6), b.column(0).to_numpy()
             key = keys.flatten().to_numpy()
@@ -474,7 +474,7 @@ def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(slot_filter(asked, "h"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(bits.value, np.uint8)
+        known = opened(bits)
         for batch in batches:
             for b in slices(batch):
                 buf, off = text_bytes(b.column(1))

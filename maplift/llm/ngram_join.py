@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maplift.llm.common import by_slot, carried, in_filter, prepare, restored, slices, slot_filter, staged, text_bytes, texts_of
+from maplift.llm.common import by_slot, carried, in_filter, opened, prepare, restored, slices, slot_filter, staged, text_bytes, texts_of
 from maplift.llm.linking import forest, linked_groups, overlaps, texts_by_doc
 from maplift.llm.wordhash import U, join_hash, mix, set_id, shingle_sets, words_of
 
@@ -120,7 +120,7 @@ def text_sets(docs: DataFrame, words: int) -> DataFrame:
 def _signature_rows(docs: DataFrame, words: int, num: int, den: int, wanted=None) -> DataFrame:
     """(key[, node, size, rep]): signatures of all texts; with ``wanted``, those in that slot filter."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
+        bits = None if wanted is None else opened(wanted)
         for batch in batches:
             for b in slices(batch):
                 sets = shingle_sets(words_of(*text_bytes(b.column(1))), words)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maplift.llm.common import by_slot, in_filter, only_ids, prepare, slices, slot_filter, staged, text_bytes, texts_of
+from maplift.llm.common import by_slot, in_filter, only_ids, opened, prepare, slices, slot_filter, staged, text_bytes, texts_of
 from maplift.llm.wordhash import U, Words, join_hash, mix, ngrams, words_of
 
 _KEYS = ["doc_id", "tid"]
@@ -69,7 +69,7 @@ def _link(edge: np.ndarray, gap: np.ndarray) -> np.ndarray:
 def _edge_rows(docs: DataFrame, window: int, wanted=None) -> DataFrame:
     """(edge) of all sampled k-mers, or with ``wanted`` the occurrences of those in the slot filter."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
+        bits = None if wanted is None else opened(wanted)
         for batch in batches:
             for b in slices(batch):
                 w = words_of(*text_bytes(b.column(2)), kind="space", lower=False)

@@ -41,6 +41,8 @@ from maplift.llm.linking import block_count, block_of, checked, overlaps
 from maplift.llm.wordhash import U, Words, mix, words_of
 
 COUNT_BITS, _CHUNK = 24, 1 << 16
+#: Bytes of a node that hold its first position (``ordered_node``).
+POSITION = 12
 
 
 # ------------------------------------------------------------------ lines of a slice
@@ -224,9 +226,9 @@ def _verify(num: int, den: int):
         ok = den * inter >= num * union
         later: dict[bytes, bytes] = {}
         for i, j in zip(*np.nonzero(ok)):
-            if a[i] < b[j]:
+            if a[i][:POSITION] < b[j][:POSITION]:
                 later.setdefault(b[j], a[i])
-            elif b[j] < a[i]:
+            elif b[j][:POSITION] < a[i][:POSITION]:
                 later.setdefault(a[i], b[j])
         return [(v, k) for k, v in later.items()]
     return verify
@@ -306,7 +308,8 @@ PARTNERS = 8
 
 def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
     """(center, node, size1, size, d1, d2, more): for each class and word earlier classes that pass the
-    filters, up to PARTNERS of them, and whether there are more.
+    filters, up to PARTNERS of them, and whether there are more.  Classes of one document are
+    partners of each other: which line comes first is seen when they are compared.
 
     A key's rows come in the order of their sizes, and each row is compared with the rows before it until
     their sizes differ too much, a whole batch at once.  In keys with rows that have more than PARTNER_REACH
@@ -334,9 +337,9 @@ def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
             live = live[size[live - back] * den >= size[live] * num]
             i = live[passing(x, live, live - back)]
             j = i - back
-            after = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (h[i] > h[j]))
+            after, before = doc[i] >= doc[j], doc[i] <= doc[j]  # within a document either line may be the later one
             note(i[after], j[after])
-            note(j[~after], i[~after])
+            note(j[before], i[before])
             back += 1
             live = live[rank[live] >= back]
         far = np.zeros(n, bool)
@@ -425,7 +428,8 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> Da
             n = batch.num_rows
             inter, total = np.bincount(shared, minlength=n), np.bincount(pair, minlength=n)
             ok = den * inter >= num * (total - inter)
-            later = [max(x, y) for x, y, good in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ok) if good]
+            later = [max(x, y) for x, y, good in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ok)
+                     if good and x[:POSITION] != y[:POSITION]]
             yield pa.record_batch([pa.array(later, pa.binary())], names=["node"])
     return (pairs.select("center", "node").join(a, "center").join(b, "node").select("n1", "t1", "n2", "t2")
             .mapInArrow(run, "node binary"))

@@ -1,8 +1,10 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
+from maplift.llm import line_dedup
 from maplift.llm.line_dedup import without_similar_lines
 from maplift.llm.ngram_join import ngram_jaccard_join, without_near_duplicates
 from maplift.llm.spotsigs import edited_likeness, fingerprints, from_text, likeness, similar_documents
@@ -104,6 +106,32 @@ def test_line_dedup_equals_all_pairs(spark, num):
     assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got.collect()) == lines_left(rows, num, 100)
 
 
+def crowded_lines():
+    """Groups of 24 variants of a line; some documents hold a variant and a longer variant of it."""
+    rng, texts = random.Random(11), []
+    for g in range(8):
+        base = [f"g{g}w{i}" for i in range(20)]
+        for v in range(24):
+            line = list(base)
+            line[rng.randrange(20)] = f"g{g}v{v}"
+            texts.append(" ".join(line))
+        longer = base + [f"g{g}x{i}" for i in range(4)]
+        texts += [" ".join(base) + "\n" + " ".join(longer), " ".join(longer + ["more"]) + "\n\n" + " ".join(base[1:])]
+        texts.append(" ".join(f"t{i}" for i in range(9)) + f" unique{g} " + " ".join(f"t{i}" for i in range(9, 12)))
+    return texts
+
+
+@pytest.mark.parametrize("partners,reach", [(1, 2), (1, 4096), (8, 4096)])
+def test_line_dedup_of_crowded_words_within_documents(spark, monkeypatch, partners, reach):
+    monkeypatch.setattr(line_dedup, "PARTNERS", partners)
+    monkeypatch.setattr(line_dedup, "PARTNER_REACH", reach)
+    rows = list(enumerate(crowded_lines()))
+    rows += [(len(rows), "p q r s t u v w x y"), (len(rows), "p q r s t u v w x y z")]  # one position, neither is later
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = without_similar_lines(df, 80, 100).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == lines_left(rows, 80, 100)
+
+
 def passages_left(rows, window):
     seen = defaultdict(lambda: 10**9)
     for i, t in rows:

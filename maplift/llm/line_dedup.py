@@ -19,7 +19,8 @@ How it is computed:
    in more bits than they may differ in elements are apart): one of 128 bits beside each word,
    one of two bits an element for the pairs that are left.  Each class is first checked against
    a few earlier classes that pass, for each of its words; those that match none and have more
-   partners are compared with all of them, in blocks (``linking``).
+   partners are compared with all of them, in blocks (``linking``).  Words of many classes are dealt
+   into blocks before any task reads them, and their classes count as having more partners.
 
 Defined results: null or empty text has one empty line and stays as it is; documents with
 a null doc_id are left unchanged and match nothing; rows that repeat a doc_id share line
@@ -41,6 +42,8 @@ from maplift.llm.linking import block_count, block_of, checked, overlaps
 from maplift.llm.wordhash import U, Words, mix, words_of
 
 COUNT_BITS, _CHUNK = 24, 1 << 16
+#: Largest word count that is kept.
+COUNT_TOP = 65535
 #: Bytes of a node that hold its first position (``ordered_node``).
 POSITION = 12
 
@@ -176,7 +179,8 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _line_rows(docs: DataFrame, counts, num: int, den: int) -> DataFrame:
-    """Per line with words: doc_id, line, node, h, size, sketch (two halves), wide (sketch), keys (prefix words counted twice or more), places."""
+    """Per line with words: doc_id, line, node, h, size, sketch (two halves), wide (sketch), keys (prefix words counted twice or more), places,
+    often (those of keys that may lie on more than KEY_ROWS lines)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = opened(counts, np.uint16)
         for batch in batches:
@@ -196,16 +200,19 @@ def _line_rows(docs: DataFrame, counts, num: int, den: int) -> DataFrame:
                 wide, at = wide_sketches(line, h, size)
                 wide = wide.tobytes()
                 ends = np.searchsorted(line[keep], np.append(full, len(doc)))
+                many = keep & (c > min(KEY_ROWS, COUNT_TOP - 1))
+                many_ends = np.searchsorted(line[many], np.append(full, len(doc)))
                 yield pa.record_batch([
                     b.column(0).take(pa.array(doc[full])), pa.array(number[full].astype(np.int32)),
                     pa.array(ids, pa.binary()).take(pa.array(full)), pa.array(line_keys(ids)[full]), pa.array(size[full]),
                     *(pa.array(x.view(np.int64)) for x in halves),
                     pa.array([wide[8 * at[i]: 8 * at[i + 1]] for i in full.tolist()], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[keep].view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[keep].astype(np.int32)))],
-                    names=["doc_id", "line", "node", "h", "size", "sketch", "sketch2", "wide", "keys", "places"])
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[keep].astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(many_ends.astype(np.int32)), pa.array(h[many].view(np.int64)))],
+                    names=["doc_id", "line", "node", "h", "size", "sketch", "sketch2", "wide", "keys", "places", "often"])
     return docs.mapInArrow(run, "doc_id long, line int, node binary, h long, size long, sketch long, sketch2 long, wide binary, "
-                                "keys array<long>, places array<int>")
+                                "keys array<long>, places array<int>, often array<long>")
 
 
 def _verify(num: int, den: int):
@@ -257,11 +264,14 @@ def _matched(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame
     two classes share an h, their texts are told apart when they are compared."""
     verify = _verify(num, den)
     # each class against the earliest one among those of its words that pass the filters
-    posts = _posts_of_classes(lines)
+    often = lines.where("size(often) > 0").select("h", F.explode("often").alias("key"))
+    hot = staged(hot_keys(often), "hot-keys")
+    posts = in_blocks(_posts_of_classes(lines), hot)
     pairs = staged(_first_partners(posts, num, den).groupBy("center", "node").agg(
         F.min("size1").alias("size1"), F.min("size").alias("size"), F.min("d1").alias("d1"), F.min("d2").alias("d2"),
         F.max("more").alias("more")), "partners")
-    open_ = pairs.where("more").select(F.col("node").alias("h")).distinct()
+    cut = often.join(F.broadcast(hot), "key", "left_semi").select("h")
+    open_ = pairs.where("more").select(F.col("node").alias("h")).union(cut).distinct()
     pairs = staged(_within_distance(pairs, lines, num, den), "star")
     ids = pairs.select(F.col("center").alias("h"), F.col("d1").alias("doc")).union(pairs.select("node", "d2"))
     texts = staged(_line_texts(docs, ids.distinct()), "line-texts")
@@ -274,10 +284,14 @@ def _matched(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame
             return docs.sparkSession.sparkContext.broadcast(slot_filter(df, col))
         own = _posts_of_classes(lines, by_h=bits(left, "h")).join(left, "h", "left_semi").select(*_POST)
         own = staged(own, "left-posts")
-        others = _posts_of_classes(lines, by_key=bits(own, "key")).join(own.select("key").distinct(), "key", "left_semi")
-        earlier = ((F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h")) & (F.col("a.doc") <= F.col("b.doc"))
-                   & may_match(num, den))
-        rest = staged(others.alias("a").join(own.alias("b"), earlier, "left_semi"), "earlier")
+        blocks = staged(own.groupBy("key").agg(key_blocks().alias("m")), "left-keys")
+        others = (_posts_of_classes(lines, by_key=bits(own, "key")).join(blocks, "key")
+                  .select(*_POST, F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("y")))
+        earlier = ((F.col("a.key") == F.col("b.key")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.h") != F.col("b.h"))
+                   & (F.col("a.doc") <= F.col("b.doc")) & may_match(num, den))
+        asked = own.join(blocks, "key").withColumn("y", block_of("h", "m"))
+        rest = others.alias("a").join(asked.alias("b"), earlier, "left_semi").select(*_POST)
+        rest = staged(rest.dropDuplicates(["key", "h"]), "earlier")
         todo = own.join(rest.select("key").distinct(), "key", "left_semi")
         ids = own.select("h", "doc").union(rest.select("h", "doc"))
         found = found.union(_checked(_open_rows(rest, todo), docs, ids, verify, "block-links"))
@@ -300,6 +314,28 @@ def _posts_of_classes(lines: DataFrame, by_h=None, by_key=None) -> DataFrame:
     return _postings(rows, bits, False, by_h, by_key).withColumnRenamed("doc_id", "doc").select(*_POST).union(copies)
 
 
+#: Classes of a word up to which they lie in one task; words with more are dealt into blocks of about so many.
+KEY_ROWS = 1 << 15
+
+
+def key_blocks():
+    """Number of blocks of a word, from the number of its rows."""
+    return F.ceil(F.count("*") / F.lit(KEY_ROWS)).cast("long")
+
+
+def hot_keys(often: DataFrame) -> DataFrame:
+    """(key, n): words with more than KEY_ROWS classes and their number of blocks; at most one for KEY_ROWS postings."""
+    return (often.distinct().groupBy("key").agg(F.count("*").alias("rows"), key_blocks().alias("n"))
+            .where(F.col("rows") > KEY_ROWS).select("key", "n"))
+
+
+def in_blocks(posts: DataFrame, hot: DataFrame) -> DataFrame:
+    """The postings, with a key of its own for each block of a hot word."""
+    block = F.xxhash64("key", block_of("h", "n"))
+    return (posts.join(F.broadcast(hot), "key", "left")
+            .withColumn("key", F.when(F.col("n").isNull(), F.col("key")).otherwise(block)).select(*_POST))
+
+
 #: Rows of whole keys that are compared at a time, and the distance (in rows) up to which they are.
 PARTNER_ROWS, PARTNER_REACH = 1 << 20, 4_096
 #: Partners of a class and word that are checked at once; classes with more that match none of them go to the second step.
@@ -313,7 +349,8 @@ def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
 
     A key's rows come in the order of their sizes, and each row is compared with the rows before it until
     their sizes differ too much, a whole batch at once.  In keys with rows that have more than PARTNER_REACH
-    rows before them, all rows are left to the second step (more)."""
+    rows before them, all rows are left to the second step (more).  A key is a word or a block of a hot one
+    (``in_blocks``), so a task holds about PARTNER_ROWS + KEY_ROWS rows."""
     def passing(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         n1, n2, p1, p2 = x["size"][i], x["size"][j], x["place"][i], x["place"][j]
         ok = (np.minimum(n1 - p1, n2 - p2) + np.minimum(p1, p2)) * (num + den) >= (n1 + n2) * num

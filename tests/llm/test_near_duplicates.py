@@ -132,6 +132,22 @@ def test_line_dedup_of_crowded_words_within_documents(spark, monkeypatch, partne
     assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == lines_left(rows, 80, 100)
 
 
+def test_line_dedup_of_words_on_many_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEY_ROWS", 16)
+    monkeypatch.setattr(line_dedup, "PARTNERS", 1)
+    held = []
+    first = line_dedup._first_partners
+    monkeypatch.setattr(line_dedup, "_first_partners", lambda posts, num, den: held.append(
+        max(r["count"] for r in posts.groupBy("key").count().collect())) or first(posts, num, den))
+    rng = random.Random(4)
+    texts = [" ".join(["Ticket", *(f"u{i}x{j}" for j in range(rng.choice([1, 1, 2, 3]))), "was closed by the team of",
+                       *rng.sample(["north", "south", "east", "west"], 2)]) for i in range(300)]
+    rows = [(i, "\n".join(texts[3 * i: 3 * i + 3])) for i in range(100)] + list(enumerate(crowded_lines(), 100))
+    got = without_similar_lines(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == lines_left(rows, 80, 100)
+    assert max(held) <= 4 * 16
+
+
 def passages_left(rows, window):
     seen = defaultdict(lambda: 10**9)
     for i, t in rows:

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -12,12 +13,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from maplift.llm import decontaminate, pii, toxicity
+from maplift.llm import chat_format, decontaminate, pii, toxicity
 from maplift.llm import queries as Q
 from maplift.llm.chat_format import escape, formatted, head, parse, prefix_target_examples, read_back, rendered, unescape
 from maplift.llm.labelled import held_out
 from maplift.llm.packing import best_fit_decreasing, cuts, encoding, packed, plan, reduce_by_dominance, sequences
 from maplift.llm.quality import fit_quality
+from maplift.llm.registry import LLM_ORACLE
 from maplift.llm.toxicity import fit_toxicity, scored, without_toxic
 from tests.llm.data import LOWER, awkward, empty
 
@@ -306,6 +308,30 @@ def test_chat_examples_have_context_and_one_trainable_reply(spark, monkeypatch):
     assert read_back(formatted(df.where("false"))).count() == 0
 
 
+def sizes_by_sql(turns):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", turns)
+    return {r[0]: r[1:] for r in con.execute(
+        f"SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars FROM ({LLM_ORACLE['op5_chat_format']}) "
+        "WHERE conv_id <> -7").fetchall()}
+
+
+@pytest.mark.parametrize("run_chars", [1, 30, 100, 1 << 20])
+def test_sizes_of_long_runs_equal_the_sql(spark, monkeypatch, run_chars):
+    monkeypatch.setattr(chat_format, "RUN_CHARS", run_chars)
+    turns = [(1, 0, "user", "u" * 50), (1, 1, "user", "v" * 40), (1, 2, "system", "w"), (1, 3, "assistant", "short"),
+             (1, 4, "user", "x" * 60), (1, 5, "assistant", "y" * 70), (1, 6, "user", "z" * 30), (1, 7, "user", "end"),
+             (2, 0, "user", "alone" * 20), (3, 0, "assistant", "reply"), (4, 0, "user", "a"), (4, 1, "user", "</s>" * 9),
+             (5, 0, "user", "q" * 2_000_000), (5, 1, "assistant", "ok")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = prefix_target_examples(df)
+    assert {r[0]: tuple(r[1:]) for r in read_back(out).collect()} == sizes_by_sql(turns)
+    full = {(r.conv_id, r.target_turn): r.text for r in rendered(out).collect()}
+    assert set(full) == {(1, 3), (1, 5), (3, 0), (5, 1)}
+    assert all(parse(x) == [(r, t) for c, k, r, t in turns if c == conv and k <= turn] for (conv, turn), x in full.items())
+
+
 def test_pyarrow_is_used_with_offsets():
     col = pa.array(["zz", "ab (at) cd.ef x", "1.2.3.4"]).slice(1, 2)
     assert [f[0] for f in pii.find_in(col, pii.Tagger(pii.trained_crf()))] == [[], [("ip", 0, 7)]]

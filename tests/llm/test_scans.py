@@ -17,7 +17,7 @@ from maplift.llm import chat_format, decontaminate, pii, toxicity
 from maplift.llm import queries as Q
 from maplift.llm.chat_format import escape, formatted, head, parse, prefix_target_examples, read_back, rendered, unescape
 from maplift.llm.labelled import held_out
-from maplift.llm.packing import best_fit_decreasing, cuts, encoding, packed, plan, reduce_by_dominance, sequences
+from maplift.llm.packing import best_fit_decreasing, cuts, encoding, packed, pieces, plan, reduce_by_dominance, sequences, token_ids
 from maplift.llm.quality import fit_quality
 from maplift.llm.registry import LLM_ORACLE
 from maplift.llm.toxicity import fit_toxicity, scored, without_toxic
@@ -243,6 +243,19 @@ def reference_tokenizer(cache=[]):
     return cache[0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "a", " ", "  ", "\n", "é", "1", "!"]), max_size=12).map("".join))
+def test_added_tokens_in_a_text_have_the_ids_of_the_library(text):
+    with open(BPE, "rb") as f:
+        enc = encoding(zlib.compress(f.read()))
+    assert token_ids(enc, text).tolist() == [*Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_pieces_of_a_text_with_an_added_token(spark):
+    df = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
+    assert [r.ids for r in pieces(df, BPE, with_ids=True).collect()] == [[64, 50256, 65, 2]]
+
+
 def test_packing_round_trip(spark):
     rows, df = awkward(spark, ["word " * n for n in (0, 1, 5, 9, 20, 40, 63, 64, 65, 130)] + [f"some text {i}" for i in range(60)])
     got = packed(df, BPE, capacity=64)

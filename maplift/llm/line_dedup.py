@@ -42,8 +42,8 @@ from maplift.llm.linking import block_count, block_of, checked, overlaps
 from maplift.llm.wordhash import U, Words, mix, words_of
 
 COUNT_BITS, _CHUNK = 24, 1 << 16
-#: Largest word count that is kept.
-COUNT_TOP = 65535
+#: Counts below COUNT_EXACT are coded as they are; above, a code goes up by COUNT_STEPS for each doubling.
+COUNT_EXACT, COUNT_STEPS = 1 << 15, 512
 #: Bytes of a node that hold its first position (``ordered_node``).
 POSITION = 12
 
@@ -131,28 +131,23 @@ def sketch_distance(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ word counts
+def count_codes(n: np.ndarray) -> np.ndarray:
+    """16-bit codes in the order of the counts (64 bits); counts up to 2**63 stay below the largest code."""
+    high = COUNT_EXACT + COUNT_STEPS * np.log2(np.maximum(n, COUNT_EXACT) / COUNT_EXACT)
+    return np.where(n < COUNT_EXACT, n, high).astype(np.uint16)
+
+
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """Counts (saturating 16 bits) of all words of all documents in 2**COUNT_BITS slots: 32 MB at any scale."""
+    """Counts (``count_codes``) of all words of all documents in 2**COUNT_BITS slots: 32 MB at any scale."""
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(1 << COUNT_BITS, np.uint16), [], 0
-
-        def add() -> None:
-            n = np.bincount(np.concatenate(held), minlength=1 << COUNT_BITS)
-            n += total
-            np.minimum(n, 65535, out=n)
-            total[:] = n
+        total = np.zeros(1 << COUNT_BITS, np.uint32)
         for batch in batches:
             for b in slices(batch):
-                held.append(slot_of(words_of(*text_bytes(b.column(1))).hash))
-                size += len(held[-1])
-                if size > 4_000_000:
-                    add()
-                    held, size = [], 0
-        if held:
-            add()
+                np.add.at(total, slot_of(words_of(*text_bytes(b.column(1))).hash), np.uint32(1))
         for chunk in range(0, 1 << COUNT_BITS, _CHUNK):
             part = total[chunk: chunk + _CHUNK]
             if part.any():
+                part = part.astype(np.uint16) if part.max() < 1 << 16 else part  # told apart by length
                 yield pa.record_batch([pa.array([chunk // _CHUNK], pa.int32()),
                                        pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "n"])
 
@@ -160,10 +155,11 @@ def word_counts(docs: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                add = np.frombuffer(zlib.decompress(raw), np.uint16).astype(np.uint32)
-                total[c] = np.minimum(total.get(c, 0) + add, 65535)
+                raw = zlib.decompress(raw)
+                add = np.frombuffer(raw, np.uint16 if len(raw) == 2 * _CHUNK else np.uint32)
+                total[c] = total.get(c, 0) + add.astype(np.int64)
         for c, t in total.items():
-            yield pa.record_batch([pa.array([c], pa.int32()), pa.array([zlib.compress(t.astype(np.uint16).tobytes(), 1)])],
+            yield pa.record_batch([pa.array([c], pa.int32()), pa.array([zlib.compress(count_codes(t).tobytes(), 1)])],
                                   names=["chunk", "n"])
 
     out = np.zeros(1 << COUNT_BITS, np.uint16)
@@ -200,7 +196,7 @@ def _line_rows(docs: DataFrame, counts, num: int, den: int) -> DataFrame:
                 wide, at = wide_sketches(line, h, size)
                 wide = wide.tobytes()
                 ends = np.searchsorted(line[keep], np.append(full, len(doc)))
-                many = keep & (c > min(KEY_ROWS, COUNT_TOP - 1))
+                many = keep & (c > min(KEY_ROWS, COUNT_EXACT - 1))
                 many_ends = np.searchsorted(line[many], np.append(full, len(doc)))
                 yield pa.record_batch([
                     b.column(0).take(pa.array(doc[full])), pa.array(number[full].astype(np.int32)),

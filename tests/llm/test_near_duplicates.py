@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from maplift.llm import line_dedup
@@ -148,6 +149,23 @@ def test_line_dedup_of_words_on_many_lines(spark, monkeypatch):
     assert max(held) <= 4 * 16
 
 
+def test_words_above_16_bits_keep_their_order(spark):
+    df = spark.createDataFrame([(i, "often " * 50_000 + "more " * (50_000 + 20_000 * (i > 0))) for i in range(4)], "doc_id long, text string")
+    counts = line_dedup.word_counts(df)
+    often, more = (int(counts[line_dedup.slot_of(line_dedup.words_of(
+        *line_dedup.text_bytes(line_dedup.pa.array([w]))).hash)[0]]) for w in ("often", "more"))
+    assert often < more < 65535
+
+
+def test_count_codes_rise_with_the_counts():
+    n = np.unique(np.concatenate([np.arange(70_000), np.geomspace(70_000, 2**62, 5_000).astype(np.int64)]))
+    codes = line_dedup.count_codes(n).astype(np.int64)
+    assert (np.diff(codes) >= 0).all() and codes[-1] < 65535
+    assert (codes[: 1 << 15] == n[: 1 << 15]).all()
+    far = n[1:] > n[:-1] * 1.002
+    assert (np.diff(codes)[far] > 0).all()
+
+
 def passages_left(rows, window):
     seen = defaultdict(lambda: 10**9)
     for i, t in rows:

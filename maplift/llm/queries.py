@@ -5,6 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maplift.llm.alignment import cross_tokenizer_alignment
 from maplift.llm.common import table
 from maplift.llm.chat_format import formatted, read_back
 from maplift.llm.decontaminate import benchmark_hits
@@ -19,6 +20,8 @@ from maplift.llm.packing import packed
 from maplift.llm.pii import KINDS, personal_data
 from maplift.llm.quality import fit_quality
 from maplift.llm.registry import LLM_ORACLE, LLM_QUERIES, query  # noqa: F401
+from maplift.llm.topk import exact_top_k
+from maplift.llm.whitening import whitened
 
 
 @query("op1_ngram_join")
@@ -96,3 +99,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(number, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"),
                         joined("spans").alias("spans"))
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                     public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_exact_top_k")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"), most=32)

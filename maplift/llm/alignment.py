@@ -40,6 +40,8 @@ from maplift.llm.common import prepare, slices, staged, texts_of
 HEAD = 1 << 20
 #: Windows a worker remembers before it starts anew, and pairs a task counts before it hands them on.
 MEMO, PAIRS = 1 << 17, 1 << 21
+#: Bytes of text aligned at a time: few enough that the working arrays stay in the processor's cache.
+SLICE_BYTES = 1 << 18
 SPACE_MARK = "▁"
 
 
@@ -61,17 +63,19 @@ class PieceModel:
         return np.array(self.model.encode(text), np.uint32)
 
 
-def spelled(token_bytes: list[bytes], ids: np.ndarray) -> bytes:
-    return b"".join([token_bytes[i] for i in ids.tolist()])
-
-
 class Side:
-    """Lengths of one tokenizer's tokens, and which start with a space."""
+    """The bytes of one tokenizer's tokens, their lengths, and which start with a space."""
 
     def __init__(self, token_bytes: list[bytes]):
         self.token_bytes = token_bytes
         self.size = np.array([len(t) for t in token_bytes], np.int64)
         self.spaced = np.array([t[:1] == b" " for t in token_bytes], bool)
+        self.flat = np.frombuffer(b"".join(token_bytes), np.uint8)
+        self.start = np.cumsum(self.size) - self.size
+
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        n = self.size[ids]
+        return self.flat[np.repeat(self.start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
 # ------------------------------------------------------------------ windows
@@ -98,10 +102,13 @@ class Aligner:
         """The alignments of windows by their id tuples; those seen for the first time are aligned together."""
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        new = [k for k in keys if k not in self.memo]
+        known = list(map(self.memo.get, keys))
+        new = [i for i, w in enumerate(known) if w is None]
         if new:
-            self.memo.update(zip(new, self.align_windows(new)))
-        return [self.memo[k] for k in keys]
+            made = self.align_windows([keys[i] for i in new])
+            for i, w in zip(new, made):
+                known[i] = self.memo[keys[i]] = w
+        return known
 
     def align_windows(self, keys: list[bytes]) -> list[Aligned]:
         flat = np.frombuffer(b"".join(keys), "<u4").astype(np.int64)
@@ -145,18 +152,26 @@ class Aligner:
         return [("".join(said[text_at[w]: text_at[w + 1]])[:-1], raw[link_at[w]: link_at[w + 1]] + more.get(w, b""))
                 for w in range(len(keys))]
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        if not text:
-            return None
-        said = b" " + text.encode()
-        a, b = self.enc_a.encode(" " + text), self.enc_b.encode(text)
-        if spelled(self.a.token_bytes, a) != said or spelled(self.b.token_bytes, b) != said:
-            return None
-        return a, b
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Both sides' ids of each text, or None where a side's tokens do not spell space+text."""
+        got: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
+        for i, t in enumerate(texts):
+            if t:
+                a, b = self.enc_a.encode(" " + t), self.enc_b.encode(t)
+                if self.a.size[a].sum() == self.b.size[b].sum() == len(t.encode()) + 1:
+                    got[i] = a, b
+        docs = [i for i, g in enumerate(got) if g is not None]
+        if docs:
+            said = np.frombuffer(b"".join([b" " + texts[i].encode() for i in docs]), np.uint8)
+            end = np.cumsum([len(texts[i].encode()) + 1 for i in docs])
+            for side, k in ((self.a, 0), (self.b, 1)):
+                for at in np.flatnonzero(side.spelled(np.concatenate([got[i][k] for i in docs])) != said).tolist():
+                    got[docs[int(np.searchsorted(end, at, side="right"))]] = None
+        return got
 
     def align(self, texts: list[str]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, digest, n_pairs, codes, times) of each text; see ``packed_pairs``."""
-        got = [self.tokens(t) for t in texts]
+        got = self.tokens(texts)
         out: list[tuple] = [(0, 0, 0, 0, "", 0, None, None)] * len(texts)
         docs = [i for i, g in enumerate(got) if g is not None]
         if not docs:
@@ -198,7 +213,7 @@ class Aligner:
         flat[start] = n_a
         flat[np.repeat(start + 1 - (hi_a - n_a), n_a) + np.arange(len(a))] = a
         flat[np.repeat(start + 1 + n_a - (hi_b - n_b), n_b) + np.arange(len(b))] = b
-        offsets = np.append(start, len(flat)) * 4
+        offsets = np.append(start, len(flat)) * 4  # of bytes
         keys = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size),
                                                 [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
         coded = keys.dictionary_encode()
@@ -259,7 +274,7 @@ def aligned(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = Aligner(byte_bpe(file_a.value, False), PieceModel(zlib.decompress(file_b.value)))
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, limit=SLICE_BYTES):
                 rows = worker.align(b.column(1).to_pylist())
                 cols = list(zip(*rows))
                 types = [*[pa.int64()] * 4, pa.string(), pa.int64(), pa.binary(), pa.binary()]

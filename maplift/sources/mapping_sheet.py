@@ -1,108 +1,102 @@
 """Mapping sheets as CSV files.
 
-Sheets are read with Spark's CSV reader in multiLine mode (quoted line
-breaks allowed), so each file is read whole by one task -- a sheet is a
-bounded upload -- while many sheets read in parallel.  Records are read as
-arrays of cells and mapped through their own file's header, so sheets with
-different column sets and orders read in one job.  Record numbers are taken
-in file order within each file.
+Each file is read once, as one text -- a sheet is a bounded upload -- while many sheets are
+read in parallel.  A pattern that knows quotes cuts the text into records and records into
+cells, so a record's number is its place in the array: no window, no second parse, no
+width taken from other files.  A file's cells are mapped through its own header, so
+sheets with different columns and orders read in one job, and what is wrong with a file is known
+beside its records.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from maplift.functions.text import normalize_header, py_strip
 from maplift.model import MAPPING_COLUMNS, PANDAS_NA_VALUES, REQUIRED_SHEET_COLUMNS
+from maplift.session import fresh_path
+
+# A quote opens a quoted cell only at the cell's start; it ends with a quote that is not doubled, or with
+# the file.  All repetitions are possessive: linear time and no recursion on long cells.
+_QUOTED = r'"(?:[^"]++|"")*+'
+_BREAK = r"(?:\r\n|\r|\n)"
+_CELL = rf'(?:{_QUOTED}(?:"[^,\r\n]*+|\z)|[^,\r\n]*+)'
+RECORD = rf"{_CELL}(?:,{_CELL})*+(?:{_BREAK}|\z)"
+#: A cell of one record and the comma behind it.
+CELL = rf'(?:{_QUOTED}(?:"[^,]*+,|\z)|[^,]*+,)'
+QUOTED_CELL = r'(?s)\A"((?:[^"]++|"")*+)"?+(.*+)\z'
+BLANK = rf"\A[ \t]*+{_BREAK}?\z"
 
 
 class SheetError(ValueError):
     pass
 
 
-def _csv(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """Every record of every file: cells c0.., and the whole record in `_long` when it has more or fewer than `width` cells."""
-    schema = T.StructType([*(T.StructField(f"_c{i}", T.StringType()) for i in range(width)),
-                           T.StructField("_long", T.StringType())])
-    return (spark.read.schema(schema).option("header", False).option("multiLine", True).option("escape", '"')
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_long").csv(path))
+def csv_records(text: Column) -> Column:
+    """The records of a CSV text in order, blank lines left out, each with its line end."""
+    whole = F.regexp_replace(text, "\\A\ufeff", "")
+    return F.filter(F.regexp_extract_all(whole, F.lit(RECORD), 0), lambda r: ~r.rlike(BLANK))
 
 
-def _cell_count(record: str):
-    """Cells of a raw record: its commas outside quotes, and one."""
-    return F.length(F.regexp_replace(F.regexp_replace(record, '"(?:[^"]|"")*"', ""), "[^,]", "")) + 1
+def csv_cells(record: Column) -> Column:
+    """The cells of one record, without their quotes."""
+    def value(cell: Column) -> Column:
+        raw = F.substring(cell, F.lit(1), F.length(cell) - 1)
+        inner = F.replace(F.regexp_extract(raw, QUOTED_CELL, 1), F.lit('""'), F.lit('"'))
+        return F.when(raw.startswith('"'), F.concat(inner, F.regexp_extract(raw, QUOTED_CELL, 2))).otherwise(raw)
+    line = F.concat(F.regexp_replace(record, rf"{_BREAK}\z", ""), F.lit(","))
+    return F.transform(F.regexp_extract_all(line, F.lit(CELL), 0), value)
 
 
-def sheet_width(spark: SparkSession, path: str) -> int:
-    """Cells of the widest header under `path` (one pass; one number reaches the driver)."""
-    cells = _csv(spark, path, 1).select("_c0", "_long", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_pos"))
-    heads = cells.groupBy("file").agg(F.min_by(F.struct("_c0", "_long"), "_pos").alias("h")).select("h._long")
-    return int(heads.agg(F.max(F.coalesce(_cell_count("_long"), F.lit(1)))).first()[0] or 1)
+def _clean(cell: Column) -> Column:
+    return F.when(cell.isNull() | cell.isin(PANDAS_NA_VALUES), F.lit("")).otherwise(py_strip(cell))
 
 
-def _raw_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of every file as an array of cells with its position in
-    the scan, as wide as the widest header.  Files may have different headers:
-    no schema is taken from any one file."""
-    width = sheet_width(spark, path)
-    raw = _csv(spark, path, width)
+def parsed_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: [sheet_id,] file, the cells of its records (header left out), where each canonical
+    column is in them (-1: nowhere), the header's width, and its error or NULL.  One scan, no shuffle."""
+    raw = spark.read.text(path, wholetext=True)
     keys = [F.col("sheet_id").cast("bigint").alias("sheet_id")] if "sheet_id" in raw.columns else []
-    return raw.select(*keys, F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("cells"),
-                      F.coalesce(_cell_count("_long") > width, F.lit(False)).alias("cut"),
-                      F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_pos"))
-
-
-def _numbered(recs: DataFrame) -> DataFrame:
-    """Each record with its record number in its file, its file's header (normalised
-    names by position, blank ones as '', and the required ones it lacks) and whether it
-    has cells beyond that header.  One window per file -- a file is one bounded
-    sheet -- so the CSV is parsed once and no join is needed."""
-    w = Window.partitionBy("file").orderBy("_pos")
-    r = recs.select("*", F.row_number().over(w).cast("bigint").alias("row_no"),
-                    F.first("cells").over(w).alias("_hdr"))
-    names = F.transform("_hdr", lambda c: F.coalesce(normalize_header(c), F.lit("")))
-    last = F.array_max(F.transform("_hdr", lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0)))  # the rest is padding
-    r = r.select(*[c for c in r.columns if c not in ("_pos", "_hdr", "cut")], names.alias("names"),
-                 (F.col("cut") | F.exists(F.slice("cells", last + 1, F.size("cells")), lambda c: c.isNotNull())).alias("too_long"))
-    missing = F.filter(F.array(*[F.lit(c) for c in REQUIRED_SHEET_COLUMNS]),
-                       lambda c: ~F.array_contains(F.col("names"), c))
-    return r.withColumn("missing", missing)
-
-
-def _records(numbered: DataFrame) -> DataFrame:
+    cells = raw.select(*keys, F.input_file_name().alias("file"), F.transform(csv_records(F.col("value")), csv_cells).alias("all"))
+    keys = [c for c in ("sheet_id", "file") if c in cells.columns]
+    header = F.coalesce(F.get("all", F.lit(0)), F.array().cast("array<string>"))
+    named = cells.select(*keys, F.slice("all", 2, F.greatest(F.size("all"), F.lit(1))).alias("records"),
+                         F.transform(header, normalize_header).alias("names"))
+    place = F.struct(*((F.array_position("names", F.lit(c)) - 1).cast("int").alias(c) for c in MAPPING_COLUMNS))
+    missing = F.filter(F.array(*[F.lit(c) for c in REQUIRED_SHEET_COLUMNS]), lambda c: ~F.array_contains(F.col("names"), c))
+    placed = named.select(*keys, "records", place.alias("place"), F.size("names").alias("width"), missing.alias("missing"))
+    too_long = F.transform("records", lambda r: _too_long(r, F.col("width")))
+    fields = [F.col(f"place.{c}") for c in ("source_field", "target_field")]
+    filled = F.exists("records", lambda r: ~_too_long(r, F.col("width")) & (
+        (_clean(F.get(r, fields[0])) != "") | (_clean(F.get(r, fields[1])) != "")))
+    first_long = F.array_position(too_long, F.lit(True))
+    error = (F.when(F.size("missing") > 0, F.concat(F.lit("STTM sheet is missing required columns: "), F.array_join("missing", ", ")))
+             .when(first_long > 0, F.concat(F.lit("STTM sheet has a record longer than its header: row "), (first_long + 1).cast("string")))
+             .when(~filled, F.lit("STTM sheet has no mapping rows")))
+    return placed.select(*keys, "records", "place", "width", (F.size("missing") == 0).alias("usable"), error.alias("error"))
+
+
+def _too_long(record: Column, width: Column) -> Column:
+    """Whether a record has something in a cell beyond its header."""
+    return (F.size(record) > width) & F.exists(F.slice(record, width + 1, F.greatest(F.size(record), F.lit(1))), lambda c: c != "")
+
+
+def _records(sheets: DataFrame) -> DataFrame:
     """Records in canonical columns: of files with the required columns, without over-long records."""
-    data = numbered.where((F.col("row_no") > 1) & (F.size("missing") == 0) & ~F.col("too_long"))
-    keys = ["sheet_id"] if "sheet_id" in data.columns else []
-
-    def cell(c: str):
-        pos = F.array_position(F.col("names"), F.lit(c)).cast("int")
-        return F.when(pos > 0, F.element_at(F.col("cells"), F.greatest(pos, F.lit(1)))).alias(c)
-
-    def canon(c: str):
-        v = F.col(c)
-        return F.when(v.isNull() | v.isin(PANDAS_NA_VALUES), F.lit("")).otherwise(py_strip(v)).alias(c)
+    keys = [c for c in ("sheet_id", "file") if c in sheets.columns]
+    rows = (sheets.where("usable").select(*keys, "place", "width", F.posexplode("records").alias("at", "cells"))
+            .where(~_too_long(F.col("cells"), F.col("width"))))
     # two projections: each cell is looked up once, then cleaned
-    cells = data.select(*keys, "file", "row_no", *[cell(c) for c in MAPPING_COLUMNS])
-    return cells.select(*keys, *[canon(c) for c in MAPPING_COLUMNS], "file", "row_no")
-
-
-def _errors(numbered: DataFrame) -> DataFrame:
-    files = numbered.groupBy("file").agg(F.min_by("missing", "row_no").alias("missing"),
-                                         F.min(F.when(F.col("too_long"), F.col("row_no"))).alias("long"))
-    rows = mapping_rows_from_records(_records(numbered)).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    err = (F.when(F.size("missing") > 0, F.concat(F.lit("STTM sheet is missing required columns: "),
-                                                  F.array_join("missing", ", ")))
-           .when(F.col("long").isNotNull(), F.concat(F.lit("STTM sheet has a record longer than its header: row "),
-                                                     F.col("long").cast("string")))
-           .when(F.col("n").isNull(), F.lit("STTM sheet has no mapping rows")))
-    return files.join(rows, "file", "left").select("file", err.alias("error")).where(F.col("error").isNotNull())
+    found = rows.select(*keys, (F.col("at") + 2).cast("bigint").alias("row_no"),
+                        *[F.when(F.col(f"place.{c}") >= 0, F.get("cells", F.col(f"place.{c}"))).alias(c) for c in MAPPING_COLUMNS])
+    front = [c for c in keys if c == "sheet_id"]
+    return found.select(*front, *[_clean(F.col(c)).alias(c) for c in MAPPING_COLUMNS], "file", "row_no")
 
 
 def sheet_file_errors(spark: SparkSession, path: str) -> DataFrame:
     """(file, error) for sheets that lack a required column, have a record longer than their header,
     or have no mapping row."""
-    return _errors(_numbered(_raw_records(spark, path)))
+    return parsed_sheets(spark, path).where(F.col("error").isNotNull()).select("file", "error")
 
 
 def read_sheet_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -110,16 +104,20 @@ def read_sheet_records(spark: SparkSession, path: str, strict: bool = True) -> D
     file mapped through its own header, with the spreadsheet row number
     (record index + 2, i.e. the record number counting the header).
 
-    `strict`: raise when a file has an error (one more pass over the sheets, which
-    are bounded uploads); else what can be read is returned, and
+    `strict`: raise when a file has an error.  The files are then parsed into a staged table first, which
+    errors and records are read from; else what can be read is returned, and
     `sheet_file_errors` lists every file with an error."""
-    numbered = _numbered(_raw_records(spark, path))
+    sheets = parsed_sheets(spark, path)
     if strict:
-        bad = _errors(numbered).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "error")).alias("first")).first()
+        staged = fresh_path(spark, "sheets_parsed")
+        sheets.write.parquet(staged)
+        sheets = spark.read.schema(sheets.schema).parquet(staged)
+        bad = (sheets.where(F.col("error").isNotNull())
+               .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "error")).alias("first")).first())
         if bad.n:
             more = f" (and {bad.n - 1} more files, see sheet_file_errors)" if bad.n > 1 else ""
             raise SheetError(f"{bad['first'].file}: {bad['first'].error}{more}")
-    return _records(numbered)
+    return _records(sheets)
 
 
 def mapping_rows_from_records(records: DataFrame) -> DataFrame:
@@ -131,7 +129,8 @@ def write_sheets(records: DataFrame, path: str, headers: dict[str, str] | None =
     """One CSV file per sheet (RFC-4180 quoting), records in row order."""
     headers = headers or {}
     out = records.select("sheet_id", "row_no", *[F.col(c).alias(headers.get(c, c)) for c in MAPPING_COLUMNS])
-    (out.repartition("sheet_id").sortWithinPartitions("sheet_id", "row_no").drop("row_no")
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not merged: a file per sheet takes its time
+    (out.repartition(tasks, "sheet_id").sortWithinPartitions("sheet_id", "row_no").drop("row_no")
      .write.partitionBy("sheet_id").option("header", True).option("escape", '"')
      .mode("errorifexists").csv(path))
 

@@ -4,17 +4,25 @@ with late data (J2), incremental filter (C3), partitioned load (J6).
 
 A target is a folder in the shared storage holding immutable data folders
 (`v-<id>/`) and a version log, `versions_log/version=<n>/`, of one line per
-version: `refresh <folder>` (readers see that folder only) or `append <folder>`
-(readers see it beside what they saw before).  A load writes its folder, audits
+version: `refresh <folder>` (readers see that folder only), `append <folder>`
+(readers see it beside what they saw before) or `replace <folder> <parts>`
+(of a table that is dealt into parts, the named parts are read from the new folder
+and the others from where they were).  A load writes its folder, audits
 it, and only then adds its line, so readers see the old or the new version,
 never half of one.  Two writers that start from the same version both try
 for the next number; the file stored first counts, the other writer finds
 that out and raises.  Nothing is overwritten or deleted.
+
+Parts are the folders of one partition column: a date (J6), or `_bucket`, the hash of a
+key (J1, J4), which readers do not see.  Upserts and replacements write only the parts
+that their change set has rows for.
 """
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -22,6 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: The hidden partition column of tables dealt by a key; rows of a bucket, and buckets, where no number is given.
+BUCKET, BUCKET_ROWS, MOST_BUCKETS = "_bucket", 1 << 20, 4096
+
+
 class LoadError(RuntimeError):
     pass
 
@@ -30,29 +42,71 @@ def _log(root: str) -> str:
     return f"{root.rstrip('/')}/versions_log"
 
 
-def _versions(spark: SparkSession, root: str) -> list[tuple[int, str, str]]:
-    """(number, kind, folder) of all committed versions in order; empty when the table is new.
+class Version(NamedTuple):
+    number: int
+    kind: str
+    folder: str
+    parts: str = ""  # <layout>:<value>=<rows>,<value>=<rows>,...
+    note: str = ""  # what the writer wants to find again, as the batch of a stream
+
+
+def _versions(spark: SparkSession, root: str) -> list[Version]:
+    """All committed versions in order; empty when the table is new.
 
     Only a missing log means a new table; any other read error is passed on."""
     try:
         log = spark.read.schema("value string, version int").option("basePath", _log(root)).text(_log(root))
-        lines = (log.select("version", "value", F.col("_metadata.file_modification_time").alias("at"))
-                 .groupBy("version").agg(F.min(F.struct("at", "value")).alias("first")).orderBy("version").collect())
+        lines = log.select("version", F.col("_metadata.file_modification_time").alias("at"), "value").collect()
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return []
         raise
-    return [(r["version"], *r["first"]["value"].split("\t")) for r in lines]
-
-
-def _files(versions: list[tuple[int, str, str]]) -> list[str]:
-    last = max((i for i, v in enumerate(versions) if v[1] == "refresh"), default=0)
-    return [folder for _, _, folder in versions[last:]]
+    first = {v: line for v, _, line in sorted(lines, reverse=True)}  # of writers of one number, who came first
+    return [Version(v, *first[v].split("\t")) for v in sorted(first)]
+
+
+class View(NamedTuple):
+    """What readers of a version see: whole folders, and parts by their folder (all of one layout)."""
+    whole: list[str]
+    layout: str
+    parts: dict[str, str]
+    rows: dict[str, int]
+
+    def part_paths(self, values: Sequence[str] | None = None) -> list[str]:
+        column = self.layout.split("/")[0]
+        return [f"{self.parts[v]}/{column}={v}" for v in sorted(self.parts) if values is None or v in values]
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        reads = [spark.read.parquet(*self.whole)] if self.whole else []
+        if self.layout.startswith(BUCKET):
+            reads += [spark.read.parquet(*self.part_paths())] if self.parts else []
+        else:  # the partition column is a column of the table
+            for folder in dict.fromkeys(self.parts.values()):
+                mine = [v for v, f in self.parts.items() if f == folder]
+                reads.append(spark.read.option("basePath", folder).parquet(*self.part_paths(mine)))
+        out = reads[0]
+        for r in reads[1:]:
+            out = out.unionByName(r)
+        return out
+
+
+def _view(versions: list[Version]) -> View | None:
+    last = max((i for i, v in enumerate(versions) if v.kind == "refresh"), default=0)
+    whole, layout, parts, rows = [], "", {}, {}
+    for v in versions[last:]:
+        if not v.parts:
+            whole.append(v.folder)
+            continue
+        layout, _, values = v.parts.partition(":")
+        for value, _, n in (x.partition("=") for x in values.split(",")):
+            parts[value], rows[value] = v.folder, int(n)
+    return View(whole, layout, parts, rows) if whole or parts else None
 
 
 def current_files(spark: SparkSession, root: str) -> list[str] | None:
     """The data folders of the latest committed version; None when there is none."""
-    return _files(_versions(spark, root)) or None
+    view = _view(_versions(spark, root))
+    return view and [*view.whole, *view.part_paths()]
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
@@ -62,23 +116,29 @@ def current_version(spark: SparkSession, root: str) -> str | None:
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    files = current_files(spark, root)
-    if not files:
+    view = _view(_versions(spark, root))
+    if not view:
         raise LoadError(f"table {root} has no committed version")
-    return spark.read.parquet(*files)
+    return view.read(spark)
 
 
-def _commit(spark: SparkSession, root: str, kind: str, folder: str, base: int) -> None:
+def noted_batches(spark: SparkSession, root: str) -> set[str]:
+    """The notes of all committed versions (a line per version)."""
+    return {v.note for v in _versions(spark, root) if v.note}
+
+
+def _commit(spark: SparkSession, root: str, kind: str, folder: str, base: int, parts: str = "", note: str = "") -> None:
     """Add the line of version `base + 1`; raises when another writer's came first."""
-    line = spark.createDataFrame([(f"{kind}\t{folder}",)], "value string").coalesce(1)
+    text = "\t".join([kind, folder, parts, note]).rstrip("\t")
+    line = spark.createDataFrame([(text,)], "value string").coalesce(1)
     line.write.mode("append").text(f"{_log(root)}/version={base + 1}")
-    won = {n: f for n, _, f in _versions(spark, root)}.get(base + 1)
+    won = {v.number: v.folder for v in _versions(spark, root)}.get(base + 1)
     if won != folder:
         raise LoadError(f"another load of {root} was committed first; this one is not visible")
 
 
 def _base(spark: SparkSession, root: str) -> int:
-    return max((n for n, _, _ in _versions(spark, root)), default=0)
+    return max((v.number for v in _versions(spark, root)), default=0)
 
 
 def commit_version(spark: SparkSession, root: str, folder: str) -> None:
@@ -148,15 +208,110 @@ def full_refresh_load(df: DataFrame, root: str, check: Check | None = None,
     return path
 
 
-def append_load(df: DataFrame, root: str, check: Check | None = None, stats: dict | None = None) -> str:
+def append_load(df: DataFrame, root: str, check: Check | None = None, stats: dict | None = None, note: str = "",
+                base: int | None = None) -> str:
     """The new rows go to a new folder, `check` sees that batch alone, then it
-    is committed beside the current folders (or as the first version)."""
-    base = _base(df.sparkSession, root)
+    is committed beside the current folders (or as the first version).  `base`: the version the rows were made for,
+    if not the latest one."""
+    base = _base(df.sparkSession, root) if base is None else base
     path = _staged(df, root, check, (), stats)
-    _commit(df.sparkSession, root, "append", path, base)
+    _commit(df.sparkSession, root, "append", path, base, note=note)
     return path
 
 
+# ------------------------------------------------------------------ parts
+def _layout(column: str, key: Sequence[str] = (), n: int = 0) -> str:
+    return "/".join([column, str(n), *key]) if key else column
+
+
+def _dealt(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(n)).cast("int"))
+
+
+def _values(df: DataFrame, column: str) -> dict[str, int]:
+    """The values of a partition column as folders spell them, and their rows (a row per part reaches the driver)."""
+    found = df.groupBy(F.col(column).cast("string").alias("v")).count().collect()
+    return dict(sorted((r["v"] or "__HIVE_DEFAULT_PARTITION__", r["count"]) for r in found))
+
+
+def _plain_names(values: Sequence[str]) -> bool:
+    return all(re.fullmatch(r"[\w.-]+", v) for v in values)
+
+
+def _load_parts(df: DataFrame, root: str, versions: list[Version], kind: str, layout: str, check: Check | None) -> str:
+    """Write `df` in parts and commit them as the table's (`refresh`: all of them), after `check` has seen the version that makes.
+
+    Rows are dealt by part: AQE splits a hot part over several tasks and merges small ones, so file sizes stay even
+    without one task per part or one file per (task, part).
+    No rows leave no part: replacing nothing makes no version, and an empty table is one folder without parts."""
+    spark, column, stats = df.sparkSession, layout.split("/")[0], {}
+    if layout.split("/")[:2] == [BUCKET, "1"]:  # one bucket: nothing to deal
+        path = new_version_path(root)
+        seen, obs = _observed(df.drop(BUCKET), stats)
+        seen.write.mode("errorifexists").parquet(f"{path}/{BUCKET}=0")
+        stats.update(obs.get)
+        values = {"0": stats["rows_written"]}
+    else:
+        path, values = _staged(df.hint("rebalance", column), root, None, [column], stats), None
+    line = Version(0, kind, path)
+    if stats["rows_written"]:
+        values = values or _values(spark.read.parquet(path), column)
+        if not _plain_names(values):
+            raise LoadError(f"values of {column} cannot name folders")
+        line = line._replace(parts=f"{layout}:{','.join(f'{v}={n}' for v, n in values.items())}")
+    elif kind == "replace":
+        return path
+    else:
+        line = line._replace(folder=_staged(df.drop(BUCKET), root, None, (), None))
+    if check is not None:
+        check(_view([*versions, line]).read(spark))
+    _commit(spark, root, kind, line.folder, max((v.number for v in versions), default=0), line.parts)
+    return line.folder
+
+
+def _bucket_number(rows: int) -> int:
+    return max(1, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
+
+
+def merge_by_key(spark: SparkSession, root: str, changes: DataFrame, key: Sequence[str],
+                 merge: Callable[[DataFrame, DataFrame], DataFrame], check: Check | None = None, buckets: int | None = None,
+                 versions: list[Version] | None = None) -> str:
+    """Replace the buckets of a table that `changes` (already written, a row per key) has keys in by
+    `merge(their rows, changes)`; the other buckets are neither read nor written.
+
+    A new table, or one that is not dealt by this key yet, is written whole, in `buckets` parts; NULL keys have a bucket
+    like others.  Without a number, buckets have about BUCKET_ROWS rows, and a table that has grown to four times
+    that is dealt anew.  `versions`: the log as the caller read it."""
+    versions = _versions(spark, root) if versions is None else versions
+    view = _view(versions)
+    key, kind = list(key), "refresh"
+    table = view and view.read(spark)
+    if view:
+        types = {f.name: f.dataType for f in table.schema}
+        changes = changes.select(*[F.col(c).cast(types[c]).alias(c) if c in key else F.col(c) for c in changes.columns])
+        at = view.layout.split("/")
+        if not view.whole and at[0] == BUCKET and at[2:] == key:
+            rows = sum(view.rows.values())
+            if buckets or rows <= 4 * BUCKET_ROWS * int(at[1]) or int(at[1]) == MOST_BUCKETS:
+                buckets, kind = int(at[1]), "replace"
+    if not buckets:
+        buckets = _bucket_number(table.count() if view else changes.count())
+    if kind == "replace" and buckets > 1:
+        touched = [v for v in _values(_dealt(changes, key, buckets), BUCKET) if v in view.parts]
+        table = (spark.read.schema(table.schema).parquet(*view.part_paths(touched)) if touched
+                 else spark.createDataFrame([], table.schema))
+    rows = merge(table, changes) if view else changes
+    return _load_parts(_dealt(rows, key, buckets), root, versions, kind, _layout(BUCKET, key, buckets), check)
+
+
+def _written_changes(source: DataFrame, root: str, key: Sequence[str], order_col: str) -> tuple[DataFrame, int]:
+    """The latest row per key, written once, and how many there are."""
+    path, stats = f"{root.rstrip('/')}/changes-{uuid.uuid4().hex[:16]}", {}
+    latest, obs = _observed(latest_per_key(source, key, order_col), stats)
+    latest.write.parquet(path)
+    return source.sparkSession.read.schema(source.schema).parquet(path), obs.get["rows_written"]
+
+
 def latest_per_key(source: DataFrame, key: Sequence[str], order_col: str) -> DataFrame:
     """One row per key, the one with the greatest `order_col` (ties: any; a NULL order
     value is older than any other).
@@ -193,13 +348,29 @@ def scd1_merge(target: DataFrame, source: DataFrame, key: Sequence[str], order_c
 
 
 def scd1_upsert(spark: SparkSession, root: str, source: DataFrame, key: Sequence[str], order_col: str,
-                check: Check | None = None) -> str:
+                check: Check | None = None, buckets: int | None = None) -> str | None:
     """J1 on a versioned table: the change set is reduced to one row per key and
-    written once, then merged into a new version (its size is known by then)."""
-    changes = f"{root.rstrip('/')}/changes-{uuid.uuid4().hex[:16]}"
-    latest_per_key(source, key, order_col).write.parquet(changes)
-    merged = _merged(read_current(spark, root), spark.read.parquet(changes), list(key))
-    return full_refresh_load(merged, root, check)
+    written once, then merged into the buckets its keys are in (its size is known by then).
+    An empty change set makes no version."""
+    versions = _versions(spark, root)
+    if not versions:
+        raise LoadError(f"table {root} has no committed version")
+    latest, n = _written_changes(source, root, key, order_col)
+    if not n:
+        return None
+    return merge_by_key(spark, root, latest, key, lambda old, new: _merged(old, new, list(key)), check, buckets, versions)
+
+
+def keep_latest(spark: SparkSession, root: str, source: DataFrame, key: Sequence[str], order_col: str,
+                buckets: int | None = None) -> str | None:
+    """J4 on a versioned table: of the table's and the source's rows of a key the one with the greatest `order_col`
+    stays.  Merging the same rows again changes nothing."""
+    versions = _versions(spark, root)
+    latest, n = _written_changes(source, root, key, order_col)
+    if not n and versions:
+        return None
+    return merge_by_key(spark, root, latest, key, lambda old, new: latest_per_key(old.unionByName(new), key, order_col),
+                        buckets=buckets, versions=versions)
 
 
 def high_water_mark(df: DataFrame, col: str) -> Column | None:
@@ -233,6 +404,19 @@ def fact_incremental(source: DataFrame, target: DataFrame, ts_col: str, key: Seq
     return anti_join_small(once, target, key)
 
 
+def append_new_facts(df: DataFrame, root: str, ts_col: str, key: Sequence[str], lateness: str, note: str) -> str | None:
+    """J2 on a versioned table, once per `note`: the rows of `df` that the current version lacks (all keys once, when
+    the table is new) become its next version; a note that the log has already makes none."""
+    spark = df.sparkSession
+    versions = _versions(spark, root)
+    if any(v.note == note for v in versions):
+        return None
+    view = _view(versions)
+    target = view.read(spark) if view else spark.createDataFrame([], df.schema)
+    return append_load(fact_incremental(df, target, ts_col, key, lateness), root, note=note,
+                       base=max((v.number for v in versions), default=0))
+
+
 def anti_join_small(small: DataFrame, big: DataFrame, key: Sequence[str]) -> DataFrame:
     """`small LEFT ANTI JOIN big` (null-safe), carrying only the keys of `big` that `small` has.
 
@@ -245,26 +429,33 @@ def anti_join_small(small: DataFrame, big: DataFrame, key: Sequence[str]) -> Dat
 
 
 def _dated(df: DataFrame, ts_col: str, part_col: str) -> DataFrame:
-    """With its partition column, dealt by it: AQE splits a hot date over several
-    tasks and merges small ones, so file sizes stay even without one task
-    per date or one file per (task, date)."""
-    return df.withColumn(part_col, F.to_date(ts_col)).hint("rebalance", part_col)
+    """With its partition column."""
+    return df.withColumn(part_col, F.to_date(ts_col))
 
 
 def partitioned_load(df: DataFrame, root: str, ts_col: str, part_col: str = "dt") -> str:
     """A target partitioned by the date of `ts_col` (partition pruning on read)."""
-    return full_refresh_load(_dated(df, ts_col, part_col), root, partition_by=[part_col])
+    return _load_parts(_dated(df, ts_col, part_col), root, _versions(df.sparkSession, root), "refresh", _layout(part_col), None)
 
 
 def partitions_replaced(old: DataFrame, df: DataFrame, ts_col: str, part_col: str) -> DataFrame:
     """`old` with the partitions that `df` has rows for replaced by those rows."""
     days = df.select(F.to_date(ts_col).alias(part_col)).distinct()
     kept = old.alias("o").join(days.alias("d"), _same_key("o", "d", [part_col]), "left_anti")
-    return kept.unionByName(df.withColumn(part_col, F.to_date(ts_col))).hint("rebalance", part_col)
+    return kept.unionByName(df.withColumn(part_col, F.to_date(ts_col)))
 
 
 def replace_partitions(df: DataFrame, root: str, ts_col: str, part_col: str = "dt", check: Check | None = None) -> str:
     """A new version in which the partitions that `df` has rows for hold exactly those
-    rows and the others are as before; readers never see a half-replaced table."""
-    old = read_current(df.sparkSession, root)
-    return full_refresh_load(partitions_replaced(old, df, ts_col, part_col), root, check, [part_col])
+    rows and the others are as before; readers never see a half-replaced table.
+
+    Only those partitions are written; a table that was not loaded by `partitioned_load`, or was appended to,
+    is first written whole."""
+    spark = df.sparkSession
+    versions = _versions(spark, root)
+    view = _view(versions)
+    if view is None:
+        raise LoadError(f"table {root} has no committed version")
+    kind = "replace" if not view.whole and view.layout == _layout(part_col) else "refresh"
+    rows = _dated(df, ts_col, part_col) if kind == "replace" else partitions_replaced(view.read(spark), df, ts_col, part_col)
+    return _load_parts(rows, root, versions, kind, _layout(part_col), check)

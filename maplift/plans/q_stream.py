@@ -9,7 +9,7 @@ from maplift.plans.registry import query
 from maplift.session import fresh_path
 from maplift.sources import derived
 from maplift.sources.tables import read_table
-from maplift.streaming.incremental import (fact_incremental_stream, feed_entries, file_stream, known_updates, run_available,
+from maplift.streaming.incremental import (fact_incremental_to_table, feed_entries, file_stream, known_updates, run_available,
                                            run_latest_to_table)
 
 
@@ -18,20 +18,23 @@ def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", schema)
 
 
+def _repeats(events: DataFrame) -> DataFrame:
+    """Loaded events sent again a month later, with a time of then: on time, but their keys are loaded."""
+    return (events.where((F.col("event_id") % 100 == 1) & (F.col("ts") < F.lit(derived.LATE_CUTOFF).cast("timestamp_ntz")))
+            .withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 DAYS")))
+
+
 @query("fact_incremental_stream")
 def q_fact_incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two micro-batches: the rows loaded before, then every event (late and
-    repeated rows among them)."""
+    """Micro-batches into a table: the rows loaded before, then every event (late and repeated rows among them),
+    then loaded events again with a new time."""
     base = fresh_path(spark, "streams/fact_events")
-    inbox, sink, ckpt = f"{base}/inbox", f"{base}/sink", f"{base}/checkpoint"
+    inbox, table, ckpt = f"{base}/inbox", f"{base}/table", f"{base}/checkpoint"
     events = read_table(spark, sf_dir, "events")
-    derived.fact_target_before(spark, sf_dir).write.mode("append").parquet(inbox)
-    run_available(fact_incremental_stream(file_stream(spark, inbox, events.schema), "ts", ["event_id"], "2 days"),
-                  sink, ckpt)
-    events.write.mode("append").parquet(inbox)
-    run_available(fact_incremental_stream(file_stream(spark, inbox, events.schema), "ts", ["event_id"], "2 days"),
-                  sink, ckpt)
-    return spark.read.parquet(sink).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for arrived in (derived.fact_target_before(spark, sf_dir), events, _repeats(events)):
+        arrived.write.mode("append").parquet(inbox)
+        fact_incremental_to_table(file_stream(spark, inbox, events.schema), table, ckpt, "ts", ["event_id"], "2 days")
+    return read_current(spark, table)
 
 
 @query("feed_append_stream")

@@ -108,19 +108,24 @@ class Validator:
         names.  Bounded by two tables' column lists; replaces three joins of
         the rows with the schema by one join on sheet_id.  Of a repeated
         column the last one counts, as when a document is parsed."""
-        entry = F.struct("ordinal", F.concat(F.col("side"), F.lit(":"), F.col("column_name")).alias("k"),
-                         F.struct("type", "nullable").alias("v"))
-        entries = F.sort_array(F.collect_list(entry))
-        last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["k"] == e["k"]))
-        return (self.schema.groupBy("sheet_id")
-                .agg(F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"]))).alias("cols"),
-                     F.max(F.when(F.col("side") == "source", F.col("table_name"))).alias("source_name"),
-                     F.max(F.when(F.col("side") == "target", F.col("table_name"))).alias("target_name")))
+        entry = F.struct(F.concat(F.col("side"), F.lit(":"), F.col("column_name")).alias("k"), "ordinal",
+                         F.struct("type", "nullable").alias("v"), "side", "column_name")
+        names = [F.max(F.when(F.col("side") == s, F.col("table_name"))).alias(f"{s}_name") for s in ("source", "target")]
+        of_sheet = self.schema.groupBy("sheet_id").agg(F.sort_array(F.collect_list(entry)).alias("_e"), *names)
+        last = F.filter("_e", lambda e, i: F.coalesce(F.get("_e", i + 1)["k"] != e["k"], F.lit(True)))
+        of_sheet = of_sheet.select("sheet_id", "source_name", "target_name", last.alias("_l"), "_e")
+        required = F.array_sort(F.transform(F.filter("_e", lambda e: (e["side"] == "target") & ~e["v"]["nullable"]),
+                                            lambda e: F.struct(e["ordinal"].alias("ordinal"), e["column_name"].alias("column_name"))))
+        return of_sheet.select("sheet_id", F.map_from_entries(F.transform("_l", lambda e: F.struct(e["k"], e["v"]))).alias("cols"),
+                               "source_name", "target_name", required.alias("required"))
 
     def enriched(self) -> DataFrame:
         """Active rows with their source and target column and the sheet's
         table names (one join keyed by sheet_id, then map lookups)."""
-        e = self.active().join(self.schema_maps(), "sheet_id", "left")
+        return self._enriched(self.active()).drop("required")
+
+    def _enriched(self, rows: DataFrame) -> DataFrame:
+        e = rows.join(self.schema_maps(), "sheet_id", "left")
         src = F.try_element_at("cols", F.concat(F.lit("source:"), F.col("source_field")))
         tgt = F.try_element_at("cols", F.concat(F.lit("target:"), F.col("target_field")))
         e = e.select(*[c for c in e.columns if c != "cols"], src.alias("_s"), tgt.alias("_t"))
@@ -138,10 +143,9 @@ class Validator:
             type_family(F.col("_t.type")).alias("tgt_family"),
         ).withColumn("lossy", lossy_pair(F.col("src_family"), F.col("tgt_family")))
 
-    def row_findings(self) -> DataFrame:
-        """Every row-level finding of every active row: one projection that
-        builds the row's findings as an array, then one explode."""
-        row = F.col("row_no")
+    @staticmethod
+    def _row_items() -> Column:
+        """The row-level findings of an enriched row as an array: one projection finds them all."""
         pair, null_clash = F.col("pair"), F.col("src_nullable") & ~F.col("tgt_nullable")
 
         def item(cond, check, sub, sev, msg):
@@ -164,7 +168,12 @@ class Validator:
                  _fmt(M.MSG_TYPE, F.col("source_field"), F.col("src_type"), F.col("target_field"), F.col("tgt_type"))),
             item(py_strip(F.col("lookup_table")) != "", M.CHECK_LOOKUP, 0, "warning", _fmt(M.MSG_LOOKUP, F.col("lookup_table"))),
         )
-        found = self.enriched().select("sheet_id", row, F.explode(F.filter(items, lambda x: x.isNotNull())).alias("f"))
+        return F.filter(items, lambda x: x.isNotNull())
+
+    def row_findings(self) -> DataFrame:
+        """Every row-level finding of every active row, one explode."""
+        row = F.col("row_no")
+        found = self.enriched().select("sheet_id", row, F.explode(self._row_items()).alias("f"))
         return found.select(
             F.col("sheet_id").cast("bigint").alias("sheet_id"), F.col("f.check_no").alias("check_no"),
             row.cast("bigint").alias("row_key"), F.col("f.sub_no").alias("sub_no"),
@@ -197,7 +206,7 @@ class Validator:
 
     def duplicate_targets(self) -> DataFrame:  # F1, check 7
         a = self.active().select("sheet_id", "row_no", "target_field")
-        lagged = lag_in_group(a, ["sheet_id", "target_field"], "row_no", "prev_row", self.bucket_size)
+        lagged = lag_in_group(a, ["sheet_id", "target_field"], "row_no", "prev_row", self.bucket_size, dense=True)
         d = lagged.where(F.col("prev_row").isNotNull())
         return _finding(d, M.CHECK_DUPLICATE, F.col("row_no"), 0, "error",
                         F.concat_ws(", ", F.col("prev_row").cast("string"), F.col("row_no").cast("string")),
@@ -212,40 +221,112 @@ class Validator:
                         _fmt(M.MSG_UNMAPPED, F.col("column_name")))
 
     # ---- H1 / E2 / E8 ----------------------------------------------------------
+    def _bucket_records(self) -> DataFrame:
+        """(sheet_id, kind, target_field, at, findings, bound, sums) from one read of the rows and one of the schemas.
+
+        Rows are dealt once, by (sheet, row bucket), and each bucket becomes: its finished findings (kind F: those of single
+        rows, and of targets repeated within the bucket), one bound per target (kind T: first and last row, for repeats
+        across buckets), and its sums (kind S: counts, excluded row numbers, required targets that are mapped)."""
+        none = f"cast(array() as array<{_MADE}>)"
+        e = self._enriched(self.rows).select("sheet_id", "row_no", "active", F.col("target_field").alias("t"), "required",
+                                             self._row_items().alias("items"))
+        # one struct as key: a hot sheet is dealt by its buckets even where the join has dealt by sheet
+        dealt = e.selectExpr(
+            f"struct(sheet_id, cast(floor(row_no / {self.bucket_size}) as bigint) as at) as _g", "required",
+            f"struct(row_no, active, t, if(active, transform(items, x -> {_made('x.check_no', 'row_no', 'x.sub_no', 'x.severity', 'row_no', 'x.message')}), "
+            f"{none}) as found) as _r").groupBy("_g").agg(
+            F.expr("any_value(required, true) as required"), F.expr("array_sort(collect_list(_r)) as _r"))
+        dealt = dealt.selectExpr("_g.*", "required", "_r",
+                                 "array_sort(transform(filter(_r, r -> r.active), r -> struct(r.t as t, r.row_no as n))) as _t")
+        parts = dealt.selectExpr(
+            "sheet_id", "at", "required", "cast(size(_t) as bigint) as n_active",
+            f"concat(flatten(transform(_r, r -> r.found)), filter(transform(_t, (x, i) -> if(get(_t, i - 1).t = x.t, "
+            f"{_repeat('x.t', 'get(_t, i - 1).n', 'x.n')}, null)), x -> x is not null)) as done",
+            "zip_with(filter(_t, (x, i) -> coalesce(get(_t, i - 1).t != x.t, true)), filter(_t, (x, i) -> coalesce(get(_t, i + 1).t != x.t, true)), "
+            "(a, z) -> struct(a.t as t, a.n as first, z.n as last)) as bounds",
+            "transform(filter(_r, r -> not r.active), r -> cast(r.row_no as string)) as excluded")
+
+        def record(kind: str, **given: str) -> str:
+            fields = (("t", "string"), ("spread", "bigint"), ("done", f"array<{_MADE}>"), ("bound", _BOUND), ("sums", _SUMS))
+            return f"struct('{kind}' as kind, " + ", ".join(f"cast({given.get(c, 'null')} as {t}) as {c}" for c, t in fields) + ")"
+        sums = ("struct(at, n_active, cast(size(excluded) as bigint), array_join(excluded, ', '), array_intersect(transform(required, "
+                "r -> r.column_name), transform(bounds, b -> b.t)), required)")
+        return parts.selectExpr("sheet_id", "explode(concat(array(" + record("F", spread="at", done="done") + ", " + record("S", sums=sums)
+                                + "), transform(bounds, b -> " + record("T", t="b.t", bound="struct(at, b.first, b.last)") + "))) as x"
+                                ).select("sheet_id", "x.*")
+
+    def _flow(self) -> DataFrame:
+        """All findings of all sheets, and for every sheet one row without a check (so that sheets without findings
+        are seen too).  The buckets' records meet per sheet and per (sheet, target); finished findings pass in whole arrays."""
+        met = self._bucket_records().groupBy(F.expr("struct(sheet_id, kind, t, spread)").alias("_k")).agg(*map(F.expr, (
+            "any_value(done, true) as done", "array_sort(collect_list(bound)) as bounds",
+            "sum(sums.n_active) as n_active", "sum(sums.n_excluded) as n_excluded",
+            "array_sort(collect_list(if(sums.excluded != '', struct(sums.at, sums.excluded), null))) as excluded",
+            "array_distinct(flatten(collect_list(sums.mapped))) as mapped", "any_value(sums.required, true) as required")))
+        excluded = _made(M.CHECK_EXCLUDED, 0, 0, "'info'", "array_join(transform(excluded, x -> x.excluded), ', ')",
+                         _said(M.MSG_EXCLUDED, "n_excluded"))
+        no_active = _made(M.CHECK_NO_ACTIVE, 0, 0, "'error'", "'-'", _said(M.MSG_NO_ACTIVE))
+        unmapped = _made(M.CHECK_UNMAPPED, "r.ordinal", 0, "'error'", "'-'", _said(M.MSG_UNMAPPED, "r.column_name"))
+        across = _repeat("_k.t", "get(bounds, i - 1).last", "b.first")
+        flat = met.selectExpr("cast(_k.sheet_id as bigint) as sheet_id", f"""explode(case _k.kind
+            when 'F' then done
+            when 'T' then filter(transform(bounds, (b, i) -> if(i > 0, {across}, null)), x -> x is not null)
+            else concat(
+                array(cast(null as {_MADE})),
+                filter(array(if(n_excluded > 0, {excluded}, null), if(n_active = 0, {no_active}, null)), x -> x is not null),
+                coalesce(transform(filter(required, r -> n_active > 0 and not array_contains(mapped, r.column_name)), r -> {unmapped}),
+                         array()))
+            end) as f""")
+        return flat.select("sheet_id", "f.*")
+
     def all_findings(self) -> DataFrame:
-        parts = [self.excluded_rows_finding(), self.row_findings(), self.no_active_errors(),
-                 self.duplicate_targets(), self.unmapped_required_targets()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return self._flow().where(F.col("check_no").isNotNull())
+
+    def _with_sheets(self, findings: DataFrame | None) -> DataFrame:
+        """Findings and, for every sheet, a row without one."""
+        if findings is None:
+            return self._flow()
+        return findings.unionByName(self.sheet_summary().select("sheet_id"), allowMissingColumns=True)
 
     def loadable_sheets(self, findings: DataFrame | None = None) -> DataFrame:
         """Sheets with no error finding: the ones that go on to compile and load."""
-        f = findings if findings is not None else self.all_findings()
-        errors = f.where(F.col("severity") == "error").select("sheet_id").distinct()
-        return self.sheet_summary().select("sheet_id").join(errors, "sheet_id", "left_anti")
+        errors = F.count_if(F.col("severity") == "error")
+        return self._with_sheets(findings).groupBy("sheet_id").agg(errors.alias("n")).where("n = 0").select("sheet_id")
 
     def finding_counts(self, findings: DataFrame | None = None) -> DataFrame:
-        f = findings if findings is not None else self.all_findings()
-        c = (f.groupBy("sheet_id")
-             .agg(F.count_if(F.col("severity") == "error").alias("n_errors"),
-                  F.count_if(F.col("severity") == "warning").alias("n_warnings"),
-                  F.count_if(F.col("severity") == "info").alias("n_infos")))
-        sheets = self.sheet_summary().select("sheet_id")
-        return sheets.join(c, "sheet_id", "left").select(
-            "sheet_id", *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n)
-                          for n in ("n_errors", "n_warnings", "n_infos")])
+        severity = F.col("severity")
+        return self._with_sheets(findings).groupBy("sheet_id").agg(
+            *(F.count_if(severity == s).cast("bigint").alias(n) for s, n in (("error", "n_errors"), ("warning", "n_warnings"), ("info", "n_infos"))))
 
     def finding_notes(self, findings: DataFrame | None = None) -> DataFrame:
-        f = findings if findings is not None else self.all_findings()
-        f = f.where(F.col("severity") != "error")
+        f = self._with_sheets(findings).where(F.col("severity").isNull() | (F.col("severity") != "error"))
         line = F.concat(F.lit("- row "), F.col("rows"), F.lit(": "), F.col("message"))
         notes = ordered_string_agg(f, ["sheet_id"], ["check_no", "row_key", "sub_no"], line, "\n", "notes",
                                    bucket_col="row_key", bucket_size=self.bucket_size)
-        sheets = self.sheet_summary().select("sheet_id")
-        return sheets.join(notes, "sheet_id", "left").select(
-            "sheet_id", F.coalesce(F.col("notes"), F.lit("none")).alias("notes"))
+        return notes.select("sheet_id", F.when(F.col("notes") != "", F.col("notes")).otherwise("none").alias("notes"))
+
+
+_FINDING = (("check_no", "int"), ("row_key", "bigint"), ("sub_no", "int"), ("severity", "string"), ("rows", "string"), ("message", "string"))
+_MADE = "struct<" + ", ".join(f"{n}: {t}" for n, t in _FINDING) + ">"
+_BOUND = "struct<at: bigint, first: bigint, last: bigint>"
+_SUMS = ("struct<at: bigint, n_active: bigint, n_excluded: bigint, excluded: string, mapped: array<string>, "
+         "required: array<struct<ordinal: int, column_name: string>>>")
+
+
+# The flow's expressions are SQL text: a plan of some hundred expressions is built by a few calls.
+def _made(*values) -> str:
+    """A finding as a SQL struct, from SQL expressions in the order of _FINDING."""
+    return "struct(" + ", ".join(f"cast({v} as {t}) as {n}" for v, (n, t) in zip(values, _FINDING)) + ")"
+
+
+def _said(template: str, *exprs: str) -> str:
+    """`_fmt` as SQL."""
+    first, *rest = ("'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'" for p in template.split("{}"))
+    return "concat(" + ", ".join([first, *(x for e, p in zip(exprs, rest) for x in (f"cast({e} as string)", p))]) + ")"
+
+
+def _repeat(target: str, prev: str, row: str) -> str:
+    return _made(M.CHECK_DUPLICATE, row, 0, "'error'", f"concat({prev}, ', ', {row})", _said(M.MSG_DUPLICATE, target))
 
 
 def schema_drift(declared: DataFrame, live: DataFrame) -> DataFrame:

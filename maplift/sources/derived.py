@@ -114,23 +114,21 @@ def schema_columns(spark: SparkSession, sf_dir: str, sheets: DataFrame | None =
         sheets = mapping_rows(spark, sf_dir)
     ids = sheets.select("sheet_id").distinct()
     i = F.col("i")
-    src = ids.select("sheet_id", F.explode(F.sequence(F.lit(1), F.lit(N_SOURCE_COLS))).alias("i")).select(
-        "sheet_id", F.lit("source").alias("side"),
-        F.concat(F.lit("raw.src_"), _s(F.col("sheet_id"))).alias("table_name"),
-        i.cast("int").alias("ordinal"),
-        F.concat(F.lit("s"), _s(i)).alias("column_name"),
-        _pick(SOURCE_TYPES, i).alias("type"),
-        (i % 2 == 1).alias("nullable"),
-        F.concat(F.lit("source column "), _s(i)).alias("description"))
-    tgt = ids.select("sheet_id", F.explode(F.sequence(F.lit(0), F.lit(N_TARGET_COLS - 1))).alias("i")).select(
-        "sheet_id", F.lit("target").alias("side"),
-        F.concat(F.lit("analytics.tgt_"), _s(F.col("sheet_id"))).alias("table_name"),
-        (i + 1).cast("int").alias("ordinal"),
-        F.concat(F.lit("t"), _s(i)).alias("column_name"),
-        _pick(TARGET_TYPES, i).alias("type"),
-        (i % 4 != 0).alias("nullable"),
-        F.concat(F.lit("target column "), _s(i)).alias("description"))
-    return src.unionByName(tgt)
+    sides = F.concat(F.transform(F.sequence(F.lit(1), F.lit(N_SOURCE_COLS)), lambda x: F.struct(F.lit("source").alias("side"), x.alias("i"))),
+                     F.transform(F.sequence(F.lit(0), F.lit(N_TARGET_COLS - 1)), lambda x: F.struct(F.lit("target").alias("side"), x.alias("i"))))
+    is_src = F.col("side") == "source"
+
+    def by_side(src: Column, tgt: Column) -> Column:
+        return F.when(is_src, src).otherwise(tgt)
+    cols = ids.select("sheet_id", F.explode(sides).alias("c")).select("sheet_id", "c.side", "c.i")
+    return cols.select(
+        "sheet_id", "side",
+        F.concat(by_side(F.lit("raw.src_"), F.lit("analytics.tgt_")), _s(F.col("sheet_id"))).alias("table_name"),
+        by_side(i, i + 1).cast("int").alias("ordinal"),
+        F.concat(by_side(F.lit("s"), F.lit("t")), _s(i)).alias("column_name"),
+        by_side(_pick(SOURCE_TYPES, i), _pick(TARGET_TYPES, i)).alias("type"),
+        by_side(i % 2 == 1, i % 4 != 0).alias("nullable"),
+        F.concat(by_side(F.lit("source column "), F.lit("target column ")), _s(i)).alias("description"))
 
 
 def live_source_columns(schema_cols: DataFrame) -> DataFrame:

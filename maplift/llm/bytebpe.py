@@ -59,6 +59,11 @@ class ByteBpe:
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
 
+    def encode_to_numpy(self, text: str, **special) -> np.ndarray:
+        """tiktoken alone, with its own arguments for added tokens."""
+        return self.fast.encode_to_numpy(text, **special)
+
+
 @lru_cache(maxsize=4)
 def byte_bpe(packed_file: bytes, special: bool) -> ByteBpe:
     """The encoder of a compressed vocabulary file, one per worker."""

@@ -26,51 +26,34 @@ are packed like any other; an empty table gives no pieces; extra columns are ign
 """
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from maplift.llm.bytebpe import ByteBpe, byte_bpe
 from maplift.llm.common import prepare, staged, texts_of
 
 END_ID, CAPACITY = 2, 1024
 #: Pieces of one length that one task numbers, on average.
 RANK_GROUP = 100_000
-#: Split pattern of byte-level BPE (a fixed value of the vocabulary).
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 # ------------------------------------------------------------------ tokens
-def _byte_letters() -> dict[str, int]:
-    """The printable stand-ins that byte-level vocabularies use for bytes."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-@lru_cache(maxsize=2)
-def encoding(file: bytes) -> tiktoken.Encoding:
+def encoding(file: bytes) -> ByteBpe:
     """Encoder with the vocabulary of a byte-level BPE file of the tokenizers library.
 
     Ids equal that library's (add_special_tokens=False): added tokens in a text, as ``<|endoftext|>``, have
-    the ids of the file.  tiktoken merges by the same ranks several times faster.
-    """
-    spec = json.loads(zlib.decompress(file))
-    letters = _byte_letters()
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    the ids of the file."""
+    return byte_bpe(file, True)
 
 
-def token_ids(enc: tiktoken.Encoding, text: str) -> np.ndarray:
-    return np.append(enc.encode_to_numpy(text, allowed_special="all"), END_ID).astype("<u4")
+def token_ids(enc: ByteBpe, text: str) -> np.ndarray:
+    return np.append(enc.encode(text), END_ID).astype("<u4")
 
 
 def cuts(n: int, capacity: int) -> list[int]:

@@ -256,6 +256,16 @@ def test_pieces_of_a_text_with_an_added_token(spark):
     assert [r.ids for r in pieces(df, BPE, with_ids=True).collect()] == [[64, 50256, 65, 2]]
 
 
+def test_pieces_of_very_long_blank_runs(spark):
+    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000, " \n" * 1_000_000 + "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in pieces(df, BPE, with_ids=True).orderBy("doc_id", "piece").collect():
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    library = Tokenizer.from_file(BPE)
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_packing_round_trip(spark):
     rows, df = awkward(spark, ["word " * n for n in (0, 1, 5, 9, 20, 40, 63, 64, 65, 130)] + [f"some text {i}" for i in range(60)])
     got = packed(df, BPE, capacity=64)

@@ -3,8 +3,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Vectors of a leaf.
-LEAF = 64
+#: Vectors of a leaf: compared in one product, which costs about as much as opening a node.
+LEAF = 512
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
 
 
@@ -85,6 +85,10 @@ class KdTree:
                 lo, hi = self.spans[v]
                 got = products(q[who_opens], self.vectors[lo: hi])
                 got[own[who_opens][:, None] == self.rows[lo: hi][None, :]] = LOWEST
+                gains = got.max(axis=1) >= kth[who_opens]
+                who_opens, got = who_opens[gains], got[gains]
+                if not len(who_opens):
+                    continue
                 got = np.hstack([best[who_opens], got])
                 name = np.hstack([who[who_opens], np.broadcast_to(self.ids[lo: hi], (len(who_opens), hi - lo))])
                 name = np.where(got == LOWEST, HIGHEST, name)

@@ -34,6 +34,8 @@ from maplift.llm.vectors import finite_vectors, padded
 SCALE, K = 1024, 10
 #: Vectors of a shard on average, at most and, while there are fewer shards than tasks, at least.
 SHARD_ROWS, LEAST_ROWS = 1 << 16, 1 << 10
+#: Shards up to which each gets a partition of its own.
+MOST_DEALT = 1 << 12
 _FOUND = "query long, query_id long, vec_id long, score long"
 
 
@@ -82,13 +84,24 @@ def _answers(tree: KdTree, part: pa.RecordBatch, k: int) -> pa.RecordBatch:
                            names=["query", "query_id", "vec_id", "score"])
 
 
+def _deal(spark, shards: int):
+    """A column that hash partitioning into ``shards`` partitions deals one shard each: a number per partition that lands there."""
+    if shards > MOST_DEALT:  # so many that chance evens them out
+        return F.col("shard")
+    found: dict[int, int] = {}
+    for r in spark.range(0, shards * 32, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(shards)).alias("p")).collect():
+        found.setdefault(r.p, r.id)
+    numbers = [found.get(p, p) for p in range(shards)]
+    return F.expr(f"element_at(array({', '.join(f'{n}L' for n in numbers)}), shard + 1)")
+
+
 def _visits(rows: DataFrame, queries: DataFrame, shards: int, k: int) -> DataFrame:
     cols = ["shard", "kind", "row", "vec_id", "vec", "kth", "kth_id"]
     none = F.lit(None).cast("long")
     points = rows.select("shard", F.lit(0).alias("kind"), "row", "vec_id", "vec", none.alias("kth"), none.alias("kth_id"))
     both = points.unionByName(queries.withColumn("kind", F.lit(1)).select(*cols))
-    return (both.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-            .mapInArrow(_searched(k), _FOUND))
+    return (both.withColumn("deal", _deal(rows.sparkSession, shards)).repartition(shards, "deal")
+            .sortWithinPartitions("shard", "kind").mapInArrow(_searched(k), _FOUND))
 
 
 def floored(vectors: DataFrame) -> DataFrame:

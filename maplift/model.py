@@ -66,6 +66,7 @@ MSG_EXCLUDED = '{} row(s) not marked "Validated" — excluded from generation'
 MSG_NO_ACTIVE = "No validated mapping rows remain after status filtering"
 MSG_MISSING_SOURCE = 'Source field "{}" does not exist in {}'
 MSG_MISSING_TARGET = 'Target field "{}" does not exist in {}'
+MSG_SUGGEST = '"{}" is not a declared column; did you mean "{}"?'
 MSG_DUPLICATE = 'Target field "{}" is mapped more than once'
 MSG_UNMAPPED = 'Target column "{}" is NOT NULL but has no mapping row'
 MSG_NULL_ERROR = '"{}" is nullable but "{}" is NOT NULL — no default value or handling logic given'

@@ -190,6 +190,26 @@ class Validator:
     def missing_target_fields(self) -> DataFrame:  # D2, check 6 sub 1
         return self._rows_of(M.CHECK_MISSING, 1)
 
+    def field_suggestions(self) -> DataFrame:
+        """For every unknown field of an active row (D1, D2): the declared column it most likely means, if one is near.
+
+        Near: at most half of the longer name has to be edited.  The fewest edits win, then the column declared first.
+        Rows meet their sheet's columns as one array (one join keyed by sheet), and the distances are taken
+        inside the row: no pair leaves it."""
+        declared = self.schema.groupBy("sheet_id").agg(F.collect_set(F.struct("side", "ordinal", "column_name")).alias("declared"))
+        e = self.enriched()
+        sides = F.array(*(F.when((F.col(f"{s}_field") != "") & ~F.col(f"{k}_known"), F.struct(
+            F.lit(s).alias("side"), F.col(f"{s}_field").alias("field"))) for s, k in (("source", "src"), ("target", "tgt"))))
+        unknown = (e.select("sheet_id", "row_no", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("u"))
+                   .select("sheet_id", "row_no", "u.*").join(declared, "sheet_id", "left"))
+        near = F.expr("""array_min(filter(
+            transform(filter(declared, c -> c.side = side), c -> struct(levenshtein(field, c.column_name) as d, c.ordinal, c.column_name)),
+            c -> c.d <= greatest(length(field), length(c.column_name)) div 2))""")
+        found = unknown.select("sheet_id", "row_no", "side", "field", near.alias("n"))
+        message = F.when(F.col("n").isNotNull(), _fmt(M.MSG_SUGGEST, F.col("field"), F.col("n.column_name")))
+        return found.select("sheet_id", "row_no", "side", "field", F.col("n.column_name").alias("suggestion"),
+                            F.col("n.d").cast("int").alias("edits"), message.alias("message"))
+
     def nullability_conflicts(self) -> DataFrame:  # D4, checks 9 (error) and 2 (info)
         return self.row_findings().where(F.col("check_no").isin(M.CHECK_NULL_ERROR, M.CHECK_NULL_INFO))
 

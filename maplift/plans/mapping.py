@@ -4,6 +4,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from maplift.plans.compile import ColumnSpec, apply_mapping
 from maplift.sources import derived
@@ -24,6 +25,15 @@ def sample_schemas(spark: SparkSession) -> tuple[dict[str, ColumnSpec], dict[str
     return specs["source"], specs["target"]
 
 
+def sample_schema_columns(spark: SparkSession, sheet_ids: list[int]) -> DataFrame:
+    """The columns of the two sample documents as the declared schema of every sheet of `sheet_ids`."""
+    docs = spark.createDataFrame([("source", SAMPLE_SOURCE_SCHEMA_MD), ("target", SAMPLE_TARGET_SCHEMA_MD)],
+                                 "doc_id string, text string")
+    ids = F.explode(F.array(*[F.lit(i).cast("bigint") for i in sheet_ids])).alias("sheet_id")
+    return parse_schema_docs(docs).select(ids, F.col("doc_id").alias("side"), "table_name", "ordinal", "column_name", "type", "nullable",
+                                          "description")
+
+
 def mapped_patients(spark: SparkSession, sf_dir: str, load_ts: str = DEFAULT_LOAD_TS,
                     source_df: DataFrame | None = None) -> DataFrame:
     src_spec, tgt_spec = sample_schemas(spark)

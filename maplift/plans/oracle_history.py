@@ -107,4 +107,9 @@ ORACLE_STREAM = {
         "AND event_id NOT IN (SELECT event_id FROM fact_target)"),
     "feed_append_stream": with_(RUN_FEED) + "SELECT run_id, seq, ts, kind, text FROM run_feed",
     "latest_run_state_stream": ORACLE_HISTORY["latest_run_state"],
+    "attempt_routing_stream": _ROUTE + """, last AS (
+  SELECT user_id, CAST(ts AS DATE) AS day, epoch_ms(max(ts)) AS ms FROM events GROUP BY 1, 2)
+SELECT user_id, day, attempt, error, CASE WHEN error = '' THEN 'review' WHEN attempt >= 3 THEN 'escalate'
+  WHEN ms + 3 * 86400000 < (SELECT epoch_ms(max(ts)) - 86400000 FROM events) THEN 'failed' ELSE 'retry' END AS route
+FROM latest JOIN last USING (user_id, day)""",
 }

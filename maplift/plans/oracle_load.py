@@ -51,6 +51,10 @@ latest AS (SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY c_custkey O
 SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, version FROM tgt
 WHERE c_custkey NOT IN (SELECT c_custkey FROM latest)
 UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, version FROM latest""",
+    "shared_source_load": with_(PATIENTS, MAPPED) + """
+SELECT 0 AS sheet_id, patient_id, full_name AS value FROM mapped
+UNION ALL SELECT 1, patient_id, email_address FROM mapped
+UNION ALL SELECT 2, patient_id, CAST(weight AS VARCHAR) FROM mapped""",
     "fact_incremental": with_(_FACT_TARGET) + (
         "SELECT * FROM events WHERE ts >= (SELECT max(ts) FROM fact_target) - INTERVAL 2 DAY "
         "AND event_id NOT IN (SELECT event_id FROM fact_target)"),

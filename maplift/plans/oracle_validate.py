@@ -83,6 +83,20 @@ ORACLE_VALIDATE = {
     "lookup_reference_findings": BASE + F_LOOKUP,
     "missing_source_fields": BASE + F_MISSING_SRC,
     "missing_target_fields": BASE + F_MISSING_TGT,
+    "field_suggestions": BASE + """, unknown AS (
+  SELECT a.sheet_id, a.row_no, 'source' AS side, a.source_field AS field FROM active a
+  WHERE a.source_field <> '' AND NOT EXISTS (SELECT 1 FROM src_cols c WHERE c.sheet_id = a.sheet_id AND c.column_name = a.source_field)
+  UNION ALL
+  SELECT a.sheet_id, a.row_no, 'target', a.target_field FROM active a
+  WHERE a.target_field <> '' AND NOT EXISTS (SELECT 1 FROM tgt_cols c WHERE c.sheet_id = a.sheet_id AND c.column_name = a.target_field)),
+near AS (
+  SELECT u.sheet_id, u.row_no, u.side, c.column_name, levenshtein(u.field, c.column_name) AS edits
+  FROM unknown u JOIN schema_columns c ON c.sheet_id = u.sheet_id AND c.side = u.side
+  WHERE levenshtein(u.field, c.column_name) <= greatest(length(u.field), length(c.column_name)) // 2
+  QUALIFY row_number() OVER (PARTITION BY u.sheet_id, u.row_no, u.side ORDER BY edits, c.ordinal, c.column_name) = 1)
+SELECT u.sheet_id, u.row_no, u.side, u.field, n.column_name AS suggestion, CAST(n.edits AS INTEGER) AS edits,
+  '"' || u.field || '" is not a declared column; did you mean "' || n.column_name || '"?' AS message
+FROM unknown u LEFT JOIN near n USING (sheet_id, row_no, side)""",
     "unmapped_required_targets": BASE + F_UNMAPPED,
     "nullability_conflicts": BASE + F_NULL_ERR + " UNION ALL " + F_NULL_INFO,
     "type_conflicts": BASE + F_TYPE,

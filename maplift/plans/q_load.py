@@ -4,11 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maplift.model import MAPPING_ROWS_SCHEMA
 from maplift.operators import audit, load
-from maplift.plans.mapping import mapped_patients
+from maplift.plans.mapping import mapped_patients, sample_schema_columns
 from maplift.plans.registry import query
+from maplift.plans.workflow import run_mappings
 from maplift.session import fresh_path
 from maplift.sources import derived
+from maplift.sources.samples import DEFAULT_LOAD_TS, sample_sheet_records
 from maplift.sources.tables import read_table
 
 
@@ -80,6 +83,25 @@ def q_scd1(spark, sf_dir):
     return load.read_current(spark, root)
 
 
+#: Three sheets over one source: the sample's rows (by row number) that each maps.
+SHARED_SHEETS = {0: range(2, 10), 1: (2, 4, 9), 2: (2, 6, 7, 9)}
+
+
+@query("shared_source_load")
+def q_shared_source_load(spark, sf_dir):
+    """Three sheets over `patients` loaded with one read of it; a value of each loaded table."""
+    rows = [dict(r, sheet_id=i) for i, kept in SHARED_SHEETS.items() for r in sample_sheet_records() if r["row_no"] in kept]
+    sheets = spark.createDataFrame([tuple(r[f.name] for f in MAPPING_ROWS_SCHEMA.fields) for r in rows], MAPPING_ROWS_SCHEMA)
+    roots = {i: fresh_path(spark, f"tables/shared_{i}") for i in SHARED_SHEETS}
+    results = run_mappings(sheets, sample_schema_columns(spark, list(SHARED_SHEETS)), derived.patients(spark, sf_dir), roots, DEFAULT_LOAD_TS)
+    out = []
+    for i, col in ((0, "full_name"), (1, "email_address"), (2, "weight")):
+        if results[i].status != "succeeded":
+            raise load.LoadError(f"sheet {i}: {results[i]}")
+        out.append(load.read_current(spark, roots[i]).select(F.lit(i).alias("sheet_id"), "patient_id", F.col(col).cast("string").alias("value")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("fact_incremental")
 def q_fact_incremental(spark, sf_dir):
     return load.fact_incremental(read_table(spark, sf_dir, "events"), derived.fact_target_before(spark, sf_dir),

@@ -9,6 +9,7 @@ from maplift.plans.registry import query
 from maplift.session import fresh_path
 from maplift.sources import derived
 from maplift.sources.tables import read_table
+from maplift.streaming.attempts import route_attempts_to_table
 from maplift.streaming.incremental import (fact_incremental_to_table, feed_entries, file_stream, known_updates, run_available,
                                            run_latest_to_table)
 
@@ -53,3 +54,18 @@ def q_latest_run_state_stream(spark, sf_dir):
     run_latest_to_table(known_updates(updates, derived.runs(spark, sf_dir)), f"{base}/table", f"{base}/checkpoint",
                         ["run_id", "field"], "seq")
     return read_current(spark, f"{base}/table")
+
+
+#: A run to be tried again fails after three days without an attempt.
+PATIENCE_MS = 3 * 86_400_000
+
+
+@query("attempt_routing_stream")
+def q_attempt_routing_stream(spark, sf_dir):
+    """J5 by run as its attempts arrive, with timers: runs without a next attempt have failed."""
+    base = fresh_path(spark, "streams/routing")
+    e = _events_stream(spark, sf_dir)
+    attempts = e.select("user_id", F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), "ts",
+                        F.when(F.col("event_type") == "error", F.col("event_type")).otherwise("").alias("error"))
+    route_attempts_to_table(attempts, f"{base}/table", f"{base}/checkpoint", ["user_id", "day"], "ts", "1 day", PATIENCE_MS)
+    return read_current(spark, f"{base}/table").select("user_id", "day", "attempt", "error", "route")

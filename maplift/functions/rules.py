@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ColumnLike = Column | str
 
@@ -268,3 +269,25 @@ def rule_column(call: RuleCall, source_field: str, load_ts: str | None, target_t
     if n_values is not None and len(call.values) > n_values:
         raise RuleError(f"rule {call.name} takes at most {n_values} value(s), not {len(call.values)}")
     return fn(columns, call.values, load_ts, target_type)
+
+
+# Declared text lengths
+_LIMITED = re.compile(r"\s*(?:VARCHAR|CHARACTER\s+VARYING|CHAR|CHARACTER)\s*\(\s*(\d+)\s*\)\s*", re.I)
+
+
+def length_limit(type_name: str | T.DataType) -> int | None:
+    """The n of `VARCHAR(n)` and its like."""
+    m = _LIMITED.fullmatch(type_name) if isinstance(type_name, str) else None
+    return int(m[1]) if m else None
+
+
+def declared_value(col: Column, declared: str | T.DataType, name: str) -> Column:
+    """`col` as a value of a declared column: cast, and of a limited text type at most that long.
+    Blanks beyond the limit are cut off, anything else beyond it is an error when the row is written."""
+    n = length_limit(declared)
+    if n is None:
+        return col.cast(declared)
+    text = col.cast("string")
+    blank = F.rtrim(F.substring(text, F.lit(n + 1), F.length(text))) == ""
+    error = F.raise_error(F.lit(f'value too long for column "{name}" of type {declared.strip()}'))
+    return F.when(F.length(text) <= n, text).when(text.isNull(), text).when(blank, F.substring(text, 1, n)).otherwise(error.cast("string"))

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maplift.functions.rules import declared_value
+
 
 #: The hidden partition column of tables dealt by a key; rows of a bucket, and buckets, where no number is given.
 BUCKET, BUCKET_ROWS, MOST_BUCKETS = "_bucket", 1 << 20, 4096
@@ -151,13 +153,13 @@ def new_version_path(root: str) -> str:
 
 
 # Declared table shape.  Spark does not enforce NOT NULL on Parquet, so
-# the audit (E4) is the enforcement; here we only cast to the declared types.
+# the audit (E4) is the enforcement; here values are cast to the declared types and held to declared lengths.
 def conform(df: DataFrame, declared: T.StructType | Mapping[str, str | T.DataType]) -> DataFrame:
     """Cast to the declared types, in declared order (a StructType, or
-    name -> type name / DataType)."""
+    name -> type name / DataType).  A text longer than its `VARCHAR(n)` aborts the load, as an insert would."""
     pairs = ([(f.name, f.dataType) for f in declared.fields] if isinstance(declared, T.StructType)
              else list(declared.items()))
-    return df.select(*[F.col(n).cast(t).alias(n) for n, t in pairs])
+    return df.select(*[declared_value(F.col(n), t, n).alias(n) for n, t in pairs])
 
 
 # The insert column list is the active rows' target fields in order.

@@ -12,7 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maplift.functions.rules import spark_type_name
+from maplift.functions.rules import declared_value, length_limit, spark_type_name
 from maplift.model import MAPPING_COLUMNS
 from maplift.operators import audit, load
 from maplift.operators.validate import Validator
@@ -35,11 +35,15 @@ def _specs(schema_cols: DataFrame, side: str) -> dict[str, ColumnSpec]:
     return {r.column_name: ColumnSpec(r.type, bool(r.nullable)) for r in rows}
 
 
+def _declared_type(spec: ColumnSpec) -> str:
+    return spec.type if length_limit(spec.type) else spark_type_name(spec.type)
+
+
 def _declared(mapped: DataFrame, tgt_spec: dict[str, ColumnSpec]) -> DataFrame:
     """Insert columns are the active rows' target fields in sheet order;
     A9: values cast to the declared target types."""
     fields = list(mapped.columns)
-    declared = {f: spark_type_name(tgt_spec[f].type) if f in tgt_spec else mapped.schema[f].dataType
+    declared = {f: _declared_type(tgt_spec[f]) if f in tgt_spec else mapped.schema[f].dataType
                 for f in fields}
     return load.conform(load.to_target_columns(mapped, fields), declared)
 
@@ -145,7 +149,7 @@ def _declared_columns(source: DataFrame, rows: list[dict], spec: dict[str, dict[
     out = []
     for c in compile_mapping(source, rows, spec["source"], spec["target"], load_ts):
         name = source.select(c).columns[0]
-        out.append((c.cast(spark_type_name(spec["target"][name].type)) if name in spec["target"] else c).alias(name))
+        out.append((declared_value(c, _declared_type(spec["target"][name]), name) if name in spec["target"] else c).alias(name))
     return out
 
 

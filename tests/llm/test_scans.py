@@ -355,6 +355,27 @@ def test_sizes_of_long_runs_equal_the_sql(spark, monkeypatch, run_chars):
     assert all(parse(x) == [(r, t) for c, k, r, t in turns if c == conv and k <= turn] for (conv, turn), x in full.items())
 
 
+@pytest.mark.parametrize("run_chars", [1, 60, 1 << 18])
+def test_written_examples_hold_their_whole_context(spark, monkeypatch, run_chars):
+    monkeypatch.setattr(chat_format, "RUN_CHARS", run_chars)
+    monkeypatch.setattr(chat_format, "EXAMPLES", 2)
+    turns = [(c, t, ("assistant" if t % 2 else "user"), f"{c}:{t} </s>") for c in (1, 2, None) for t in range(9)]
+    df = spark.createDataFrame([*turns, (3, 0, "user", "alone")], "conv_id long, turn long, role string, text string")
+    rows = formatted(df).collect()
+    for conv in (1, 2, None):
+        said = [(r, x) for c, _, r, x in turns if c == conv]
+        for i in range(5):
+            parts = sorted((r for r in rows if (r.conv_id, r.example) == (conv, i)), key=lambda r: r.part)
+            assert [r.part for r in parts] == list(range(len(parts))) and (len(parts) > 1) == (run_chars < 1 << 18 and i > 0 or run_chars == 1)
+            assert [r.context_chars for r in parts] == [sum(len(p.text) for p in parts[:k]) for k in range(len(parts))]
+            assert parse("".join(r.text for r in parts)) == said[: 2 * i + 2]
+            assert [r.loss_start is None for r in parts] == [True] * (len(parts) - 1) + [i == 4] and {r.last for r in parts} == {i == 4}
+            if i < 4:
+                assert unescape(parts[-1].text[parts[-1].loss_start: parts[-1].loss_end]) == said[2 * i + 1][1]
+    assert {r.conv_id: r.formatted_chars for r in read_back(formatted(df)).collect()} == {
+        c: sum(len(r.text) for r in rows if r.conv_id == c) for c in (1, 2, 3, None)}
+
+
 def test_pyarrow_is_used_with_offsets():
     col = pa.array(["zz", "ab (at) cd.ef x", "1.2.3.4"]).slice(1, 2)
     assert [f[0] for f in pii.find_in(col, pii.Tagger(pii.trained_crf()))] == [[], [("ip", 0, 7)]]

@@ -124,6 +124,13 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
     return view.read(spark)
 
 
+def snapshot(spark: SparkSession, root: str) -> tuple[list[Version], DataFrame | None]:
+    """The log and the rows of its latest version (None when there is none), of one reading."""
+    versions = _versions(spark, root)
+    view = _view(versions)
+    return versions, view and view.read(spark)
+
+
 def noted_batches(spark: SparkSession, root: str) -> set[str]:
     """The notes of all committed versions (a line per version)."""
     return {v.note for v in _versions(spark, root) if v.note}
@@ -240,7 +247,8 @@ def _plain_names(values: Sequence[str]) -> bool:
     return all(re.fullmatch(r"[\w.-]+", v) for v in values)
 
 
-def _load_parts(df: DataFrame, root: str, versions: list[Version], kind: str, layout: str, check: Check | None) -> str:
+def _load_parts(df: DataFrame, root: str, versions: list[Version], kind: str, layout: str, check: Check | None,
+                note: str = "") -> str:
     """Write `df` in parts and commit them as the table's (`refresh`: all of them), after `check` has seen the version that makes.
 
     Rows are dealt by part: AQE splits a hot part over several tasks and merges small ones, so file sizes stay even
@@ -267,7 +275,7 @@ def _load_parts(df: DataFrame, root: str, versions: list[Version], kind: str, la
         line = line._replace(folder=_staged(df.drop(BUCKET), root, None, (), None))
     if check is not None:
         check(_view([*versions, line]).read(spark))
-    _commit(spark, root, kind, line.folder, max((v.number for v in versions), default=0), line.parts)
+    _commit(spark, root, kind, line.folder, max((v.number for v in versions), default=0), line.parts, note)
     return line.folder
 
 
@@ -277,7 +285,7 @@ def _bucket_number(rows: int) -> int:
 
 def merge_by_key(spark: SparkSession, root: str, changes: DataFrame, key: Sequence[str],
                  merge: Callable[[DataFrame, DataFrame], DataFrame], check: Check | None = None, buckets: int | None = None,
-                 versions: list[Version] | None = None) -> str:
+                 versions: list[Version] | None = None, note: str = "") -> str:
     """Replace the buckets of a table that `changes` (already written, a row per key) has keys in by
     `merge(their rows, changes)`; the other buckets are neither read nor written.
 
@@ -303,7 +311,14 @@ def merge_by_key(spark: SparkSession, root: str, changes: DataFrame, key: Sequen
         table = (spark.read.schema(table.schema).parquet(*view.part_paths(touched)) if touched
                  else spark.createDataFrame([], table.schema))
     rows = merge(table, changes) if view else changes
-    return _load_parts(_dealt(rows, key, buckets), root, versions, kind, _layout(BUCKET, key, buckets), check)
+    return _load_parts(_dealt(rows, key, buckets), root, versions, kind, _layout(BUCKET, key, buckets), check, note)
+
+
+def written_once(df: DataFrame, root: str, **stats: Column) -> tuple[DataFrame, dict]:
+    """Rows written beside the table and read again, and figures taken while they are written."""
+    path, obs = f"{root.rstrip('/')}/changes-{uuid.uuid4().hex[:16]}", Observation("written")
+    df.observe(obs, *(c.alias(n) for n, c in stats.items())).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), obs.get
 
 
 def _written_changes(source: DataFrame, root: str, key: Sequence[str], order_col: str) -> tuple[DataFrame, int]:

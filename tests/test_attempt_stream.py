@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from maplift.operators.load import read_current
 from maplift.session import fresh_path
-from maplift.streaming.attempts import route_attempts_to_table
+from maplift.streaming.attempts import merge_attempts, route_attempts_to_table
 from maplift.streaming.incremental import file_stream
 
 DAY = 86_400_000
@@ -36,3 +36,29 @@ def test_routes_change_as_attempts_and_time_arrive(spark):
     assert got == before
     got = arrive(("z", 99, "", 40))
     assert got["a"] == (2, "again", "failed") and got["e"] == (1, "new", "failed") and got["z"] == (1, "", "review")
+
+
+def test_batches_equal_a_replay_in_order_and_count_once(spark):
+    root, state, mark, seq, met = fresh_path(spark, "routing-replay"), {}, None, 0, set()
+    schema = "run long, day long, seq long, error string, ts timestamp"
+    for epoch, days in enumerate(((5, 6, 7), (6, 9), (3, 8, 12), (22,))):
+        rows = []
+        for day in days:
+            for run in range(0, 60, 1 + day % 4):
+                seq += 1
+                rows.append((run, run % 2, seq, ("", "bad", None)[(run + day) % 3], day * 86400))
+        df = spark.createDataFrame(rows, "run long, day long, seq long, error string, at long").withColumn("at", F.timestamp_seconds("at"))
+        batch = df.withColumnRenamed("at", "ts")
+        assert batch.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+        for _ in range(2):  # a batch that is run again changes nothing
+            merge_attempts(batch, root, ["run", "day"], "ts", "1 day", 3 * DAY, 3, f"s#{epoch}")
+        rows = [r for r in rows if mark is None or r[4] * 1000 > mark]
+        for run, key, n, error, at in rows:
+            count, _, last = state.get((run, key), (0, None, 0))
+            state[run, key] = (count + 1, error, max(last, at * 1000))
+        mark = max(x[2] for x in state.values()) - DAY
+        want = {k: (n, e, "review" if e == "" else "escalate" if n >= 3 else "failed" if ms + 3 * DAY < mark else "retry")
+                for k, (n, e, ms) in state.items()}
+        assert {(r.run, r.day): (r.attempt, r.error, r.route) for r in read_current(spark, root).collect()} == want
+        met |= {x[2] for x in want.values()}
+    assert met == {"failed", "escalate", "review", "retry"}

@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,20 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows and about so many bytes, for what is computed inside the block."""
+    asked = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in asked}
+    for k, v in asked.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Send the package to the executors once per context (they need not have it installed)."""
     sc = spark.sparkContext

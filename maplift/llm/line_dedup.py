@@ -33,17 +33,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from maplift.llm.common import by_slot, carried, in_filter, only_ids, opened, prepare, restored, slices, slot_filter, staged, text_bytes, texts_of
+from maplift.llm.common import batches_of, by_slot, carried, in_filter, only_ids, opened, prepare, restored, slices, slot_filter, staged, text_bytes, texts_of
 from maplift.llm.linking import block_count, block_of, checked, overlaps
 from maplift.llm.wordhash import U, Words, mix, words_of
 
 COUNT_BITS, _CHUNK = 24, 1 << 16
 #: Counts below COUNT_EXACT are coded as they are; above, a code goes up by COUNT_STEPS for each doubling.
 COUNT_EXACT, COUNT_STEPS = 1 << 15, 512
+#: Rows and bytes of an Arrow batch of lines, words or pairs, which are far smaller than documents.
+LINE_ROWS, LINE_BYTES = 1 << 14, 1 << 20
 #: Bytes of a node that hold its first position (``ordered_node``).
 POSITION = 12
 
@@ -146,24 +149,24 @@ def word_counts(docs: DataFrame) -> np.ndarray:
                 np.add.at(total, slot_of(words_of(*text_bytes(b.column(1))).hash), np.uint32(1))
         for chunk in range(0, 1 << COUNT_BITS, _CHUNK):
             part = total[chunk: chunk + _CHUNK]
-            if part.any():
-                part = part.astype(np.uint16) if part.max() < 1 << 16 else part  # told apart by length
-                yield pa.record_batch([pa.array([chunk // _CHUNK], pa.int32()),
-                                       pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "n"])
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.record_batch([pa.array([chunk // _CHUNK], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
+                                       pa.array([part[at].tobytes()], pa.binary())], names=["chunk", "at", "n"])
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = zlib.decompress(raw)
-                add = np.frombuffer(raw, np.uint16 if len(raw) == 2 * _CHUNK else np.uint32)
-                total[c] = total.get(c, 0) + add.astype(np.int64)
+            for c, at, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if c not in total:
+                    total[c] = np.zeros(_CHUNK, np.int64)
+                total[c][np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
         for c, t in total.items():
             yield pa.record_batch([pa.array([c], pa.int32()), pa.array([zlib.compress(count_codes(t).tobytes(), 1)])],
                                   names=["chunk", "n"])
 
     out = np.zeros(1 << COUNT_BITS, np.uint16)
-    parts = docs.mapInArrow(partial, "chunk int, n binary").repartition("chunk").mapInArrow(summed, "chunk int, n binary")
+    parts = docs.mapInArrow(partial, "chunk int, at binary, n binary").repartition("chunk").mapInArrow(summed, "chunk int, n binary")
     for row in parts.collect():  # at most 32 MB
         out[row.chunk * _CHUNK: (row.chunk + 1) * _CHUNK] = np.frombuffer(zlib.decompress(row.n), np.uint16)
     return out
@@ -242,19 +245,29 @@ def later_matches(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(zlib.compress(word_counts(docs).tobytes(), 1))
     lines = staged(_line_rows(docs, counts, num, den), "lines")
-    first = staged(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("at"),
-                                             F.min("size").alias("size"))
-                   .select("node", "size", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line")), "classes")
-    matched = _matched(docs, lines, num, den)
-    later = first.join(matched, "node", "left").select(
-        "node", F.col("doc_id").alias("d0"), F.col("line").alias("l0"), F.col("matched").isNotNull().alias("m"))
+    with batches_of(spark, LINE_ROWS, LINE_BYTES):
+        several = staged(classes_of_several(lines), "classes")
+        matched = _matched(docs, lines, several, num, den)
+    # only the classes that lose lines are joined: those of several lines and those with an earlier match
+    later = staged(several.select("node", "d0", "l0").join(matched, "node", "full"), "later")
     gone = (lines.select("doc_id", "line", "node").join(later, "node")
-            .where("m or doc_id <> d0 or line <> l0").select("doc_id", "line", "node"))
+            .where("matched is not null or doc_id <> d0 or line <> l0").select("doc_id", "line", "node"))
     return lines, gone
 
 
-def _matched(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, matched): classes with an earlier similar class.
+def classes_of_several(lines: DataFrame) -> DataFrame:
+    """(node, h, d0, l0): classes of more than one line, and their first position.
+
+    A position is one number here, so that Spark aggregates by hashing; a struct has to be sorted."""
+    at = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
+    found = lines.groupBy("node").agg(F.min(at).alias("at"), F.min("h").alias("h"), F.count("*").alias("n")).where("n > 1")
+    line = F.expr("pmod(at, 2147483648BD)")
+    return found.withColumn("l0", line.cast("int")).select(
+        "node", "h", F.expr("(at - pmod(at, 2147483648BD)) div 2147483648BD").cast("long").alias("d0"), "l0")
+
+
+def _matched(docs: DataFrame, lines: DataFrame, several: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, matched): classes with an earlier similar class; several: classes of more than one line, with their first position.
 
     In what follows a class is named by h, a 64-bit hash of its identity, and its first document; where
     two classes share an h, their texts are told apart when they are compared."""
@@ -262,7 +275,10 @@ def _matched(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame
     # each class against the earliest one among those of its words that pass the filters
     often = lines.where("size(often) > 0").select("h", F.explode("often").alias("key"))
     hot = staged(hot_keys(often), "hot-keys")
-    posts = in_blocks(_posts_of_classes(lines), hot)
+    copied = docs.sparkSession.sparkContext.broadcast(slot_filter(several, "h"))
+    copies = staged(_first_lines(lines, several, copied), "copies")
+    posts = in_blocks(_posts_of_classes(lines, copied, copies), hot)
+    posts = posts.repartition(partner_tasks(lines), "key")
     pairs = staged(_first_partners(posts, num, den).groupBy("center", "node").agg(
         F.min("size1").alias("size1"), F.min("size").alias("size"), F.min("d1").alias("d1"), F.min("d2").alias("d2"),
         F.max("more").alias("more")), "partners")
@@ -278,10 +294,10 @@ def _matched(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame
     if not left.isEmpty():
         def bits(df, col):
             return docs.sparkSession.sparkContext.broadcast(slot_filter(df, col))
-        own = _posts_of_classes(lines, by_h=bits(left, "h")).join(left, "h", "left_semi").select(*_POST)
+        own = _posts_of_classes(lines, copied, copies, by_h=bits(left, "h")).join(left, "h", "left_semi").select(*_POST)
         own = staged(own, "left-posts")
         blocks = staged(own.groupBy("key").agg(key_blocks().alias("m")), "left-keys")
-        others = (_posts_of_classes(lines, by_key=bits(own, "key")).join(blocks, "key")
+        others = (_posts_of_classes(lines, copied, copies, by_key=bits(own, "key")).join(blocks, "key")
                   .select(*_POST, F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("y")))
         earlier = ((F.col("a.key") == F.col("b.key")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.h") != F.col("b.h"))
                    & (F.col("a.doc") <= F.col("b.doc")) & may_match(num, den))
@@ -297,17 +313,29 @@ def _matched(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame
 _POST = ["key", "h", "doc", "size", "place", "sketch", "sketch2"]
 
 
-def _posts_of_classes(lines: DataFrame, by_h=None, by_key=None) -> DataFrame:
+_LINE = ["h", "doc_id", "size", "sketch", "sketch2", "keys", "places"]
+
+
+def _first_lines(lines: DataFrame, several: DataFrame, copied) -> DataFrame:
+    """The first line of each class that may have several (its h is in the slot filter ``copied``)."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = opened(copied)
+        for b in batches:
+            yield b.filter(pa.array(in_filter(slots, b.column(0).to_numpy())))
+    rows = lines.where("size(keys) > 0").select(*_LINE, "node", "line")
+    rows = rows.mapInArrow(run, rows.schema).join(several.select("node", "d0", "l0"), "node", "left")
+    # a class that is not there has one line; rows that repeat a doc_id may hold a first line twice
+    return rows.where("d0 is null or (doc_id = d0 and line = l0)").dropDuplicates(["node"]).select(*_LINE)
+
+
+def _posts_of_classes(lines: DataFrame, copied, copies: DataFrame, by_h=None, by_key=None) -> DataFrame:
     """(key, h, doc, size, place, sketches): the prefix words of each class, once; doc: its first document.
 
-    Only classes of several lines need the aggregation, which combines in each task first.
+    Lines whose h is in the slot filter ``copied`` are taken from ``copies`` (``_first_lines``).
     ``by_h`` and ``by_key`` are slot filters that leave out most of what is not asked for."""
     rows = lines.where("size(keys) > 0")
-    again = lines.groupBy("h").count().where("count > 1").select("h")
-    bits = lines.sparkSession.sparkContext.broadcast(slot_filter(again, "h"))
-    copies = _postings(rows, bits, True, by_h, by_key).groupBy("key", "h").agg(
-        F.min("doc_id").alias("doc"), *(F.min(c).alias(c) for c in _POST[3:]))
-    return _postings(rows, bits, False, by_h, by_key).withColumnRenamed("doc_id", "doc").select(*_POST).union(copies)
+    posts = _postings(rows, copied, by_h, by_key).union(_postings(copies, None, by_h, by_key))
+    return posts.withColumnRenamed("doc_id", "doc").select(*_POST)
 
 
 #: Classes of a word up to which they lie in one task; words with more are dealt into blocks of about so many.
@@ -332,12 +360,18 @@ def in_blocks(posts: DataFrame, hot: DataFrame) -> DataFrame:
             .withColumn("key", F.when(F.col("n").isNull(), F.col("key")).otherwise(block)).select(*_POST))
 
 
-#: Rows of whole keys that are compared at a time, and the distance (in rows) up to which they are.
-PARTNER_ROWS, PARTNER_REACH = 1 << 20, 4_096
+#: Rows of whole keys that a task holds, as an average, and the distance (in rows) up to which they are compared.
+PARTNER_ROWS, PARTNER_REACH = 1 << 18, 4_096
 #: Partners of a class and word that are checked at once; classes with more that match none of them go to the second step.
 PARTNERS = 8
 
 
+def partner_tasks(lines: DataFrame) -> int:
+    """Number of tasks for the prefix words of all lines, so that each holds about PARTNER_ROWS of them."""
+    rows = lines.agg(F.sum(F.size("keys"))).first()[0] or 0
+    return max(lines.sparkSession.sparkContext.defaultParallelism, -(-rows // PARTNER_ROWS))
+
+
 def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
     """(center, node, size1, size, d1, d2, more): for each class and word earlier classes that pass the
     filters, up to PARTNERS of them, and whether there are more.  Classes of one document are
@@ -346,7 +380,7 @@ def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
     A key's rows come in the order of their sizes, and each row is compared with the rows before it until
     their sizes differ too much, a whole batch at once.  In keys with rows that have more than PARTNER_REACH
     rows before them, all rows are left to the second step (more).  A key is a word or a block of a hot one
-    (``in_blocks``), so a task holds about PARTNER_ROWS + KEY_ROWS rows."""
+    (``in_blocks``); ``posts`` are dealt by key, to as many tasks as give each about PARTNER_ROWS rows."""
     def passing(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         n1, n2, p1, p2 = x["size"][i], x["size"][j], x["place"][i], x["place"][j]
         ok = (np.minimum(n1 - p1, n2 - p2) + np.minimum(p1, p2)) * (num + den) >= (n1 + n2) * num
@@ -387,25 +421,13 @@ def _first_partners(posts: DataFrame, num: int, den: int) -> DataFrame:
                                names=["center", "node", "size1", "size", "d1", "d2", "more"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _POST
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows < PARTNER_ROWS:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            key = t.column("key").to_numpy()
-            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0  # the last key may go on
-            if cut:
-                yield compared({c: t.column(c).to_numpy()[:cut] for c in names})
-            held, rows = t.slice(cut).to_batches(), len(t) - cut
-        if rows:
+        held = list(batches)
+        if sum(b.num_rows for b in held):
             t = pa.Table.from_batches(held)
-            yield compared({c: t.column(c).to_numpy() for c in names})
-    return (posts.repartition("key").sortWithinPartitions("key", "size")
-            .mapInArrow(run, "center long, node long, size1 long, size long, d1 long, d2 long, more boolean"))
+            x = {c: t.column(c).to_numpy() for c in _POST}
+            order = np.lexsort((x["size"], x["key"]))
+            yield compared({c: v[order] for c, v in x.items()})
+    return posts.mapInArrow(run, "center long, node long, size1 long, size long, d1 long, d2 long, more boolean")
 
 
 def _checked(rows: DataFrame, docs: DataFrame, ids: DataFrame, verify, name: str) -> DataFrame:
@@ -468,14 +490,14 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> Da
             .mapInArrow(run, "node binary"))
 
 
-def _postings(lines: DataFrame, copied, inside: bool, by_h=None, by_key=None) -> DataFrame:
-    """(h, doc_id, size, sketches, key, place): prefix words of the lines whose h is in the slot filter, or is not."""
+def _postings(lines: DataFrame, but=None, by_h=None, by_key=None) -> DataFrame:
+    """(h, doc_id, size, sketches, key, place): prefix words of the lines whose h is not in the slot filter ``but``."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [None if x is None else opened(x) for x in (copied, by_h, by_key)]
+        filters = [None if x is None else opened(x) for x in (but, by_h, by_key)]
         for b in batches:
             keys, places, h = b.column(5), b.column(6), b.column(0).to_numpy()
             key = keys.flatten().to_numpy()
-            line = in_filter(filters[0], h) == inside
+            line = np.ones(len(h), bool) if but is None else ~in_filter(filters[0], h)
             if by_h is not None:
                 line &= in_filter(filters[1], h)
             keep = np.repeat(line, np.diff(keys.offsets.to_numpy()))
@@ -485,7 +507,7 @@ def _postings(lines: DataFrame, copied, inside: bool, by_h=None, by_key=None) ->
             yield pa.record_batch([*(b.column(i).take(row) for i in range(5)), pa.array(key[keep]),
                                    pa.array(places.flatten().to_numpy()[keep])],
                                   names=["h", "doc_id", "size", "sketch", "sketch2", "key", "place"])
-    return lines.select("h", "doc_id", "size", "sketch", "sketch2", "keys", "places").mapInArrow(
+    return lines.select(*_LINE).mapInArrow(
         run, "h long, doc_id long, size long, sketch long, sketch2 long, key long, place int")
 
 
@@ -564,22 +586,38 @@ def rewritten(df: DataFrame) -> DataFrame:
     schema = StructType([*df.select("rest", "text").schema.fields, StructField("n_lines", LongType()),
                          StructField("n_removed", LongType())])
 
-    def one(text: str | None, listed) -> tuple[str | None, int, int]:
-        if text is None or not listed:
-            return text, (text or "").count("\n") + 1, 0
-        lines = text.split("\n")
-        which = {(x["line"], x["node"]) for x in listed}
-        asked = sorted({x for x, _ in which if x < len(lines)})
-        col = pa.array([lines[x] for x in asked], pa.string())
-        line, h, _ = line_sets(words_of(*text_bytes(col)))
-        _, ids = line_ids(line, h, len(asked))
-        out = {x for x, i in zip(asked, ids) if (x, i) in which}
-        return "\n".join(s for i, s in enumerate(lines) if i not in out), len(lines), len(out)
+    def cut(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+        """(texts, removed lines) of rows with a list each or none."""
+        buf, off = text_bytes(b.column(1).fill_null(""))
+        edges, doc, _ = lines_of(buf, off)
+        first = np.searchsorted(doc, np.arange(b.num_rows + 1))
+        listed = b.column(2)
+        owner = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(listed), 0).to_numpy())
+        entry = listed.flatten()
+        at = first[owner] + entry.field("line").to_numpy()
+        known = at < first[owner + 1]  # a list of another row with this doc_id may name lines that are not here
+        asked, node = at[known], entry.field("node").filter(pa.array(known)).to_pylist()
+        each = np.unique(asked)
+        raw = buf.tobytes()
+        parts = [raw[edges[i]: edges[i + 1]] for i in each.tolist()]
+        ends = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int64)
+        line, h, _ = line_sets(words_of(np.frombuffer(b"".join(parts), np.uint8), ends))
+        ids = line_ids(line, h, len(each))[1]
+        gone = np.zeros(len(doc), bool)
+        gone[[i for i, k, n in zip(asked.tolist(), np.searchsorted(each, asked).tolist(), node) if ids[k] == n]] = True
+        removed = np.bincount(doc[gone], minlength=b.num_rows)
+        texts = b.column(1).to_pylist()
+        for i in np.flatnonzero(removed).tolist():
+            texts[i] = "\n".join(x for x, g in zip(texts[i].split("\n"), gone[first[i]: first[i + 1]].tolist()) if not g)
+        return pa.array(texts, pa.string()), removed
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [one(t, g) for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.record_batch([b.column(0), pa.array([g[0] for g in got], pa.string()),
-                                   pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())],
-                                  names=["rest", "text", "n_lines", "n_removed"])
+        for batch in batches:
+            for b in slices(batch):
+                n_lines = pc.add(pc.fill_null(pc.count_substring(b.column(1), "\n"), 0).cast(pa.int64()), 1)
+                text, removed = b.column(1), np.zeros(b.num_rows, np.int64)
+                if b.column(2).null_count < b.num_rows:
+                    text, removed = cut(b)
+                yield pa.record_batch([b.column(0), text, n_lines, pa.array(removed.astype(np.int64))],
+                                      names=["rest", "text", "n_lines", "n_removed"])
     return df.mapInArrow(run, schema)

@@ -230,3 +230,31 @@ def test_empty_tables(spark):
     assert {(r.n_shingles, r.component_id) for r in ngram_jaccard_join(blank).collect()} == {(0, 1), (0, 2)}
     assert without_repeated_passages(blank).where("n_words = 0 and n_removed = 0 and text = ''").count() == 2
     assert SCHEMA
+
+
+def test_first_positions_of_classes_with_any_id(spark):
+    ends = [-(1 << 63), -(1 << 63) + 1, -1, 0, 1, (1 << 63) - 1]
+    rows = [(d, n, bytes([i // 2]), i // 2) for i, d in enumerate(ends) for n in (0, 7, (1 << 31) - 1)]
+    lines = spark.createDataFrame(rows + [(5, 1, b"alone", 9)], "doc_id long, line int, node binary, h long")
+    got = {(bytes(r.node), r.h, r.d0, r.l0) for r in line_dedup.classes_of_several(lines).collect()}
+    assert got == {(bytes([i]), i, ends[2 * i], 0) for i in range(3)}
+
+
+def test_prefix_words_are_dealt_to_bounded_tasks_and_sorted_there(spark, monkeypatch):
+    """Tasks grow with the words; Spark neither sorts all postings nor moves them for each copy of a line."""
+    monkeypatch.setattr(line_dedup, "PARTNER_ROWS", 64)
+    seen, first = [], line_dedup._first_partners
+    monkeypatch.setattr(line_dedup, "_first_partners", lambda posts, num, den: seen.append(posts) or first(posts, num, den))
+    texts = crowded_lines() * 3
+    got = without_similar_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 80, 100).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == lines_left(list(enumerate(texts)), 80, 100)
+    posts, = seen
+    assert posts.groupBy("key", "h").count().where("count > 1").isEmpty()
+    assert posts.rdd.getNumPartitions() >= posts.count() // 64
+    assert "Sort" not in first(posts, 80, 100)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_of_repeated_ids_apply_to_their_own_lines_in_one_batch(spark):
+    rows = [(1, "a b c\nd e f"), (1, "x y z"), (1, None), (2, "d e f\nx y z\n\na b c\nq r s"), (3, ""), (None, "a b c")]
+    got = without_similar_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 80, 100).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == lines_left(rows, 80, 100)

@@ -36,7 +36,7 @@ SAMPLE = 20_000
 SIZES, BITS = (4, 5, 6), 18
 SMOOTH, MIN_Z, KEEP = 4.0, 4.0, 1 << 14
 #: Code points worked on at a time; longer texts are taken in overlapping pieces.
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 
 #: ASCII characters other than letters and digits read as a blank.

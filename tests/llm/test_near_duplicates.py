@@ -1,16 +1,19 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from maplift.llm import line_dedup
+from maplift.llm.common import SLICE_BYTES
 from maplift.llm.line_dedup import without_similar_lines
 from maplift.llm.ngram_join import ngram_jaccard_join, without_near_duplicates
 from maplift.llm.spotsigs import edited_likeness, fingerprints, from_text, likeness, similar_documents
 from maplift.llm.substring_dedup import without_repeated_passages
 from tests.llm.data import SCHEMA, awkward, empty, make_texts, words
+from maplift.llm.toxicity import PIECE, gram_slots
 
 
 def groups(nodes, links):
@@ -258,3 +261,19 @@ def test_lists_of_repeated_ids_apply_to_their_own_lines_in_one_batch(spark):
     rows = [(1, "a b c\nd e f"), (1, "x y z"), (1, None), (2, "d e f\nx y z\n\na b c\nq r s"), (3, ""), (None, "a b c")]
     got = without_similar_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 80, 100).collect()
     assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == lines_left(rows, 80, 100)
+
+
+def test_working_memory_of_texts_is_bounded():
+    """A worker handles texts in slices whose temporaries stay small, however large its batch."""
+    text = " ".join(f"Word{i % 997} is, here" + "\n" * (i % 9 == 0) for i in range(2_000))
+    batch = line_dedup.pa.record_batch([line_dedup.pa.array([text] * 64)], names=["text"])
+    assert batch.nbytes > 2 << 20
+    peaks = []
+    for limit, work in ((SLICE_BYTES, lambda b: line_dedup.line_sets(line_dedup.words_of(*line_dedup.text_bytes(b.column(0))))),
+                        (PIECE, lambda b: gram_slots(b.column(0).to_pylist()))):
+        tracemalloc.start()
+        for b in line_dedup.slices(batch, limit=limit):
+            work(b)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert max(peaks) < 20 << 20, peaks

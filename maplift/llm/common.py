@@ -64,11 +64,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is made and run inside the block gives the disk of its shuffles back when it ends, not when the driver collects garbage."""
+    asked = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(asked, None)
+    spark.conf.set(asked, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(asked) if before is None else spark.conf.set(asked, before)
+
+
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = fresh_path(spark, f"llm-{name}")
-    df.write.options(**options).parquet(path)
+    with shuffles_freed(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -138,13 +151,15 @@ def slot_filter(keys: DataFrame, key: str, bits: int = SLOT_BITS) -> bytes:
     """
     chunks = 1 << (bits - _CHUNK_BITS)
     slot = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
-    parts = (keys.select(F.shiftright(slot, _CHUNK_BITS).cast("int").alias("chunk"),
-                         slot.bitwiseAND(F.lit((1 << _CHUNK_BITS) - 1)).cast("int").alias("bit"))
-             .mapInArrow(_partial_bitmaps, "chunk int, bits binary")
-             .repartition("chunk").mapInArrow(_merged_bitmaps, "chunk int, bits binary"))
+    with shuffles_freed(keys.sparkSession):
+        parts = (keys.select(F.shiftright(slot, _CHUNK_BITS).cast("int").alias("chunk"),
+                             slot.bitwiseAND(F.lit((1 << _CHUNK_BITS) - 1)).cast("int").alias("bit"))
+                 .mapInArrow(_partial_bitmaps, "chunk int, bits binary")
+                 .repartition("chunk").mapInArrow(_merged_bitmaps, "chunk int, bits binary"))
+        rows = parts.collect()  # at most 2**bits bits
     out = np.zeros(chunks << (_CHUNK_BITS - 3), np.uint8)
     step = 1 << (_CHUNK_BITS - 3)
-    for row in parts.collect():  # at most 2**bits bits
+    for row in rows:
         out[row.chunk * step: (row.chunk + 1) * step] |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
     return zlib.compress(out.tobytes(), 1)
 

@@ -11,10 +11,15 @@ done in two steps, both exact together:
 So a key with n similar nodes costs n rows, and only keys that hold
 dissimilar nodes reach the second step.  Blocks bound what a task holds,
 whatever the size of a key.
+
+Where ``Near`` is given, sketches of the nodes (``sketch``) come before their
+texts in both steps: only the texts of pairs, and of nodes of a key, whose
+sketches do not rule a link out are moved.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
@@ -23,9 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maplift.llm.common import only_ids, staged
+from maplift.llm.sketch import any_near, pairs_near
 
 #: Summed set sizes of a block, and its number of nodes, as averages.
 BLOCK_SIZE, BLOCK_NODES = 1 << 18, 512
+#: Blocks of sketches hold so many times as much as blocks of texts.
+SKETCH_BLOCKS = 8
 
 #: (nodes, texts) of the two sides of a group -> pairs of linked nodes; equal sides are one and the same list
 Verify = Callable[[list[bytes], list[str], list[bytes], list[str]], list[tuple[bytes, bytes]]]
@@ -61,9 +69,17 @@ def components(edges: DataFrame) -> DataFrame:
 Texts = Callable[[DataFrame], DataFrame]
 
 
-def block_count() -> Column:
+@dataclass
+class Near:
+    """``sketches`` gives (node, sketch) of rows with node; links have a Jaccard similarity of num / den at least."""
+    sketches: Callable[[DataFrame], DataFrame]
+    num: int
+    den: int
+
+
+def block_count(times: int = 1) -> Column:
     """Number of blocks of a group, from the summed sizes and the number of its nodes."""
-    return F.ceil(F.greatest(F.sum("size") / F.lit(BLOCK_SIZE), F.count("*") / F.lit(BLOCK_NODES))).cast("long")
+    return F.ceil(F.greatest(F.sum("size") / F.lit(BLOCK_SIZE * times), F.count("*") / F.lit(BLOCK_NODES * times))).cast("long")
 
 
 def block_of(node: str, n: str) -> Column:
@@ -120,21 +136,74 @@ def tails_of(members: DataFrame) -> DataFrame:
         "key", F.col("low.node").alias("center"), F.col("low.size").alias("csize"), "node", "size"), "tails")
 
 
-def star_links(tails: DataFrame, texts: Texts, verify: Verify, ratio: float) -> DataFrame:
+def star_links(tails: DataFrame, texts: Texts, verify: Verify, ratio: float, near: Near | None = None,
+               sketches: DataFrame | None = None) -> DataFrame:
     """Links between each key's smallest node and the others; ``ratio``: sizes further apart cannot be linked."""
-    near = F.least("size", "csize") >= F.greatest("size", "csize") * F.lit(ratio)
-    pairs = staged(tails.where(near).groupBy("center", "node").agg(F.min("size").alias("size")), "star")
-    return checked(group_blocks(pairs), texts, verify, "star-links")
+    close = F.least("size", "csize") >= F.greatest("size", "csize") * F.lit(ratio)
+    pairs = tails.where(close).groupBy("center", "node").agg(F.min("csize").alias("csize"), F.min("size").alias("size"))
+    pairs = staged(pairs if near is None else near_pairs(pairs, sketches, near), "star")
+    return checked(group_blocks(pairs.select("center", "node", "size")), texts, verify, "star-links")
+
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame, near: Near) -> DataFrame:
+    """Those of the pairs (center, node, csize, size) whose sketches do not rule a link out."""
+    num, den = near.num, near.den
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            center, node, csize, size, c, s = b.columns
+            keep = pairs_near(c.to_pylist(), csize.to_numpy(), s.to_pylist(), size.to_numpy(), num, den)
+            yield b.select([0, 1, 2, 3]).filter(pa.array(keep))
+
+    both = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("center"), F.col("sketch").alias("csketch")), "center")
+    return both.select(*pairs.columns, "csketch", "sketch").mapInArrow(run, pairs.schema)
 
 
-def block_links(tails: DataFrame, labels: DataFrame, texts: Texts, verify: Verify) -> DataFrame | None:
+def near_nodes(rows: DataFrame, sketches: DataFrame, near: Near) -> DataFrame:
+    """Those of the rows (g, node, size, label) whose sketch does not rule out a link with a node of their g and another label."""
+    placed = _within(rows, SKETCH_BLOCKS).join(sketches, "node").repartition("gid").sortWithinPartitions("gid")
+    num, den = near.num, near.den
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stream():
+            for b in batches:
+                yield from zip(*(c.to_pylist() for c in b.columns))
+
+        def side(found):
+            label = {x: i for i, x in enumerate(sorted({r[5] for r in group}))}
+            return ([r[6] for r in found], np.array([r[4] for r in found], np.int64), np.array([label[r[5]] for r in found]))
+        for _, group in groupby(stream(), key=lambda r: r[0]):
+            group = list(group)
+            within = [r for r in group if r[1] == 2]
+            a = within or [r for r in group if r[1] == 0]
+            b = within or [r for r in group if r[1] == 1]
+            if not a or not b:
+                continue
+            i, j = any_near(*side(a), *side(b), num, den)
+            kept = {r[2:5] for r, k in zip(a + b, [*i, *j]) if k}
+            if kept:
+                g, node, size = zip(*kept)
+                yield pa.record_batch([pa.array(g, pa.int64()), pa.array(node, pa.binary()), pa.array(size, pa.int64())],
+                                      names=["g", "node", "size"])
+
+    return (placed.select("gid", "role", "g", "node", "size", "label", "sketch")
+            .mapInArrow(run, "g long, node binary, size long").distinct())
+
+
+def block_links(tails: DataFrame, labels: DataFrame, texts: Texts, verify: Verify, near: Near | None = None,
+                sketches: DataFrame | None = None) -> DataFrame | None:
     """Links among the nodes of keys that still hold several groups beside their smallest node."""
     rest = tails.select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_keys = (rest.groupBy("key")
                  .agg(F.min("label").alias("x"), F.max("label").alias("y"),
                       F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("content"), F.count("*").alias("c"))
                  .where("x <> y").groupBy("content", "c").agg(F.min("key").alias("key")))
-    rest = staged(tails.select("key", "node", "size").join(open_keys.select("key"), "key", "left_semi"), "open")
+    if near is None:
+        rest = tails.select("key", "node", "size")
+    rest = rest.join(open_keys.select("key"), "key", "left_semi")
+    if near is not None:
+        rest = near_nodes(rest.withColumnRenamed("key", "g"), sketches, near).withColumnRenamed("g", "key")
+    rest = staged(rest, "open")
     if rest.isEmpty():
         return None
     return checked(_within(_grouped(rest)), texts, verify, "block-links")
@@ -175,21 +244,22 @@ def _grouped(rows: DataFrame) -> DataFrame:
                     "node", "size").distinct())
 
 
-def _within(rows: DataFrame) -> DataFrame:
+def _within(rows: DataFrame, times: int = 1) -> DataFrame:
     """Rows for ``checked`` that compare the nodes of each group g with one another, by pairs of blocks."""
-    n = rows.groupBy("g").agg(block_count().alias("n"))
+    n = rows.groupBy("g").agg(block_count(times).alias("n"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")
     spread = rows.join(n, "g").withColumn("block", block_of("node", "n")).select("*", other)
     return spread.select(F.xxhash64("g", F.least("block", "other"), F.greatest("block", "other")).alias("gid"),
                          F.when(F.col("block") == F.col("other"), 2)
-                         .when(F.col("block") < F.col("other"), 0).otherwise(1).alias("role"), "node")
+                         .when(F.col("block") < F.col("other"), 0).otherwise(1).alias("role"), *rows.columns)
 
 
-def linked_groups(members: DataFrame, texts: Texts, verify: Verify, ratio: float) -> DataFrame:
+def linked_groups(members: DataFrame, texts: Texts, verify: Verify, ratio: float, near: Near | None = None) -> DataFrame:
     """(node, label) of all nodes that have a link; others are absent. members: key, node, size."""
     tails = tails_of(members)
-    labels = components(star_links(tails, texts, verify, ratio))
-    more = block_links(tails, labels, texts, verify)
+    sketches = near and near.sketches(tails.select("node").union(tails.select("center")).distinct())
+    labels = components(star_links(tails, texts, verify, ratio, near, sketches))
+    more = block_links(tails, labels, texts, verify, near, sketches)
     if more is None or more.isEmpty():
         return labels
     return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))

@@ -19,7 +19,9 @@ are thereby left out.
 
 Signatures that occur once are dropped before anything else is moved; sets
 that share one are verified exactly (``linking``).  Copies collapse to one
-class (a 128-bit identity of the set) before that.
+class (a 128-bit identity of the set) before that.  A signature of few elements
+is also shared by sets that have little else in common: parity sketches
+(``sketch``) rule those out, and only the texts of the others are moved.
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; a document with a null doc_id keeps its n_shingles, is linked with
@@ -39,8 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maplift.llm.common import by_slot, carried, in_filter, opened, prepare, restored, slices, slot_filter, staged, text_bytes, texts_of
-from maplift.llm.linking import forest, linked_groups, overlaps, texts_by_doc
+from maplift.llm.common import by_slot, carried, in_filter, only_ids, opened, prepare, restored, slices, slot_filter, staged, text_bytes, texts_of
+from maplift.llm.linking import Near, forest, linked_groups, overlaps, texts_by_doc
+from maplift.llm.sketch import sketch
 from maplift.llm.wordhash import U, join_hash, mix, set_id, shingle_sets, words_of
 
 #: Bands grow by (den / num) ** BAND_POWER.
@@ -139,6 +142,18 @@ def _signature_rows(docs: DataFrame, words: int, num: int, den: int, wanted=None
     return docs.mapInArrow(run, "key long" if wanted is None else "key long, node binary, size long, rep long")
 
 
+def _sketches(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(node, sketch) of the shingle sets of reps (node, doc_id)."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch):
+                sets = [s for s in shingle_sets(words_of(*text_bytes(b.column(1))), words) if len(s)]
+                yield pa.record_batch([pa.array([set_id(s) for s in sets], pa.binary()),
+                                       pa.array([sketch(s) for s in sets], pa.binary())], names=["node", "sketch"])
+    found = only_ids(docs, reps).mapInArrow(run, "node binary, sketch binary")
+    return staged(found.join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sketches")
+
+
 def similar_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(node, label): groups of linked shingle sets; sets without a link to another set are absent."""
     spark = docs.sparkSession
@@ -163,7 +178,8 @@ def similar_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         return forest((an[x], bn[y]) for x, y in zip(i, j) if an[x] != bn[y])
 
     reps = members.groupBy("node").agg(F.min("rep").alias("doc_id"))
-    return linked_groups(members.drop("rep"), texts_by_doc(docs, reps), verify, num / den * (1 - 1e-9))
+    near = Near(lambda nodes: _sketches(docs, reps.join(nodes, "node"), words), num, den)
+    return linked_groups(members.drop("rep"), texts_by_doc(docs, reps), verify, num / den * (1 - 1e-9), near)
 
 
 def ngram_jaccard_join(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -1,15 +1,17 @@
 import hashlib
 import random
+import time
 import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from maplift.llm import line_dedup
-from maplift.llm.common import SLICE_BYTES
+from maplift.llm import line_dedup, linking
+from maplift.llm.common import SLICE_BYTES, slot_filter, staged
 from maplift.llm.line_dedup import without_similar_lines
 from maplift.llm.ngram_join import ngram_jaccard_join, without_near_duplicates
+from maplift.llm.sketch import any_near, pairs_near, sketch
 from maplift.llm.spotsigs import edited_likeness, fingerprints, from_text, likeness, similar_documents
 from maplift.llm.substring_dedup import without_repeated_passages
 from tests.llm.data import SCHEMA, awkward, empty, make_texts, words
@@ -277,3 +279,64 @@ def test_working_memory_of_texts_is_bounded():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert max(peaks) < 20 << 20, peaks
+
+
+@pytest.mark.parametrize("num", [95, 80, 50, 20])
+def test_sketches_rule_out_no_similar_pair(num):
+    rng = np.random.default_rng(num)
+    base = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    sets = []
+    for n in (1, 2, 5, 63, 64, 65, 127, 129, 400, 513, 1025):
+        for part in (1.0, 0.97, 0.9, 0.8, 0.6, 0.5, 0.25):
+            own = rng.integers(0, 1 << 63, int(n * (1 - part) / 2)).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([base[: max(1, int(n * part))], own])))
+    s, size, groups_ = [sketch(u) for u in sets], np.array([len(u) for u in sets]), np.arange(len(sets))
+    i, j = np.triu_indices(len(sets), 1)
+    similar = np.array([100 * len(np.intersect1d(sets[a], sets[b])) >= num * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    near = pairs_near([s[a] for a in i], size[i], [s[b] for b in j], size[j], num, 100)
+    assert similar.any() and near[similar].all()
+    some = np.zeros(len(sets), bool)
+    some[i[near]] = some[j[near]] = True
+    left, right = any_near(s, size, groups_, s, size, groups_, num, 100)
+    assert (left == some).all() and (right == some).all()
+    assert not any(x.any() for x in any_near(s, size, 0 * groups_, s, size, 0 * groups_, num, 100))
+    far = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (500, 510, 520, 1000, 1030)]
+    assert num < 80 or not any_near([sketch(u) for u in far], np.array([len(u) for u in far]), np.arange(5),
+                                    [sketch(u) for u in far], np.array([len(u) for u in far]), np.arange(5), num, 100)[0].any()
+
+
+def test_texts_that_only_share_a_passage_are_not_moved(spark, monkeypatch):
+    """Documents with a common phrase share signatures; their texts are neither dealt to tasks nor compared."""
+    rng, moved, checked = random.Random(8), [], linking.checked
+    monkeypatch.setattr(linking, "checked", lambda rows, *rest: moved.append(
+        {bytes(r.node) for r in rows.select("node").collect()}) or checked(rows, *rest))
+    phrases = [" ".join(f"p{k}x{i}" for i in range(7)) for k in range(3)]
+    texts = []
+    for i in range(400):
+        own = [f"u{rng.randrange(10**6)}" for _ in range(90 + rng.randrange(20))]
+        own[rng.randrange(80)] = phrases[i % 3]
+        texts.append(" ".join(own))
+    copies = {}
+    for k in range(5):  # copies of five of them with two words changed
+        own = texts[40 * k].split(" ")
+        own[2], own[-3] = "other", "words"
+        copies[len(texts)] = 40 * k
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join(df, 5, 80, 100).collect()}
+    sets = {i: shingles(t, 5) for i, t in enumerate(texts)}
+    assert got == groups(sets, linked(sets, 80, 100)) and {i: got[i] for i in copies} == copies
+    assert len(set().union(*moved)) <= 2 * len(copies)
+
+
+def test_staged_tables_and_filters_leave_no_shuffle_files(spark):
+    def left():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in files.mkString("\n").split("\n") if "shuffle_" in f}
+    before, deadline = left(), time.time() + 20
+    rows = spark.range(1000).selectExpr("id % 100 as key").groupBy("key").count()
+    kept, bits = staged(rows, "freed"), slot_filter(rows, "key")
+    while left() - before and time.time() < deadline:  # files go in the background
+        time.sleep(0.2)
+    assert not left() - before
+    assert bits and kept.count() == 100
